@@ -93,13 +93,13 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of documents ``lo`` to ``hi``: where they lie, how many each has, and their fingerprints."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, space: np.ndarray = IS_SPACE):
         base = int(offsets[lo])
         b = data[base : int(offsets[hi])]
         self.bytes = LOWER[b] if lower else b
         self.docs = hi - lo
         at = offsets[lo : hi + 1] - base
-        solid = ~IS_SPACE[b]
+        self.solid = solid = ~space[b]
         first = solid.copy()
         last = solid.copy()
         if len(b):
@@ -126,9 +126,18 @@ class Words:
         if not len(self.start):
             return np.zeros(0, U)
         up, down = POWERS.get(len(self.bytes))
-        sums = np.add.reduceat(BYTE_VALUES[self.bytes] * up, self.start)
+        sums = np.add.reduceat(BYTE_VALUES[self.bytes] * up * self.solid, self.start)
         return mix(sums * down[self.start] + (self.end - self.start).astype(U))
 
+    def prefix_hashes(self, n: int) -> np.ndarray:
+        """Fingerprints of the first ``n`` bytes of each word."""
+        h = np.zeros(len(self.start), U)
+        for k in range(n):
+            at = self.start + k
+            there = at < self.end
+            h = h * U(_BASE) + np.where(there, _ALL_BYTES[self.bytes[np.minimum(at, len(self.bytes) - 1)]], U(0)) if len(h) else h
+        return mix(h)
+
     def room(self) -> np.ndarray:
         """For each word, how many words its document has from it on."""
         return np.repeat(self.at[1:], self.counts) - np.arange(len(self.start))

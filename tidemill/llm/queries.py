@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, mixing, urls
+from tidemill.llm import chat, mixing, pii, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_url_templates": urls.op1_url_templates,
         "op2_source_mix": mixing.op2_source_mix,
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op8_feistel_pii": pii.op8_feistel_pii,
         "op10_chat_format": chat.op10_chat_format,
     }
 
