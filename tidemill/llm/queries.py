@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, mixing, pii, quality, urls
+from tidemill.llm import chat, mixing, pii, quality, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_url_templates": urls.op1_url_templates,
         "op2_source_mix": mixing.op2_source_mix,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_kneser_ney_toxicity": toxicity.op6_kneser_ney_toxicity,
         "op8_feistel_pii": pii.op8_feistel_pii,
         "op10_chat_format": chat.op10_chat_format,
     }
