@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, mixing, neardup, pii, quality, toxicity, urls
+from tidemill.llm import chat, doubling, mixing, neardup, pii, quality, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_kneser_ney_toxicity": toxicity.op6_kneser_ney_toxicity,
         "op8_feistel_pii": pii.op8_feistel_pii,
+        "op9_level_doubling": doubling.op9_level_doubling,
         "op10_chat_format": chat.op10_chat_format,
     }
 
