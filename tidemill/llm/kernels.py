@@ -162,9 +162,20 @@ def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
         shift *= 2
 
 
-def byte_grams(b: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """Fingerprints of each ``n`` consecutive bytes."""
-    return grams(_ALL_BYTES[b], n, salt)
+def byte_grams(b: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of each ``n`` consecutive bytes: polynomials by doubling, mixed once."""
+    if len(b) < n:
+        return np.zeros(0, U)
+    span, size, total, done = _ALL_BYTES[b], 1, None, 0
+    while True:
+        if n & size:
+            part = span[done : done + len(b) - n + 1]
+            total = part.copy() if total is None else total * U(pow(_BASE, size, 1 << 64)) + part
+            done += size
+        if size * 2 > n:
+            return mix(total)
+        span = span[:-size] * U(pow(_BASE, size, 1 << 64)) + span[size:]
+        size *= 2
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, doubling, mixing, neardup, pii, quality, toxicity, urls
+from tidemill.llm import chat, doubling, mixing, neardup, pii, quality, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_url_templates": urls.op1_url_templates,
         "op2_source_mix": mixing.op2_source_mix,
+        "op3_two_stage_suffixes": suffixes.op3_two_stage_suffixes,
         "op4_prefix_jaccard": neardup.op4_prefix_jaccard,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_kneser_ney_toxicity": toxicity.op6_kneser_ney_toxicity,
