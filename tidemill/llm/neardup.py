@@ -238,9 +238,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The document with the least doc_id of each component; columns as they came."""
-    kept = near_duplicates(docs, n, t).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The document with the least doc_id of each component, once; columns as they came.
+
+    A row without a doc_id names no document and always stays.
+    """
+    found = near_duplicates(docs, n, t)
+    kept = materialize(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    ids = kept.select(F.col("doc_id").alias("_id"))
+    out = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
+    if not kept.filter("rows > 1").isEmpty():  # rows that are repeated
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op4_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, doubling, mixing, neardup, pii, quality, suffixes, toxicity, urls
+from tidemill.llm import chat, decontaminate, doubling, mixing, neardup, pii, quality, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_prefix_jaccard": neardup.op4_prefix_jaccard,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_kneser_ney_toxicity": toxicity.op6_kneser_ney_toxicity,
+        "op7_simhash_windows": decontaminate.op7_simhash_windows,
         "op8_feistel_pii": pii.op8_feistel_pii,
         "op9_level_doubling": doubling.op9_level_doubling,
         "op10_chat_format": chat.op10_chat_format,
