@@ -14,7 +14,10 @@ d = |x| - ceil(t |x|) the most tokens of x that can be missing from y.
   over a prefix that is extended to d + e + 2.
 
 So every link shares an indexed key, whatever tokens count as frequent, and no
-frequent token is indexed alone.  The table of frequent tokens is bounded; it
+frequent token is indexed alone.  The rare prefix is extended by k(x) =
+``EXTRA`` + |x| / ``SHARE`` tokens: a set whose extended prefix is all rare
+shares at least k(t |x|) + 1 keys with each partner, so sets that share fewer
+with all others together are peeled off before anything is compared.  The table of frequent tokens is bounded; it
 changes cost, never results.
 
 Equal sets are one class.  In each key's group all classes are compared with one
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import materialize, table
@@ -42,7 +46,9 @@ from tidemill.llm.components import components
 from tidemill.llm.kernels import U, Words, grams, mix, signed, slices, text_column
 
 #: Tokens in the table of frequent ones, and in how many documents of one Arrow batch a token must occur to be counted.
-FREQUENT, SEEN = 1 << 17, 4
+FREQUENT, SEEN = 1 << 19, 2
+#: Tokens by which rare prefixes are extended, and rounds in which sets with too few shared keys are peeled off.
+EXTRA, SHARE, PEELS = 3, 40, 3
 #: Candidates of a hub that one task compares.
 SALT = 512
 
@@ -82,8 +88,8 @@ def _sets(text: pa.Array, n: int) -> Iterator[tuple[int, int, Sets]]:
         yield lo, hi, Sets(Words(data, offsets, lo, hi, lower=True), n)
 
 
-def prefix_keys(s: Sets, hot: np.ndarray, rank: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The indexed keys of each set: (set number, key)."""
+def prefix_keys(s: Sets, hot: np.ndarray, rank: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The indexed keys of each set: (set number, key), and how many keys each set must share to have a partner."""
     num, den = t
     at = np.minimum(np.searchsorted(hot, s.tok), max(len(hot) - 1, 0))
     frequent = hot[at] == s.tok if len(hot) else np.zeros(len(s.tok), bool)
@@ -94,13 +100,14 @@ def prefix_keys(s: Sets, hot: np.ndarray, rank: np.ndarray, t: tuple[int, int])
     n = s.sizes
     d = n - (-(-num * n // den))
     e = (den - num) * n // num
-    single = (level == 0) & (place <= np.repeat(d, n))
+    extra = EXTRA + n // SHARE
+    single = (level == 0) & (place <= np.repeat(d + extra, n))
     rare = np.bincount(s.doc[level == 0], minlength=len(n))
     paired = np.repeat((rare <= d), n) & (level > 0) & (place + 1 < np.repeat(np.minimum(n, d + e + 2), n))
     first = np.flatnonzero(paired)
     keys = np.concatenate((mix(tok[single]), mix(tok[first] * U(0x9E3779B97F4A7C15) + tok[np.minimum(first + 1, len(tok) - 1)] + U(1))))
     # a set of one frequent token has no neighbour; equal sets are one class already
-    return np.concatenate((s.doc[single], s.doc[first])), keys
+    return np.concatenate((s.doc[single], s.doc[first])), keys, np.where(rare > d + extra, EXTRA + (num * n // den) // SHARE + 1, 1)
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
@@ -126,7 +133,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
 
 
 def index(docs: DataFrame, n: int, t: tuple[int, int], frequent: Broadcast) -> DataFrame:
-    """(key, v) of all sets; each class once for each batch."""
+    """(key, v, need) of all sets; each class once for each batch."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = frequent.value
@@ -138,11 +145,12 @@ def index(docs: DataFrame, n: int, t: tuple[int, int], frequent: Broadcast) -> D
                 first[np.unique(ids, return_index=True)[1]] = True
                 first &= ~np.isin(ids, seen) & (s.sizes > 0)
                 seen = np.concatenate((seen, ids[first]))
-                doc, keys = prefix_keys(s, hot, rank, t)
+                doc, keys, need = prefix_keys(s, hot, rank, t)
                 keep = first[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[keep])), pa.array(ids[doc[keep]])], ["key", "v"])
+                doc = doc[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[keep])), pa.array(ids[doc]), pa.array(need[doc].astype(np.int32))], ["key", "v", "need"])
 
-    return docs.select("text").mapInArrow(tasks, "key long, v long")
+    return docs.select("text").mapInArrow(tasks, "key long, v long, need int")
 
 
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -191,6 +199,15 @@ def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
     return rows.mapInArrow(tasks, "a long, b long")
 
 
+def _with_peers(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Members of a group whose next smaller or next larger member is of a size that can link; others can link with none there."""
+    num, den = t
+    w = W.partitionBy("key").orderBy("size", "v")
+    near = lambda other: F.coalesce(F.least("size", other) * den >= F.greatest("size", other) * num, F.lit(False))
+    out = groups.withColumn("_lo", F.lag("size").over(w)).withColumn("_hi", F.lead("size").over(w))
+    return out.filter(near("_lo") | near("_hi")).drop("_lo", "_hi")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -205,14 +222,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100))
     rank[np.lexsort((hot, count))] = np.arange(len(hot))
     keys = index(docs, n, t, spark.sparkContext.broadcast((hot, rank)))
     shared = keys.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("key")
-    groups = materialize(keys.join(shared, "key").distinct())
     size_of = base.filter("n_shingles > 0").groupBy("v").agg(F.min("n_shingles").alias("size"), F.min("doc_id").alias("doc_id"))
+    groups = materialize(keys.join(shared, "key").distinct().join(size_of.select("v", "size"), "v"))
+    for _ in range(PEELS):
+        groups = _with_peers(groups, t)
+        enough = groups.groupBy("v").agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("want")).filter("have >= want").select("v")
+        groups = materialize(groups.join(enough, "v"))
     weight = groups.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     score = groups.join(weight, "key").groupBy("v").agg(F.sum("m").alias("score"))
     info = materialize(score.join(size_of, "v"))
     want = info.select("v", "doc_id")
     sets = materialize(token_sets(docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select("v", "text"), n))
-    groups = materialize(groups.join(info.select("v", "size", "score"), "v"))
+    groups = materialize(groups.join(info.select("v", "score"), "v"))
     num, den = t
     # every member of a key's group with the hub of the group
     hubs = groups.groupBy("key").agg(F.max(F.struct("score", "v", "size")).alias("h")).select("key", F.col("h.v").alias("hub"), F.col("h.size").alias("hub_size"))
