@@ -30,6 +30,18 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, column: str) -> DataFrame:
+    """As ``materialize``, as a table bucketed by ``column``: joins on it later do not shuffle it again.
+
+    ``df`` should come from a shuffle by that column, so that every task writes few buckets.
+    """
+    spark = df.sparkSession
+    name = f"tidemill_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

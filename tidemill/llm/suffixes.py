@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, table
+from tidemill.llm.common import materialize, materialize_bucketed, table
 from tidemill.llm.kernels import U, anchors, byte_grams, mix, signed, slices, spans_of, text_column
 from tidemill.llm.repeats import ENTRIES, Batch, entries, frequent_in, frequent_table, once, repeated
 
@@ -193,7 +193,7 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 def _candidates(rows: DataFrame) -> DataFrame:
     """Only the rows whose text is the one meant, as a doc_id may stand for several."""
     sha = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16), 16, -10).cast("long")
-    return rows.filter(sha == F.col("id")).select("id", "doc_id", "text", "keys")
+    return rows.filter(sha == F.col("id")).select("id", "doc", "text", "keys")
 
 
 def _segments(texts: DataFrame, length: int) -> DataFrame:
@@ -203,7 +203,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists, rows = _lists(b["keys"]), b["row"].to_numpy()
-            order = b["doc_id"].cast(pa.int64()).fill_null(_LAST).to_numpy()
+            order = b["doc"].to_numpy()
             mine: dict[bytes, tuple[int, int, int]] = {}
             keys: dict[bytes, int] = {}
             data, offsets = text_column(b["text"])
@@ -225,7 +225,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
                     mine, keys, size = {}, {}, 0
             yield _segment_rows(mine, keys, names)
 
-    return texts.select("row", "doc_id", "text", "keys").mapInArrow(tasks, "key long, seg binary, doc long, off int, row long")
+    return texts.select("row", "doc", "text", "keys").mapInArrow(tasks, "key long, seg binary, doc long, off int, row long")
 
 
 def _segment_rows(mine: dict, keys: dict, names: list[str]) -> pa.RecordBatch:
@@ -261,7 +261,7 @@ def earlier_elsewhere(segs: list[bytes], who: np.ndarray, length: int) -> np.nda
 
 
 def _answers(segments: DataFrame, length: int) -> DataFrame:
-    """(row, off, gone): to the owner of each segment, packed bits of the strings that start earlier elsewhere."""
+    """(doc, row, off, gone): to the owner of each segment, packed bits of the strings that start earlier elsewhere."""
     rows = segments.repartition("key").sortWithinPartitions("key", "seg", "doc", "off")
 
     def answer(block: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
@@ -270,7 +270,7 @@ def _answers(segments: DataFrame, length: int) -> DataFrame:
         n = np.array([len(x[0]) - length + 1 for x in block])
         ends = np.cumsum(n)
         bits = [np.packbits(gone[e - k : e]).tobytes() for k, e in zip(n.tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(who[:, 2]), pa.array(who[:, 1].astype(np.int32)), pa.array(bits, pa.binary())], ["row", "off", "gone"])
+        return pa.RecordBatch.from_arrays([pa.array(who[:, 0]), pa.array(who[:, 2]), pa.array(who[:, 1].astype(np.int32)), pa.array(bits, pa.binary())], ["doc", "row", "off", "gone"])
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, at, last = [], 0, None, None
@@ -289,7 +289,7 @@ def _answers(segments: DataFrame, length: int) -> DataFrame:
         if block:
             yield answer(block)
 
-    return rows.mapInArrow(tasks, "row long, off int, gone binary")
+    return rows.mapInArrow(tasks, "doc long, row long, off int, gone binary")
 
 
 def _removed(texts: DataFrame, length: int) -> DataFrame:
@@ -297,11 +297,11 @@ def _removed(texts: DataFrame, length: int) -> DataFrame:
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, told = _lists(b["keys"]), b["answers"].to_pylist()
+            lists, told, rows = _lists(b["keys"]), b["answers"].to_pylist(), b["row"].to_pylist()
             data, offsets = text_column(b["text"])
             for lo, hi in slices(offsets):
                 t = Bytes(data, offsets, lo, hi, length)
-                known = [{x["off"]: x["gone"] for x in (told[lo + d] or ())} for d in range(hi - lo)]
+                known = [{x["off"]: x["gone"] for x in (told[lo + d] or ()) if x["row"] == rows[lo + d]} for d in range(hi - lo)]
                 edge = np.zeros(len(t.b) + 1, np.int64)
                 for i in t.hits(lists[lo:hi]).tolist():
                     d, f, n = int(t.doc[i]), int(t.first[i]), int(t.last[i] - t.first[i]) + 1
@@ -321,7 +321,7 @@ def _removed(texts: DataFrame, length: int) -> DataFrame:
                     out.append((int(g.sum()), len(spans_of(g)[0]), hashlib.sha256(t.b[x:y][~g].tobytes()).hexdigest()))
                 yield pa.RecordBatch.from_arrays([b["id"].slice(lo, hi - lo), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out])], ["id", "n_removed", "n_spans", "sha"])
 
-    return texts.select("id", "text", "keys", "answers").mapInArrow(tasks, "id long, n_removed long, n_spans long, sha string")
+    return texts.select("id", "row", "text", "keys", "answers").mapInArrow(tasks, "id long, n_removed long, n_spans long, sha string")
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -332,14 +332,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     one = base.groupBy("id").agg(F.min("doc_id").alias("first"))
     known = spark.sparkContext.broadcast(frequent_table(both.filter("kind = 1").select("key", "n")))
     want = repeated(_sampled(docs, length, known)).join(one, "id")
-    rows = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("first")))
-    texts = materialize(_candidates(rows).withColumn("row", F.monotonically_increasing_id()))
+    doc = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_LAST))
+    rows = docs.select(doc("doc_id").alias("doc"), "text").join(want.withColumn("doc", doc("first")), "doc")
+    texts = materialize_bucketed(_candidates(rows).withColumn("row", F.monotonically_increasing_id()), "doc")
     if texts.isEmpty():
         part = spark.createDataFrame([], "id long, n_removed long, n_spans long, sha string")
     else:
         answers = _answers(_segments(texts, length), length)
-        answers = answers.groupBy("row").agg(F.collect_list(F.struct("off", "gone")).alias("answers"))
-        part = _removed(texts.join(answers, "row", "left"), length)
+        answers = answers.groupBy("doc").agg(F.collect_list(F.struct("row", "off", "gone")).alias("answers"))
+        part = _removed(texts.join(answers, "doc", "left"), length)
         part = part.groupBy("id").agg(F.min(F.struct("n_removed", "n_spans", "sha")).alias("p")).select("id", F.col("p.n_removed").alias("_n"), F.col("p.n_spans").alias("_s"), F.col("p.sha").alias("_sha"))
     out = base.join(one, "id").join(part, "id", "left")
     copy = ~F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("n_bytes") >= length)
