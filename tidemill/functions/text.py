@@ -83,7 +83,7 @@ def module_name(path: Column) -> Column:
 def last_code_fence(text: Column) -> Column:
     """The body of the last closed code fence, trimmed; null without one."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)```(?:[Pp]ython)?[^\n]*\n(.*?)```"), F.lit(1))
-    return F.when(F.size(found) > 0, F.trim(F.element_at(found, -1)))
+    return F.when(F.size(found) > 0, F.btrim(F.element_at(found, -1), F.lit(" \t\r\n")))
 
 
 def shortened(text: Column, width: int = 28) -> Column:

@@ -121,4 +121,4 @@ def unified_diff(old: Column, new: Column, path: Column) -> Column:
     def diff(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series(["".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), f"a/{p}", f"b/{p}")) for a, b, p in zip(old, new, path, strict=True)])
 
-    return F.pandas_udf(diff, "string", F.PandasUDFType.SCALAR)(old, new, path)
+    return F.pandas_udf(diff, "string")(old, new, path)

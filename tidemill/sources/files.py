@@ -14,9 +14,8 @@ def source_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, suffix, text) of all source files below a folder, or of one file; another suffix is an error."""
     if not path.endswith(SUFFIXES) and "." in path.rstrip("/").rsplit("/", 1)[-1]:
         raise ValueError(f"not a source file: {path}")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,cu,cuh}").text(path, wholetext=True)
-    name = F.col("_metadata.file_path")
-    return files.select(name.alias("path"), F.regexp_extract(name, r"(\.[^./]+)$", 1).alias("suffix"), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,cu,cuh}").load(path)
+    return files.select("path", F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("suffix"), F.decode("content", "UTF-8").alias("text"))
 
 
 def selected(files: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
