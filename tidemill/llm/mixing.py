@@ -40,7 +40,7 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, m
                 target[i] = rest * weights[i] / all_w
             break
         for i in full:
-            target[i] = most * sizes[i]
+            target[i] = float(most * sizes[i])
         rest -= sum(target[i] for i in full)
         open_ = [i for i in open_ if i not in set(full)]
     return target
