@@ -336,7 +336,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     rows = docs.select(doc("doc_id").alias("doc"), "text").join(want.withColumn("doc", doc("first")), "doc")
     texts = materialize_bucketed(_candidates(rows).withColumn("row", F.monotonically_increasing_id()), "doc")
     if texts.isEmpty():
-        part = spark.createDataFrame([], "id long, n_removed long, n_spans long, sha string")
+        part = spark.createDataFrame([], "id long, _n long, _s long, _sha string")
     else:
         answers = _answers(_segments(texts, length), length)
         answers = answers.groupBy("doc").agg(F.collect_list(F.struct("row", "off", "gone")).alias("answers"))
