@@ -37,7 +37,7 @@ SHAPES = {
     "date": r"(?<![0-9/.\-])(?:\d{4}([/.\-])\d{2}\1\d{2}|\d{2}([/.\-])\d{2}\2\d{4})(?![0-9])",
     "ssn": r"(?<![0-9\-])\d{3}-\d{2}-\d{4}(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?![0-9])|(?<![0-9])\(\d{3}\) ?\d{3}-\d{4}(?![0-9])",
-    "card": r"(?<![0-9])\d(?:[ \-]?\d){12,18}(?![0-9])",
+    "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![0-9])",
 }
 KINDS = tuple(SHAPES)
 #: Groups are numbered across the alternatives: one each in ``date``.
