@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ def source_files(spark: SparkSession, path: str) -> DataFrame:
     if not path.endswith(SUFFIXES) and "." in path.rstrip("/").rsplit("/", 1)[-1]:
         raise ValueError(f"not a source file: {path}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,cu,cuh}").load(path)
+    # Spark's file index lists empty files, its scan leaves them out
+    listed = [(unquote(f).replace("file:///", "file:/", 1),) for f in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    files = files.select("path", "content").unionByName(empty.withColumn("content", F.lit(b"")))
     return files.select("path", F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("suffix"), F.decode("content", "UTF-8").alias("text"))
 
 
