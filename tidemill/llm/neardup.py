@@ -235,11 +235,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100))
     sets = materialize(token_sets(docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select("v", "text"), n))
     groups = materialize(groups.join(info.select("v", "score"), "v"))
     num, den = t
-    # every member of a key's group with the hub of the group
-    hubs = groups.groupBy("key").agg(F.max(F.struct("score", "v", "size")).alias("h")).select("key", F.col("h.v").alias("hub"), F.col("h.size").alias("hub_size"))
+    # the hub of each key's group with every member: first the best hub of each class, then what is in another component still
+    hubs = groups.groupBy("key").agg(F.max(F.struct("score", "v", "size")).alias("h")).select("key", F.col("h.v").alias("hub"), F.col("h.score").alias("hub_score"), F.col("h.size").alias("hub_size"))
     like = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
-    pairs = groups.join(hubs, "key").filter(F.col("hub") != F.col("v")).filter(like(F.col("size"), F.col("hub_size"))).select("hub", "v").distinct()
-    links = materialize(verified(materialize(pairs), sets, t))
+    pairs = groups.join(hubs, "key").filter(F.col("hub") != F.col("v")).filter(like(F.col("size"), F.col("hub_size"))).select("hub", "hub_score", "v").distinct()
+    pairs = materialize(pairs)
+    best = pairs.groupBy("v").agg(F.max(F.struct("hub_score", "hub"))["hub"].alias("hub")).select("hub", "v")
+    links = materialize(verified(materialize(best), sets, t))
+    roots = materialize(components(links))
+    mine, theirs = roots.toDF("v", "root"), roots.toDF("hub", "hub_root")
+    apart = F.coalesce("root", "v") != F.coalesce("hub_root", "hub")
+    others = pairs.join(mine, "v", "left").join(theirs, "hub", "left").filter(apart).select("hub", "v")
+    links = materialize(links.unionByName(verified(materialize(others), sets, t)))
     roots = materialize(components(links))
     # pairs of different components that share a key, each once
     placed = groups.join(roots, groups["v"] == roots["node"], "left").select("key", "v", "size", F.coalesce("root", "v").alias("root"))
