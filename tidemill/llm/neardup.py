@@ -249,11 +249,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100))
     links = materialize(links.unionByName(verified(materialize(others), sets, t)))
     roots = materialize(components(links))
     # pairs of different components that share a key, each once
-    placed = groups.join(roots, groups["v"] == roots["node"], "left").select("key", "v", "size", F.coalesce("root", "v").alias("root"))
+    placed = groups.join(roots, groups["v"] == roots["node"], "left").select("key", "v", "size", "need", F.coalesce("root", "v").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     placed = materialize(placed.join(mixed, "key"))
-    other = placed.select("key", F.col("v").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
-    rest = placed.join(other, "key").filter((F.col("root") != F.col("hub_root")) & (F.col("hub") < F.col("v")) & like(F.col("size"), F.col("hub_size"))).select("hub", "v").distinct()
+    other = placed.select("key", F.col("v").alias("hub"), F.col("size").alias("hub_size"), F.col("need").alias("hub_need"), F.col("root").alias("hub_root"))
+    rest = placed.join(other, "key").filter((F.col("root") != F.col("hub_root")) & (F.col("hub") < F.col("v")) & like(F.col("size"), F.col("hub_size")))
+    rest = rest.groupBy("hub", "v").agg(F.count(F.lit(1)).alias("have"), F.max(F.greatest("need", "hub_need")).alias("want")).filter("have >= want").select("hub", "v")
     more = verified(materialize(rest), sets, t)
     links = materialize(links.unionByName(more))
     roots = components(links)
