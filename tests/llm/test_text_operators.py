@@ -244,6 +244,15 @@ def test_toxicity_learns_held_out_words(spark):
     assert len(none) == 903 and {r.score for r in none} == {0.0}
 
 
+def test_toxicity_model_grows_with_the_words(spark):
+    n = 140_000  # more words, and more pairs, than any fixed table of the model would hold
+    text = " ".join(f"x{i:06d}" for i in range(n))
+    rows = spark.createDataFrame([(text, k, False) for k in (0, 0, 1, 1)], "text string, toxic int, sample boolean")
+    facts = toxicity.model(toxicity.gather(rows))
+    assert facts.filter("k2 = 0 and x0 is not null").count() == n
+    assert facts.filter("k2 not in (0, 1)").count() == n
+
+
 def test_components(spark):
     from tidemill.llm.components import components
 

@@ -5,16 +5,15 @@ text, are counted by Spark over all labelled training rows.  A document's score
 is the difference of their length-normalised log-likelihoods, calibrated on
 training rows that were not counted.
 
-Symbols are words; counts are of documents that hold them, so a text that repeats itself, or a copy of it, adds nothing; a word outside the vocabulary is the class of its first five
+Symbols are words; counts are of documents that hold them, so a text that repeats itself, or a copy of it, adds nothing; a word that fewer than ``MIN_COUNT`` documents hold is the class of its first five
 bytes, so a rare expression is smoothed through what its kin have in common.
 Below the class-conditional continuation counts lie the continuation counts that
 both classes share, so what neither class has seen tells nothing.
 
-Counts cover every labelled training row and are aggregated by key with partial
-sums.  What each task holds for scoring is bounded by parameters: a vocabulary
-of ``VOCABULARY`` words, ``CLASSES`` prefix classes and ``BIGRAMS`` bigrams, the
-most frequent ones, ties by key; the mass of bigrams beyond that goes to the
-backoff, exactly.  Calibration fits three numbers on about ``CALIBRATION`` rows, a
+Counts are aggregated by key with partial sums and stay tables: every word and pair
+that ``MIN_COUNT`` documents hold and every prefix class has its row, however many
+there are; the mass of rarer bigrams goes to the backoff, exactly.  For scoring,
+batches of texts ask for the rows that they need, by a join.  Calibration fits three numbers on about ``CALIBRATION`` rows, a
 seeded sample of the labelled rows that are not counted.
 
 Defined results: a null or empty text scores the prior of the training rows;
@@ -29,14 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemill.llm.common import materialize, table
+from tidemill.llm.common import materialize, materialize_bucketed, table
 from tidemill.llm.kernels import U, Words, mix, slices, text_column
 
-VOCABULARY, CLASSES, BIGRAMS, CALIBRATION = 1 << 17, 1 << 16, 1 << 19, 10_000
+CALIBRATION = 10_000
+#: Bytes of text whose questions to the model are asked together, keys a task holds before it asks, and bits of the filter before: cost only.
+BATCH, QUESTIONS, FILTER = 1 << 23, 1 << 22, 1 << 26
+#: Kinds of rows of what is gathered; ``SAMPLE`` is added for what the sample takes off.
+PAIR, CONTEXT, WORD, SAMPLE = 0, 1, 2, 10
+#: Stands before the first word of a document.
+START = U(0x9D5C_31F7_66B2_0E4B)
 MIN_COUNT = 3
 PREFIX = 5
 #: Taken off every count.  It is small, as counts are of documents and contexts.
@@ -58,65 +64,126 @@ def _hashes(batch_text: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]
         yield lo, hi, w, w.hashes()
 
 
-def _symbols(w: Words, h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Numbers of words in the sorted vocabulary, or of their prefix classes."""
-    at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-    known = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-    kin = len(vocabulary) + (w.prefix_hashes(PREFIX) % U(CLASSES)).astype(np.int64)
-    return np.where(known, at, kin)
+def _slot(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    return mix(k1.view(U) ^ mix(k2.view(U) + U(1)))
 
 
-def _tallies(keys: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
-    """Documents of each class that hold a key: a text that repeats itself says it once."""
-    order = np.lexsort((docs, keys))
-    keys, docs, toxic = keys[order], docs[order], toxic[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, toxic = keys[new], toxic[new]
-    u, inverse = np.unique(keys, return_inverse=True)
-    c1 = np.bincount(inverse, weights=toxic, minlength=len(u)).astype(np.int64)
-    c = np.bincount(inverse, minlength=len(u)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c - c1), pa.array(c1)], ["key", "c0", "c1"])
+def _before(w: Words, h: np.ndarray) -> np.ndarray:
+    """Of each word the one before it; ``START`` before the first of a document."""
+    before = np.empty(len(h), U)
+    before[1:] = h[:-1]
+    before[w.at[:-1][w.counts > 0]] = START
+    return before
 
 
-_COUNTS = "key long, c0 long, c1 long"
+def _tallies(kind: int, k1: np.ndarray, k2: np.ndarray, docs: np.ndarray, toxic: np.ndarray, sample: np.ndarray) -> pa.RecordBatch:
+    """Documents of each class that hold a key, and those of the sample: a text that repeats itself says it once."""
+    slot = _slot(k1, k2)
+    order = np.lexsort((docs, slot))
+    slot, docs = slot[order], docs[order]
+    new = np.ones(len(slot), bool)
+    new[1:] = (slot[1:] != slot[:-1]) | (docs[1:] != docs[:-1])
+    order, docs = order[new], docs[new]
+    _, first, inverse = np.unique(slot[new], return_index=True, return_inverse=True)
+    count = lambda one: np.bincount(inverse, weights=one[docs], minlength=len(first)).astype(np.int64)
+    at = order[first]
+    counts = [count(x) for x in (1 - toxic, toxic, (1 - toxic) * sample, toxic * sample)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(k[at].view(np.int64)) for k in (k1, k2)), *map(pa.array, counts)], ["kind", "k1", "k2", "c0", "c1", "s0", "s1"])
 
 
-def _toxic_of_words(w: Words, lo: int, hi: int, labels: np.ndarray) -> np.ndarray:
-    return np.repeat(labels[lo:hi], w.counts)
-
-
-def count_words(rows: DataFrame) -> DataFrame:
-    """Counts by class of each word's fingerprint; ``rows`` has text and toxic."""
+def count(rows: DataFrame) -> DataFrame:
+    """Counts by class of words (with their prefix) and of pairs; ``rows`` has text, toxic and sample."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            labels = b["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
+            toxic, sample = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "sample"))
             for lo, hi, w, h in _hashes(b["text"]):
-                yield _tallies(h, w.doc_of_word(), _toxic_of_words(w, lo, hi, labels))
+                of = (w.doc_of_word(), toxic[lo:hi], sample[lo:hi])
+                yield _tallies(WORD, h, w.prefix_hashes(PREFIX), *of)
+                yield _tallies(PAIR, _before(w, h), h, *of)
+
+    counts = rows.select("text", "toxic", "sample").mapInArrow(tasks, "kind int, k1 long, k2 long, c0 long, c1 long, s0 long, s1 long")
+    return counts.groupBy("kind", "k1", "k2").agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "s0", "s1")))
+
+
+def gather(rows: DataFrame) -> DataFrame:
+    """(kind, k1, k2, n0, n1, docs, prefix): frequent pairs, contexts with their counts, words with their contexts.
+
+    What the sample alone adds is kept beside, negative, under ``kind + SAMPLE``.
+    """
+
+    def fact(kind, k1, k2, n0, n1, docs=0, prefix=None) -> Column:
+        long = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+        values = {"k1": k1, "k2": k2, "n0": n0, "n1": n1, "docs": docs, "prefix": prefix}
+        return F.struct(F.lit(kind).alias("kind"), *(long(v).alias(k) for k, v in values.items()))
+
+    k1, k2, c0, c1, s0, s1 = (F.col(c) for c in ("k1", "k2", "c0", "c1", "s0", "s1"))
+    word, sampled = F.col("kind") == WORD, s0 + s1 > 0
+    less = lambda c, s: (c > s).cast("long") - (c > 0).cast("long")
+    facts = [
+        (word, fact(WORD, k1, 0, 0, 0, c0 + c1, k2)),
+        (word & sampled, fact(WORD + SAMPLE, k1, 0, 0, 0, -s0 - s1, k2)),
+        (~word, fact(CONTEXT, k1, 0, c0, c1)),
+        (~word & sampled, fact(CONTEXT + SAMPLE, k1, 0, -s0, -s1)),
+        (~word, fact(WORD, k2, 0, c0 > 0, c1 > 0)),
+        (~word & sampled, fact(WORD + SAMPLE, k2, 0, less(c0, s0), less(c1, s1))),
+        (~word & (c0 + c1 >= MIN_COUNT), fact(PAIR, k1, k2, c0, c1)),
+        (~word & sampled & (c0 + c1 >= MIN_COUNT), fact(PAIR + SAMPLE, k1, k2, -s0, -s1)),
+    ]
+    each = F.filter(F.array(*(F.when(when, f) for when, f in facts)), lambda f: f.isNotNull())
+    return materialize(_summed(count(rows).select(F.explode(each).alias("f")).select("f.*")))
 
-    return rows.select("text", "toxic").mapInArrow(tasks, _COUNTS).groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "k1", "k2").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "docs")), F.max("prefix").alias("prefix"))
 
-def _pairs(w: Words, s: np.ndarray, start: int) -> np.ndarray:
-    """Keys of (previous, this) for each symbol; ``start`` stands before the first of a document."""
-    before = np.empty(len(s), np.int64)
-    before[1:] = s[:-1]
-    firsts = w.at[:-1][w.counts > 0]
-    before[firsts] = start
-    return (before << 32) | s
 
+def model(gathered: DataFrame, sample: bool = True) -> DataFrame:
+    """Both interpolated Kneser-Ney models as one table (k1, k2, x0, x1, back); without the sample's own counts if so told.
+
+    P_c(w | v) = shared(v, w) + back(v) * P_c(w), where shared(v, w) is the
+    discounted bigram share that both classes agree on, and back(v) what is left.
+    P_c(w) = (1 - floor) * the discounted continuation share of class c + floor / symbols;
+    the floor is the same for both classes, so a word that neither has seen has the ratio 1.
+
+    Rows: (v, w) with shared(v, w) in x0; (w, 0) with P_0(w), P_1(w) and back(w); (prefix, 1) with P_0 and P_1.
+    What has no row is 0, 1 or unseen.
+    """
+    rows = gathered.filter(F.col("kind") < SAMPLE) if sample else _summed(gathered.withColumn("kind", F.col("kind") % SAMPLE))
+    of = lambda kind: rows.filter(F.col("kind") == kind)
+    held = lambda c: F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))
+    known = F.col("docs") >= MIN_COUNT
+    own = of(WORD).filter(known).select("k1", F.lit(0).cast("long").alias("k2"), "n0", "n1")
+    kin = of(WORD).filter(~known).groupBy(F.col("prefix").alias("k1")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    symbols = own.unionByName(kin.withColumn("k2", F.lit(1).cast("long"))).filter("n0 + n1 > 0")
+    sums = symbols.agg(*(F.coalesce(x.cast("double"), F.lit(0.0)) for c in ("n0", "n1") for x in (F.sum(c), F.count_if(F.col(c) > 0), F.sum(held(c)))), F.count(F.lit(1))).first()
+    total, types, mass = ([sums[i], sums[i + 3]] for i in range(3))
+    least = 0 if total[0] <= total[1] else 1
+    floor = min(0.5, FLOOR * max(types[least], 1) / max(total[least], 1))
+    low = [(1 - floor) * held(f"n{c}") / max(mass[c], 1e-12) + floor / max(sums[6], 1) for c in (0, 1)]
+    contexts = of(CONTEXT).select("k1", F.col("n0").alias("t0"), F.col("n1").alias("t1"))
+    share = [held(f"n{c}") / F.greatest(F.col(f"t{c}"), F.lit(1)) for c in (0, 1)]
+    pairs = of(PAIR).filter(F.col("n0") + F.col("n1") >= MIN_COUNT).join(contexts, "k1").select("k1", "k2", F.least(*share).alias("x0"))
+    pairs = materialize(pairs.filter("x0 > 0"))
+    none = F.lit(None).cast("double")
+    back = pairs.groupBy("k1").agg(F.greatest(1 - F.sum("x0"), F.lit(1e-9)).alias("back")).select("k1", F.lit(0).cast("long").alias("k2"), none.alias("x0"), none.alias("x1"), "back")
+    words = symbols.select("k1", "k2", low[0].alias("x0"), low[1].alias("x1"), none.alias("back")).unionByName(back)
+    words = words.groupBy("k1", "k2").agg(*(F.max(c).alias(c) for c in ("x0", "x1", "back")))
+    return materialize(words.unionByName(pairs.select("k1", "k2", "x0", none.alias("x1"), none.alias("back"))))
+
+
+def _filter(facts: DataFrame) -> np.ndarray:
+    """A bit for the slot of each key, in a table of one size: it spares questions that have no answer, and changes no result."""
 
-def count_pairs(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary.value
         for b in batches:
-            labels = b["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi, w, h in _hashes(b["text"]):
-                s = _symbols(w, h, voc)
-                yield _tallies(_pairs(w, s, len(voc) + CLASSES), w.doc_of_word(), _toxic_of_words(w, lo, hi, labels))
+            at = _slot(b["k1"].to_numpy(), b["k2"].to_numpy()) % U(FILTER)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], ["at", "bit"])
 
-    return rows.select("text", "toxic").mapInArrow(tasks, _COUNTS).groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    at, bits = _columns(facts.select("k1", "k2").mapInArrow(tasks, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")))
+    out = np.zeros(FILTER >> 6, U)
+    out[at] = bits.view(U)
+    return out
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
@@ -125,35 +192,65 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in t.columns]
 
 
-class Model:
-    """Two interpolated Kneser-Ney models as sorted arrays.
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows with ``batch``, a number that neighbours of about ``BATCH`` bytes of text share."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 33, 0
+        for b in batches:
+            _, offsets = text_column(b["text"])
+            ends = size + offsets[1:] - offsets[0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number + ends // BATCH)], [*b.schema.names, "batch"])
+            size = int(ends[-1]) if len(ends) else size
+
+    return docs.mapInArrow(tasks, StructType([*docs.schema.fields, StructField("batch", LongType())]))
 
-    P_c(w | v) = shared(v, w) + back(v) * P_c(w), where shared(v, w) is the
-    discounted bigram share that both classes agree on, and back(v) what is left.
-    P_c(w) = (1 - floor) * the discounted continuation share of class c + floor / symbols;
-    the floor is the same for both classes, so a word that neither has seen has the ratio 1.
-    """
 
-    def __init__(self, vocabulary: np.ndarray, pairs: list[np.ndarray], contexts: list[np.ndarray], lower: list[np.ndarray]):
-        size = len(vocabulary) + CLASSES
-        self.vocabulary, self.size = vocabulary, size
-        key, *counts = pairs
-        order = np.argsort(key)
-        self.key = key[order]
-        before = self.key >> 32
-        seen, cont = np.zeros((2, size + 1)), np.zeros((2, size))
-        for c in (0, 1):
-            seen[c, contexts[0]] = contexts[1 + c]
-            cont[c, lower[0]] = lower[1 + c]
-        share = [np.maximum(counts[c][order] - DISCOUNT, 0) / np.maximum(seen[c, before], 1) for c in (0, 1)]
-        self.shared = np.minimum(*share)
-        self.back = np.maximum(1 - np.bincount(before, weights=self.shared, minlength=size + 1), 1e-9)
-        total = np.maximum(cont.sum(1), 1)
-        least = int(np.argmin(total))
-        floor = min(0.5, FLOOR * max((cont[least] > 0).sum(), 1) / total[least])
-        held = np.maximum(cont - DISCOUNT, 0)
-        held /= np.maximum(held.sum(1), 1e-12)[:, None]
-        self.low = (1 - floor) * held + floor / max((cont.sum(0) > 0).sum(), 1)
+def _questions(packed: DataFrame, there: Broadcast) -> DataFrame:
+    """(batch, k1, k2): the keys of each batch once."""
+
+    def ask(batch: int, keys: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        k1, k2 = (np.concatenate(x) for x in zip(*keys, strict=True))
+        first = np.unique(_slot(k1, k2), return_index=True)[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch)), pa.array(k1[first].view(np.int64)), pa.array(k2[first].view(np.int64))], ["batch", "k1", "k2"])
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, keys, size = there.value, {}, 0
+        for b in batches:
+            number = b["batch"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                for _, _, w, h in _hashes(b["text"].slice(x, y - x)):
+                    prefix = w.prefix_hashes(PREFIX)
+                    k1 = np.concatenate((h, prefix, _before(w, h), np.array([START])))
+                    k2 = np.concatenate((np.zeros(len(h), U), np.ones(len(h), U), h, np.zeros(1, U)))
+                    slot = _slot(k1, k2)
+                    slot, first = np.unique(slot, return_index=True)
+                    at = slot % U(FILTER)
+                    first = first[(bits[at >> U(6)] >> (at & U(63))) & U(1) > 0]
+                    keys.setdefault(int(number[x]), []).append((k1[first], k2[first]))
+                    size += len(first)
+                if size > QUESTIONS:
+                    yield from (ask(*x) for x in keys.items())
+                    keys, size = {}, 0
+        yield from (ask(*x) for x in keys.items())
+
+    return packed.select("batch", "text").mapInArrow(tasks, "batch long, k1 long, k2 long")
+
+
+class Answers:
+    """The rows of the model that a batch asked for."""
+
+    def __init__(self, t: pa.Table):
+        slot = _slot(t["k1"].to_numpy(), t["k2"].to_numpy())
+        self.slot, first = np.unique(slot, return_index=True)
+        self.values = {c: np.append(t[c].to_numpy()[first], np.nan) for c in ("x0", "x1", "back")}
+
+    def find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """Row numbers; the last row for what is not there."""
+        slot = _slot(k1, k2)
+        at = np.minimum(np.searchsorted(self.slot, slot), max(len(self.slot) - 1, 0))
+        return np.where(self.slot[at] == slot, at, len(self.slot)) if len(self.slot) else np.zeros(len(slot), np.int64)
 
     def ratios(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each document the mean log-ratio of its words, toxic to ordinary, and their number; 0 without words.
@@ -161,13 +258,16 @@ class Model:
         The median of a document's log-ratios is taken off first: it is what all
         its words share (its language, its register), not what a few say.
         """
-        s = _symbols(w, h, self.vocabulary)
-        pair = _pairs(w, s, self.size)
-        before = pair >> 32
-        at = np.minimum(np.searchsorted(self.key, pair), max(len(self.key) - 1, 0))
-        known = self.key[at] == pair if len(self.key) else np.zeros(len(pair), bool)
-        both = np.where(known, self.shared[at], 0.0) if len(self.key) else np.zeros(len(pair))
-        r = np.log((both + self.back[before] * self.low[1][s]) / (both + self.back[before] * self.low[0][s]))
+        before, none = _before(w, h), np.zeros(len(h), U)
+        both = np.nan_to_num(self.values["x0"][self.find(before, h)])
+        back = np.nan_to_num(self.values["back"][self.find(before, none)], nan=1.0)
+        word, kin = self.find(h, none), self.find(w.prefix_hashes(PREFIX), none + U(1))
+        low = []
+        for x in (self.values["x0"], self.values["x1"]):
+            own = x[word]
+            # unseen in both: any value gives the ratio 1
+            low.append(np.nan_to_num(np.where(np.isnan(own), x[kin], own), nan=1.0))
+        r = np.log((both + back * low[1]) / (both + back * low[0]))
         n = w.counts
         some = n > 0
         ranked = r[np.lexsort((r, w.doc_of_word()))]
@@ -178,40 +278,24 @@ class Model:
         return (sums[w.at[1:]] - sums[w.at[:-1]]) / np.maximum(n, 1), n
 
 
-def fit(rows: DataFrame) -> Model:
-    """Count both models over ``rows`` (text, toxic)."""
-    spark = rows.sparkSession
-    common = count_words(rows).filter(F.col("c0") + F.col("c1") >= MIN_COUNT)
-    voc = _columns(common.orderBy((F.col("c0") + F.col("c1")).desc(), "key").limit(VOCABULARY).select("key"))[0].view(np.uint64)
-    vocabulary = np.sort(voc)
-    pairs = count_pairs(rows, spark.sparkContext.broadcast(vocabulary))
-    before, this = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
-    # of each pair: its context's counts, one more context of its word, and itself if it is frequent
-    fact = lambda kind, key, c0, c1: F.struct(F.lit(kind).alias("kind"), key.alias("key"), c0.cast("long").alias("c0"), c1.cast("long").alias("c1"))
-    facts = [fact(0, before, F.col("c0"), F.col("c1")), fact(1, this, F.col("c0") > 0, F.col("c1") > 0)]
-    frequent = F.col("c0") + F.col("c1") >= MIN_COUNT
-    facts = F.when(frequent, F.array(*facts, fact(2, F.col("key"), F.col("c0"), F.col("c1")))).otherwise(F.array(*facts))
-    sums = materialize(pairs.select(F.explode(facts).alias("f")).select("f.*").groupBy("kind", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    of = lambda kind: sums.filter(F.col("kind") == kind).drop("kind")
-    # the first two are bounded by the number of symbols
-    kept = of(2).orderBy((F.col("c0") + F.col("c1")).desc(), "key").limit(BIGRAMS)
-    return Model(vocabulary, _columns(kept), _columns(of(0)), _columns(of(1)))
-
-
-def ratios(docs: DataFrame, model: Broadcast, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, and of each document the mean log-ratio and the number of words."""
-    schema = docs.select(*keep).schema
+def ratios(docs: DataFrame, facts: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, and of each document the mean log-ratio and the number of words.
 
-    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for b in batches:
-            parts = [m.ratios(w, h) for _, _, w, h in _hashes(b["text"])]
-            r = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
-            n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(r), pa.array(n.astype(np.int64))], [*keep, "ratio", "n_words"])
+    Batches of texts ask for the rows of the model that they need; the answers are joined by key and brought to the batch.
+    """
+    there = docs.sparkSession.sparkContext.broadcast(_filter(facts))
+    packed = materialize_bucketed(_packed(docs.select(*keep, "text")), "batch")
+    answers = _questions(packed, there).join(facts, ["k1", "k2"]).select("batch", "k1", "k2", "x0", "x1", "back")
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = Answers(right)
+        parts = [m.ratios(w, h) for _, _, w, h in _hashes(left["text"])]
+        r = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
+        n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+        return pa.table([*(left[c] for c in keep), pa.array(r), pa.array(n.astype(np.int64))], names=[*keep, "ratio", "n_words"])
 
-    out = schema.add("ratio", "double").add("n_words", "long")
-    return docs.select(*keep, "text").mapInArrow(tasks, out)
+    out = docs.select(*keep).schema.add("ratio", "double").add("n_words", "long")
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(answered, out)
 
 
 def _features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -237,7 +321,6 @@ def fold(doc_id: Column) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; learns from folds 1 to 4 of the labels."""
-    spark = docs.sparkSession
     one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     one = one.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     spare = one.filter(fold(F.col("doc_id")) == 4).count()
@@ -252,14 +335,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     if train.isEmpty():
         return docs.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    model = spark.sparkContext.broadcast(fit(train.filter(fold(F.col("doc_id")) != 4)))
-    check = ratios(train.filter(fold(F.col("doc_id")) == 4), model, ["doc_id", "toxic"])
+    facts = model(gather(train.filter(fold(F.col("doc_id")) != 4).withColumn("sample", F.lit(False))))
+    check = ratios(train.filter(fold(F.col("doc_id")) == 4), facts, ["doc_id", "toxic"])
     check = check.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * CALIBRATION).select("ratio", "n_words", "toxic")
     ratio, n, toxic = _columns(check)
     w0, w1, w2 = (float(x) for x in calibrate(ratio, n.astype(float), toxic.astype(float)))
     z = w0 + w1 * F.col("ratio") * F.sqrt("n_words") + w2 * F.log1p("n_words")
     p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    out = ratios(docs, model, ["doc_id"])
+    out = ratios(docs, facts, ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
 
 
