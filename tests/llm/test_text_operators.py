@@ -253,6 +253,28 @@ def test_toxicity_model_grows_with_the_words(spark):
     assert facts.filter("k2 not in (0, 1)").count() == n
 
 
+def test_toxicity_counts_every_training_row(spark):
+    from zlib import crc32
+
+    # only rows of fold 4 say what is toxic
+    ids = [i for i in range(2000) if crc32(str(i).encode()) % 5 in (0, 1, 4)]
+    toxic = {i: int(crc32(str(i).encode()) % 5 == 4 or (crc32(str(i).encode()) % 5 == 0 and i % 2 == 0)) for i in ids}
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join([*(f"w{x}" for x in rng.integers(0, 200, 40)), *["scum"] * toxic[i], f"u{i}"])) for i in ids]
+    out = toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")).collect()
+    held = [r for r in out if r.held_out]
+    assert len(held) > 300 and sum(r.predicted == toxic[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def test_toxicity_sample_is_taken_off(spark):
+    rows = [(f"a b c w{i % 7} d e", int(i % 3 == 0), i % 5 == 0) for i in range(60)]
+    schema = "text string, toxic int, sample boolean"
+    less = toxicity.model(toxicity.gather(spark.createDataFrame(rows, schema)), sample=False)
+    rest = toxicity.model(toxicity.gather(spark.createDataFrame([r for r in rows if not r[2]], schema)))
+    key = lambda df: sorted((r.k1, r.k2, *(None if x is None else round(x, 12) for x in (r.x0, r.x1, r.back))) for r in df.collect())
+    assert key(less) == key(rest)
+
+
 def test_components(spark):
     from tidemill.llm.components import components
 

@@ -3,7 +3,7 @@
 Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary
 text, are counted by Spark over all labelled training rows.  A document's score
 is the difference of their length-normalised log-likelihoods, calibrated on
-training rows that were not counted.
+a sample of training rows, of which each is scored without the sample's own counts.
 
 Symbols are words; counts are of documents that hold them, so a text that repeats itself, or a copy of it, adds nothing; a word that fewer than ``MIN_COUNT`` documents hold is the class of its first five
 bytes, so a rare expression is smoothed through what its kin have in common.
@@ -13,8 +13,9 @@ both classes share, so what neither class has seen tells nothing.
 Counts are aggregated by key with partial sums and stay tables: every word and pair
 that ``MIN_COUNT`` documents hold and every prefix class has its row, however many
 there are; the mass of rarer bigrams goes to the backoff, exactly.  For scoring,
-batches of texts ask for the rows that they need, by a join.  Calibration fits three numbers on about ``CALIBRATION`` rows, a
-seeded sample of the labelled rows that are not counted.
+batches of texts ask for the rows that they need, by a join.  All labelled rows of folds 1 to 4 are counted.
+Calibration fits three numbers on at most ``CALIBRATION`` of them, those of least hash;
+these are scored by the model less what they themselves added to it.
 
 Defined results: a null or empty text scores the prior of the training rows;
 labels that are null or belong to no document are ignored, a document labelled
@@ -319,15 +320,18 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
+def _sampled(train: DataFrame) -> Column:
+    """Whether a row calibrates: a fifth of the rows, ``CALIBRATION`` at most and one at least, of least hash."""
+    h = F.xxhash64("doc_id")
+    some = min(CALIBRATION, -(-train.count() // 5))
+    return h <= F.lit(train.select(h.alias("h")).orderBy("h").limit(some).agg(F.max("h")).first()[0])
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; learns from folds 1 to 4 of the labels."""
     one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     one = one.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    spare = one.filter(fold(F.col("doc_id")) == 4).count()
-    share = min(1.0, CALIBRATION / max(spare, 1))
-    used = (fold(F.col("doc_id")) != 4) | (F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < int(share * 10_000))
-    one = one.filter(used)
-    mine = docs.filter(used).filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "text")
+    mine = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "text")
     # one document for each text and label, found without moving texts
     same = mine.select("doc_id", F.xxhash64("text").alias("h")).join(one, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"))
     # the labels grow with the texts, so both are shuffled; the labels' side is hashed and no text is sorted
@@ -335,14 +339,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     if train.isEmpty():
         return docs.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    facts = model(gather(train.filter(fold(F.col("doc_id")) != 4).withColumn("sample", F.lit(False))))
-    check = ratios(train.filter(fold(F.col("doc_id")) == 4), facts, ["doc_id", "toxic"])
-    check = check.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * CALIBRATION).select("ratio", "n_words", "toxic")
-    ratio, n, toxic = _columns(check)
+    train = train.withColumn("sample", _sampled(train))
+    gathered = gather(train)
+    check = ratios(train.filter("sample"), model(gathered, sample=False), ["doc_id", "toxic"])
+    ratio, n, toxic = _columns(check.select("ratio", "n_words", "toxic"))
     w0, w1, w2 = (float(x) for x in calibrate(ratio, n.astype(float), toxic.astype(float)))
     z = w0 + w1 * F.col("ratio") * F.sqrt("n_words") + w2 * F.log1p("n_words")
     p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    out = ratios(docs, facts, ["doc_id"])
+    out = ratios(docs, model(gathered), ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
 
 
