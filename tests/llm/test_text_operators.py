@@ -76,6 +76,23 @@ def test_repeated_bytes(docs, rows, empty):
     assert suffixes.remove_repeated_bytes(empty).collect() == []
 
 
+def test_repeated_bytes_of_a_hot_gram(spark, docs, monkeypatch):
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    phrase = noise(60)
+    texts = [noise(70) + phrase + noise(70) for _ in range(60)]
+    texts += [t[20:] + noise(30) for t in texts[:20]] + texts[:3]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], docs.select("doc_id", "text").schema))
+    want = sorted(map(tuple, suffixes.remove_repeated_bytes(more, 100).collect()), key=repr)
+    assert sum(r[2] > 0 for r in want if r[0] is not None and r[0] >= 10_000) >= 20
+    sizes = []
+    plain = suffixes._answers
+    monkeypatch.setattr(suffixes, "HOT", 2000)
+    monkeypatch.setattr(suffixes, "_answers", lambda s, n: (sizes.append(s.groupBy("key").agg({"seg": "count"}).agg({"count(seg)": "max"}).first()[0] or 0), plain(s, n))[1])
+    assert sorted(map(tuple, suffixes.remove_repeated_bytes(more, 100).collect()), key=repr) == want
+    assert sizes[0] <= 20  # segments have 100 bytes at least, so no gram of more than 2000 bytes is sorted in one task
+
+
 def test_repeated_words(docs, rows, empty):
     words = {d: WORD.findall(t or "") for d, t in rows}
     count = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))

@@ -11,7 +11,8 @@ equal strings always meet.  Each string of ``length`` bytes samples one gram of
 same gram form a segment, and segments are dealt by their gram.  A gram that
 stands in one place only cannot be part of a repeat, and its segments are never
 sent.  Equal segments are one segment, owned by the first document that holds
-it; they are combined before they are shuffled.  Each owner is told which of its
+it; they are combined before they are shuffled.  A gram with more than ``HOT``
+bytes of segments fits in no task either: its strings meet by digest instead.  Each owner is told which of its
 strings start earlier elsewhere; who owns no segment of that content knows
 without being told that all of it starts earlier.
 
@@ -38,6 +39,8 @@ from tidemill.llm.repeats import ENTRIES, Batch, entries, frequent_in, frequent_
 GRAM = 24
 #: Bytes of segments that are sorted at once; a gram with more of them is sorted alone.
 BLOCK = 1 << 20
+#: A gram with more bytes of segments than this is not sorted in one task: its strings are dealt by content.
+HOT = 1 << 22
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _LAST = (1 << 63) - 1
 
@@ -292,6 +295,56 @@ def _answers(segments: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(tasks, "doc long, row long, off int, gone binary")
 
 
+def _strings(segments: DataFrame, length: int) -> DataFrame:
+    """(digest, doc, at, row, off): all strings of the segments."""
+    names = ["digest", "doc", "at", "row", "off"]
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 512):
+                part = b.slice(lo, 512)
+                segs = part["seg"].to_pylist()
+                n = np.array([len(s) - length + 1 for s in segs])
+                digests = [hashlib.blake2b(s[i : i + length], digest_size=16).digest() for s, k in zip(segs, n.tolist(), strict=True) for i in range(k)]
+                doc, off, row = (np.repeat(part[c].to_numpy().astype(np.int64), n) for c in ("doc", "off", "row"))
+                i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *map(pa.array, (doc, off + i, row, off))], names)
+
+    return segments.select("seg", "doc", "off", "row").mapInArrow(tasks, "digest binary, doc long, at long, row long, off long")
+
+
+def _answers_by_content(segments: DataFrame, length: int) -> DataFrame:
+    """As ``_answers``, for grams of any size: equal strings meet by their digest of 128 bits, and no task holds a gram."""
+    owners = segments.groupBy("key", "seg").agg(F.min(F.struct("doc", "off", "row")).alias("o")).select("seg", "o.*")
+    owners = materialize(owners)
+    strings = _strings(owners, length)
+    least = strings.groupBy("digest").agg(F.min(F.struct("doc", "at", "row")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = strings.join(least, "digest").filter(F.struct("doc", "at", "row") > F.col("least"))
+    later = later.groupBy("doc", "row", "off").agg(F.collect_list((F.col("at") - F.col("off")).cast("int")).alias("gone"))
+    told = owners.select("doc", "row", F.col("off").cast("long").alias("off"), (F.octet_length("seg") - length + 1).alias("n")).join(later, ["doc", "row", "off"], "left")
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = []
+            for n, at in zip(b["n"].to_pylist(), _lists(b["gone"]), strict=True):
+                gone = np.zeros(n, bool)
+                gone[at.astype(np.int64)] = True
+                bits.append(np.packbits(gone).tobytes())
+            yield pa.RecordBatch.from_arrays([b["doc"], b["row"], b["off"].cast(pa.int32()), pa.array(bits, pa.binary())], ["doc", "row", "off", "gone"])
+
+    return told.select("doc", "row", "off", "n", "gone").mapInArrow(tasks, "doc long, row long, off int, gone binary")
+
+
+def _all_answers(segments: DataFrame, length: int) -> DataFrame:
+    hot = segments.groupBy("key").agg(F.sum(F.octet_length("seg").cast("long")).alias("size")).filter(F.col("size") > HOT).select("key")
+    hot = materialize(hot)
+    if hot.isEmpty():
+        return _answers(segments, length)
+    # at most one for each HOT bytes of segments
+    few = F.broadcast(hot)
+    return _answers(segments.join(few, "key", "left_anti"), length).unionByName(_answers_by_content(segments.join(few, "key", "left_semi"), length))
+
+
 def _removed(texts: DataFrame, length: int) -> DataFrame:
     """(id, n_removed, n_spans, sha) of texts with candidates and the answers to them."""
 
@@ -338,7 +391,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     if texts.isEmpty():
         part = spark.createDataFrame([], "id long, _n long, _s long, _sha string")
     else:
-        answers = _answers(_segments(texts, length), length)
+        answers = _all_answers(materialize(_segments(texts, length)), length)
         answers = answers.groupBy("doc").agg(F.collect_list(F.struct("row", "off", "gone")).alias("answers"))
         part = _removed(texts.join(answers, "doc", "left"), length)
         part = part.groupBy("id").agg(F.min(F.struct("n_removed", "n_spans", "sha")).alias("p")).select("id", F.col("p.n_removed").alias("_n"), F.col("p.n_spans").alias("_s"), F.col("p.sha").alias("_sha"))
