@@ -267,3 +267,28 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""})
     assert out.returncode == 0 and int(out.stdout.split()[0]) >= 60, out.stderr
+
+
+def test_folds_hold_no_group(spark):
+    import random
+
+    from tidemill.operators import code, incremental
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([None, *range(1, 60)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o long, t long").repartition(5)
+    want, kept = {}, set()
+    last = {}
+    for g, o, t in rows:
+        used, taken = want.get(g, (0, 0))
+        want[g] = (used + t, taken + 1) if t is not None and used + t <= 500 else (used, taken)
+        if g not in last or o * 7 - last[g] >= 20:
+            last[g] = o * 7
+            kept.add((g, o))
+    budget = code.greedy_budget(df, ["g"], "o", "t", 500)
+    events = incremental.debounced(df.selectExpr("g", "o", "timestamp_seconds(o * 7) ts"), ["g"], "ts", "o", 20)
+    assert {x.g: (x.used, x.taken) for x in budget.collect()} == want
+    got = [tuple(x) for x in events.collect()]
+    assert set(got) == kept and len(got) == len(kept)
+    for df in (budget, events):
+        assert "collect_list" not in df._jdf.queryExecution().toString()

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import split_lines, uncommented
+from tidemill.operators.fold import in_order, types
 
 #: Fixed values: (category, pattern, once a line, symbol of such a line).
 TAGS = (
@@ -153,8 +154,19 @@ def within_budget(chunks: DataFrame, group: list[str], order: list[str], budget:
 
 
 def greedy_budget(chunks: DataFrame, group: list[str], order: str, tokens: str, budget: int) -> DataFrame:
-    """Take what still fits in order, skip what does not, and go on: one ordered fold a group."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("taken"))
-    step = lambda a, x: F.when(a["used"] + x["t"] <= budget, F.struct((a["used"] + x["t"]).alias("used"), (a["taken"] + 1).alias("taken"))).otherwise(a)
-    return chunks.groupBy(*group).agg(F.aggregate(items, start, step).alias("_a")).select(*group, "_a.used", "_a.taken")
+    """Take what still fits in order, skip what does not, and go on: one ordered fold a group, with two numbers held."""
+
+    def run(rows):
+        at = None
+        for g, (_, t) in rows:
+            if g != at:
+                if at is not None:
+                    yield (*at, used, taken)
+                at, used, taken = g, 0, 0
+            if t is not None and used + t <= budget:
+                used, taken = used + t, taken + 1
+        if at is not None:
+            yield (*at, used, taken)
+
+    values = {"_o": F.col(order), "_t": F.col(tokens).cast("long")}
+    return in_order(chunks, group, values, run, f"{types(chunks, group)}, used long, taken long")

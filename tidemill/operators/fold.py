@@ -1,0 +1,45 @@
+"""Ordered folds over groups of any size: a task holds one state, never a group."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def in_order(rows: DataFrame, group: list[str], values: dict[str, Column], run: Callable, schema: str) -> DataFrame:
+    """Fold the rows of each group by ``values`` in order.
+
+    ``run`` takes an iterator of batches as tuples (group, values) with each group's rows together, and yields tuples of the columns of ``schema``.
+    """
+    names = list(values)
+    rows = rows.select(*group, *(c.alias(n) for n, c in values.items()))
+    empty = rows.sparkSession.createDataFrame([], schema).schema
+    n = len(group)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        def each() -> Iterator[tuple[tuple, tuple]]:
+            for b in batches:
+                for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    yield r[:n], r[n:]
+
+        target = to_arrow_schema(empty)
+        out = []
+        for x in run(each()):
+            out.append(x)
+            if len(out) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+
+    return rows.repartition(*group).sortWithinPartitions(*(F.col(c) for c in [*group, *names])).mapInArrow(tasks, empty)
+
+
+def types(rows: DataFrame, columns: list[str]) -> str:
+    of = dict(rows.dtypes)
+    return ", ".join(f"`{c}` {of[c]}" for c in columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import cache_key
+from tidemill.operators.fold import in_order, types
 
 
 def changed(files: DataFrame, manifest: DataFrame, backend: str, rules: str = "") -> DataFrame:
@@ -29,16 +30,17 @@ def audit_rows(results: DataFrame) -> DataFrame:
 
 
 def debounced(events: DataFrame, group: list[str], ts: str, key: str, seconds: float = 2.0) -> DataFrame:
-    """Of the events of a group those that come ``seconds`` after the last accepted one: an ordered fold.
-
-    ``group`` bounds a fold, for example by day.
-    """
-    items = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(key).alias("k"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    """Of the events of a group those that come ``seconds`` after the last accepted one: an ordered fold that holds one time."""
     gap = int(seconds * 1e6)
 
-    def step(a, x):
-        ok = a["last"].isNull() | (x["t"] - a["last"] >= gap)
-        return F.when(ok, F.struct(x["t"].alias("last"), F.array_append(a["kept"], x["k"]).alias("kept"))).otherwise(a)
-
-    return events.groupBy(*group).agg(F.aggregate(items, start, step, lambda a: a["kept"]).alias("_k")).select(*group, F.explode("_k").alias(key))
+    def run(rows):
+        at, last = None, None
+        for g, (t, k) in rows:
+            if g != at:
+                at, last = g, None
+            if last is None or t - last >= gap:
+                last = t
+                yield (*g, k)
+
+    values = {"_t": F.unix_micros(F.col(ts).cast("timestamp")), "_k": F.col(key)}
+    return in_order(events, group, values, run, types(events, [*group, key]))
