@@ -292,3 +292,12 @@ def test_folds_hold_no_group(spark):
     assert set(got) == kept and len(got) == len(kept)
     for df in (budget, events):
         assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_levels_have_no_limit():
+    import inspect
+
+    from tidemill.operators import graph
+
+    # a chain of a thousand modules takes a thousand rounds, so only the cap's absence is tested
+    assert list(inspect.signature(graph.levels).parameters) == ["vertices", "edges"] and "range(" not in inspect.getsource(graph.levels)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.concat_ws(",", F.array_sort(F.collect_set("src"))).alias("dependents"))
 
 
-def levels(vertices: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
+def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, level): 0 without dependencies, else one above the highest dependency; -1 in or above a cycle.
 
     Level by level, modules all of whose dependencies are placed are placed; the
@@ -19,7 +21,7 @@ def levels(vertices: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFram
     """
     edges = edges.select("src", "dst").filter("src <> dst").distinct().join(vertices.select(F.col("module").alias("dst")), "dst", "left_semi")
     placed = vertices.join(edges.select(F.col("src").alias("module")).distinct(), "module", "left_anti").select("module", F.lit(0).alias("level"))
-    for level in range(1, limit):
+    for level in count(1):
         done = edges.join(placed.select(F.col("module").alias("dst"), F.lit(1).alias("ok")), "dst", "left")
         ready = done.groupBy("src").agg(F.min(F.coalesce("ok", F.lit(0))).alias("ok")).filter("ok = 1").select(F.col("src").alias("module"))
         new = ready.join(placed, "module", "left_anti").select("module", F.lit(level).alias("level")).checkpoint()
