@@ -1,6 +1,7 @@
 """The operators on texts, each against a brute-force version over a fixture with every awkward kind of row."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -134,6 +135,38 @@ def test_near_duplicates(docs, rows, empty, monkeypatch, n, num, frequent):
     assert neardup.near_duplicates(empty, n, (num, 100)).collect() == []
 
 
+@pytest.mark.parametrize(("n", "num", "small"), [(3, 90, 1), (5, 80, 2), (3, 70, 8)])
+def test_near_copies_of_one_text_meet_by_their_differences(spark, monkeypatch, n, num, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rng = random.Random(n * num)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]) + str(rng.randrange(40))
+    texts = []
+    for base in ([word() for _ in range(120)], [word() for _ in range(60)]):
+        family = [base]
+        for _ in range(70):
+            w = list(rng.choice(family))
+            for _ in range(rng.randrange(1, 6)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = [word()] * rng.randrange(2)
+            family.append(w)
+        texts += [" ".join(w) for w in family]
+    sets = [frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (t.split() for t in texts)]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root] if root[a] > root[b] else [root[a] if r == root[b] else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert len(set(root)) > 5
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, n, (num, 100)).collect()} == dict(enumerate(root))
+
+
+def test_one_of_each_judges_rows_that_repeat_a_doc_id(spark):
+    rows = [(1, "a b c d e f g", 0), (1, "h i j k l m n", 1), (2, "a b c d e f g", 2), (2, "o p q r s t u", 3), (3, None, 4), (3, "a b c d e f g", 5), (3, "", 6)]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _v long"))
+    assert sorted(r._v if r.doc_id != 3 else -1 for r in got.collect()) == [-1, 0, 1, 3]
+
+
 def test_one_of_each_keeps_columns_and_drops_copies(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, "z " * 9, "x"), (None, "a b c d e f", "n"), (4, None, "x"), (5, "", "x")]
     got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, v string"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +17,55 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this machine serves while Spark runs in one process; on a cluster it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Folders that ``materialize`` wrote within the innermost ``scratch``, if any.
+_scratch: ContextVar[list[str] | None] = ContextVar("_scratch", default=None)
+
+
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{uuid.uuid4().hex}"
+    if (paths := _scratch.get()) is not None:
+        paths.append(path)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized = path
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` returned, once no frame that is still to be evaluated reads it."""
+    for df in tables:
+        delete(df.sparkSession, df._materialized)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that are materialized within; the caller deletes them once the frames made from them are evaluated."""
+    token = _scratch.set([])
+    try:
+        yield _scratch.get()
+    finally:
+        _scratch.reset(token)
 
 
 def materialize_bucketed(df: DataFrame, column: str) -> DataFrame:
@@ -46,6 +84,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_tidemill_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -20,10 +20,27 @@ shares at least k(t |x|) + 1 keys with each partner, so sets that share fewer
 with all others together are peeled off before anything is compared.  The table of frequent tokens is bounded; it
 changes cost, never results.
 
-Equal sets are one class.  In each key's group all classes are compared with one
-hub, the class that shares most; verified links join them into components; only
-pairs of different components that share a key are left to compare, all of them.
-Hubs with many candidates are salted.  No step gathers a group in a task.
+Equal sets are one class.  A key of at most ``SMALL`` classes has all its pairs
+compared.  The classes of a larger key are compared with a reference, the class
+that shares most around it; verified links join them into components.  What is
+left of such a key are pairs of different components, and they are found by what
+they have *unlike* the reference.  Let r be the reference, D(x) the symmetric
+difference of x and r, and x, y a link that is not inside a component.  As
+|x ^ y| <= (1 - t) / (1 + t) (|x| + |y|) for links and more for all else,
+|D(x) & D(y)| >= (|D(x)| + |D(y)| - |x ^ y|) / 2 > 0, and
+
+* D(y) lacks at most floor((1 - t) |y| / t) tokens of D(x) & D(y) before its first;
+* if x is linked with r, y is not, and |D(x) & D(y)| > t / (1 + t) |D(x)|.
+
+So x and y share a token of those prefixes of D(x) and D(y), ordered by how many
+differences hold it; tokens of one difference, or of one component, come first and
+are never indexed.  (reference, token) is the next round's key.  What near copies of
+one text share cancels out, so the keys are rare ones; after ``ROUNDS`` rounds all
+that share a key are compared.  Hubs with many candidates are salted, and no step
+gathers a group in a task.
+
+Sets and tokens are 64-bit fingerprints: two different sets of a corpus are one
+class with a chance of about the square of their number in 2^65.
 
 Defined results: null and empty texts have an empty set and are linked with
 nothing; a null doc_id takes part in links, and a component of such documents
@@ -32,25 +49,30 @@ alone has no id; repeated rows are equal sets; other columns are dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from tidemill.llm.common import materialize, table
+from tidemill.llm.common import discard, fresh, materialize, table
 from tidemill.llm.components import components
 from tidemill.llm.kernels import U, Words, grams, mix, signed, slices, text_column
+from tidemill.llm.repeats import bit_table, may_hold
 
 #: Tokens in the table of frequent ones, and in how many documents of one Arrow batch a token must occur to be counted.
 FREQUENT, SEEN = 1 << 19, 2
 #: Tokens by which rare prefixes are extended, and rounds in which sets with too few shared keys are peeled off.
-EXTRA, SHARE, PEELS = 3, 40, 3
+EXTRA, SHARE, PEELS = 3, 40, 2
 #: Candidates of a hub that one task compares.
 SALT = 512
+#: Classes of a key that are all compared with each other, and rounds in which larger keys give way to keys of differences: cost only.
+SMALL, ROUNDS = 8, 2
 
 
 class Sets:
@@ -132,8 +154,8 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tasks, f"kind int, doc_id {id_type}, size long, v long, count long")
 
 
-def index(docs: DataFrame, n: int, t: tuple[int, int], frequent: Broadcast) -> DataFrame:
-    """(key, v, need) of all sets; each class once for each batch."""
+def index(docs: DataFrame, n: int, t: tuple[int, int], frequent: Broadcast, wanted: Broadcast | None = None) -> DataFrame:
+    """(key, v, size, need) of all sets; each class once for each batch; only keys whose bit is set, if ``wanted`` is given."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = frequent.value
@@ -147,10 +169,12 @@ def index(docs: DataFrame, n: int, t: tuple[int, int], frequent: Broadcast) -> D
                 seen = np.concatenate((seen, ids[first]))
                 doc, keys, need = prefix_keys(s, hot, rank, t)
                 keep = first[doc]
+                if wanted is not None:
+                    keep &= may_hold(wanted.value, keys)
                 doc = doc[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[keep])), pa.array(ids[doc]), pa.array(need[doc].astype(np.int32))], ["key", "v", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[keep])), pa.array(ids[doc]), pa.array(s.sizes[doc].astype(np.int32)), pa.array(need[doc].astype(np.int32))], ["key", "v", "size", "need"])
 
-    return docs.select("text").mapInArrow(tasks, "key long, v long, need int")
+    return docs.select("text").mapInArrow(tasks, "key long, v long, size int, need int")
 
 
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -167,9 +191,10 @@ def token_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("v", "text").mapInArrow(tasks, "v long, tokens binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (hub, v) whose sets have a similarity of ``t`` or more.
+def compared(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], differences: bool = False) -> DataFrame:
+    """(hub, v, linked) of ``pairs`` (hub, v): whether their similarity is ``t`` or more; only links, unless with ``differences``.
 
+    With ``differences`` also the size of v and ``apart``, the tokens that one of both lacks.
     Every task holds one hub's set and streams what is compared with it.  A hub
     with many candidates is copied to as many tasks as it needs.
     """
@@ -183,33 +208,98 @@ def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, np.zeros(0, U)
         for b in batches:
-            out = []
+            hubs, vs, links, sizes, apart = [], [], [], [], []
             for hub, own, v, tokens in zip(b["hub"].to_pylist(), b["own"].to_pylist(), b["v"].to_pylist(), b["tokens"], strict=True):
                 theirs = np.frombuffer(tokens.as_buffer(), U)
                 if own == 0:
                     at, mine = hub, theirs.copy()
                 elif hub == at:
-                    if min(len(mine), len(theirs)) * den < num * max(len(mine), len(theirs)):
+                    if not differences and min(len(mine), len(theirs)) * den < num * max(len(mine), len(theirs)):
                         continue
-                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                    if den * both >= num * (len(mine) + len(theirs) - both):
-                        out.append((hub, v))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                    unlike = np.setxor1d(mine, theirs, assume_unique=True)
+                    both = (len(mine) + len(theirs) - len(unlike)) // 2
+                    linked = den * both >= num * (len(mine) + len(theirs) - both)
+                    if linked or differences:
+                        hubs.append(hub)
+                        vs.append(v)
+                        links.append(linked)
+                        sizes.append(len(theirs))
+                        apart.append(unlike.view(np.int64) if differences else None)
+            out = [pa.array(hubs, pa.int64()), pa.array(vs, pa.int64()), pa.array(links, pa.bool_())]
+            if differences:
+                out += [pa.array(sizes, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows.mapInArrow(tasks, "a long, b long")
+    names = ["hub", "v", "linked", "size", "apart"] if differences else ["hub", "v", "linked"]
+    return rows.mapInArrow(tasks, "hub long, v long, linked boolean" + (", size int, apart array<long>" if differences else ""))
 
 
-def _with_peers(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Members of a group whose next smaller or next larger member is of a size that can link; others can link with none there."""
-    num, den = t
-    w = W.partitionBy("key").orderBy("size", "v")
-    near = lambda other: F.coalesce(F.least("size", other) * den >= F.greatest("size", other) * num, F.lit(False))
-    out = groups.withColumn("_lo", F.lag("size").over(w)).withColumn("_hi", F.lead("size").over(w))
-    return out.filter(near("_lo") | near("_hi")).drop("_lo", "_hi")
+def _like(a, b, t: tuple[int, int]) -> Column:
+    """Whether sets of these sizes can link."""
+    return F.least(a, b) * t[1] >= F.greatest(a, b) * t[0]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of ``docs``."""
+def peeled(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """``groups`` without entries that can have no partner in their key, and without classes that have too few entries left.
+
+    Sizes fall into bands; two that can link are in the same band or in neighbouring ones.
+    """
+    step = math.log(t[1] / t[0]) if t[0] < t[1] else 1e-6
+    banded = groups.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / step + F.lit(1e-9)).cast("int"))
+    near = F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band")
+    full = banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m")).select("key", near, "m").groupBy("key", "band").agg(F.sum("m").alias("m")).filter("m > 1").select("key", "band")
+    left = banded.join(full, ["key", "band"]).drop("band")
+    enough = left.groupBy("v").agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("want")).filter("have >= want").select("v")
+    return left.join(enough, "v")
+
+
+def pairs_within(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(hub, v): pairs of different components in small keys that share as many of them as a link that shares no large key must."""
+    listed = groups.groupBy("key").agg(F.collect_list(F.struct("v", "size", "need", "root")).alias("g")).filter(F.size("g") > 1)  # SMALL entries at most
+    pairs = listed.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b"))
+    pairs = pairs.filter((F.col("a.v") < F.col("b.v")) & (F.col("a.root") != F.col("b.root")) & _like(F.col("a.size"), F.col("b.size"), t))
+    pairs = pairs.groupBy(F.col("a.v").alias("hub"), F.col("b.v").alias("v")).agg(F.count(F.lit(1)).alias("have"), F.max(F.greatest("a.need", "b.need")).alias("want"))
+    return pairs.filter("have >= want").select("hub", "v")
+
+
+def with_references(groups: DataFrame) -> DataFrame:
+    """(hub, v): each class of ``groups`` with the references of its keys.
+
+    The score of a class is how many entries its keys have.  A key's hub is its
+    class of highest score, and the key's reference is the best hub that its hub has.
+    """
+    weight = groups.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    score = groups.join(weight, "key").groupBy("v").agg(F.sum("m").alias("score"))
+    hubs = groups.join(score, "v").groupBy("key").agg(F.max(F.struct("score", "v")).alias("hub"))
+    up = groups.join(hubs, "key").groupBy("v").agg(F.max("hub").alias("up"))
+    references = hubs.join(up, hubs["hub.v"] == up["v"]).select("key", F.col("up.v").alias("hub"))
+    return groups.join(references, "key").select("hub", "v").filter("hub <> v").distinct()
+
+
+def difference_keys(seen: DataFrame, roots: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The next (key, v, size, need, root) of what ``compared`` says of references and classes."""
+    num, den = t
+    rows = seen.join(roots, seen["v"] == roots["node"], "left").select("hub", "v", "linked", "size", F.coalesce("root", "v").alias("root"), "apart", F.size("apart").alias("d"))
+    length = F.when(F.col("linked"), F.col("d") - F.floor(F.col("d") * num / (num + den))).otherwise(F.least(F.col("d"), F.floor(F.col("size") * (den - num) / num) + 1))
+    rows = rows.withColumn("length", length.cast("int"))
+    tokens = rows.select("hub", "v", F.explode("apart").alias("token"), "root", "linked")
+    held = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("linked").alias("all_linked"))
+    held = held.filter("lo <> hi and not all_linked").select("hub", "token", "c")
+    kept = rows.select("hub", "v", F.explode("apart").alias("token"), "root", "size", "d", "length").join(held, ["hub", "token"])
+    own = W.partitionBy("hub", "v")  # the tokens of one class
+    kept = kept.withColumn("k", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "token")))
+    kept = kept.filter(F.col("place") <= F.col("length") - (F.col("d") - F.col("k")))
+    return kept.select(F.xxhash64("hub", "token").alias("key"), "v", "size", F.lit(1).alias("need"), "root").distinct()
+
+
+def _mixed(groups: DataFrame) -> DataFrame:
+    """``groups`` with ``m``, the entries of a key, where these are of different components."""
+    m = groups.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "m")
+    return groups.join(m, "key")
+
+
+def classes(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
+    """doc_id, n_shingles, v (the class of its set) and root (the class that names its component) for every row of ``docs``."""
     spark = docs.sparkSession
     both = materialize(describe(docs, n))
     base = both.filter("kind = 0").select("doc_id", F.col("size").alias("n_shingles"), "v")
@@ -220,64 +310,93 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100))
     hot, count = hot[order], count[order]
     rank = np.empty(len(hot), np.int64)
     rank[np.lexsort((hot, count))] = np.arange(len(hot))
-    keys = index(docs, n, t, spark.sparkContext.broadcast((hot, rank)))
-    shared = keys.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("key")
-    size_of = base.filter("n_shingles > 0").groupBy("v").agg(F.min("n_shingles").alias("size"), F.min("doc_id").alias("doc_id"))
-    groups = materialize(keys.join(shared, "key").distinct().join(size_of.select("v", "size"), "v"))
+    frequent = spark.sparkContext.broadcast((hot, rank))
+    # a class may come from several batches, so this may hold more keys than have two classes
+    shared = index(docs, n, t, frequent).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    wanted = spark.sparkContext.broadcast(bit_table(shared, "key"))
+    groups = materialize(index(docs, n, t, frequent, wanted).distinct())
     for _ in range(PEELS):
-        groups = _with_peers(groups, t)
-        enough = groups.groupBy("v").agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("want")).filter("have >= want").select("v")
-        groups = materialize(groups.join(enough, "v"))
-    weight = groups.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    score = groups.join(weight, "key").groupBy("v").agg(F.sum("m").alias("score"))
-    info = materialize(score.join(size_of, "v"))
-    want = info.select("v", "doc_id")
+        groups, old = materialize(peeled(groups, t)), groups
+        discard(old)
+    names = base.filter("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
+    want = groups.select("v").distinct().join(names, "v")
     sets = materialize(token_sets(docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select("v", "text"), n))
-    groups = materialize(groups.join(info.select("v", "score"), "v"))
-    num, den = t
-    # the hub of each key's group with every member: first the best hub of each class, then what is in another component still
-    hubs = groups.groupBy("key").agg(F.max(F.struct("score", "v", "size")).alias("h")).select("key", F.col("h.v").alias("hub"), F.col("h.score").alias("hub_score"), F.col("h.size").alias("hub_size"))
-    like = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
-    pairs = groups.join(hubs, "key").filter(F.col("hub") != F.col("v")).filter(like(F.col("size"), F.col("hub_size"))).select("hub", "hub_score", "v").distinct()
-    pairs = materialize(pairs)
-    best = pairs.groupBy("v").agg(F.max(F.struct("hub_score", "hub"))["hub"].alias("hub")).select("hub", "v")
-    links = materialize(verified(materialize(best), sets, t))
-    roots = materialize(components(links))
-    mine, theirs = roots.toDF("v", "root"), roots.toDF("hub", "hub_root")
-    apart = F.coalesce("root", "v") != F.coalesce("hub_root", "hub")
-    others = pairs.join(mine, "v", "left").join(theirs, "hub", "left").filter(apart).select("hub", "v")
-    links = materialize(links.unionByName(verified(materialize(others), sets, t)))
-    roots = materialize(components(links))
-    # pairs of different components that share a key, each once
-    placed = groups.join(roots, groups["v"] == roots["node"], "left").select("key", "v", "size", "need", F.coalesce("root", "v").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    placed = materialize(placed.join(mixed, "key"))
-    other = placed.select("key", F.col("v").alias("hub"), F.col("size").alias("hub_size"), F.col("need").alias("hub_need"), F.col("root").alias("hub_root"))
-    rest = placed.join(other, "key").filter((F.col("root") != F.col("hub_root")) & (F.col("hub") < F.col("v")) & like(F.col("size"), F.col("hub_size")))
-    rest = rest.groupBy("hub", "v").agg(F.count(F.lit(1)).alias("have"), F.max(F.greatest("need", "hub_need")).alias("want")).filter("have >= want").select("hub", "v")
-    more = verified(materialize(rest), sets, t)
-    links = materialize(links.unionByName(more))
-    roots = components(links)
-    # classes to documents: the least doc_id of a component
-    named = base.join(roots, (base["v"] == roots["node"]) & (base["n_shingles"] > 0), "left").select("doc_id", "n_shingles", F.coalesce("root", "v").alias("root"))
-    named = materialize(named)
-    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = named.filter("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(named.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    links = roots = None
+    rest = []
+    old, groups = groups, materialize(_mixed(groups.withColumn("root", F.col("v"))))
+    discard(old)
+    for last in (*[False] * ROUNDS, True):
+        rest.append(materialize(_all_pairs(groups, t) if last else pairs_within(groups.filter(F.col("m") <= SMALL), t)))
+        large = groups.filter(F.col("m") > SMALL).select("key", "v")
+        if last or large.isEmpty():
+            break
+        pairs = materialize(with_references(large))
+        seen = materialize(compared(pairs, sets, t, differences=True))
+        discard(pairs, groups)
+        found = seen.filter("linked").select(F.col("hub").alias("a"), F.col("v").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        roots = materialize(components(links))
+        groups = materialize(_mixed(difference_keys(seen, roots, t)))
+    pairs = rest[0]
+    for more in rest[1:]:
+        pairs = pairs.unionByName(more)
+    if roots is not None:
+        mine, theirs = roots.toDF("v", "root"), roots.toDF("hub", "hub_root")
+        pairs = pairs.join(mine, "v", "left").join(theirs, "hub", "left").filter(F.coalesce("root", "v") != F.coalesce("hub_root", "hub")).select("hub", "v")
+    found = materialize(compared(materialize(pairs.distinct()), sets, t)).select(F.col("hub").alias("a"), F.col("v").alias("b"))
+    roots = components(found if links is None else links.unionByName(found))
+    return base.join(roots, (base["v"] == roots["node"]) & (base["n_shingles"] > 0), "left").select("doc_id", "n_shingles", "v", F.coalesce("root", "v").alias("root"))
+
+
+def _all_pairs(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
+    other = groups.select("key", F.col("v").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
+    pairs = groups.join(other, "key").filter((F.col("hub") < F.col("v")) & (F.col("root") != F.col("hub_root")) & _like(F.col("size"), F.col("hub_size"), t))
+    return pairs.select("hub", "v").distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of ``docs``."""
+    return _named(materialize(classes(docs, n, t))).select("doc_id", "n_shingles", "component_id")
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """With ``component_id``; a document without shingles is its own."""
+    some = found.filter("n_shingles > 0")
+    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return some.join(least, "root").select("doc_id", "n_shingles", "v", "root", "component_id").unionByName(found.filter("n_shingles = 0").select("doc_id", "n_shingles", "v", "root", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The document with the least doc_id of each component, once; columns as they came.
+    """One row of each component, one with the least doc_id; columns as they came.
 
+    Where several rows have that doc_id, one of those in the component stays, so
+    rows that repeat a doc_id with another text are judged by their text.
     A row without a doc_id names no document and always stays.
     """
-    found = near_duplicates(docs, n, t)
-    kept = materialize(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    ids = kept.select(F.col("doc_id").alias("_id"))
-    out = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
-    if not kept.filter("rows > 1").isEmpty():  # rows that are repeated
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = materialize(_named(materialize(classes(docs, n, t))))
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("doc_id") == F.col("component_id")).alias("first"))
+    ids = [fresh(docs, x) for x in ("id", "v", "empty", "want", "none")]
+    single = rows.filter("rows = 1 and first").select(F.col("doc_id").alias(ids[0]))
+    several = rows.filter("rows > 1").select(F.col("doc_id").alias(ids[0]))
+    out = docs.join(single, docs["doc_id"] == single[ids[0]], "left_semi")
+    # of the rows that repeat a doc_id: of each component the least set, once
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).join(several, F.col("doc_id") == F.col(ids[0]), "left_semi")
+    kept = kept.groupBy(F.col("doc_id").alias(ids[0]), "root", (F.col("n_shingles") == 0).alias(ids[4])).agg(F.min("v").alias(ids[3])).drop("root")
+    again = with_class(docs.join(several, docs["doc_id"] == several[ids[0]], "left_semi"), n, ids[1], ids[2])
+    same = (F.col("doc_id") == F.col(ids[0])) & (F.col(ids[2]) == F.col(ids[4])) & (F.col(ids[2]) | (F.col(ids[1]) == F.col(ids[3])))
+    again = again.join(kept, same, "left_semi").dropDuplicates(["doc_id", ids[1], ids[2]]).select(*docs.columns)
+    return out.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def with_class(docs: DataFrame, n: int, v: str, empty: str) -> DataFrame:
+    """``docs`` with the class of each row's set (0 for an empty one), and whether the set is empty."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, s in _sets(b["text"], n):
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(np.where(s.sizes > 0, s.ids(), 0)), pa.array(s.sizes == 0)], [*b.schema.names, v, empty])
+
+    return docs.mapInArrow(tasks, StructType([*docs.schema.fields, StructField(v, LongType()), StructField(empty, BooleanType())]))
 
 
 def op4_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

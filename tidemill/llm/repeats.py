@@ -81,3 +81,23 @@ def repeated(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_spread", spread)
     rows = rows.withColumn("_hit", F.col("known") | (F.min("id").over(w) != F.max("id").over(w)) | F.max("twice").over(w))
     return rows.filter("_hit").groupBy("id").agg(F.collect_set("key").alias("keys"))
+
+
+#: Bits of a table of keys: one size for every input; it spares rows that have no partner, and changes no result.
+BITS = 1 << 26
+
+
+def bit_table(keys: DataFrame, column: str) -> np.ndarray:
+    """A table of ``BITS`` bits with that of each 64-bit key set."""
+    at = F.pmod(F.col(column), F.lit(BITS))
+    words = keys.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
+    t = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # BITS / 64 rows at most
+    out = np.zeros(BITS >> 6, U)
+    out[t["at"].to_numpy()] = t["bits"].to_numpy().view(U)
+    return out
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    at = keys.view(np.int64) % BITS
+    return (table[at >> 6] >> (at & 63).astype(U)) & U(1) > 0
