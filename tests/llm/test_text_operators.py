@@ -250,9 +250,15 @@ def test_pseudonyms(spark):
         "",
         None,
     ]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, _new int")
-    got = [r.text for r in pii.pseudonymise(docs.drop("_new")).orderBy("doc_id").collect()]
-    again = [r.text for r in pii.pseudonymise(docs.drop("_new")).orderBy("doc_id").collect()]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id int, text string, _new int, _tidemill_found int")
+    rows = pii.pseudonymise(docs, "k").orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    again = [r.text for r in pii.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+    assert {(r._new, r._tidemill_found) for r in rows} == {(1, 2)}
+    assert [r.text for r in pii.pseudonymise(docs, "l").orderBy("doc_id").collect()] != got
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
+    assert pii.pseudonymise(docs.limit(0), "k").collect() == []
     assert got == again and got[5:] == texts[5:]
     luhn = lambda d: sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0
     a, b, c = re.match(r"(\d{16}) and (\S+) but (\d+)", got[0]).groups()
@@ -265,6 +271,150 @@ def test_pseudonyms(spark):
     assert got[4].startswith("+1 (9") and got[4].endswith("666-45-6789") and "123-45-6789" not in got[4]
 
 
+class PlainPii:
+    """The pseudonyms of one text at a time."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def digest(self, kind, *parts):
+        return hashlib.sha256("\x1f".join((self.key, kind, *map(str, parts))).encode()).hexdigest()
+
+    def feistel(self, a, b, size_a, size_b, kind):
+        for i in range(10):
+            f = int(self.digest(kind, i, size_a, size_b, b)[:14], 16)
+            size = size_b if i % 2 else size_a
+            a, b = b, (a + f % size) % size
+        return a, b
+
+    def digits(self, d, kind):
+        if len(d) < 2:
+            return d
+        u = len(d) // 2
+        a, b = self.feistel(int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), kind)
+        return f"{a:0{u}d}{b:0{len(d) - u}d}"
+
+    @staticmethod
+    def place(m, digits):
+        digits = iter(digits)
+        return re.sub("[0-9]", lambda _: next(digits), m)
+
+    @staticmethod
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+
+    @staticmethod
+    def mod97(s):
+        return int("".join(str(int(c, 36)) for c in s)) % 97
+
+    def date(self, m):
+        import datetime as dt
+
+        def read(y, mo, d):
+            try:
+                return dt.date(int(y), int(mo), int(d))
+            except ValueError:
+                return None
+
+        sep = re.search(r"[/.\-]", m).group()
+        x = m.split(sep)
+        if len(x[0]) == 4:
+            order, day = "y", read(*x)
+        else:
+            order, day = ("d", read(x[2], x[1], x[0])) if read(x[2], x[1], x[0]) else ("m", read(x[2], x[0], x[1]))
+        if not day:
+            return m
+        if (day.month, day.day) == (2, 29):
+            leaps = [y for y in range(1, 10000) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+            a, b = self.feistel(*divmod(leaps.index(day.year), 101), 24, 101, "late-leap" if order == "m" else "date-leap")
+            y, mo, d = leaps[a * 101 + b], 2, 29
+        else:
+            days = [dt.date(2001, 1, 1) + dt.timedelta(i) for i in range(365)]
+            days = [(x.month, x.day) for x in days if order != "m" or x.day > 12]
+            a, b = self.feistel(day.year - 1, days.index((day.month, day.day)), 9999, len(days), "late" if order == "m" else "date")
+            y, (mo, d) = a + 1, days[b]
+        y, mo, d = f"{y:04d}", f"{mo:02d}", f"{d:02d}"
+        return sep.join({"y": (y, mo, d), "d": (d, mo, y), "m": (mo, d, y)}[order])
+
+    def one(self, match):
+        m = match.group()
+        kind = next((k for k, p in pii.SHAPES.items() if re.fullmatch(p, m, re.ASCII)), "card")
+        plain = re.sub("[^0-9]", "", m)
+        if kind == "email":
+            return f"user.{self.digest('email', m.lower())[:12]}@mail.example"
+        if kind == "secret":
+            value = re.search(r"[0-9A-Za-z_\-]+$", m).group()
+            if m.startswith("AKIA"):
+                return "AKIA" + self.digest("secret", m)[:16].translate(str.maketrans("0123456789abcdef", "ABCDEFGHJKLMNPQR"))
+            return m[: len(m) - len(value)] + self.digest("secret", value)[: len(value)]
+        if kind == "iban":
+            s = m.replace(" ", "")
+            if not 15 <= len(s) <= 34 or self.mod97(s[4:] + s[:4]) != 1:
+                return m
+            body = self.place(s[4:], self.digits(re.sub("[^0-9]", "", s[4:]), "iban"))
+            new = iter(f"{98 - self.mod97(body + s[:2] + '00'):02d}{body}")
+            return m[:2] + "".join(c if c == " " else next(new) for c in m[2:])
+        if kind == "ip":
+            o = [int(x) for x in m.split(".")]
+            if max(o) > 255:
+                return m
+            a, b = self.feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+            return ".".join(map(str, (*divmod(a, 256), *divmod(b, 256))))
+        if kind == "date":
+            return self.date(m)
+        if kind == "ssn":
+            x, g, n = map(int, m.split("-"))
+            if not 1 <= x <= 899 or x == 666 or not g or not n:
+                return m
+            a, b = self.feistel(x - 1 - (x > 666), (g - 1) * 9999 + n - 1, 898, 99 * 9999, "ssn")
+            return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+        if kind == "phone":
+            head = len(re.match(r"(\+\d{1,3}(?=[ .\-(]))?[^0-9]*\d", m).group())
+            return m[:head] + self.place(m[head:], self.digits(re.sub("[^0-9]", "", m[head:]), "phone"))
+        if self.luhn(plain) % 10:
+            return m
+        new = plain[0] + self.digits(plain[1:-1], "card")
+        return self.place(m, new + str(-self.luhn(new + "0") % 10))
+
+    def text(self, t):
+        return re.sub(pii.PATTERN, self.one, t, flags=re.ASCII)
+
+
+def test_pseudonyms_are_those_of_a_plain_program(spark):
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: f"{rng.randrange(1, 10000):04d}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 32):02d}",
+        lambda: f"{rng.randrange(1, 32):02d}/{rng.randrange(1, 32):02d}/{rng.randrange(0, 10000):04d}",
+        lambda: rng.choice(["1899-12-31", "2101.01.01", "29/02/2000", "02/29/1996", "2000-02-29"]),
+        lambda: (lambda d: d + str(-PlainPii.luhn(d + "0") % 10))(digits(rng.randrange(12, 19))),
+        lambda: digits(16),
+        lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"+{rng.randrange(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"N{digits(2)}.x@mail.example.org",
+        lambda: (lambda b: f"DE{98 - PlainPii.mod97(b + 'DE00'):02d}{b}")(digits(18)),
+        lambda: "password=" + "".join(rng.choice("abcdefghij") for _ in range(15)),
+        lambda: "token: abcdefghijklmnop",
+        lambda: "AKIA" + "".join(rng.choice("ABCDEFGH") for _ in range(16)),
+        lambda: rng.choice(["word", "\n", "(12)", "été", "x" * 50]),
+    ]
+    texts = [" ".join(rng.choice(makers)() for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    texts += ["my password=abcdefghijklmnop here", " ".join(rng.choice(makers)() for _ in range(5000)), "", "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs, "a key").collect()}
+    plain = PlainPii("a key")
+    assert got == {i: plain.text(t) for i, t in enumerate(texts)}
+    assert "abcdefghijklmnop" not in got[600]
+
+
+def test_different_dates_stay_different(spark):
+    days = [f"{d:02d}/{m:02d}/{y}" for y in range(2010, 2017) for m in range(1, 32) for d in range(1, 32) if m <= 12 or d <= 12]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(d,) for d in days], "text string"), "k").collect()]
+    assert len(set(got)) == len(days)
+
+
 def test_feistel_is_a_permutation(spark):
     n = 1000
     got = spark.range(n).selectExpr("lpad(cast(id as string), 3, '0') d").select(pii.permute_digits(__import__("pyspark").sql.functions.col("d"), "k", "t").alias("p")).collect()

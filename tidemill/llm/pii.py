@@ -6,14 +6,19 @@ is permuted within its own format by a ten-round Feistel network whose round
 function is a keyed SHA-256: a card becomes another valid card, a date another
 date, an address another address; separators stay.  The permutation depends on
 the value and the key alone, so equal values stay linked across documents, and
-different values stay different.  E-mail names and secrets have no numeric
-format; they become keyed digests of the same look.
+different values stay different.  Dates are of three formats, each permuted within
+itself: year first; day first; month first, where the day is above 12 (else it
+reads as day first).  A 29th of February becomes one of another leap year.
+E-mail names and secrets have no numeric format; they become keyed digests of the same look.
+
+The key has no default: whoever has it can invert the permutations.
 
 Everything is DataFrame functions: the text is split at the matches and joined
 again, and only matches are ever permuted.
 
 Defined results: a null text stays null; what fails its validation stays as it
-is; other columns are untouched; rows are neither added nor dropped.
+is, and so does a date of the year 0; other columns are untouched, whatever their
+names; rows are neither added nor dropped.
 """
 
 from __future__ import annotations
@@ -21,12 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import let, table
+from tidemill.llm.common import fresh, let, table
 
-KEY = "tidemill"
+#: The Spark setting that names the key of the registered query and of the pipeline, and the public one they take without it.
+KEY_SETTING, EXAMPLE_KEY = "spark.tidemill.pii.key", "an example that hides nothing"
 ROUNDS = 10
-#: Dates are permuted within 270 * 270 days from 1900-01-01.
-DAY_RADIX, FIRST_DAY = 270, "1900-01-01"
+#: Dates are permuted within the years 1 to 9999, of which LEAP have a 29th of February.
+YEARS, LEAP = 9999, 2424
+#: Month * 100 + day of the days of a common year that can't be read as a month.
+LATE_DAYS = tuple(m * 100 + d for m, n in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1) for d in range(13, n + 1))
 
 #: Kinds in the order in which they are tried at a place; the first that fits takes it.
 SHAPES = {
@@ -44,11 +52,11 @@ KINDS = tuple(SHAPES)
 PATTERN = "|".join(SHAPES.values())
 
 
-def _digest(key: str, kind: str, *parts: Column) -> Column:
+def _digest(key: str, kind: str | Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), *parts), 256)
 
 
-def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kind: str) -> Column:
+def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kind: str | Column) -> Column:
     """Permute the pair (a, b) of [0, size_a) x [0, size_b); a struct of the new pair."""
     rounds = F.array(*[F.lit(i) for i in range(ROUNDS)])
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
@@ -62,7 +70,7 @@ def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kind
 
 
 def permute_digits(d: Column, key: str, kind: str) -> Column:
-    """Another string of as many digits (two at least, 36 at most; others stay)."""
+    """Another string of as many digits (two at least; no shape has more than 34, two halves of 17; others stay)."""
     n = F.length(d)
     u = F.floor(n / 2).cast("int")
     v = n - u
@@ -136,22 +144,45 @@ def _ip(m: Column, key: str) -> Column:
 def _date(m: Column, key: str) -> Column:
     """Year first, or day (else month) first; the order and the separator stay."""
     sep = F.regexp_extract(m, r"[/.\-]", 0)
-    iso = F.replace(m, sep, F.lit("-"))
-    first, second, last = F.split_part(iso, F.lit("-"), F.lit(1)), F.split_part(iso, F.lit("-"), F.lit(2)), F.split_part(iso, F.lit("-"), F.lit(3))
-    ymd = iso.try_cast("date")
-    dmy = F.concat_ws("-", last, second, first).try_cast("date")
-    mdy = F.concat_ws("-", last, first, second).try_cast("date")
-    read = F.when(F.length(first) == 4, F.struct(F.lit("y").alias("o"), ymd.alias("d"))).when(dmy.isNotNull(), F.struct(F.lit("d").alias("o"), dmy.alias("d"))).otherwise(F.struct(F.lit("m").alias("o"), mdy.alias("d")))
+    part = lambda i: F.split_part(m, sep, F.lit(i))
+    date = lambda y, mo, d: F.concat_ws("-", y, mo, d).try_cast("date")
+    order = lambda o, d: F.struct(F.lit(o).alias("o"), d.alias("d"))
+    first_is_year = F.length(part(1)) == 4
+    dmy = date(part(3), part(2), part(1))
+    read = F.when(first_is_year, order("y", date(part(1), part(2), part(3)))).when(dmy.isNotNull(), order("d", dmy)).otherwise(order("m", date(part(3), part(1), part(2))))
 
     def change(r: Column) -> Column:
-        day = F.datediff(r["d"], F.lit(FIRST_DAY).cast("date"))
-        pair = feistel(F.floor(day / DAY_RADIX), day % DAY_RADIX, F.lit(DAY_RADIX), F.lit(DAY_RADIX), key, "date")
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), let(pair, lambda p: p["a"] * DAY_RADIX + p["b"]).cast("int"))
-        y, mo, d = F.lpad(F.year(new).cast("string"), 4, "0"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.day(new).cast("string"), 2, "0")
-        text = F.when(r["o"] == "y", F.concat(y, sep, mo, sep, d)).when(r["o"] == "d", F.concat(d, sep, mo, sep, y)).otherwise(F.concat(mo, sep, d, sep, y))
-        return F.when(day.between(0, DAY_RADIX * DAY_RADIX - 1), text).otherwise(m)
+        year, month, day = F.year(r["d"]), F.month(r["d"]), F.dayofmonth(r["d"])
+        late = F.array(*map(F.lit, LATE_DAYS))
+        # places in the common year 2001, or among the days above 12
+        place = F.when(r["o"] == "m", F.array_position(late, month * 100 + day) - 1).otherwise(F.dayofyear(F.make_date(F.lit(2001), month, day)) - 1)
+        days = F.when(r["o"] == "m", F.lit(len(LATE_DAYS))).otherwise(F.lit(365))
+        kind = F.when(r["o"] == "m", F.lit("late")).otherwise(F.lit("date"))
+
+        def common(p: Column) -> Column:
+            new = F.date_add(F.lit("2001-01-01").cast("date"), p["b"].cast("int"))
+            code = F.when(r["o"] == "m", F.get(late, p["b"].cast("int"))).otherwise(F.month(new) * 100 + F.dayofmonth(new))
+            return F.struct((p["a"] + 1).alias("y"), code.alias("md"))
+
+        # leap years of the calendar by number: 97 in each 400 years, here counted by the 29ths of February before
+        nth = F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400) - 1
+        leap = feistel(F.floor(nth / 101), nth % 101, F.lit(LEAP // 101), F.lit(101), key, kind=F.concat(kind, F.lit("-leap")))
+
+        def leap_year(p: Column) -> Column:
+            i = p["a"] * 101 + p["b"]
+            within = i % 97  # of the 400 years from 1 on: 24 in each of three centuries, then 25
+            century = F.least(F.floor(within / 24), F.lit(3))
+            return F.struct((F.floor(i / 97) * 400 + century * 100 + (within - century * 24 + 1) * 4).alias("y"), F.lit(229).alias("md"))
+
+        new = F.when((month == 2) & (day == 29), let(leap, leap_year)).otherwise(let(feistel(year - 1, place, F.lit(YEARS), days, key, kind), common))
 
-    return let(read, lambda r: F.when(r["d"].isNotNull(), change(r)).otherwise(m))
+        def text(n: Column) -> Column:
+            y, mo, d = F.lpad(n["y"].cast("string"), 4, "0"), F.lpad(F.floor(n["md"] / 100).cast("string"), 2, "0"), F.lpad((n["md"] % 100).cast("string"), 2, "0")
+            return F.when(r["o"] == "y", F.concat(y, sep, mo, sep, d)).when(r["o"] == "d", F.concat(d, sep, mo, sep, y)).otherwise(F.concat(mo, sep, d, sep, y))
+
+        return let(new, text)
+
+    return let(read, lambda r: F.when(r["d"].isNotNull() & (F.year(r["d"]) > 0), change(r)).otherwise(m))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -209,28 +240,34 @@ def pseudonym(m: Column, key: str) -> Column:
     return let(kind_of(m), by_kind)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, counts: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced.
 
     ``counts`` names a column to add: the kinds of the values that were changed.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     t = F.col(text)
-    found = F.when(t.rlike(r"[0-9@]"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    out = out.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
+    found, new = fresh(docs, "found"), fresh(docs, "new")
+    out = docs.withColumn(found, F.coalesce(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    out = out.withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
     parts = F.split(t, PATTERN, -1)
-    joined = let(parts, lambda p: F.array_join(F.flatten(F.zip_with(p, F.col("_new")["text"], lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
-    out = out.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(t))
+    joined = let(parts, lambda p: F.array_join(F.flatten(F.zip_with(p, F.col(new)["text"], lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
+    out = out.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(t))
     if counts:
-        changed = F.filter(F.arrays_zip(F.col("_found").alias("old"), F.col("_new").alias("new")), lambda x: x["old"] != x["new"]["text"])
+        changed = F.filter(F.arrays_zip(F.col(found).alias("old"), F.col(new).alias("new")), lambda x: x["old"] != x["new"]["text"])
         out = out.withColumn(counts, F.transform(changed, lambda x: x["new"]["kind"]))
-    return out.drop("_found", "_new")
+    return out.drop(found, new)
+
+
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY)
 
 
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymise all documents of ``documents``: doc_id, text and the number of values changed, by kind."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonymise(docs, counts="_kinds")
+    out = pseudonymise(docs, key_of(spark), counts="_kinds")
     n = [F.size(F.array_remove("_kinds", kind)) for kind in KINDS]
     n = [(F.size("_kinds") - rest).cast("long").alias(f"n_{kind}") for kind, rest in zip(KINDS, n, strict=True)]
     return out.select("doc_id", "text", *n)
