@@ -109,6 +109,35 @@ def test_repeated_words(docs, rows, empty):
     assert doubling.remove_repeated_words(empty, 35).collect() == []
 
 
+def test_repeated_words_level_by_level(spark, monkeypatch):
+    assert doubling.levels(35) == [8, 16, 32, 35] and doubling.levels(8) == [4, 8] and doubling.levels(1) == [1]
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = {n: say(n) for n in (9, 18, 33, 34, 35, 60)}
+    texts = [" ".join([*say(50), *shared[n], *say(50)]) for n in shared for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, plain = [], doubling._next_level
+    monkeypatch.setattr(doubling, "_next_level", lambda t, *a: (sizes.append(t.count()), plain(t, *a))[1])
+    got = {r.doc_id: r.n_removed for r in doubling.remove_repeated_words(docs, 35).collect()}
+    assert got == {i: n if n >= 35 else 0 for i, n in enumerate(n for n in shared for _ in range(4))}
+    # texts left after 8, 16 and 32 words; a level samples, so texts with less than a whole window in common may leave early
+    assert len(sizes) == 3 and 24 >= sizes[0] >= sizes[1] >= sizes[2] >= 8 and sizes[0] > sizes[2]
+    sizes.clear()
+    alone = spark.createDataFrame([(i, " ".join(say(60))) for i in range(5)], "doc_id long, text string")
+    assert {r.n_removed for r in doubling.remove_repeated_words(alone, 35).collect()} == {0} and sizes == []
+
+
+@pytest.mark.parametrize("length", [1, 2, 5, 9])
+def test_repeated_words_of_any_length(spark, length):
+    rng = random.Random(length)
+    texts = [" ".join(rng.choice("abc" if length < 5 else "ab") for _ in range(rng.randrange(0, 25))) for _ in range(12)] + [None]
+    words = [(t or "").split() for t in texts]
+    count = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    want = {d: len({j for i in range(len(w) - length + 1) if count[tuple(w[i : i + length])] > 1 for j in range(i, i + length)}) for d, w in enumerate(words)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in doubling.remove_repeated_words(docs, length).collect()} == want
+
+
 @pytest.mark.parametrize(("n", "num", "frequent"), [(3, 90, 1 << 17), (5, 80, 1 << 17), (3, 80, 0)])
 def test_near_duplicates(docs, rows, empty, monkeypatch, n, num, frequent):
     monkeypatch.setattr(neardup, "FREQUENT", frequent)

@@ -43,7 +43,7 @@ def _byte_values(seed: int) -> np.ndarray:
     return values
 
 
-BYTE_VALUES = _byte_values(17)
+BYTE_VALUES, OTHER_VALUES = _byte_values(17), _byte_values(0xC2B2AE3D27D4EB4F)
 _ALL_BYTES = mix(np.arange(1, 257, dtype=U) * U(_BASE) + U(99))
 
 
@@ -122,11 +122,12 @@ class Words:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.docs), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+        """A fingerprint of each word; another table of byte values gives another, independent one."""
         if not len(self.start):
             return np.zeros(0, U)
         up, down = POWERS.get(len(self.bytes))
-        sums = np.add.reduceat(BYTE_VALUES[self.bytes] * up * self.solid, self.start)
+        sums = np.add.reduceat(values[self.bytes] * up * self.solid, self.start)
         return mix(sums * down[self.start] + (self.end - self.start).astype(U))
 
     def prefix_hashes(self, n: int) -> np.ndarray:

@@ -83,6 +83,15 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.filter("_hit").groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
+def repeated_anywhere(rows: DataFrame) -> DataFrame:
+    """(id, keys) as ``repeated``, of rows (key, other, id, twice) where (key, other) is the fingerprint, of 128 bits.
+
+    Each task reduces what it holds of a fingerprint before the shuffle, so none is gathered.
+    """
+    held = rows.groupBy("key", "other").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("twice").alias("again"))
+    return rows.join(held.filter("lo <> hi or again").select("key", "other"), ["key", "other"]).groupBy("id").agg(F.collect_set("key").alias("keys"))
+
+
 #: Bits of a table of keys: one size for every input; it spares rows that have no partner, and changes no result.
 BITS = 1 << 26
 
