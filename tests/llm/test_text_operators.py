@@ -268,6 +268,64 @@ def test_benchmark_matches(spark):
     assert decontaminate.matches(docs, bench.limit(0)).collect() == [] and decontaminate.matches(docs.limit(0), bench).collect() == []
 
 
+def _plain_print(words, hash_of):
+    total = [sum(hash_of[w] >> i & 1 for w in words) for i in range(56)]
+    return sum(1 << i for i, x in enumerate(total) if 2 * x > len(words))
+
+
+def test_fingerprints_blocks_and_recall(spark, monkeypatch):
+    """Fingerprints against plain ones; blocks find all within the radius; recall against all windows by exact similarity."""
+    monkeypatch.setattr(decontaminate, "CHUNK", 8)
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    items = [say(rng.randrange(11, 60)) for _ in range(30)] + [say(n) for n in (1, 4, 6, 9, 10, 150, 300)]
+    texts = []
+    for item in items * 3:  # exact, cut at the ends, or with a word changed, left out or added
+        w = list(item)
+        for _ in range(rng.randrange(0, 3)):
+            at = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+            w[at : at + rng.randrange(2)] = say(rng.randrange(2))
+            w = w or ["none"]
+        texts.append(say(rng.randrange(0, 90)) + w + say(rng.randrange(0, 90)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    vocabulary = sorted({w for t in texts + items for w in t})
+    hash_of = {r.w: r.h % (1 << 64) for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    prints = decontaminate.windows(docs, [2, 5, 14, -3], 60).collect()
+    width = lambda kind: -kind if kind < 0 else 4 * kind
+    assert all(r.p == _plain_print(texts[r.doc_id][r.at : r.at + width(r.kind)], hash_of) for r in prints)
+    assert Counter(r.kind for r in prints)[5] == sum(max(len(t) // 4 - 4, 0) for t in texts)
+    # all pairs of fingerprints within the radius share a key, whatever bits differ
+    some = [(i, rng.getrandbits(56)) for i in range(200)]
+    some = [(i, p, p ^ sum(1 << b for b in rng.sample(range(56), decontaminate.RADIUS))) for i, p in some]
+    F = __import__("pyspark").sql.functions
+    both = spark.createDataFrame(some, "i long, p long, q long").select(F.arrays_overlap(decontaminate.block_keys(F.col("p"), F.lit(3)), decontaminate.block_keys(F.col("q"), F.lit(3))).alias("x"))
+    assert both.filter("x").count() == 200
+
+    def shingles(w, k):
+        return {" ".join(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+
+    weight = lambda s: sum(map(len, s))
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            theirs, k, m = shingles(item, min(5, len(item))), min(5, len(item)), len(item)
+            if max(weight(s & theirs) / weight(s | theirs) for a in range(max(len(t) - m, 0) + 1) for s in [shingles(t[a : a + m], k)]) >= 0.8:
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) > 40
+    monkeypatch.setattr(decontaminate, "BROADCAST", 500)  # the index in several parts
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()} == got
+
+
+def test_decontamination_judges_rows(spark):
+    item = " ".join(f"i{n}" for n in range(30))
+    rows = [(None, f"a b {item} c", 0), (None, "clean text", 1), (7, item, 2), (7, "another text", 3), (8, None, 4), (8, "", 5), (9, item.upper(), 6), (9, item.upper(), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long")
+    left = decontaminate.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r.h for r in left.collect()) == [1, 3, 4, 5]
+
+
 def test_pseudonyms(spark):
     texts = [
         "4111111111111111 and 4111-1111-1111-1111 but 4111111111111112",

@@ -1,46 +1,60 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-A window of a document is as long as the benchmark item that it is compared
-with and stands where a shingle of both lies at the same place; a window that
-shares no shingle has similarity 0.  Window and item are fingerprinted by a
-64-bit SimHash of their weighted shingles.  Fingerprints are cut into one block
-more than the radius, so two fingerprints within the radius agree in a block;
-what agrees is compared by Hamming distance, and what lies within the radius is
-verified by exact weighted-shingle similarity: the weight of the common shingles
-over the weight of all, each weighing its characters.
-
-Everything is DataFrame functions.  The items are broadcast only while they have
-at most ``BROADCAST`` shingles, which is counted; beyond that the same joins
-shuffle.  Documents are shuffled once, and only by their key.
+Windows.  Every document is cut into windows that start every ``STEP`` words and
+have the lengths of the items, rounded down to a class, and of their halves.  An
+item is indexed by its windows of those two lengths from every word on, so
+whatever the place of a passage in a document, windows of both stand for the same
+words; and a changed word leaves a half without it.  Items of fewer than
+``LEAST`` words are met by windows of their length, or of one word less, from
+every word on.
+
+Fingerprints.  A window's 56-bit SimHash has the bits that most of its words'
+hashes have.  The 56 counts are bytes of eight numbers, whose running sums give
+each window by one subtraction a number, so no window is counted word by word.
+
+Candidates.  A fingerprint is cut into one block more than ``RADIUS``, 14 bits
+each; two fingerprints within the radius agree in a block, so the index of blocks
+finds all of them, and nothing else chooses candidates.
+
+Verification.  The passage of the item's length around a candidate is compared
+exactly: the weight of the common five-word shingles over the weight of all, each
+weighing its characters.
+
+Everything is DataFrame functions.  The index is broadcast in parts of at most
+``BROADCAST`` rows, each with a pass over the documents; texts are never shuffled.
 
 Defined results: null and empty texts and items match nothing; an item of fewer
 than five words has one shingle, all of it; a document shorter than an item is
-one window; repeated rows match alike; a null doc_id is kept and matched like
-any other; other columns are untouched.
+one window; repeated rows match alike; a null doc_id is matched like any other,
+and rows of the same doc_id are told apart by their text; of equally similar
+windows the first counts; other columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import let, materialize, table, word_array
+from tidemill.llm.common import fresh, let, materialize, table, word_array
 
-SHINGLE, RADIUS, SIMILARITY = 5, 20, 0.8
-BROADCAST = 1 << 18
-BITS = 64
+SHINGLE, RADIUS, SIMILARITY = 5, 3, 0.8
+#: Words between the starts of windows, and of the shortest item that these windows are sure to meet.
+STEP, LEAST = 4, 11
+#: Lengths of windows in steps.  Longer items are met by the longest.
+CLASSES = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32)
+#: Steps of a text whose windows are fingerprinted together, and rows of the index that one pass looks up.
+CHUNK, BROADCAST = 256, 1 << 20
+#: Bits of a fingerprint: seven bytes, so that no sum overflows, of each of eight numbers.
+BITS, NUMBERS = 56, 8
+_ONES, _HIGH = 0x01010101010101, 0x80808080808080
 
 
 def _words(text: Column) -> Column:
     return word_array(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def shingle_hashes(words: Column, n: Column, k: int) -> Column:
-    """Fingerprints of each ``k`` consecutive words."""
-    starts = F.slice(words, 1, F.greatest(n - (k - 1), F.lit(0)))
-    return F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, k)]))
-
-
 def weighted_shingles(words: Column, k: Column) -> Column:
     """The distinct shingles of an array of words: structs of text and weight."""
     n = F.size(words)
@@ -49,75 +63,128 @@ def weighted_shingles(words: Column, k: Column) -> Column:
     return F.transform(F.array_distinct(F.when(n > 0, each).otherwise(F.array().cast("array<string>"))), lambda s: F.struct(s.alias("s"), F.length(s).cast("long").alias("w")))
 
 
-def simhash(shingles: Column) -> Column:
-    """A 64-bit fingerprint: each bit the sign of the summed weights of the shingles whose hash has it."""
-    places = F.array(*[F.lit(i) for i in range(BITS)])
-    zero = F.array_repeat(F.lit(0).cast("long"), BITS)
-    hashed = F.transform(shingles, lambda s: F.struct(F.xxhash64(s["s"]).alias("h"), s["w"].alias("w")))
-    sums = F.aggregate(hashed, zero, lambda a, s: F.zip_with(a, places, lambda x, i: x + F.when(F.getbit(s["h"], i) == 1, s["w"]).otherwise(-s["w"])))
-    bits = F.zip_with(sums, places, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-
-
-def blocks(fingerprint: Column, n: int) -> Column:
-    """``n`` structs (block, value) that together hold all bits."""
-    cut = [BITS * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1)).alias("value")) for i in range(n)])
-
-
 def similarity(a: Column, b: Column) -> Column:
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y["w"])
     both = total(F.array_intersect(a, b))
     return both / (total(a) + total(b) - both)
 
 
+def lane(h: Column, i: int) -> Column:
+    """Seven bits of a hash, each eighth from bit ``i`` on, as the bytes of a number."""
+    return F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_ONES))
+
+
+def simhash(lanes: list[Column], size: Column) -> Column:
+    """The fingerprint of ``size`` hashes (255 at most) whose lanes sum to ``lanes``: bits that more than half of them have."""
+    above = (F.lit(127) - F.shiftright(size, 1)).cast("long") * F.lit(_ONES)
+    bits = [F.shiftrightunsigned((s + above).bitwiseAND(F.lit(_HIGH)), NUMBERS - 1 - i) for i, s in enumerate(lanes)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def block_keys(fingerprint: Column, kind: Column) -> Column:
+    """The keys of a fingerprint's blocks: kind of window, number and value of the block."""
+    n = RADIUS + 1
+    size = BITS // n
+    return F.array(*[(kind.cast("long") * n + i) * (1 << size) + F.shiftrightunsigned(fingerprint, size * i).bitwiseAND(F.lit((1 << size) - 1)) for i in range(n)])
+
+
+def _print_of(h: Column, start: Column, size: Column) -> Column:
+    """The fingerprint of ``size`` hashes from ``start`` on."""
+    add = lambda i: F.aggregate(F.slice(h, start + 1, size), F.lit(0).cast("long"), lambda a, x: a + lane(x, i))
+    return simhash([add(i) for i in range(NUMBERS)], size)
+
+
+def index(items: DataFrame) -> DataFrame:
+    """(item_id, m, kind, off, q): fingerprints of the windows of each item; ``items`` has item_id, m and words.
+
+    The kind of a window is its class, or its length in words below 0 for short items.
+    """
+    hashed = items.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    fit = lambda steps: F.coalesce(F.array_max(F.filter(F.array(*map(F.lit, CLASSES)), lambda c: c <= steps)), F.lit(CLASSES[0]))
+    whole = fit(F.floor((F.col("m") - (STEP - 1)) / STEP))
+    short = F.when(F.col("m") > SHINGLE, F.array(-F.col("m"), 1 - F.col("m"))).otherwise(F.array(-F.col("m")))
+    kinds = F.when(F.col("m") < LEAST, short).otherwise(F.array_distinct(F.array(whole, fit(F.floor(whole / 2)))))
+    rows = hashed.select("item_id", "m", "h", F.explode(kinds).alias("kind")).withColumn("w", F.when(F.col("kind") < 0, -F.col("kind")).otherwise(F.col("kind") * STEP))
+    rows = rows.withColumn("off", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("w"))))
+    return rows.select("item_id", "m", "kind", "off", _print_of(F.col("h"), F.col("off"), F.col("w")).alias("q"))
+
+
+def windows(docs: DataFrame, kinds: list[int], longest: int) -> DataFrame:
+    """(doc_id, h, n, base, near, kind, at, p): the fingerprint of every window; ``near`` are the words around, from ``base`` on."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("h"), _words(F.col("text")).alias("words"))
+    words = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words"))
+    classes, short = [k for k in kinds if k > 0], [k for k in kinds if k < 0]
+    out = []
+    if classes:
+        steps = F.floor(F.col("n") / STEP).cast("int")
+        least, most = min(classes), max(classes)
+        rows = words.filter(steps >= least).withColumn("c", F.explode(F.sequence(F.lit(0), steps - least, F.lit(CHUNK))))
+        size = F.least(F.lit(CHUNK + most), steps - F.col("c"))
+        base = F.greatest(F.col("c") * STEP - longest, F.lit(0))
+        near = F.slice("words", base + 1, F.lit((CHUNK + most) * STEP + 2 * longest))
+
+        def sums(i: int) -> Column:
+            step = lambda j: reduce(Column.__add__, [lane(F.get(F.col("hashes"), j * STEP + q), i) for q in range(STEP)])
+            return F.aggregate(F.sequence(F.col("c"), F.col("c") + size - 1), F.array(F.lit(0).cast("long")), lambda a, j: F.array_append(a, F.element_at(a, -1) + step(j)))
+
+        rows = rows.select("doc_id", "h", "n", "c", size.alias("size"), base.alias("base"), near.alias("near"), *[sums(i).alias(f"s{i}") for i in range(NUMBERS)])
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK - 1), F.col("size") - least))))
+        rows = rows.withColumn("kind", F.explode(F.array(*map(F.lit, classes)))).filter(F.col("j") + F.col("kind") <= F.col("size"))
+        part = [F.get(f"s{i}", F.col("j") + F.col("kind")) - F.get(f"s{i}", F.col("j")) for i in range(NUMBERS)]
+        out.append(rows.select("doc_id", "h", "n", "base", "near", "kind", ((F.col("c") + F.col("j")) * STEP).alias("at"), simhash(part, F.col("kind") * STEP).alias("p")))
+    if short:
+        rows = words.filter("n > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("kind", F.explode(F.array(*map(F.lit, short))))
+        rows = rows.filter(F.col("at") - F.col("kind") <= F.col("n")).withColumn("base", F.greatest(F.col("at") - LEAST, F.lit(0)))
+        rows = rows.withColumn("near", F.slice("words", F.col("base") + 1, F.lit(3 * LEAST)))
+        out.append(rows.select("doc_id", "h", "n", "base", "near", "kind", "at", _print_of(F.col("hashes"), F.col("at"), -F.col("kind")).alias("p")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def matches(docs: DataFrame, items: DataFrame, t: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start (in words), hamming, similarity: the best window of each document and item that match."""
+    """doc_id, item_id, start (in words), hamming, similarity: the best window of each document and item that match.
+
+    A row for each different text of a doc_id.  ``radius`` may be less than that of the index, not more.
+    """
+    return _matches(docs, items, t, radius).drop("h")
+
+
+def _matches(docs: DataFrame, items: DataFrame, t: float, radius: int) -> DataFrame:
+    if radius > RADIUS:
+        raise ValueError(f"the index of blocks reaches a radius of {RADIUS}")
     words = items.select("item_id", _words(F.col("text")).alias("words")).withColumn("m", F.size("words")).filter("m > 0")
-    words = words.withColumn("k", F.least(F.col("m"), F.lit(SHINGLE)))
-    listed = words.withColumn("shingles", weighted_shingles(F.col("words"), F.col("k")))
-    listed = materialize(listed.withColumn("print", simhash(F.col("shingles"))))
-    size = listed.agg(F.sum("m")).first()[0] or 0
-    few = F.broadcast if size <= BROADCAST else (lambda df: df)
-    lengths = [r.k for r in listed.select("k").distinct().collect()]  # SHINGLE values at most
+    words = materialize(words)
+    index_of = materialize(index(words))
+    rows, longest = index_of.agg(F.count(F.lit(1)), F.coalesce(F.max("m"), F.lit(0))).first()
+    shingles = words.select("item_id", weighted_shingles(F.col("words"), F.least(F.col("m"), F.lit(SHINGLE))).alias("theirs"))
     found = None
-    rows = docs.select("doc_id", _words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
-    for k in sorted(lengths):
-        of_items = listed.filter(F.col("k") == k).select("item_id", "m", F.posexplode(shingle_hashes(F.col("words"), F.col("m"), k)).alias("off", "h"))
-        of_docs = rows.select("doc_id", "n", F.posexplode(shingle_hashes(F.col("words"), F.col("n"), k)).alias("pos", "h"))
-        start = F.greatest(F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("m")), F.lit(0))
-        part = of_docs.join(few(of_items), "h").select("doc_id", "item_id", start.alias("start"), "m").distinct()
-        found = part if found is None else found.unionByName(part)
+    parts = -(-rows * (RADIUS + 1) // BROADCAST)
+    for part in range(parts):
+        of = index_of.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        kinds = [r.kind for r in of.select("kind").distinct().collect()]  # CLASSES and LEAST values at most
+        if not kinds:
+            continue
+        keyed = of.select("item_id", "m", "off", "q", F.explode(block_keys(F.col("q"), F.col("kind"))).alias("key"))
+        seen = windows(docs, kinds, longest).withColumn("key", F.explode(block_keys(F.col("p"), F.col("kind"))))
+        hamming = F.bit_count(F.col("p").bitwiseXOR(F.col("q")))
+        near = seen.join(F.broadcast(keyed), "key").withColumn("hamming", hamming).filter(F.col("hamming") <= radius)
+        start = F.greatest(F.least(F.col("at") - F.col("off"), F.col("n") - F.col("m")), F.lit(0))
+        near = near.select("doc_id", "h", "item_id", "m", "hamming", start.alias("start"), F.slice("near", start - F.col("base") + 1, F.col("m")).alias("ours"))
+        found = near if found is None else found.unionByName(near)
     if found is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, start int, hamming int, similarity double")
-    # each size and start of a document is one window, whatever the items
-    found = materialize(found)
-    spots = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "m")).alias("spots")).withColumnRenamed("doc_id", "_id")
-    texts = docs.select("doc_id", "text").join(spots, F.col("doc_id").eqNullSafe(F.col("_id")))
-    cut = let(_words(F.col("text")), lambda w: F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["m"].alias("m"), F.slice(w, s["start"] + 1, s["m"]).alias("words"))))
-    windows = texts.select("doc_id", F.explode(cut).alias("w")).select("doc_id", "w.start", "w.m", "w.words").filter(F.size("words") > 0)
-    windows = windows.withColumn("shingles", weighted_shingles(F.col("words"), F.least(F.col("m"), F.lit(SHINGLE)))).drop("words")
-    windows = materialize(windows.withColumn("print", simhash(F.col("shingles"))))
-    # candidates: windows and the items that they were cut for that agree in a block
-    near = windows.select("doc_id", "start", "m", F.col("print").alias("p"), F.explode(blocks(F.col("print"), radius + 1)).alias("b"))
-    near = near.withColumnRenamed("doc_id", "_id").withColumnRenamed("m", "_m").withColumnRenamed("start", "_start")
-    pairs = found.join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start")) & (F.col("m") == F.col("_m"))).select("doc_id", "start", "m", "item_id", "p", "b")
-    of_items = listed.select("item_id", F.col("print").alias("q"), F.explode(blocks(F.col("print"), radius + 1)).alias("b"))
-    pairs = pairs.join(few(of_items), ["item_id", "b"])
-    hamming = F.bit_count(F.col("p").bitwiseXOR(F.col("q")))
-    pairs = pairs.select("doc_id", "start", "m", "item_id", hamming.alias("hamming")).filter(F.col("hamming") <= radius).distinct()
-    left = windows.select(F.col("doc_id").alias("_id"), F.col("start").alias("_start"), F.col("m").alias("_m"), F.col("shingles").alias("ours"))
-    right = listed.select("item_id", F.col("shingles").alias("theirs"))
-    same = pairs.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start")) & (F.col("m") == F.col("_m"))).join(few(right), "item_id")
+        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, h long, item_id {dict(items.dtypes)['item_id']}, start int, hamming int, similarity double")
+    found = found.groupBy("doc_id", "h", "item_id", "m", "start").agg(F.min("hamming").alias("hamming"), F.first("ours").alias("ours"))
+    same = found.withColumn("ours", weighted_shingles(F.col("ours"), F.least(F.col("m"), F.lit(SHINGLE)))).join(shingles, "item_id")
     same = same.withColumn("similarity", similarity(F.col("ours"), F.col("theirs"))).filter(F.col("similarity") >= t)
-    best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"))).alias("b")
-    return same.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.s")).alias("start"), (-F.col("b.h")).alias("hamming"), "b.similarity")
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("d"))).alias("b")
+    return same.groupBy("doc_id", "h", "item_id").agg(best).select("doc_id", "h", "item_id", (-F.col("b.s")).alias("start"), (-F.col("b.d")).alias("hamming"), "b.similarity")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """The documents without a match; columns as they came."""
-    bad = matches(docs, items, t).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """The rows without a match; columns as they came."""
+    key, h = fresh(docs, "id"), fresh(docs, "h")
+    bad = _matches(docs, items, t, RADIUS).select(F.col("doc_id").alias(key), F.col("h").alias(h)).distinct()
+    here = F.xxhash64(docs["text"])
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[key]) & (here == bad[h]), "left_anti")
 
 
 def op7_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
