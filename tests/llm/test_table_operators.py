@@ -29,7 +29,7 @@ def _rule(host, path):
 
 def test_rules_and_parts(spark):
     pages = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(URLS + URLS)], "page_id long, url string, host string")
-    got = urls.judge_urls(pages.drop("host"), "page_id", "url", urls.RULES).collect()
+    got = urls.judge_urls(pages, "page_id", "url", urls.RULES).collect()
     assert len(got) == 2 * len(URLS)
     for r in got:
         host, path = _parts((URLS + URLS)[r.page_id])
@@ -49,6 +49,87 @@ def test_templates_generalise_and_reject(spark):
     assert urls.judge_urls(pages.limit(0), "page_id", "url", rules).collect() == []
 
 
+def _plain_verdicts(pages, rules, reject=0.5, prior=0.2, strength=5.0):
+    """key -> (template, purity, verdict), one url and one node at a time."""
+    rows = {}
+    for key, url in pages:
+        host, path = _parts(url)
+        fits = [(len(r), v, r) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        rows[key] = (host, [s for s in path.split("/") if s], max(fits)[1] if fits else None)
+    tree = {}
+    for host in {h for h, _, _ in rows.values()}:
+        mine = [(k, s) for k, (h, s, _) in rows.items() if h == host]
+        template = {k: () for k, _ in mine}
+        for d in range(max(len(s) for _, s in mine)):
+            nodes = {}
+            for k, s in mine:
+                if len(s) > d:
+                    nodes.setdefault(template[k], {}).setdefault(s[d], []).append(k)
+            for head, kids in nodes.items():
+                total = sum(map(len, kids.values()))
+                for seg, keys in kids.items():
+                    rare = len(keys) < max(urls.MIN_COUNT, total * urls.MIN_SHARE)
+                    varies = rare and (any(c.isdigit() for c in seg) or len(kids) > 1 / urls.MIN_SHARE)
+                    for k in keys:
+                        template[k] = (*head, "*" if varies else seg)
+        levels = max(len(t) for t in template.values())
+        for d in range(levels):
+            nodes = {}
+            for k, t in template.items():
+                if len(t) > d and t[d] != "*":
+                    nodes.setdefault(t[:d], {}).setdefault(t[d], []).append(k)
+            new = dict(template)
+            for head, kids in nodes.items():
+                if len(kids) < 2:
+                    continue
+                share = lambda keys: {x: sum(template[k][d + 1 :] == x for k in keys) / len(keys) for x in {template[k][d + 1 :] for k in keys}}
+                everyone = [k for keys in kids.values() for k in keys]
+                pool, said = share(everyone), [rows[k][2] for k in everyone if rows[k][2]]
+                rate = said.count("block") / len(said) if said else 0.0
+                for seg, keys in kids.items():
+                    own, says = share(keys), [rows[k][2] for k in keys if rows[k][2]]
+                    far = sum(abs(own.get(x, 0) - pool[x]) for x in pool) / 2
+                    error = (max(rate * (1 - rate), 0.01) / max(len(says), 1)) ** 0.5
+                    alike = not says or abs(says.count("block") / len(says) - rate) <= urls.ERRORS * error
+                    if far <= urls.FAR + 0.4 * ((len(pool) - 1) / len(keys)) ** 0.5 and alike:
+                        for k in keys:
+                            new[k] = (*head, "*", *template[k][d + 1 :])
+            template = new
+        for t in set(template.values()):
+            keys = [k for k in template if template[k] == t]
+            said = [rows[k][2] for k in keys if rows[k][2]]
+            m = strength + (len(keys) - len(said)) / 2
+            purity = (said.count("block") + prior * m) / (len(said) + m)
+            for k in keys:
+                tree[k] = ("/" + "/".join(t), purity, rows[k][2] or ("block" if purity >= reject else "allow"))
+    return tree
+
+
+def test_templates_against_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda *x: str(rng.choice(x))
+    pages = []
+    for host, n in (("a.net", 150), ("b.example.net", 90), ("c.org", 40), ("d.com", 20), ("e.org", 3)):
+        for _ in range(n):
+            path = pick("/en/", "/de/", "/es/", "/fr/", "/es/", "/fr/") + pick("news/", "blog/", "") + pick(str(rng.integers(9999)), "index", f"{rng.integers(99)}.html")
+            pages.append(f"http://{host}{path}{pick('', '?x', '#y', '/')}")
+        pages.append(f"http://{host}" + "/deep" * 60 + "/7")
+    pages += [f"http://f.net/tag/{w}" for w in rng.permutation([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)])] + [None, "", "http://h", "x"]
+    pages = list(enumerate(pages + pages[:9]))
+    rules = [("block", "net/es/"), ("block", "net/fr/"), ("allow", "b.example.net/de/"), ("block", "c.org/fr/news/")]
+    got = {r.page_id: (r.template, r.purity, r.verdict) for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), "page_id", "url", rules).collect()}
+    want = _plain_verdicts(pages, rules)
+    assert {k: (t, round(p, 9), v) for k, (t, p, v) in got.items()} == {k: (t, round(p, 9), v) for k, (t, p, v) in want.items()}
+    assert max(t.count("/") for t, _, _ in got.values()) == 61  # no depth is glued
+
+
+def test_the_tree_decides_what_no_rule_names(spark):
+    rows = [f"http://x.net/{lang}/{i}" for lang, n in (("es", 40), ("fr", 30), ("en", 20)) for i in range(n)] + [f"http://y.net/{lang}/{i}" for lang, n in (("es", 5), ("en", 60)) for i in range(n)]
+    got = urls.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), "page_id", "url", urls.RULES)
+    by = {(r.host, r.path.split("/")[1], r.verdict) for r in got.filter("rule is null").collect()}
+    assert by == {("x.net", "en", "block"), ("y.net", "en", "allow")}
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 10, 10], [5, 2, 1], 30, 3) == pytest.approx([18.75, 7.5, 3.75])
     assert mixing.water_fill([1, 100], [5, 1], 101, 3) == pytest.approx([3, 98])

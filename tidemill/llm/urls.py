@@ -7,10 +7,13 @@ wins.
 Templates.  For each host, the segments of all paths form a tree.  Level by
 level a segment stays literal when it is frequent among its siblings and is
 generalised to ``*`` when it varies (rare and numeric, or one of very many rare
-siblings).  Literal branches under one node that lead to the same templates in
-like proportions, and whose labelled rates do not differ significantly, are
-merged into ``*``.  A template is rejected when its smoothed labelled purity
-``(bad + m * prior) / (labelled + m)`` reaches a threshold.
+siblings).  Below a node of fewer than ``MIN_COUNT`` urls every segment is rare, so
+the rest of their paths needs no further level.  Literal branches under one node
+that lead to the same templates in like proportions, and whose labelled rates do
+not differ significantly, are merged into ``*``; a branch without labels is judged
+by where it leads alone.  A template is rejected when its smoothed labelled purity
+``(bad + prior * m) / (labelled + m)`` reaches a threshold, where m is a constant and
+half the unlabelled urls: what no label speaks for smooths it towards the prior.
 
 All counts are sums over (host, template) with partial aggregation, so a host
 with a third of all rows is aggregated in every task that reads it, and joins
@@ -25,14 +28,18 @@ columns other than the key and the url are dropped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import lower_ascii, materialize, table
+from tidemill.llm.common import discard, lower_ascii, materialize, table
 
-#: Segments beyond this depth are one last segment.
-MAX_DEPTH = 8
+#: A segment of fewer urls, or of a smaller share of its node's, is rare.
+MIN_COUNT, MIN_SHARE = 5, 0.02
+#: Total variation distance up to which branches lead alike, beside chance, and standard errors up to which their rates do.
+FAR, ERRORS = 0.3, 2.0
+_ALL = 1 << 30
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,57 +60,64 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return F.when(best.isNotNull(), F.struct(best["verdict"].alias("verdict"), best["rule"].alias("rule")))
 
 
-def templates(paths: DataFrame, min_count: int = 5, min_share: float = 0.02) -> DataFrame:
-    """Add ``template`` to ``paths`` (host, segs, n, labelled, bad): segs with variable ones as ``*``."""
-    depth = paths.agg(F.max(F.size("segs"))).first()[0] or 0
-    out = paths.withColumn("template", F.array().cast("array<string>"))
-    for d in range(min(depth, MAX_DEPTH)):
-        seg = F.when(F.size("segs") > d, F.element_at("segs", d + 1))
-        out = out.withColumn("_seg", seg)
-        here = out.filter(F.col("_seg").isNotNull())
+def templates(paths: DataFrame, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE) -> tuple[DataFrame, int]:
+    """(host, path, template, n, labelled, bad) of ``paths`` (host, path, segs, n, labelled, bad), and how many levels were built."""
+    out = ["host", "path", "template", "n", "labelled", "bad"]
+    numeric = lambda s: s.rlike("[0-9]")
+    rows = paths.withColumn("template", F.array().cast("array<string>"))
+    done, level = [], 0
+    while True:
+        done.append(rows.filter(F.size("segs") <= level).select(*out))
+        here = rows.filter(F.size("segs") > level).withColumn("_seg", F.element_at("segs", level + 1))
         kids = here.groupBy("host", "template", "_seg").agg(F.sum("n").alias("_n"))
+        kids = materialize(kids)
+        if kids.isEmpty():
+            break
         node = kids.groupBy("host", "template").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kids"))
-        kids = kids.join(node, ["host", "template"])
-        numeric = F.col("_seg").rlike("[0-9]")
         rare = F.col("_n") < F.greatest(F.lit(min_count), F.col("_all") * min_share)
-        varies = rare & (numeric | (F.col("_kids") > 1 / min_share))
-        kids = kids.select("host", "template", "_seg", F.when(varies, F.lit("*")).otherwise(F.col("_seg")).alias("_as"))
-        out = out.join(kids, ["host", "template", "_seg"], "left").withColumn("template", F.when(F.col("_as").isNotNull(), F.array_append("template", F.col("_as"))).otherwise(F.col("template"))).drop("_as", "_seg")
-    return out
+        varies = rare & (numeric(F.col("_seg")) | (F.col("_kids") > 1 / min_share))
+        kids = kids.join(node, ["host", "template"]).select("host", "template", "_seg", F.when(varies, F.lit("*")).otherwise(F.col("_seg")).alias("_as"), (F.col("_all") < min_count).alias("_few"))
+        rows = materialize(here.join(kids, ["host", "template", "_seg"]))
+        rest = F.transform(F.slice("segs", level + 1, _ALL), lambda s: F.when(numeric(s), F.lit("*")).otherwise(s))
+        done.append(rows.filter("_few").withColumn("template", F.concat("template", rest)).select(*out))
+        rows = rows.filter("not _few").withColumn("template", F.array_append("template", F.col("_as"))).drop("_seg", "_as", "_few")
+        level += 1
+    return reduce(DataFrame.unionByName, done), level
 
 
-def merged(stats: DataFrame, depth: int, far: float = 0.3, z: float = 2.0) -> DataFrame:
+def merged(stats: DataFrame, levels: int, far: float = FAR, z: float = ERRORS) -> DataFrame:
     """Add ``branch`` to ``stats`` (host, template, n, labelled, bad): the template after similar branches are merged.
 
     At each level, a literal branch is compared with the pool of its siblings:
-    the total variation distance of where they lead, and a two-sided test of
-    the labelled rate.  A branch without labels is never merged into one with
-    labels: nothing shows that it deserves the same verdict.
+    the total variation distance of where they lead, less what chance brings
+    about, and, if it has labels, a two-sided test of the labelled rate.
     """
     out = stats.withColumn("branch", F.col("template"))
-    for d in range(depth):
+    for d in range(levels):
         out = out.withColumn("_seg", F.when(F.size("branch") > d, F.element_at("branch", d + 1)))
-        out = out.withColumn("_head", F.slice("branch", 1, d)).withColumn("_tail", F.when(F.size("branch") > d, F.slice("branch", d + 2, MAX_DEPTH + 1)).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn("_head", F.slice("branch", 1, d)).withColumn("_tail", F.slice("branch", d + 2, _ALL))
         literal = out.filter(F.col("_seg").isNotNull() & (F.col("_seg") != "*"))
         key = ["host", "_head"]
         by_tail = literal.groupBy(*key, "_seg", "_tail").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
         pool_tail = by_tail.groupBy(*key, "_tail").agg(F.sum("n").alias("_tn"))
         branch = by_tail.groupBy(*key, "_seg").agg(F.sum("n").alias("_bn"), F.sum("labelled").alias("_bl"), F.sum("bad").alias("_bb"))
         pool = branch.groupBy(*key).agg(F.sum("_bn").alias("_pn"), F.sum("_bl").alias("_pl"), F.sum("_bb").alias("_pb"), F.count(F.lit(1)).alias("_kids"))
+        pool = pool.filter("_kids > 1").join(pool_tail.groupBy(*key).agg(F.count(F.lit(1)).alias("_tails")), key)
         # distance over the tails a branch has; tails it lacks count with the pool's share
         dist = by_tail.join(pool_tail, [*key, "_tail"]).join(branch, [*key, "_seg"]).join(pool, key)
         dist = dist.groupBy(*key, "_seg").agg(
             F.sum(F.abs(F.col("n") / F.col("_bn") - F.col("_tn") / F.col("_pn"))).alias("_in"),
             F.sum(F.col("_tn") / F.col("_pn")).alias("_covered"),
-            *[F.first(c).alias(c) for c in ("_bl", "_bb", "_pl", "_pb", "_kids")],
+            *[F.first(c).alias(c) for c in ("_bn", "_bl", "_bb", "_pl", "_pb", "_tails")],
         )
         rate = F.when(F.col("_pl") > 0, F.col("_pb") / F.col("_pl")).otherwise(0.0)
         error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.01)) / F.greatest(F.col("_bl"), F.lit(1)))
-        alike = F.when(F.col("_bl") == 0, F.col("_pl") == 0).otherwise(F.abs(F.col("_bb") / F.greatest(F.col("_bl"), F.lit(1)) - rate) <= z * error)
-        like = (F.col("_kids") > 1) & ((F.col("_in") + 1 - F.col("_covered")) / 2 <= far) & alike
-        similar = dist.filter(like).select(*key, "_seg", F.lit(True).alias("_like"))
+        alike = (F.col("_bl") == 0) | (F.abs(F.col("_bb") / F.greatest(F.col("_bl"), F.lit(1)) - rate) <= z * error)
+        chance = 0.4 * F.sqrt((F.col("_tails") - 1) / F.col("_bn"))
+        similar = dist.filter(((F.col("_in") + 1 - F.col("_covered")) / 2 <= far + chance) & alike).select(*key, "_seg", F.lit(True).alias("_like"))
         out = out.join(similar, [*key, "_seg"], "left")
         out = out.withColumn("branch", F.when(F.col("_like"), F.concat("_head", F.array(F.lit("*")), "_tail")).otherwise(F.col("branch"))).drop("_seg", "_head", "_tail", "_like")
+        out = materialize(out)
     return out
 
 
@@ -115,6 +129,7 @@ def judge_urls(
     reject: float = 0.5,
     prior: float = 0.2,
     strength: float = 5.0,
+    unlabelled: float = 0.5,
 ) -> DataFrame:
     """A verdict for every url: ``key``, host, path, rule, verdict, template, purity.
 
@@ -123,29 +138,29 @@ def judge_urls(
     says nothing about urls that no rule names.
     """
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(key), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
+    # written once, as the rules are compared in every row
+    rows = materialize(rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)))
     paths = rows.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count("_fit").alias("labelled"),
-        F.count_if(F.col("_fit.verdict") == "block").alias("bad"),
+        F.count("fit").alias("labelled"),
+        F.count_if(F.col("fit.verdict") == "block").alias("bad"),
     )
-    parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    paths = paths.withColumn("segs", F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH - 1), F.array(F.array_join(F.slice(parts, MAX_DEPTH, 1 << 20), "/")))).otherwise(parts))
-    paths = materialize(paths)
-    tree = templates(paths)
-    tree = materialize(tree.select("host", "path", "template", "n", "labelled", "bad"))
+    paths = materialize(paths.withColumn("segs", F.filter(F.split("path", "/"), lambda s: s != "")))
+    tree, levels = templates(paths)
+    tree = materialize(tree)
+    discard(paths)
     stats = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-    depth = tree.agg(F.max(F.size("template"))).first()[0] or 0
-    stats = materialize(merged(stats, depth))
-    pure = stats.groupBy("host", "branch").agg(F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
-    pure = pure.select("host", "branch", ((F.col("_b") + strength * prior) / (F.col("_l") + strength)).alias("purity"))
-    known = tree.select("host", "path", "template").join(stats.select("host", "template", "branch"), ["host", "template"]).join(pure, ["host", "branch"])
-    known = known.select("host", "path", F.concat(F.lit("/"), F.array_join("branch", "/")).alias("template"), "purity")
+    stats = merged(materialize(stats), levels)
+    pure = stats.groupBy("host", "branch").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    m = strength + unlabelled * (F.col("n") - F.col("labelled"))
+    purity = (F.col("bad") + prior * m) / (F.col("labelled") + m)
+    pure = stats.select("host", "template", "branch").join(pure.select("host", "branch", purity.alias("purity")), ["host", "branch"])
+    known = materialize(tree.select("host", "path", "template").join(pure, ["host", "template"]).select("host", "path", F.concat(F.lit("/"), F.array_join("branch", "/")).alias("template"), "purity"))
     # equi-join on the distinct (host, path): no key of it holds more rows than its urls
     out = rows.join(known, ["host", "path"], "left")
-    verdict = F.coalesce(F.col("_fit.verdict"), F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(key, "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(F.col("key").alias(key), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 
 #: The rules of the query.
