@@ -34,7 +34,9 @@ difference of x and r, and x, y a link that is not inside a component.  As
 
 So x and y share a token of those prefixes of D(x) and D(y), ordered by how many
 differences hold it; tokens of one difference, or of one component, come first and
-are never indexed.  (reference, token) is the next round's key.  What near copies of
+are never indexed.  (reference, token) is the next round's key.  Of two classes that
+share it, sizes tell how many tokens of each difference the other may lack, and the
+first shared one can't stand behind more of them than that.  What near copies of
 one text share cancels out, so the keys are rare ones; after ``ROUNDS`` rounds all
 that share a key are compared.  Hubs with many candidates are salted, and no step
 gathers a group in a task.
@@ -253,11 +255,21 @@ def peeled(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
     return left.join(enough, "v")
 
 
+def _may_link(a: Column, b: Column, t: tuple[int, int]) -> Column:
+    """Whether two entries of a key may be a link that joins two components and shares this key before any other of its reference.
+
+    A difference of d tokens lacks floor((d - e + h) / 2) of another's e tokens at most, where h is the most that links are apart.
+    """
+    num, den = t
+    h = F.floor((a["size"] + b["size"]) * (den - num) / (den + num))
+    room = lambda x, y: x["place"] <= F.floor((x["d"] - y["d"] + h) / 2) + 1
+    return (a["v"] < b["v"]) & (a["root"] != b["root"]) & _like(a["size"], b["size"], t) & (a["place"].isNull() | (room(a, b) & room(b, a)))
+
+
 def pairs_within(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(hub, v): pairs of different components in small keys that share as many of them as a link that shares no large key must."""
-    listed = groups.groupBy("key").agg(F.collect_list(F.struct("v", "size", "need", "root")).alias("g")).filter(F.size("g") > 1)  # SMALL entries at most
-    pairs = listed.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b"))
-    pairs = pairs.filter((F.col("a.v") < F.col("b.v")) & (F.col("a.root") != F.col("b.root")) & _like(F.col("a.size"), F.col("b.size"), t))
+    listed = groups.groupBy("key").agg(F.collect_list(F.struct("v", "size", "need", "root", "place", "d")).alias("g")).filter(F.size("g") > 1)  # SMALL entries at most
+    pairs = listed.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).filter(_may_link(F.col("a"), F.col("b"), t))
     pairs = pairs.groupBy(F.col("a.v").alias("hub"), F.col("b.v").alias("v")).agg(F.count(F.lit(1)).alias("have"), F.max(F.greatest("a.need", "b.need")).alias("want"))
     return pairs.filter("have >= want").select("hub", "v")
 
@@ -277,7 +289,7 @@ def with_references(groups: DataFrame) -> DataFrame:
 
 
 def difference_keys(seen: DataFrame, roots: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The next (key, v, size, need, root) of what ``compared`` says of references and classes."""
+    """The next (key, v, size, need, root, place, d) of what ``compared`` says of references and classes."""
     num, den = t
     rows = seen.join(roots, seen["v"] == roots["node"], "left").select("hub", "v", "linked", "size", F.coalesce("root", "v").alias("root"), "apart", F.size("apart").alias("d"))
     length = F.when(F.col("linked"), F.col("d") - F.floor(F.col("d") * num / (num + den))).otherwise(F.least(F.col("d"), F.floor(F.col("size") * (den - num) / num) + 1))
@@ -287,9 +299,9 @@ def difference_keys(seen: DataFrame, roots: DataFrame, t: tuple[int, int]) -> Da
     held = held.filter("lo <> hi and not all_linked").select("hub", "token", "c")
     kept = rows.select("hub", "v", F.explode("apart").alias("token"), "root", "size", "d", "length").join(held, ["hub", "token"])
     own = W.partitionBy("hub", "v")  # the tokens of one class
-    kept = kept.withColumn("k", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "token")))
-    kept = kept.filter(F.col("place") <= F.col("length") - (F.col("d") - F.col("k")))
-    return kept.select(F.xxhash64("hub", "token").alias("key"), "v", "size", F.lit(1).alias("need"), "root").distinct()
+    before = F.col("d") - F.count(F.lit(1)).over(own)  # tokens that are never indexed
+    kept = kept.withColumn("place", before + F.row_number().over(own.orderBy("c", "token"))).filter("place <= length")
+    return kept.select(F.xxhash64("hub", "token").alias("key"), "v", "size", F.lit(1).alias("need"), "root", "place", "d")
 
 
 def _mixed(groups: DataFrame) -> DataFrame:
@@ -320,10 +332,11 @@ def classes(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
         discard(old)
     names = base.filter("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
     want = groups.select("v").distinct().join(names, "v")
-    sets = materialize(token_sets(docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select("v", "text"), n))
+    sets = token_sets(docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select("v", "text"), n)
+    sets = materialize(sets.dropDuplicates(["v"]))
     links = roots = None
     rest = []
-    old, groups = groups, materialize(_mixed(groups.withColumn("root", F.col("v"))))
+    old, groups = groups, materialize(_mixed(groups.select("*", F.col("v").alias("root"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("int").alias("d"))))
     discard(old)
     for last in (*[False] * ROUNDS, True):
         rest.append(materialize(_all_pairs(groups, t) if last else pairs_within(groups.filter(F.col("m") <= SMALL), t)))
@@ -349,9 +362,9 @@ def classes(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
 
 
 def _all_pairs(groups: DataFrame, t: tuple[int, int]) -> DataFrame:
-    other = groups.select("key", F.col("v").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
-    pairs = groups.join(other, "key").filter((F.col("hub") < F.col("v")) & (F.col("root") != F.col("hub_root")) & _like(F.col("size"), F.col("hub_size"), t))
-    return pairs.select("hub", "v").distinct()
+    entry = F.struct("v", "size", "root", "place", "d")
+    pairs = groups.select("key", entry.alias("a")).join(groups.select("key", entry.alias("b")), "key").filter(_may_link(F.col("a"), F.col("b"), t))
+    return pairs.select(F.col("a.v").alias("hub"), F.col("b.v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, t: tuple[int, int] = (80, 100)) -> DataFrame:

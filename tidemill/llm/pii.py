@@ -50,6 +50,8 @@ SHAPES = {
 KINDS = tuple(SHAPES)
 #: Groups are numbered across the alternatives: one each in ``date``.
 PATTERN = "|".join(SHAPES.values())
+#: Every match of every shape holds one of these, so a text without them is not searched.
+HINT = r"[0-9@]|AKIA|pass|token|secret|api"
 
 
 def _digest(key: str, kind: str | Column, *parts: Column) -> Column:
@@ -249,7 +251,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | No
         raise ValueError("pseudonyms need a key")
     t = F.col(text)
     found, new = fresh(docs, "found"), fresh(docs, "new")
-    out = docs.withColumn(found, F.coalesce(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    out = docs.withColumn(found, F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(none))
     out = out.withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
     parts = F.split(t, PATTERN, -1)
     joined = let(parts, lambda p: F.array_join(F.flatten(F.zip_with(p, F.col(new)["text"], lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
