@@ -32,11 +32,11 @@ difference of x and r, and x, y a link that is not inside a component.  As
 * D(y) lacks at most floor((1 - t) |y| / t) tokens of D(x) & D(y) before its first;
 * if x is linked with r, y is not, and |D(x) & D(y)| > t / (1 + t) |D(x)|.
 
-So x and y share a token of those prefixes of D(x) and D(y), ordered by how many
-differences hold it; tokens of one difference, or of one component, come first and
-are never indexed.  (reference, token) is the next round's key.  Of two classes that
-share it, sizes tell how many tokens of each difference the other may lack, and the
-first shared one can't stand behind more of them than that.  What near copies of
+So x and y share a token of those prefixes of D(x) and D(y), ordered alike: first
+what r lacks, as this is rarer, then what it has.  (reference, token) is the next
+round's key.  Of two classes that share it, sizes tell how many tokens of each
+difference the other may lack, and the first shared one can't stand behind more of
+them than that.  What near copies of
 one text share cancels out, so the keys are rare ones; after ``ROUNDS`` rounds all
 that share a key are compared.  Hubs with many candidates are salted, and no step
 gathers a group in a task.
@@ -58,7 +58,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -196,7 +195,7 @@ def token_sets(docs: DataFrame, n: int) -> DataFrame:
 def compared(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], differences: bool = False) -> DataFrame:
     """(hub, v, linked) of ``pairs`` (hub, v): whether their similarity is ``t`` or more; only links, unless with ``differences``.
 
-    With ``differences`` also the size of v and ``apart``, the tokens that one of both lacks.
+    With ``differences`` also the size of v, ``d``, how many tokens one of both lacks, and ``apart``, those of them that are indexed, in order.
     Every task holds one hub's set and streams what is compared with it.  A hub
     with many candidates is copied to as many tasks as it needs.
     """
@@ -210,7 +209,7 @@ def compared(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], differences:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, np.zeros(0, U)
         for b in batches:
-            hubs, vs, links, sizes, apart = [], [], [], [], []
+            hubs, vs, links, sizes, ds, apart = [], [], [], [], [], []
             for hub, own, v, tokens in zip(b["hub"].to_pylist(), b["own"].to_pylist(), b["v"].to_pylist(), b["tokens"], strict=True):
                 theirs = np.frombuffer(tokens.as_buffer(), U)
                 if own == 0:
@@ -218,22 +217,26 @@ def compared(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], differences:
                 elif hub == at:
                     if not differences and min(len(mine), len(theirs)) * den < num * max(len(mine), len(theirs)):
                         continue
-                    unlike = np.setxor1d(mine, theirs, assume_unique=True)
-                    both = (len(mine) + len(theirs) - len(unlike)) // 2
+                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    d = len(mine) + len(theirs) - 2 * both
                     linked = den * both >= num * (len(mine) + len(theirs) - both)
                     if linked or differences:
                         hubs.append(hub)
                         vs.append(v)
                         links.append(linked)
-                        sizes.append(len(theirs))
-                        apart.append(unlike.view(np.int64) if differences else None)
+                        if differences:
+                            length = d - d * num // (num + den) if linked else len(theirs) * (den - num) // num + 1
+                            unlike = [np.setdiff1d(x, y, assume_unique=True) for x, y in ((theirs, mine), (mine, theirs))]
+                            sizes.append(len(theirs))
+                            ds.append(d)
+                            apart.append(np.concatenate(unlike)[:length].view(np.int64))
             out = [pa.array(hubs, pa.int64()), pa.array(vs, pa.int64()), pa.array(links, pa.bool_())]
             if differences:
-                out += [pa.array(sizes, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
+                out += [pa.array(sizes, pa.int32()), pa.array(ds, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    names = ["hub", "v", "linked", "size", "apart"] if differences else ["hub", "v", "linked"]
-    return rows.mapInArrow(tasks, "hub long, v long, linked boolean" + (", size int, apart array<long>" if differences else ""))
+    names = ["hub", "v", "linked", "size", "d", "apart"] if differences else ["hub", "v", "linked"]
+    return rows.mapInArrow(tasks, "hub long, v long, linked boolean" + (", size int, d int, apart array<long>" if differences else ""))
 
 
 def _like(a, b, t: tuple[int, int]) -> Column:
@@ -288,20 +291,10 @@ def with_references(groups: DataFrame) -> DataFrame:
     return groups.join(references, "key").select("hub", "v").filter("hub <> v").distinct()
 
 
-def difference_keys(seen: DataFrame, roots: DataFrame, t: tuple[int, int]) -> DataFrame:
+def difference_keys(seen: DataFrame, roots: DataFrame) -> DataFrame:
     """The next (key, v, size, need, root, place, d) of what ``compared`` says of references and classes."""
-    num, den = t
-    rows = seen.join(roots, seen["v"] == roots["node"], "left").select("hub", "v", "linked", "size", F.coalesce("root", "v").alias("root"), "apart", F.size("apart").alias("d"))
-    length = F.when(F.col("linked"), F.col("d") - F.floor(F.col("d") * num / (num + den))).otherwise(F.least(F.col("d"), F.floor(F.col("size") * (den - num) / num) + 1))
-    rows = rows.withColumn("length", length.cast("int"))
-    tokens = rows.select("hub", "v", F.explode("apart").alias("token"), "root", "linked")
-    held = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("linked").alias("all_linked"))
-    held = held.filter("lo <> hi and not all_linked").select("hub", "token", "c")
-    kept = rows.select("hub", "v", F.explode("apart").alias("token"), "root", "size", "d", "length").join(held, ["hub", "token"])
-    own = W.partitionBy("hub", "v")  # the tokens of one class
-    before = F.col("d") - F.count(F.lit(1)).over(own)  # tokens that are never indexed
-    kept = kept.withColumn("place", before + F.row_number().over(own.orderBy("c", "token"))).filter("place <= length")
-    return kept.select(F.xxhash64("hub", "token").alias("key"), "v", "size", F.lit(1).alias("need"), "root", "place", "d")
+    rows = seen.join(roots, seen["v"] == roots["node"], "left").select("hub", "v", "size", F.coalesce("root", "v").alias("root"), "d", F.posexplode("apart").alias("place", "token"))
+    return rows.select(F.xxhash64("hub", "token").alias("key"), "v", "size", F.lit(1).alias("need"), "root", (F.col("place") + 1).alias("place"), "d")
 
 
 def _mixed(groups: DataFrame) -> DataFrame:
@@ -336,7 +329,7 @@ def classes(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     sets = materialize(sets.dropDuplicates(["v"]))
     links = roots = None
     rest = []
-    old, groups = groups, materialize(_mixed(groups.select("*", F.col("v").alias("root"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("int").alias("d"))))
+    old, groups = groups, materialize(_mixed(groups.select("*", F.col("v").alias("root"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("d"))))
     discard(old)
     for last in (*[False] * ROUNDS, True):
         rest.append(materialize(_all_pairs(groups, t) if last else pairs_within(groups.filter(F.col("m") <= SMALL), t)))
@@ -349,7 +342,7 @@ def classes(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
         found = seen.filter("linked").select(F.col("hub").alias("a"), F.col("v").alias("b"))
         links = found if links is None else links.unionByName(found)
         roots = materialize(components(links))
-        groups = materialize(_mixed(difference_keys(seen, roots, t)))
+        groups = materialize(_mixed(difference_keys(seen, roots)))
     pairs = rest[0]
     for more in rest[1:]:
         pairs = pairs.unionByName(more)
