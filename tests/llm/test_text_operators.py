@@ -269,8 +269,8 @@ def test_benchmark_matches(spark):
 
 
 def _plain_print(words, hash_of):
-    total = [sum(hash_of[w] >> i & 1 for w in words) for i in range(56)]
-    return sum(1 << i for i, x in enumerate(total) if 2 * x > len(words))
+    bits = [i for i in range(8 * decontaminate.BYTES) if i % 8 < decontaminate.NUMBERS]
+    return sum(1 << i for i in bits if 2 * sum(hash_of[w] >> i & 1 for w in words) > len(words))
 
 
 def test_fingerprints_blocks_and_recall(spark, monkeypatch):
@@ -534,10 +534,66 @@ def test_toxicity_learns_held_out_words(spark):
 def test_toxicity_model_grows_with_the_words(spark):
     n = 140_000  # more words, and more pairs, than any fixed table of the model would hold
     text = " ".join(f"x{i:06d}" for i in range(n))
-    rows = spark.createDataFrame([(text, k, False) for k in (0, 0, 1, 1)], "text string, toxic int, sample boolean")
-    facts = toxicity.model(toxicity.gather(rows))
-    assert facts.filter("k2 = 0 and x0 is not null").count() == n
-    assert facts.filter("k2 not in (0, 1)").count() == n
+    rows = spark.createDataFrame([(text, k) for k in (0, 0, 1, 1)], "text string, toxic int")
+    facts, totals = toxicity.model(toxicity.gather(rows))
+    assert totals.symbols == n and facts.filter("t0 = 0").count() == n + 1  # the pairs, and the last word, which has none
+    assert facts.filter("t0 = 2 and n0 = 1 and abs(s - 0.95) < 1e-9").count() == n - 1
+
+
+def test_toxicity_scores_are_those_of_plain_counts(spark):
+    """Log-ratios against dictionaries, of documents outside and of documents scored without their own counts."""
+    rng = random.Random(11)
+    pool = [f"{rng.choice('abc')}word{i}" for i in range(30)]
+    texts = [(" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 40))), int(rng.random() < 0.3)) for _ in range(60)] + [("rare1 rare2 rare1", 1)]
+    texts = list(dict.fromkeys(texts))
+    facts, totals = toxicity.model(toxicity.gather(spark.createDataFrame(texts, "text string, toxic int").repartition(3)))
+    pairs_of = lambda t: set(zip(["<s>", *t.split()], t.split()))
+    D, C, S = toxicity.DISCOUNT, toxicity.CONTINUATION, toxicity.STRENGTH
+    n, hold = Counter((p, c) for t, c in texts for p in pairs_of(t)), Counter(w for t, _ in texts for w in set(t.split()))
+    symbol = lambda w: w if hold[w] >= 3 else ("kin", w[:5])
+    both = lambda p: n[p, 0] + n[p, 1]
+    kept = {p for p, _ in n if both(p) >= 3}
+    k = [Counter(symbol(p[1]) for p, c in n if c == x) for x in (0, 1)]
+    t = [Counter() for _ in range(2)]
+    s, agreed = [Counter() for _ in range(2)], Counter()
+    for (p, c), x in n.items():
+        t[c][p[0]] += x
+        s[c][p[0]] += max(x - D, 0) * (p in kept)
+    for p in kept:
+        if n[p, 0] and n[p, 1]:
+            agreed[p[0]] += min((n[p, c] - D) / t[c][p[0]] for c in (0, 1))
+    N, some, symbols = [sum(x.values()) for x in k], [len(x) for x in k], len(set(k[0]) | set(k[1]))
+
+    def plain(text, own=None):
+        mine, words, out = pairs_of(text), text.split(), []
+        for p in zip(["<s>", *words], words):
+            v, w = p
+            a = [n[p, c] if p in kept else 0 for c in (0, 1)]
+            tt, ss, l, kk = [t[c][v] for c in (0, 1)], [s[c][v] for c in (0, 1)], agreed[v], [k[c][symbol(w)] for c in (0, 1)]
+            if own is not None:
+                start = [q for q in mine if q[0] == v]
+                tt[own] -= len(start)
+                ss[own] -= sum(max(n[q, own] - D, 0) - max(n[q, own] - 1 - D, 0) for q in start if q in kept)
+                kk[own] -= sum(symbol(q[1]) == symbol(w) and (q not in kept or n[q, own] == 1) for q in mine)
+                a[own] -= p in kept
+            a, tt, ss, kk = ([max(x, 0) for x in y] for y in (a, tt, ss, kk))
+            shared = (sum(kk) + 0.5) / (sum(N) + 0.5 * (symbols + 1))
+            probability = []
+            for c in (0, 1):
+                low = (max(kk[c] - C, 0) + C * max(some[c], 1) * shared) / max(N[c], 1) if sum(kk) else shared
+                q = min(max(a[x] - D, 0) / max(tt[x], 1) for x in (0, 1)) + max(1 - l, 1e-9) * low
+                probability.append((max(a[c] - D, 0) + (tt[c] - ss[c] + S) * q) / (tt[c] + S))
+            out.append(np.log(probability[1] / probability[0]))
+        return out
+
+    import pyarrow as pa
+
+    answers = toxicity.Answers(facts.toArrow(), totals)
+    ask = [(x, None) for x, _ in texts] + [("new words here rare1", None), ("", None)] + texts
+    for _, _, w, h in toxicity._hashes(pa.array([x for x, _ in ask])):
+        got = answers.log_ratios(w, h, np.array([-1 if c is None else c for _, c in ask]))
+    assert np.allclose(got, np.concatenate([plain(x, c) for x, c in ask]), rtol=1e-9, atol=1e-12)
+    assert np.abs(got).max() > 0.1
 
 
 def test_toxicity_counts_every_training_row(spark):
@@ -553,15 +609,6 @@ def test_toxicity_counts_every_training_row(spark):
     assert len(held) > 300 and sum(r.predicted == toxic[r.doc_id] for r in held) / len(held) > 0.95
 
 
-def test_toxicity_sample_is_taken_off(spark):
-    rows = [(f"a b c w{i % 7} d e", int(i % 3 == 0), i % 5 == 0) for i in range(60)]
-    schema = "text string, toxic int, sample boolean"
-    less = toxicity.model(toxicity.gather(spark.createDataFrame(rows, schema)), sample=False)
-    rest = toxicity.model(toxicity.gather(spark.createDataFrame([r for r in rows if not r[2]], schema)))
-    key = lambda df: sorted((r.k1, r.k2, *(None if x is None else round(x, 12) for x in (r.x0, r.x1, r.back))) for r in df.collect())
-    assert key(less) == key(rest)
-
-
 def test_components(spark):
     from tidemill.llm.components import components
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,12 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._materialized)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone; by itself it does so every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch() -> Iterator[list[str]]:
     """The folders that are materialized within; the caller deletes them once the frames made from them are evaluated."""

@@ -1,23 +1,35 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary
-text, are counted by Spark over all labelled training rows.  A document's score
-is the difference of their length-normalised log-likelihoods, calibrated on
-a sample of training rows, of which each is scored without the sample's own counts.
+text, are counted by Spark over all labelled training rows:
+
+    P_c(w | v) = (max(n_c(v w) - D, 0) + (left_c(v) + STRENGTH) Q_c(w | v)) / (n_c(v) + STRENGTH)
+    Q_c(w | v) = both(v w) + (1 - both(v)) P_c(w)
+    P_c(w)     = (max(k_c(w) - D, 0) + left_c P(w)) / k_c
+
+where n are counts of pairs, k counts of the contexts of a word, "left" what the
+discounts free, both(v w) the lesser of both classes' discounted shares max(n_c(v w) - D, 0) / n_c(v)
+and both(v) its sum.  P(w) is of both classes together: rare expressions are smoothed
+through the pairs that both agree on and the continuation counts that they share.
+STRENGTH says how often a class must have seen a context before its own pairs weigh
+as much as the shared ones: in small corpora a class's own shares are mostly chance.
+
+A document's score is the length-normalised difference of its two
+log-likelihoods, calibrated on a sample of training rows.  The difference is a robust
+mean: the median of its words is taken off, which is what all of them share (its
+language, its register), and a word counts between ``-NEAR`` and ``FAR``.
 
 Symbols are words; counts are of documents that hold them, so a text that repeats itself, or a copy of it, adds nothing; a word that fewer than ``MIN_COUNT`` documents hold is the class of its first five
-bytes, so a rare expression is smoothed through what its kin have in common.
-Below the class-conditional continuation counts lie the continuation counts that
-both classes share, so what neither class has seen tells nothing.
+bytes, so a rare expression is smoothed through what its kin have in common.  What neither class has seen tells nothing.
 
 Counts are aggregated by key with partial sums and stay tables: every word and pair
 that ``MIN_COUNT`` documents hold and every prefix class has its row, however many
-there are; the mass of rarer bigrams goes to the backoff, exactly.  For scoring,
+there are; the mass of rarer pairs goes to the backoff, exactly.  For scoring,
 batches of texts ask for the rows that they need, by a join.  All labelled rows of folds 1 to 4 are counted.
-Calibration fits three numbers on at most ``CALIBRATION`` of them, those of least hash;
-these are scored by the model less what they themselves added to it.
+Calibration fits three numbers on at most ``CALIBRATION`` of them, those of least hash; each of
+these is scored without its own counts (a pair of it that has no row counts as its own alone).
 
-Defined results: a null or empty text scores the prior of the training rows;
+Defined results: a null or empty text scores by its length alone;
 labels that are null or belong to no document are ignored, a document labelled
 more than once counts once, as toxic if any of its labels says so; with no
 labels at all every score is 0; repeated documents are all scored.
@@ -26,6 +38,7 @@ labels at all every score is 0; repeated documents are all scored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +47,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemill.llm.common import materialize, materialize_bucketed, table
+from tidemill.llm.common import discard, materialize, materialize_bucketed, sweep, table
 from tidemill.llm.kernels import U, Words, mix, slices, text_column
+from tidemill.llm.repeats import bit_table, may_hold
 
 CALIBRATION = 10_000
-#: Bytes of text whose questions to the model are asked together, keys a task holds before it asks, and bits of the filter before: cost only.
-BATCH, QUESTIONS, FILTER = 1 << 23, 1 << 22, 1 << 26
-#: Kinds of rows of what is gathered; ``SAMPLE`` is added for what the sample takes off.
-PAIR, CONTEXT, WORD, SAMPLE = 0, 1, 2, 10
+#: Bytes of text whose questions to the model are asked together, and keys a task holds before it asks: cost only.
+BATCH, QUESTIONS = 1 << 24, 1 << 22
+#: Kinds of rows of what is counted.
+PAIR, WORD = 0, 1
 #: Stands before the first word of a document.
 START = U(0x9D5C_31F7_66B2_0E4B)
 MIN_COUNT = 3
 PREFIX = 5
-#: Taken off every count.  It is small, as counts are of documents and contexts.
-DISCOUNT = 0.1
-#: The shared backoff below the word counts, as a share of what the discounts of the smaller class would free at 1.
-FLOOR = 0.1
+#: Taken off every count of pairs and of contexts: small, as these are counts of documents and of contexts.  The strength of the shared pairs.
+DISCOUNT, CONTINUATION, STRENGTH = 0.1, 0.03, 30_000.0
 #: Log-ratios of one word beyond these count as these: that a word is missing from the smaller class says little.
 NEAR, FAR = 0.35, 8.0
 #: Letters, digits and all bytes of longer characters make words.
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[128:] = False
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+#: What a row of the model holds: counts by class of a pair or of a word's contexts; of a context, its pairs, what they keep after discounts, and the share that both classes agree on.
+VALUES = ("n0", "n1", "t0", "t1", "s0", "s1", "s")
 
 
 def _hashes(batch_text: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
@@ -77,114 +91,125 @@ def _before(w: Words, h: np.ndarray) -> np.ndarray:
     return before
 
 
-def _tallies(kind: int, k1: np.ndarray, k2: np.ndarray, docs: np.ndarray, toxic: np.ndarray, sample: np.ndarray) -> pa.RecordBatch:
-    """Documents of each class that hold a key, and those of the sample: a text that repeats itself says it once."""
-    slot = _slot(k1, k2)
+def _once(slot: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Places of the first of each (slot, document): a text that repeats itself says it once."""
     order = np.lexsort((docs, slot))
-    slot, docs = slot[order], docs[order]
-    new = np.ones(len(slot), bool)
-    new[1:] = (slot[1:] != slot[:-1]) | (docs[1:] != docs[:-1])
-    order, docs = order[new], docs[new]
-    _, first, inverse = np.unique(slot[new], return_index=True, return_inverse=True)
-    count = lambda one: np.bincount(inverse, weights=one[docs], minlength=len(first)).astype(np.int64)
-    at = order[first]
-    counts = [count(x) for x in (1 - toxic, toxic, (1 - toxic) * sample, toxic * sample)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(k[at].view(np.int64)) for k in (k1, k2)), *map(pa.array, counts)], ["kind", "k1", "k2", "c0", "c1", "s0", "s1"])
+    s, d = slot[order], docs[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+    return order[new]
+
+
+def _by_class(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the first of each key, and how many of its rows are ordinary and toxic."""
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    both = [np.bincount(inverse, weights=x, minlength=len(first)).astype(np.int64) for x in (1 - toxic, toxic)]
+    return first, both[0], both[1]
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """Counts by class of words (with their prefix) and of pairs; ``rows`` has text, toxic and sample."""
+    """(kind, k1, k2, c0, c1, t0, t1): documents of each class that hold a word (with its prefix) or a pair; for words also their pairs."""
+    names = ["kind", "k1", "k2", "c0", "c1", "t0", "t1"]
+
+    def rows_of(kind: int, k1: np.ndarray, k2: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k1), kind, np.int32)), *(pa.array(k.view(np.int64)) for k in (k1, k2)), *map(pa.array, counts)], names)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic, sample = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "sample"))
+            toxic = b["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, w, h in _hashes(b["text"]):
-                of = (w.doc_of_word(), toxic[lo:hi], sample[lo:hi])
-                yield _tallies(WORD, h, w.prefix_hashes(PREFIX), *of)
-                yield _tallies(PAIR, _before(w, h), h, *of)
-
-    counts = rows.select("text", "toxic", "sample").mapInArrow(tasks, "kind int, k1 long, k2 long, c0 long, c1 long, s0 long, s1 long")
-    return counts.groupBy("kind", "k1", "k2").agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "s0", "s1")))
+                doc, before, is_toxic = w.doc_of_word(), _before(w, h), toxic[lo:hi]
+                pairs = _once(_slot(before, h), doc)
+                first, c0, c1 = _by_class(_slot(before[pairs], h[pairs]), is_toxic[doc[pairs]])
+                zero = np.zeros(len(first), np.int64)
+                yield rows_of(PAIR, before[pairs][first], h[pairs][first], c0, c1, zero, zero)
+                words = _once(h, doc)
+                first, c0, c1 = _by_class(h[words], is_toxic[doc[words]])
+                zero = np.zeros(len(first), np.int64)
+                prefix = w.prefix_hashes(PREFIX)
+                yield rows_of(WORD, h[words][first], prefix[words][first], c0, c1, zero, zero)
+                prefix = np.concatenate((prefix, np.zeros(1, U)))
+                first, c0, c1 = _by_class(before[pairs], is_toxic[doc[pairs]])
+                at = pairs[first]
+                starts = before[at] == START
+                zero = np.zeros(len(first), np.int64)
+                yield rows_of(WORD, before[at], prefix[np.where(starts, len(prefix) - 1, at - 1)], zero, zero, c0, c1)
+
+    counts = rows.select("text", "toxic").mapInArrow(tasks, "kind int, k1 long, k2 long, c0 long, c1 long, t0 long, t1 long")
+    return counts.groupBy("kind", "k1", "k2").agg(*(F.sum(c).alias(c) for c in names[3:]))
 
 
 def gather(rows: DataFrame) -> DataFrame:
-    """(kind, k1, k2, n0, n1, docs, prefix): frequent pairs, contexts with their counts, words with their contexts.
-
-    What the sample alone adds is kept beside, negative, under ``kind + SAMPLE``.
-    """
+    """(kind, k1, k2, docs, prefix and ``VALUES``): frequent pairs, and words with their contexts and pairs; ``rows`` has text and toxic."""
+    types = {"docs": "long", "prefix": "long", **dict.fromkeys(VALUES[:4], "long"), **dict.fromkeys(VALUES[4:], "double")}
 
-    def fact(kind, k1, k2, n0, n1, docs=0, prefix=None) -> Column:
-        long = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
-        values = {"k1": k1, "k2": k2, "n0": n0, "n1": n1, "docs": docs, "prefix": prefix}
-        return F.struct(F.lit(kind).alias("kind"), *(long(v).alias(k) for k, v in values.items()))
+    def fact(kind: int, k1: Column, k2: Column, **values: Column) -> Column:
+        given = [(values[c] if c in values else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
+        return F.struct(F.lit(kind).alias("kind"), k1.alias("k1"), k2.alias("k2"), *given)
 
-    k1, k2, c0, c1, s0, s1 = (F.col(c) for c in ("k1", "k2", "c0", "c1", "s0", "s1"))
-    word, sampled = F.col("kind") == WORD, s0 + s1 > 0
-    less = lambda c, s: (c > s).cast("long") - (c > 0).cast("long")
+    k1, k2, c0, c1 = (F.col(c) for c in ("k1", "k2", "c0", "c1"))
+    word, none = F.col("kind") == WORD, F.lit(0).cast("long")
+    frequent = ~word & (c0 + c1 >= MIN_COUNT)
     facts = [
-        (word, fact(WORD, k1, 0, 0, 0, c0 + c1, k2)),
-        (word & sampled, fact(WORD + SAMPLE, k1, 0, 0, 0, -s0 - s1, k2)),
-        (~word, fact(CONTEXT, k1, 0, c0, c1)),
-        (~word & sampled, fact(CONTEXT + SAMPLE, k1, 0, -s0, -s1)),
-        (~word, fact(WORD, k2, 0, c0 > 0, c1 > 0)),
-        (~word & sampled, fact(WORD + SAMPLE, k2, 0, less(c0, s0), less(c1, s1))),
-        (~word & (c0 + c1 >= MIN_COUNT), fact(PAIR, k1, k2, c0, c1)),
-        (~word & sampled & (c0 + c1 >= MIN_COUNT), fact(PAIR + SAMPLE, k1, k2, -s0, -s1)),
+        (word, fact(WORD, k1, none, docs=c0 + c1, prefix=k2, t0=F.col("t0"), t1=F.col("t1"))),
+        (~word, fact(WORD, k2, none, n0=c0 > 0, n1=c1 > 0)),
+        (frequent, fact(WORD, k1, none, s0=_held(c0), s1=_held(c1))),
+        (frequent, fact(PAIR, k1, k2, n0=c0, n1=c1)),
     ]
     each = F.filter(F.array(*(F.when(when, f) for when, f in facts)), lambda f: f.isNotNull())
-    return materialize(_summed(count(rows).select(F.explode(each).alias("f")).select("f.*")))
-
-
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("kind", "k1", "k2").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "docs")), F.max("prefix").alias("prefix"))
-
-
-def model(gathered: DataFrame, sample: bool = True) -> DataFrame:
-    """Both interpolated Kneser-Ney models as one table (k1, k2, x0, x1, back); without the sample's own counts if so told.
-
-    P_c(w | v) = shared(v, w) + back(v) * P_c(w), where shared(v, w) is the
-    discounted bigram share that both classes agree on, and back(v) what is left.
-    P_c(w) = (1 - floor) * the discounted continuation share of class c + floor / symbols;
-    the floor is the same for both classes, so a word that neither has seen has the ratio 1.
-
-    Rows: (v, w) with shared(v, w) in x0; (w, 0) with P_0(w), P_1(w) and back(w); (prefix, 1) with P_0 and P_1.
-    What has no row is 0, 1 or unseen.
-    """
-    rows = gathered.filter(F.col("kind") < SAMPLE) if sample else _summed(gathered.withColumn("kind", F.col("kind") % SAMPLE))
-    of = lambda kind: rows.filter(F.col("kind") == kind)
-    held = lambda c: F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))
-    known = F.col("docs") >= MIN_COUNT
-    own = of(WORD).filter(known).select("k1", F.lit(0).cast("long").alias("k2"), "n0", "n1")
-    kin = of(WORD).filter(~known).groupBy(F.col("prefix").alias("k1")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    symbols = own.unionByName(kin.withColumn("k2", F.lit(1).cast("long"))).filter("n0 + n1 > 0")
-    sums = symbols.agg(*(F.coalesce(x.cast("double"), F.lit(0.0)) for c in ("n0", "n1") for x in (F.sum(c), F.count_if(F.col(c) > 0), F.sum(held(c)))), F.count(F.lit(1))).first()
-    total, types, mass = ([sums[i], sums[i + 3]] for i in range(3))
-    least = 0 if total[0] <= total[1] else 1
-    floor = min(0.5, FLOOR * max(types[least], 1) / max(total[least], 1))
-    low = [(1 - floor) * held(f"n{c}") / max(mass[c], 1e-12) + floor / max(sums[6], 1) for c in (0, 1)]
-    contexts = of(CONTEXT).select("k1", F.col("n0").alias("t0"), F.col("n1").alias("t1"))
-    share = [held(f"n{c}") / F.greatest(F.col(f"t{c}"), F.lit(1)) for c in (0, 1)]
-    pairs = of(PAIR).filter(F.col("n0") + F.col("n1") >= MIN_COUNT).join(contexts, "k1").select("k1", "k2", F.least(*share).alias("x0"))
-    pairs = materialize(pairs.filter("x0 > 0"))
-    none = F.lit(None).cast("double")
-    back = pairs.groupBy("k1").agg(F.greatest(1 - F.sum("x0"), F.lit(1e-9)).alias("back")).select("k1", F.lit(0).cast("long").alias("k2"), none.alias("x0"), none.alias("x1"), "back")
-    words = symbols.select("k1", "k2", low[0].alias("x0"), low[1].alias("x1"), none.alias("back")).unionByName(back)
-    words = words.groupBy("k1", "k2").agg(*(F.max(c).alias(c) for c in ("x0", "x1", "back")))
-    return materialize(words.unionByName(pairs.select("k1", "k2", "x0", none.alias("x1"), none.alias("back"))))
-
-
-def _filter(facts: DataFrame) -> np.ndarray:
-    """A bit for the slot of each key, in a table of one size: it spares questions that have no answer, and changes no result."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in types if c != "prefix"]
+    return materialize(count(rows).select(F.explode(each).alias("f")).select("f.*").groupBy("kind", "k1", "k2").agg(*sums, F.max("prefix").alias("prefix")))
+
+
+def _held(c: Column) -> Column:
+    return F.greatest(c - F.lit(DISCOUNT), F.lit(0.0))
+
+
+class Totals(NamedTuple):
+    """Over all symbols: of each class the continuation counts and how many symbols have any; the symbols of both."""
+
+    n0: float
+    n1: float
+    some0: float
+    some1: float
+    symbols: float
+
+    def low(self, n: list[np.ndarray]) -> list[np.ndarray]:
+        """P_c(w) of both classes, of words with ``n`` contexts; the same for both where neither has any."""
+        shared = (n[0] + n[1] + 0.5) / (self.n0 + self.n1 + 0.5 * (self.symbols + 1))
+        unseen = n[0] + n[1] <= 0
+        out = []
+        for x, total, some in ((n[0], self.n0, self.some0), (n[1], self.n1, self.some1)):
+            own = (np.maximum(x - CONTINUATION, 0) + CONTINUATION * max(some, 1.0) * shared) / max(total, 1.0)
+            out.append(np.where(unseen, shared, own))
+        return out
+
+
+def model(gathered: DataFrame) -> tuple[DataFrame, Totals]:
+    """Rows (slot and ``VALUES``) of pairs (v, w), of words as (w, 0) and of prefix classes as (prefix, 1); and the totals."""
+    words = gathered.filter(F.col("kind") == WORD)
+    known = (F.col("docs") >= MIN_COUNT) | (F.col("k1") == F.lit(int(START.view(np.int64))))
+    kin = words.filter(~known).groupBy(F.col("prefix").alias("k1")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    zero = [F.lit(0).cast(t).alias(c) for c, t in zip(VALUES[2:], ("long", "long", "double", "double", "double"), strict=True)]
+    symbols = words.filter(known).select("k1", "k2", *VALUES).unionByName(kin.select("k1", F.lit(1).cast("long").alias("k2"), "n0", "n1", *zero))
+    pairs = gathered.filter(F.col("kind") == PAIR).select("k1", "k2", *VALUES)
+    contexts = words.filter("t0 > 0 and t1 > 0").select("k1", F.col("t0").alias("_t0"), F.col("t1").alias("_t1"))
+    agreed = F.least(_held(F.col("n0")) / F.col("_t0"), _held(F.col("n1")) / F.col("_t1"))
+    agreed = pairs.filter("n0 > 0 and n1 > 0").join(contexts, "k1").groupBy("k1").agg(F.sum(agreed).alias("_s"))
+    symbols = symbols.join(agreed.withColumn("k2", F.lit(0).cast("long")), ["k1", "k2"], "left").withColumn("s", F.coalesce("_s", F.lit(0.0))).drop("_s")
+    symbols = materialize(symbols)
+    rows = pairs.unionByName(symbols)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = _slot(b["k1"].to_numpy(), b["k2"].to_numpy()) % U(FILTER)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], ["at", "bit"])
+            slot = _slot(b["k1"].to_numpy(), b["k2"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64)), *(b[c] for c in VALUES)], ["slot", *VALUES])
 
-    at, bits = _columns(facts.select("k1", "k2").mapInArrow(tasks, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")))
-    out = np.zeros(FILTER >> 6, U)
-    out[at] = bits.view(U)
-    return out
+    kinds = ", ".join(f"{c} {t}" for c, t in dict(rows.dtypes).items() if c in VALUES)
+    facts = materialize(rows.mapInArrow(tasks, f"slot long, {kinds}"))
+    seen = symbols.filter("n0 + n1 > 0")
+    sums = [F.coalesce(x.cast("double"), F.lit(0.0)) for x in (F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0), F.count(F.lit(1)))]
+    return facts, Totals(*seen.agg(*sums).first())
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
@@ -207,13 +232,18 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tasks, StructType([*docs.schema.fields, StructField("batch", LongType())]))
 
 
+def _keys(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the model's rows for each word: its pair, its context, itself and its prefix class."""
+    before, none = _before(w, h), np.zeros(len(h), U)
+    return _slot(before, h), _slot(before, none), _slot(h, none), _slot(w.prefix_hashes(PREFIX), none + U(1))
+
+
 def _questions(packed: DataFrame, there: Broadcast) -> DataFrame:
-    """(batch, k1, k2): the keys of each batch once."""
+    """(batch, slot): the keys of each batch once, as far as the model may have them."""
 
-    def ask(batch: int, keys: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        k1, k2 = (np.concatenate(x) for x in zip(*keys, strict=True))
-        first = np.unique(_slot(k1, k2), return_index=True)[1]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch)), pa.array(k1[first].view(np.int64)), pa.array(k2[first].view(np.int64))], ["batch", "k1", "k2"])
+    def ask(batch: int, keys: list[np.ndarray]) -> pa.RecordBatch:
+        slot = np.unique(np.concatenate(keys))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), batch)), pa.array(slot.view(np.int64))], ["batch", "slot"])
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, keys, size = there.value, {}, 0
@@ -222,54 +252,77 @@ def _questions(packed: DataFrame, there: Broadcast) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 for _, _, w, h in _hashes(b["text"].slice(x, y - x)):
-                    prefix = w.prefix_hashes(PREFIX)
-                    k1 = np.concatenate((h, prefix, _before(w, h), np.array([START])))
-                    k2 = np.concatenate((np.zeros(len(h), U), np.ones(len(h), U), h, np.zeros(1, U)))
-                    slot = _slot(k1, k2)
-                    slot, first = np.unique(slot, return_index=True)
-                    at = slot % U(FILTER)
-                    first = first[(bits[at >> U(6)] >> (at & U(63))) & U(1) > 0]
-                    keys.setdefault(int(number[x]), []).append((k1[first], k2[first]))
-                    size += len(first)
+                    slot = np.unique(np.concatenate(_keys(w, h)))
+                    slot = slot[may_hold(bits, slot)]
+                    keys.setdefault(int(number[x]), []).append(slot)
+                    size += len(slot)
                 if size > QUESTIONS:
                     yield from (ask(*x) for x in keys.items())
                     keys, size = {}, 0
         yield from (ask(*x) for x in keys.items())
 
-    return packed.select("batch", "text").mapInArrow(tasks, "batch long, k1 long, k2 long")
+    return packed.select("batch", "text").mapInArrow(tasks, "batch long, slot long")
+
+
+def _within(keys: np.ndarray, docs: np.ndarray, amount: np.ndarray) -> np.ndarray:
+    """At each word the sum of ``amount`` over the words of its document that have its key."""
+    _, inverse = np.unique(mix(keys ^ mix(docs.astype(U) + U(1))), return_inverse=True)
+    return np.bincount(inverse, weights=amount)[inverse]
 
 
 class Answers:
     """The rows of the model that a batch asked for."""
 
-    def __init__(self, t: pa.Table):
-        slot = _slot(t["k1"].to_numpy(), t["k2"].to_numpy())
-        self.slot, first = np.unique(slot, return_index=True)
-        self.values = {c: np.append(t[c].to_numpy()[first], np.nan) for c in ("x0", "x1", "back")}
+    def __init__(self, t: pa.Table, totals: Totals):
+        self.totals = totals
+        self.slot, first = np.unique(t["slot"].to_numpy().view(U), return_index=True)
+        self.values = {c: np.append(t[c].to_numpy()[first].astype(np.float64), 0.0) for c in VALUES}
 
-    def find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    def find(self, slot: np.ndarray) -> np.ndarray:
         """Row numbers; the last row for what is not there."""
-        slot = _slot(k1, k2)
         at = np.minimum(np.searchsorted(self.slot, slot), max(len(self.slot) - 1, 0))
         return np.where(self.slot[at] == slot, at, len(self.slot)) if len(self.slot) else np.zeros(len(slot), np.int64)
 
-    def ratios(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each document the mean log-ratio of its words, toxic to ordinary, and their number; 0 without words.
+    def log_ratios(self, w: Words, h: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """log P_1(w | v) / P_0(w | v) of each word.
 
-        The median of a document's log-ratios is taken off first: it is what all
-        its words share (its language, its register), not what a few say.
+        ``toxic`` is 0 or 1 for a document that is scored without its own counts, as one of that class, else -1.
         """
-        before, none = _before(w, h), np.zeros(len(h), U)
-        both = np.nan_to_num(self.values["x0"][self.find(before, h)])
-        back = np.nan_to_num(self.values["back"][self.find(before, none)], nan=1.0)
-        word, kin = self.find(h, none), self.find(w.prefix_hashes(PREFIX), none + U(1))
-        low = []
-        for x in (self.values["x0"], self.values["x1"]):
-            own = x[word]
-            # unseen in both: any value gives the ratio 1
-            low.append(np.nan_to_num(np.where(np.isnan(own), x[kin], own), nan=1.0))
-        r = np.log((both + back * low[1]) / (both + back * low[0]))
-        n = w.counts
+        pair_key, context_key, word_key, kin_key = _keys(w, h)
+        pair, context, word = self.find(pair_key), self.find(context_key), self.find(word_key)
+        none = len(self.slot)
+        symbol_key = np.where(word == none, kin_key, word_key)
+        symbol = np.where(word == none, self.find(kin_key), word)
+        v = self.values
+        n, t, s = ([v[x + c][at] for c in "01"] for x, at in (("n", pair), ("t", context), ("s", context)))
+        k, agreed = [v[f"n{c}"][symbol] for c in (0, 1)], v["s"][context]
+        docs = w.doc_of_word()
+        mine = toxic[docs] >= 0
+        if mine.any():
+            first = np.zeros(len(h))
+            first[_once(pair_key, docs)] = 1
+            kept = pair < none
+            started = _within(context_key, docs, first)
+            for c in (0, 1):
+                of = mine & (toxic[docs] == c)
+                fewer = np.where(kept, np.maximum(n[c] - DISCOUNT, 0) - np.maximum(n[c] - 1 - DISCOUNT, 0), 0)
+                s[c] = np.where(of, s[c] - _within(context_key, docs, first * fewer), s[c])
+                t[c] = np.where(of, t[c] - started, t[c])
+                k[c] = np.where(of, k[c] - _within(symbol_key, docs, first * ((n[c] == 1) | ~kept)), k[c])
+            for c in (0, 1):
+                n[c] = np.where(mine & (toxic[docs] == c) & kept, n[c] - 1, n[c])
+            n, t, s, k = ([np.maximum(x, 0) for x in y] for y in (n, t, s, k))
+        low = self.totals.low(k)
+        share = [np.maximum(n[c] - DISCOUNT, 0) / np.maximum(t[c], 1) for c in (0, 1)]
+        out = []
+        for c in (0, 1):
+            q = np.minimum(*share) + np.maximum(1 - agreed, 1e-9) * low[c]
+            out.append((np.maximum(n[c] - DISCOUNT, 0) + (t[c] - s[c] + STRENGTH) * q) / (t[c] + STRENGTH))
+        return np.log(out[1] / out[0])
+
+    def ratios(self, w: Words, h: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each document the robust mean of its log-ratios and the number of its words; 0 without words."""
+        r, n = self.log_ratios(w, h, toxic), w.counts
         some = n > 0
         ranked = r[np.lexsort((r, w.doc_of_word()))]
         middle = np.zeros(len(n))
@@ -279,23 +332,24 @@ class Answers:
         return (sums[w.at[1:]] - sums[w.at[:-1]]) / np.maximum(n, 1), n
 
 
-def ratios(docs: DataFrame, facts: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, and of each document the mean log-ratio and the number of words.
+def ratios(docs: DataFrame, facts: DataFrame, totals: Totals) -> DataFrame:
+    """doc_id, toxic, ratio and n_words of ``docs`` (doc_id, text, toxic); a document with ``toxic`` is scored without its own counts.
 
     Batches of texts ask for the rows of the model that they need; the answers are joined by key and brought to the batch.
     """
-    there = docs.sparkSession.sparkContext.broadcast(_filter(facts))
-    packed = materialize_bucketed(_packed(docs.select(*keep, "text")), "batch")
-    answers = _questions(packed, there).join(facts, ["k1", "k2"]).select("batch", "k1", "k2", "x0", "x1", "back")
+    there = docs.sparkSession.sparkContext.broadcast(bit_table(facts, "slot"))
+    packed = materialize_bucketed(_packed(docs.select("doc_id", "toxic", "text")), "batch")
+    answers = _questions(packed, there).join(facts, "slot")
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = Answers(right)
-        parts = [m.ratios(w, h) for _, _, w, h in _hashes(left["text"])]
+        m = Answers(right, totals)
+        toxic = left["toxic"].fill_null(-1).to_numpy().astype(np.int64)
+        parts = [m.ratios(w, h, toxic[lo:hi]) for lo, hi, w, h in _hashes(left["text"])]
         r = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
         n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        return pa.table([*(left[c] for c in keep), pa.array(r), pa.array(n.astype(np.int64))], names=[*keep, "ratio", "n_words"])
+        return pa.table([left["doc_id"], left["toxic"], pa.array(r), pa.array(n.astype(np.int64))], names=["doc_id", "toxic", "ratio", "n_words"])
 
-    out = docs.select(*keep).schema.add("ratio", "double").add("n_words", "long")
+    out = docs.select("doc_id", "toxic").schema.add("ratio", "double").add("n_words", "long")
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(answered, out)
 
 
@@ -320,34 +374,38 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def _sampled(train: DataFrame) -> Column:
-    """Whether a row calibrates: a fifth of the rows, ``CALIBRATION`` at most and one at least, of least hash."""
-    h = F.xxhash64("doc_id")
+def _sample(train: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the rows that calibrate: a fifth of them, ``CALIBRATION`` at most and one at least, of least hash."""
     some = min(CALIBRATION, -(-train.count() // 5))
-    return h <= F.lit(train.select(h.alias("h")).orderBy("h").limit(some).agg(F.max("h")).first()[0])
+    return train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(some)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; learns from folds 1 to 4 of the labels."""
+    spark = docs.sparkSession
     one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     one = one.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     mine = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "text")
     # one document for each text and label, found without moving texts
     same = mine.select("doc_id", F.xxhash64("text").alias("h")).join(one, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    # the labels grow with the texts, so both are shuffled; the labels' side is hashed and no text is sorted
-    train = materialize(mine.join(same.select("doc_id", "toxic").hint("shuffle_hash"), "doc_id"))
+    train = materialize(same.select("doc_id", "toxic"))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     if train.isEmpty():
         return docs.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    train = train.withColumn("sample", _sampled(train))
-    gathered = gather(train)
-    check = ratios(train.filter("sample"), model(gathered, sample=False), ["doc_id", "toxic"])
+    sample = materialize(_sample(train))  # CALIBRATION rows at most
+    # the labels grow with the texts, so both are shuffled; the labels' side is hashed and no text is sorted
+    gathered = gather(mine.join(train.hint("shuffle_hash"), "doc_id"))
+    sweep(spark)
+    facts, totals = model(gathered)
+    discard(gathered)
+    sweep(spark)
+    found = materialize(ratios(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left"), facts, totals))
+    check = found.filter(F.col("toxic").isNotNull()).dropDuplicates(["doc_id"])
     ratio, n, toxic = _columns(check.select("ratio", "n_words", "toxic"))
     w0, w1, w2 = (float(x) for x in calibrate(ratio, n.astype(float), toxic.astype(float)))
     z = w0 + w1 * F.col("ratio") * F.sqrt("n_words") + w2 * F.log1p("n_words")
     p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    out = ratios(docs, model(gathered), ["doc_id"])
-    return out.select("doc_id", held.alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", held.alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
