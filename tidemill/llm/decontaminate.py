@@ -8,12 +8,11 @@ words; and a changed word leaves a half without it.  Items of fewer than
 ``LEAST`` words are met by windows of their length, or of one word less, from
 every word on.
 
-Fingerprints.  A window's 56-bit SimHash has the bits that most of its words'
-hashes have.  The 56 counts are bytes of eight numbers, whose running sums give
+Fingerprints.  A window's SimHash of 35 bits has the bits that most of its words'
+hashes have.  The counts are bytes of ``NUMBERS`` numbers, whose running sums give
 each window by one subtraction a number, so no window is counted word by word.
 
-Candidates.  A fingerprint is cut into one block more than ``RADIUS``, 14 bits
-each; two fingerprints within the radius agree in a block, so the index of blocks
+Candidates.  A fingerprint is cut into one block more than ``RADIUS``; two fingerprints within the radius agree in a block, so the index of blocks
 finds all of them, and nothing else chooses candidates.
 
 Verification.  The passage of the item's length around a candidate is compared
@@ -39,15 +38,15 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import fresh, let, materialize, table, word_array
 
-SHINGLE, RADIUS, SIMILARITY = 5, 3, 0.8
+SHINGLE, RADIUS, SIMILARITY = 5, 1, 0.8
 #: Words between the starts of windows, and of the shortest item that these windows are sure to meet.
 STEP, LEAST = 4, 11
 #: Lengths of windows in steps.  Longer items are met by the longest.
-CLASSES = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32)
+CLASSES = (2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Steps of a text whose windows are fingerprinted together, and rows of the index that one pass looks up.
-CHUNK, BROADCAST = 256, 1 << 20
-#: Bits of a fingerprint: seven bytes, so that no sum overflows, of each of eight numbers.
-BITS, NUMBERS = 56, 8
+CHUNK, BROADCAST = 128, 1 << 20
+#: Counts are bytes of these many numbers, seven of each so that no sum overflows: so many times seven bits has a fingerprint.
+NUMBERS, BYTES = 5, 7
 _ONES, _HIGH = 0x01010101010101, 0x80808080808080
 
 
@@ -77,15 +76,16 @@ def lane(h: Column, i: int) -> Column:
 def simhash(lanes: list[Column], size: Column) -> Column:
     """The fingerprint of ``size`` hashes (255 at most) whose lanes sum to ``lanes``: bits that more than half of them have."""
     above = (F.lit(127) - F.shiftright(size, 1)).cast("long") * F.lit(_ONES)
-    bits = [F.shiftrightunsigned((s + above).bitwiseAND(F.lit(_HIGH)), NUMBERS - 1 - i) for i, s in enumerate(lanes)]
+    bits = [F.shiftrightunsigned((s + above).bitwiseAND(F.lit(_HIGH)), BYTES - i) for i, s in enumerate(lanes)]
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def block_keys(fingerprint: Column, kind: Column) -> Column:
     """The keys of a fingerprint's blocks: kind of window, number and value of the block."""
     n = RADIUS + 1
-    size = BITS // n
-    return F.array(*[(kind.cast("long") * n + i) * (1 << size) + F.shiftrightunsigned(fingerprint, size * i).bitwiseAND(F.lit((1 << size) - 1)) for i in range(n)])
+    cut = [8 * (BYTES * i // n) for i in range(n + 1)]
+    value = lambda i: F.shiftrightunsigned(fingerprint, cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1))
+    return F.array(*[(kind.cast("long") * n + i) * (1 << 40) + value(i) for i in range(n)])
 
 
 def _print_of(h: Column, start: Column, size: Column) -> Column:
