@@ -38,6 +38,7 @@ labels at all every score is 0; repeated documents are all scored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +55,8 @@ from tidemill.llm.repeats import bit_table, may_hold
 CALIBRATION = 10_000
 #: Bytes of text whose questions to the model are asked together, and keys a task holds before it asks: cost only.
 BATCH, QUESTIONS = 1 << 24, 1 << 22
+#: Parts in which pairs are counted one after the other, so that their shuffles need not be held at once: cost only.
+PARTS = 3
 #: Kinds of rows of what is counted.
 PAIR, WORD = 0, 1
 #: Stands before the first word of a document.
@@ -93,11 +96,7 @@ def _before(w: Words, h: np.ndarray) -> np.ndarray:
 
 def _once(slot: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Places of the first of each (slot, document): a text that repeats itself says it once."""
-    order = np.lexsort((docs, slot))
-    s, d = slot[order], docs[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-    return order[new]
+    return np.unique(mix(slot ^ mix(docs.astype(U) + U(1))), return_index=True)[1]
 
 
 def _by_class(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,8 +106,11 @@ def _by_class(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, both[0], both[1]
 
 
-def count(rows: DataFrame) -> DataFrame:
-    """(kind, k1, k2, c0, c1, t0, t1): documents of each class that hold a word (with its prefix) or a pair; for words also their pairs."""
+def count(rows: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(kind, k1, k2, c0, c1, t0, t1): documents of each class that hold a word (with its prefix) or a pair; for words also their pairs.
+
+    Of ``parts`` parts only the pairs whose second word falls into ``part``; words in the first.
+    """
     names = ["kind", "k1", "k2", "c0", "c1", "t0", "t1"]
 
     def rows_of(kind: int, k1: np.ndarray, k2: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
@@ -119,21 +121,21 @@ def count(rows: DataFrame) -> DataFrame:
             toxic = b["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, w, h in _hashes(b["text"]):
                 doc, before, is_toxic = w.doc_of_word(), _before(w, h), toxic[lo:hi]
-                pairs = _once(_slot(before, h), doc)
+                here = np.flatnonzero(h % U(parts) == part)
+                pairs = here[_once(_slot(before[here], h[here]), doc[here])]
                 first, c0, c1 = _by_class(_slot(before[pairs], h[pairs]), is_toxic[doc[pairs]])
                 zero = np.zeros(len(first), np.int64)
                 yield rows_of(PAIR, before[pairs][first], h[pairs][first], c0, c1, zero, zero)
-                words = _once(h, doc)
-                first, c0, c1 = _by_class(h[words], is_toxic[doc[words]])
-                zero = np.zeros(len(first), np.int64)
-                prefix = w.prefix_hashes(PREFIX)
-                yield rows_of(WORD, h[words][first], prefix[words][first], c0, c1, zero, zero)
-                prefix = np.concatenate((prefix, np.zeros(1, U)))
+                prefix = np.concatenate((w.prefix_hashes(PREFIX), np.zeros(1, U)))
                 first, c0, c1 = _by_class(before[pairs], is_toxic[doc[pairs]])
                 at = pairs[first]
-                starts = before[at] == START
                 zero = np.zeros(len(first), np.int64)
-                yield rows_of(WORD, before[at], prefix[np.where(starts, len(prefix) - 1, at - 1)], zero, zero, c0, c1)
+                yield rows_of(WORD, before[at], prefix[np.where(before[at] == START, len(prefix) - 1, at - 1)], zero, zero, c0, c1)
+                if part == 0:
+                    words = _once(h, doc)
+                    first, c0, c1 = _by_class(h[words], is_toxic[doc[words]])
+                    zero = np.zeros(len(first), np.int64)
+                    yield rows_of(WORD, h[words][first], prefix[words][first], c0, c1, zero, zero)
 
     counts = rows.select("text", "toxic").mapInArrow(tasks, "kind int, k1 long, k2 long, c0 long, c1 long, t0 long, t1 long")
     return counts.groupBy("kind", "k1", "k2").agg(*(F.sum(c).alias(c) for c in names[3:]))
@@ -158,7 +160,17 @@ def gather(rows: DataFrame) -> DataFrame:
     ]
     each = F.filter(F.array(*(F.when(when, f) for when, f in facts)), lambda f: f.isNotNull())
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in types if c != "prefix"]
-    return materialize(count(rows).select(F.explode(each).alias("f")).select("f.*").groupBy("kind", "k1", "k2").agg(*sums, F.max("prefix").alias("prefix")))
+
+    def summed(counted: DataFrame) -> DataFrame:
+        return materialize(counted.groupBy("kind", "k1", "k2").agg(*sums, F.max("prefix").alias("prefix")))
+
+    found = []
+    for part in range(PARTS):
+        found.append(summed(count(rows, part, PARTS).select(F.explode(each).alias("f")).select("f.*")))
+        sweep(rows.sparkSession)
+    out = summed(reduce(DataFrame.unionByName, found))
+    discard(*found)
+    return out
 
 
 def _held(c: Column) -> Column:
@@ -393,9 +405,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if train.isEmpty():
         return docs.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     sample = materialize(_sample(train))  # CALIBRATION rows at most
-    # the labels grow with the texts, so both are shuffled; the labels' side is hashed and no text is sorted
-    gathered = gather(mine.join(train.hint("shuffle_hash"), "doc_id"))
-    sweep(spark)
+    # Spark broadcasts the labels' side only while it is small
+    gathered = gather(mine.join(train, "doc_id"))
     facts, totals = model(gathered)
     discard(gathered)
     sweep(spark)
