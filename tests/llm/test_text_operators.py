@@ -269,7 +269,7 @@ def test_benchmark_matches(spark):
 
 
 def _plain_print(words, hash_of):
-    bits = [i for i in range(8 * decontaminate.BYTES) if i % 8 < decontaminate.NUMBERS]
+    bits = [i for i in range(8 * decontaminate.BYTES) if i % 8 in decontaminate.BITS]
     return sum(1 << i for i in bits if 2 * sum(hash_of[w] >> i & 1 for w in words) > len(words))
 
 

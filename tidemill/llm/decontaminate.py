@@ -8,8 +8,8 @@ words; and a changed word leaves a half without it.  Items of fewer than
 ``LEAST`` words are met by windows of their length, or of one word less, from
 every word on.
 
-Fingerprints.  A window's SimHash of 35 bits has the bits that most of its words'
-hashes have.  The counts are bytes of ``NUMBERS`` numbers, whose running sums give
+Fingerprints.  A window's SimHash of 42 bits has the bits that most of its words'
+hashes have.  The counts are bytes of six numbers, whose running sums give
 each window by one subtraction a number, so no window is counted word by word.
 
 Candidates.  A fingerprint is cut into one block more than ``RADIUS``; two fingerprints within the radius agree in a block, so the index of blocks
@@ -45,9 +45,10 @@ STEP, LEAST = 4, 11
 CLASSES = (2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Steps of a text whose windows are fingerprinted together, and rows of the index that one pass looks up.
 CHUNK, BROADCAST = 128, 1 << 20
-#: Counts are bytes of these many numbers, seven of each so that no sum overflows: so many times seven bits has a fingerprint.
-NUMBERS, BYTES = 5, 7
+#: Of each byte of a hash the bits that count, and how many bytes: seven, so that no sum overflows.
+BITS, BYTES = (0, 1, 2, 4, 5, 6), 7
 _ONES, _HIGH = 0x01010101010101, 0x80808080808080
+_NIBBLES, _LOW = 0x11111111111111, 0x0F0F0F0F0F0F0F
 
 
 def _words(text: Column) -> Column:
@@ -69,14 +70,14 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def lane(h: Column, i: int) -> Column:
-    """Seven bits of a hash, each eighth from bit ``i`` on, as the bytes of a number."""
+    """Each eighth bit of a hash from bit ``i`` on, as the bytes of a number."""
     return F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_ONES))
 
 
 def simhash(lanes: list[Column], size: Column) -> Column:
     """The fingerprint of ``size`` hashes (255 at most) whose lanes sum to ``lanes``: bits that more than half of them have."""
     above = (F.lit(127) - F.shiftright(size, 1)).cast("long") * F.lit(_ONES)
-    bits = [F.shiftrightunsigned((s + above).bitwiseAND(F.lit(_HIGH)), BYTES - i) for i, s in enumerate(lanes)]
+    bits = [F.shiftrightunsigned((s + above).bitwiseAND(F.lit(_HIGH)), BYTES - i) for i, s in zip(BITS, lanes, strict=True)]
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
@@ -91,7 +92,7 @@ def block_keys(fingerprint: Column, kind: Column) -> Column:
 def _print_of(h: Column, start: Column, size: Column) -> Column:
     """The fingerprint of ``size`` hashes from ``start`` on."""
     add = lambda i: F.aggregate(F.slice(h, start + 1, size), F.lit(0).cast("long"), lambda a, x: a + lane(x, i))
-    return simhash([add(i) for i in range(NUMBERS)], size)
+    return simhash([add(i) for i in BITS], size)
 
 
 def index(items: DataFrame) -> DataFrame:
@@ -123,14 +124,21 @@ def windows(docs: DataFrame, kinds: list[int], longest: int) -> DataFrame:
         base = F.greatest(F.col("c") * STEP - longest, F.lit(0))
         near = F.slice("words", base + 1, F.lit((CHUNK + most) * STEP + 2 * longest))
 
+        def nibbles(i: int) -> Column:
+            """Of each step its counts of every fourth bit from ``i`` on."""
+            every = lambda j, q: F.shiftrightunsigned(F.get(F.col("hashes"), j * STEP + q), i).bitwiseAND(F.lit(_NIBBLES))
+            return F.transform(F.sequence(F.col("c"), F.col("c") + size - 1), lambda j: reduce(lambda a, b: a + b, [every(j, q) for q in range(STEP)]))
+
         def sums(i: int) -> Column:
-            step = lambda j: reduce(Column.__add__, [lane(F.get(F.col("hashes"), j * STEP + q), i) for q in range(STEP)])
-            return F.aggregate(F.sequence(F.col("c"), F.col("c") + size - 1), F.array(F.lit(0).cast("long")), lambda a, j: F.array_append(a, F.element_at(a, -1) + step(j)))
+            count = lambda x: (x if i < 4 else F.shiftrightunsigned(x, 4)).bitwiseAND(F.lit(_LOW))
+            return F.aggregate(F.col(f"n{i % 4}"), F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + count(x)))
 
-        rows = rows.select("doc_id", "h", "n", "c", size.alias("size"), base.alias("base"), near.alias("near"), *[sums(i).alias(f"s{i}") for i in range(NUMBERS)])
+        around = ["doc_id", "h", "n", "c", "size", "base", "near"]
+        rows = rows.select("doc_id", "h", "n", "c", size.alias("size"), base.alias("base"), near.alias("near"), *[nibbles(i).alias(f"n{i}") for i in BITS if i < 4])
+        rows = rows.select(*around, *[sums(i).alias(f"s{i}") for i in BITS])
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK - 1), F.col("size") - least))))
         rows = rows.withColumn("kind", F.explode(F.array(*map(F.lit, classes)))).filter(F.col("j") + F.col("kind") <= F.col("size"))
-        part = [F.get(f"s{i}", F.col("j") + F.col("kind")) - F.get(f"s{i}", F.col("j")) for i in range(NUMBERS)]
+        part = [F.get(f"s{i}", F.col("j") + F.col("kind")) - F.get(f"s{i}", F.col("j")) for i in BITS]
         out.append(rows.select("doc_id", "h", "n", "base", "near", "kind", ((F.col("c") + F.col("j")) * STEP).alias("at"), simhash(part, F.col("kind") * STEP).alias("p")))
     if short:
         rows = words.filter("n > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("kind", F.explode(F.array(*map(F.lit, short))))
