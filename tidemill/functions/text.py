@@ -97,3 +97,33 @@ def version_array(text: Column) -> Column:
 def retry_delay(message: Column) -> Column:
     """Seconds named by ``retry in <n>s``, else null."""
     return F.nullif(F.regexp_extract(message, r"(?i)retry in (\d+(?:\.\d+)?)s", 1), F.lit("")).cast("double")
+
+
+def line_of(text: Column, what: Column) -> Column:
+    """The number of the line on which ``what`` first stands."""
+    before = F.split_part(text, what, F.lit(1))
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def without_prefix(text: Column, pattern: str) -> Column:
+    """``text`` without what fits the pattern at its beginning, once."""
+    return F.regexp_replace(text, f"^(?:{pattern})", "")
+
+
+def last_json_line(text: Column) -> Column:
+    """The last line that is a JSON object; null if none is."""
+    good = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x).startswith("{") & F.try_parse_json(x).isNotNull())
+    return F.try_element_at(good, F.lit(-1))
+
+
+def match_starts(text: Column, literal: str) -> Column:
+    """Where each match of a literal begins, from 0."""
+    parts = F.split(text, "\\Q" + literal + "\\E", -1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + len(literal)).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), zero, step, lambda a: a["out"])
+
+
+def stem(path: Column) -> Column:
+    """The name of a file without folder and suffix."""
+    return F.regexp_extract(path, "([^/.]+)(?:[.][a-z]+)?/?$", 1)

@@ -72,12 +72,13 @@ def lookup(usages: DataFrame, rules: DataFrame) -> DataFrame:
 def first_contained(lines: DataFrame, rules: DataFrame, line: str = "line_text", prefix: bool = False) -> DataFrame:
     """Of each line the first rule (by ord) whose key it holds, or begins with; lines that fit none are dropped.
 
-    ``rules`` (ord, key, replacement) is a dimension of a few rows.
+    ``rules`` (ord, key, replacement) is a dimension of a few rows; it is looked up in the row, so lines are neither joined nor shuffled.
     """
-    fits = F.col(line).startswith(F.col("key")) if prefix else F.contains(F.col(line), F.col("key"))
-    keys = [c for c in lines.columns]
-    best = lines.join(F.broadcast(rules), fits).groupBy(*keys).agg(F.min(F.struct("ord", "key", "replacement")).alias("_r"))
-    return best.select(*keys, "_r.key", "_r.replacement")
+    few = sorted((r.ord, r.key, r.replacement) for r in rules.select("ord", "key", "replacement").collect())
+    listed = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("replacement")) for _, k, v in few])
+    fits = F.startswith if prefix else F.contains
+    best = F.get(F.filter(listed, lambda r: fits(F.col(line), r["key"])), F.lit(0))
+    return lines.withColumn("_r", best).filter("_r is not null").select(*lines.columns, "_r.key", "_r.replacement")
 
 
 def replace_in_order(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -170,3 +171,35 @@ def greedy_budget(chunks: DataFrame, group: list[str], order: str, tokens: str,
 
     values = {"_o": F.col(order), "_t": F.col(tokens).cast("long")}
     return in_order(chunks, group, values, run, f"{types(chunks, group)}, used long, taken long")
+
+
+def budget_until_misfit(chunks: DataFrame, group: list[str], order: str, tokens: str, budget: int) -> DataFrame:
+    """Take chunks in order up to the first that does not fit: one ordered fold a group, with three values held."""
+
+    def run(rows):
+        at = None
+        for g, (_, t) in rows:
+            if g != at:
+                if at is not None:
+                    yield (*at, used, taken)
+                at, used, taken, full = g, 0, 0, False
+            if not full and t is not None:
+                full = used + t > budget
+                used, taken = (used, taken) if full else (used + t, taken + 1)
+        if at is not None:
+            yield (*at, used, taken)
+
+    values = {"_o": F.col(order), "_t": F.col(tokens).cast("long")}
+    return in_order(chunks, group, values, run, f"{types(chunks, group)}, used long, taken long")
+
+
+def rule_confidence(rule: Column, known: dict[str, float], sign: str) -> Column:
+    """The confidence of a rule by its name: what the table says, 1 with the sign of a replacement, else 0.9."""
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, rule), F.when(F.contains(rule, F.lit(sign)), 1.0), F.lit(0.9))
+
+
+def decided(edits: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
+    """``edits`` with ``final``: a rejected edit keeps its line; without a decision an edit is accepted."""
+    out = edits.join(decisions, key, "left").withColumn("decision", F.coalesce("decision", F.lit("accept")))
+    return out.withColumn("final", F.when(F.col("decision") == "reject", F.col("line_text")).otherwise(F.col("new_text")))

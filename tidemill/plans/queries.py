@@ -448,17 +448,20 @@ def dedupe_keep_first(spark, d):
     return dataset.keep_first(t(spark, d, "documents").select(F.md5("text").alias("text_key"), "doc_id"), "text_key", "doc_id")
 
 
-@query("SELECT k, v FROM (VALUES ('a', 'new'), ('b', 'old'), ('c', 'new')) AS x(k, v)")
+@query("""SELECT k, arg_max(v, src) AS v FROM (SELECT l_partkey AS k, 0 AS src, 'old' AS v FROM lineitem UNION ALL SELECT p_partkey, 1, 'new' FROM part WHERE p_size % 2 = 0) GROUP BY k""")
 def last_wins_merge(spark, d):
-    a = spark.createDataFrame([("a", "old"), ("b", "old")], "k string, v string")
-    b = spark.createDataFrame([("a", "new"), ("c", "new")], "k string, v string")
+    a = t(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.lit("old").alias("v")).distinct()
+    b = t(spark, d, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("k"), F.lit("new").alias("v"))
     return dataset.last_wins([a, b], "k")
 
 
-@query("SELECT symbol FROM (VALUES ('cudaA'), ('cudaB')) AS x(symbol)")
+@query("""WITH n AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'needs ROCm ' || (p_size % 7) || '.' || (p_size % 13) || '+' END AS notes FROM part),
+v AS (SELECT *, try_cast(regexp_extract(notes, 'ROCm ([0-9]+)', 1) AS INT) AS major, try_cast(regexp_extract(notes, 'ROCm [0-9]+[.]([0-9]+)', 1) AS INT) AS minor FROM n)
+SELECT p_partkey FROM v WHERE notes = '' OR major < 5 OR (major = 5 AND minor <= 10)""")
 def version_filter(spark, d):
-    r = spark.createDataFrame([("cudaA", ""), ("cudaB", "ROCm 5.5+"), ("cudaC", "needs ROCm 6.0+"), ("cudaD", "ROCm 10+")], "symbol string, notes string")
-    return rl.for_version(r, "5.10").select("symbol")
+    size = F.col("p_size")
+    notes = F.when(size % 3 == 0, "").otherwise(F.concat(F.lit("needs ROCm "), (size % 7).cast("string"), F.lit("."), (size % 13).cast("string"), F.lit("+")))
+    return rl.for_version(t(spark, d, "part").select("p_partkey", notes.alias("notes")), "5.10").select("p_partkey")
 
 
 @query("""WITH n AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS at, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
@@ -533,6 +536,9 @@ def reassembled_chunks(spark, d):
     return syntax.reassembled(syntax.chunks(snippets(spark), 40))
 
 
+from tidemill.plans import table_queries  # noqa: E402, F401  adds to QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
