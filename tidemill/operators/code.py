@@ -129,16 +129,20 @@ def reason_confidence(reason: Column) -> Column:
     )
 
 
-def scores(scored: DataFrame, key: str) -> DataFrame:
-    """Counts by bucket and the mean confidence of each key."""
+def scores(scored: DataFrame, key: str, files: DataFrame | None = None) -> DataFrame:
+    """Counts by bucket and the mean confidence of each key; a key of ``files`` without changes has the mean 1."""
     b = bucket(F.col("confidence"))
-    return scored.groupBy(key).agg(
+    out = scored.groupBy(key).agg(
         F.count_if(b == "high").alias("high"),
         F.count_if(b == "needs_review").alias("needs_review"),
         F.count_if(b == "low").alias("low"),
         F.count(F.lit(1)).alias("total"),
-        F.coalesce(F.avg("confidence"), F.lit(1.0)).alias("score"),
+        F.avg("confidence").alias("score"),
     )
+    if files is not None:
+        out = files.select(key).distinct().join(out, key, "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("high", "needs_review", "low", "total")}
+    return out.withColumns({**zero, "score": F.coalesce("score", F.lit(1.0))})
 
 
 def checklist(scored: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import checks, reports
 from tidemill.functions import text as tx
-from tidemill.operators import code, dataset, project
+from tidemill.operators import code, dataset, migrate, project
 from tidemill.plans.queries import LINES, VALUES, WORD_RULES, doc_lines, query, t, word_rules
 
 KEYS = [k for _, k, _, _ in WORD_RULES]
@@ -279,3 +279,15 @@ def file_stems(spark, d):
     path = F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
     rows = t(spark, d, "pages").select("page_id", tx.stem(path).alias("stem"))
     return rows.groupBy("stem").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH l AS ({LINES}), h AS (SELECT doc_id, line, ord, confidence FROM l JOIN {VALUES} ON contains(line_text, key)),
+a AS (SELECT doc_id, line, min(ord) FILTER (confidence >= 1) AS done FROM h GROUP BY ALL)
+SELECT doc_id, count(DISTINCT CASE WHEN done IS NOT NULL THEN line END) AS applied, count_if(confidence < 1 AND (done IS NULL OR ord < done)) AS remaining FROM h JOIN a USING (doc_id, line) GROUP BY doc_id""")
+def migrated_documents(spark, d):
+    lines = doc_lines(spark, d).withColumnRenamed("doc_id", "path")
+    hits = lines.join(F.broadcast(word_rules(spark)), F.contains("line_text", F.col("key")))
+    usages = hits.select("path", "line", "ord", F.lit("api_call").alias("category"), F.col("key").alias("symbol"), F.lit(False).alias("false_positive"))
+    _, applied, remaining = migrate.migrated(lines, usages, word_rules(spark).withColumnRenamed("key", "symbol"))
+    counts = applied.select("path", F.lit(1).alias("a"), F.lit(0).alias("r")).unionByName(remaining.select("path", F.lit(0).alias("a"), F.lit(1).alias("r")))
+    return counts.groupBy(F.col("path").alias("doc_id")).agg(F.sum("a").alias("applied"), F.sum("r").alias("remaining"))
