@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,17 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.concat_ws(",", F.array_sort(F.collect_set("src"))).alias("dependents"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir``; without that setting to one of this machine, while Spark runs in one process."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tidemill-"))
+    return df.checkpoint()
+
+
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, level): 0 without dependencies, else one above the highest dependency; -1 in or above a cycle.
 
@@ -24,7 +36,7 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     for level in count(1):
         done = edges.join(placed.select(F.col("module").alias("dst"), F.lit(1).alias("ok")), "dst", "left")
         ready = done.groupBy("src").agg(F.min(F.coalesce("ok", F.lit(0))).alias("ok")).filter("ok = 1").select(F.col("src").alias("module"))
-        new = ready.join(placed, "module", "left_anti").select("module", F.lit(level).alias("level")).checkpoint()
+        new = checkpointed(ready.join(placed, "module", "left_anti").select("module", F.lit(level).alias("level")))
         if new.isEmpty():
             break
         placed = placed.unionByName(new)

@@ -481,19 +481,31 @@ def qa_generate(spark, d):
     return q.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.get("conversations", F.lit(1))["content"]).alias("answer"))
 
 
-EDGES = [("app", "core"), ("app", "util"), ("core", "util"), ("cli", "app"), ("x", "y"), ("y", "x"), ("z", "x"), ("app", "os")]
-MODULES = ["app", "core", "util", "cli", "x", "y", "z"]
+#: Each supplier depends on those of half and of a third of its number; one in twenty also on itself plus one, which closes a cycle.
+EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier UNION ALL SELECT s_suppkey, s_suppkey // 3 FROM supplier
+ UNION ALL SELECT s_suppkey // 2, s_suppkey FROM supplier WHERE s_suppkey % 20 = 19) WHERE src <> dst AND dst IN (SELECT s_suppkey FROM supplier) AND src IN (SELECT s_suppkey FROM supplier))"""
 
 
-@query("SELECT module, level::BIGINT AS level FROM (VALUES ('app', 2), ('core', 1), ('util', 0), ('cli', 3), ('x', -1), ('y', -1), ('z', -1)) AS v(module, level)")
+def supplier_edges(spark, d):
+    s = t(spark, d, "supplier").select("s_suppkey")
+    to = lambda n: F.floor(F.col("s_suppkey") / n).cast("long")
+    e = s.select(F.col("s_suppkey").alias("src"), to(2).alias("dst")).unionByName(s.select(F.col("s_suppkey").alias("src"), to(3).alias("dst")))
+    e = e.unionByName(s.filter("s_suppkey % 20 = 19").select(to(2).alias("src"), F.col("s_suppkey").alias("dst"))).distinct().filter("src <> dst")
+    known = s.select(F.col("s_suppkey").alias("k"))
+    return e.join(known, F.col("dst") == F.col("k"), "left_semi").join(known, F.col("src") == F.col("k"), "left_semi")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT src AS a, dst AS b FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON c.b = e.src),
+bad AS (SELECT DISTINCT a AS module FROM c WHERE b IN (SELECT a FROM c AS x WHERE x.a = x.b) UNION SELECT a FROM c WHERE a = b),
+r AS (SELECT s_suppkey AS module, 0 AS level FROM supplier WHERE s_suppkey NOT IN (SELECT src FROM e) UNION SELECT e.src, r.level + 1 FROM r JOIN e ON e.dst = r.module WHERE e.src NOT IN (SELECT module FROM bad))
+SELECT s_suppkey AS module, CASE WHEN s_suppkey IN (SELECT module FROM bad) THEN -1 ELSE (SELECT max(level) FROM r WHERE module = s_suppkey) END::BIGINT AS level FROM supplier""")
 def topo_levels(spark, d):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tidemill-checkpoints")
-    return graph.levels(spark.createDataFrame([(m,) for m in MODULES], "module string"), spark.createDataFrame(EDGES, "src string, dst string"))
+    return graph.levels(t(spark, d, "supplier").select(F.col("s_suppkey").alias("module")), supplier_edges(spark, d))
 
 
-@query("SELECT dst, string_agg(src, ',' ORDER BY src) AS dependents FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") AS e(src, dst) GROUP BY dst")
+@query(f"WITH {EDGES} SELECT dst, string_agg(src::VARCHAR, ',' ORDER BY src::VARCHAR) AS dependents FROM e GROUP BY dst")
 def dependents(spark, d):
-    return graph.dependents(spark.createDataFrame(EDGES, "src string, dst string"))
+    return graph.dependents(supplier_edges(spark, d).select("dst", F.col("src").cast("string").alias("src")))
 
 
 @query("""WITH e AS (SELECT user_id, list(epoch_us(ts) ORDER BY epoch_us(ts), event_id) AS ts FROM events GROUP BY user_id)
