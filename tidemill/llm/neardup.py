@@ -33,8 +33,9 @@ difference of x and r, and x, y a link that is not inside a component.  As
 * if x is linked with r, y is not, and |D(x) & D(y)| > t / (1 + t) |D(x)|.
 
 So x and y share a token of those prefixes of D(x) and D(y), ordered alike: first
-what r lacks, as this is rarer, then what it has.  (reference, token) is the next
-round's key.  Of two classes that share it, sizes tell how many tokens of each
+what r lacks, then what it has.  What r lacks is ordered by how many differences hold
+it; tokens of one difference, or of one component, come first and are never indexed.
+(reference, token) is the next round's key.  Of two classes that share it, sizes tell how many tokens of each
 difference the other may lack, and the first shared one can't stand behind more of
 them than that.  What near copies of
 one text share cancels out, so the keys are rare ones; after ``ROUNDS`` rounds all
@@ -58,6 +59,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -195,7 +197,8 @@ def token_sets(docs: DataFrame, n: int) -> DataFrame:
 def compared(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], differences: bool = False) -> DataFrame:
     """(hub, v, linked) of ``pairs`` (hub, v): whether their similarity is ``t`` or more; only links, unless with ``differences``.
 
-    With ``differences`` also the size of v, ``d``, how many tokens one of both lacks, and ``apart``, those of them that are indexed, in order.
+    With ``differences`` also the size of v, ``d``, how many tokens one of both lacks, ``length``, how many of them may be indexed,
+    ``more``, those that the hub lacks, and ``less``, as many of those that it has as ``length`` leaves room for, in order.
     Every task holds one hub's set and streams what is compared with it.  A hub
     with many candidates is copied to as many tasks as it needs.
     """
@@ -209,7 +212,7 @@ def compared(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], differences:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, np.zeros(0, U)
         for b in batches:
-            hubs, vs, links, sizes, ds, apart = [], [], [], [], [], []
+            hubs, vs, links, sizes, ds, lengths, more, less = [], [], [], [], [], [], [], []
             for hub, own, v, tokens in zip(b["hub"].to_pylist(), b["own"].to_pylist(), b["v"].to_pylist(), b["tokens"], strict=True):
                 theirs = np.frombuffer(tokens.as_buffer(), U)
                 if own == 0:
@@ -226,17 +229,20 @@ def compared(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], differences:
                         links.append(linked)
                         if differences:
                             length = d - d * num // (num + den) if linked else len(theirs) * (den - num) // num + 1
-                            unlike = [np.setdiff1d(x, y, assume_unique=True) for x, y in ((theirs, mine), (mine, theirs))]
+                            only = np.setdiff1d(theirs, mine, assume_unique=True)
+                            room = max(length - len(only), 0)
                             sizes.append(len(theirs))
                             ds.append(d)
-                            apart.append(np.concatenate(unlike)[:length].view(np.int64))
+                            lengths.append(length)
+                            more.append(only.view(np.int64))
+                            less.append(np.setdiff1d(mine, theirs, assume_unique=True)[:room].view(np.int64))
             out = [pa.array(hubs, pa.int64()), pa.array(vs, pa.int64()), pa.array(links, pa.bool_())]
             if differences:
-                out += [pa.array(sizes, pa.int32()), pa.array(ds, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
+                out += [pa.array(sizes, pa.int32()), pa.array(ds, pa.int32()), pa.array(lengths, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (more, less))]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    names = ["hub", "v", "linked", "size", "d", "apart"] if differences else ["hub", "v", "linked"]
-    return rows.mapInArrow(tasks, "hub long, v long, linked boolean" + (", size int, d int, apart array<long>" if differences else ""))
+    names = ["hub", "v", "linked", "size", "d", "length", "more", "less"] if differences else ["hub", "v", "linked"]
+    return rows.mapInArrow(tasks, "hub long, v long, linked boolean" + (", size int, d int, length int, more array<long>, less array<long>" if differences else ""))
 
 
 def _like(a, b, t: tuple[int, int]) -> Column:
@@ -293,8 +299,17 @@ def with_references(groups: DataFrame) -> DataFrame:
 
 def difference_keys(seen: DataFrame, roots: DataFrame) -> DataFrame:
     """The next (key, v, size, need, root, place, d) of what ``compared`` says of references and classes."""
-    rows = seen.join(roots, seen["v"] == roots["node"], "left").select("hub", "v", "size", F.coalesce("root", "v").alias("root"), "d", F.posexplode("apart").alias("place", "token"))
-    return rows.select(F.xxhash64("hub", "token").alias("key"), "v", "size", F.lit(1).alias("need"), "root", (F.col("place") + 1).alias("place"), "d")
+    rows = seen.join(roots, seen["v"] == roots["node"], "left").select("hub", "v", "size", F.coalesce("root", "v").alias("root"), "d", "length", "more", "less")
+    each = rows.select("hub", "v", "size", "root", "d", "length", F.size("more").alias("n"), F.explode("more").alias("token"))
+    held = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("hub", "token", "c")
+    own = W.partitionBy("hub", "v")  # the tokens of one class
+    each = each.join(held, ["hub", "token"])
+    before = F.col("n") - F.count(F.lit(1)).over(own)  # tokens that are never indexed
+    each = each.withColumn("place", (before + F.row_number().over(own.orderBy("c", "token"))).cast("int")).filter("place <= length")
+    last = rows.select("hub", "v", "size", "root", "d", F.size("more").alias("n"), F.posexplode("less").alias("i", "token")).withColumn("place", F.col("n") + F.col("i") + 1)
+    columns = ["hub", "v", "size", "root", "d", "token", "place"]
+    both = each.select(*columns).unionByName(last.select(*columns))
+    return both.select(F.xxhash64("hub", "token").alias("key"), "v", "size", F.lit(1).alias("need"), "root", "place", "d")
 
 
 def _mixed(groups: DataFrame) -> DataFrame:
