@@ -226,6 +226,9 @@ def test_quality_rejects_shouting_and_keeps_prose(spark):
     kept = {r.doc_id for r in quality.judged(quality.with_features(docs)).filter("kept").select("doc_id").collect()}
     assert kept >= {d for d, t, _ in prose if not _base_failed(t)} and 99 not in kept
     assert quality.quality_filter(docs.limit(0)).collect() == []
+    named = docs.withColumn("kept", docs["doc_id"] - 1).withColumn("q_words", docs["lang"]).withColumn("class_distance", docs["doc_id"])
+    left = quality.quality_filter(named)
+    assert left.columns == named.columns and {(r.doc_id, r.kept + 1, r.q_words, r.class_distance) for r in left.collect()} == {(d, d, "en", d) for d in kept}
 
 
 def _base_failed(t: str) -> bool:

@@ -127,8 +127,9 @@ def judged(features: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
-    return judged(materialize(with_features(docs))).filter("kept").select(*docs.columns)
+    """The documents that are kept, with the columns they came with, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("q_row"), "text", "lang")
+    return judged(materialize(with_features(rows).drop("text", "lang"))).filter("kept").select("q_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
