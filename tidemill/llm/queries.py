@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, decontaminate, doubling, mixing, neardup, pii, quality, suffixes, toxicity, urls
+from tidemill.llm import audit, chat, decontaminate, doubling, mixing, neardup, pii, quality, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_feistel_pii": pii.op8_feistel_pii,
         "op9_level_doubling": doubling.op9_level_doubling,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_filter_audit": audit.op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.OP10_SQL}
+    return {"op10_chat_format": chat.OP10_SQL, "op11_filter_audit": audit.OP11_SQL}
