@@ -26,6 +26,7 @@ rows; other columns are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
@@ -123,10 +124,11 @@ def interactions(counters: DataFrame, names: str) -> DataFrame:
     for order in permutations(range(len(names))):
         before = 0
         for step, bit in enumerate(order, 1):
-            steps.append(F.struct(F.lit("".join(names[i] for i in order)).alias("filter_order"), F.lit(step).alias("step"), F.lit(before).alias("before"), F.lit(1 << bit).alias("bit")))
+            steps.append({"filter_order": "".join(names[i] for i in order), "step": step, "before": before, "bit": 1 << bit})
             before |= 1 << bit
+    listed = F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order string, step int, before int, bit int>>")
     cells = F.collect_list(F.struct("mask", "n", "good", "toxic"))  # a part has at most 2 ** len(names)
-    rows = counters.groupBy("part").agg(cells.alias("cells")).select("part", "cells", F.explode(F.array(*steps)).alias("s"))
+    rows = counters.groupBy("part").agg(cells.alias("cells")).select("part", "cells", F.explode(listed).alias("s"))
 
     def total(condition, value=lambda x: x["n"]) -> Column:
         return F.aggregate(F.filter("cells", lambda x: condition(x["mask"])), F.lit(0).cast("long"), lambda s, x: s + value(x))
