@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import audit, chat, decontaminate, doubling, mixing, neardup, pii, quality, suffixes, toxicity, urls
+from tidemill.llm import audit, chat, decontaminate, doubling, licenses, mixing, neardup, pii, quality, search, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,10 @@ def queries() -> dict[str, Query]:
         "op9_level_doubling": doubling.op9_level_doubling,
         "op10_chat_format": chat.op10_chat_format,
         "op11_filter_audit": audit.op11_filter_audit,
+        "op12_license_signatures": licenses.op12_license_signatures,
+        "op12_license_signatures": licenses.OP12_SQL, "op13_threshold_search": search.op13_threshold_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.OP10_SQL, "op11_filter_audit": audit.OP11_SQL}
+    return {"op10_chat_format": chat.OP10_SQL, "op11_filter_audit": audit.OP11_SQL, "op12_license_signatures": licenses.OP12_SQL, "op13_threshold_search": search.OP13_SQL}
