@@ -68,7 +68,7 @@ RULES = (
     ("gpl", 2, "gpl", r"gpl licen[cs]ed?"),
     ("gpl", 2, "gpl", r"(?:licensed|released|distributed|available) under (?:the )?gpl"),
     ("gpl", 1, "redistribute", r"(?:you can|you may) redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", 1, "franklin", r"write to the free software foundation inc (?:51|59) (?:franklin street|temple place)(?: \S+){0,4} (?:boston|ma)"),
+    ("gpl", 1, "foundation", r"write to the free software foundation inc (?:51|59) (?:franklin street|temple place)(?: \S+){0,4} (?:boston|ma)"),
     ("gpl", 1, "general", r"you should have received a copy of the gnu general public license along with this program"),
     ("gpl", 1, "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
     ("classpath-exception", 3, "classpath", r"(?:gpl|gnu general public license)(?: \S+){0,4} with (?:the )?classpath exception"),
@@ -254,13 +254,15 @@ RULES = (
     ("commons-clause", 3, "clause", r"commons clause(?: licen[cs]e)?(?: condition)?(?: v?1 0)?"),
     ("polyform", 3, "polyform", r"polyform (?:noncommercial|perimeter|shield|small business|strict|free trial)(?: licen[cs]e)?(?: 1 0 0)?"),
     ("eula", 3, "licen", r"end user licen[cs]e agreement"),
-    ("proprietary", 3, "proprietary", r"(?:proprietary|commercial) licen[cs]e(?: agreement)?"),
+    ("proprietary", 3, "proprietary", r"proprietary licen[cs]e(?: agreement)?"),
+    ("proprietary", 3, "commercial", r"commercial licen[cs]e(?: agreement)?"),
     ("proprietary", 3, "confidential", r"(?:proprietary and confidential|confidential and proprietary)(?: information)?"),
     ("proprietary", 2, "reserved", r"all rights reserved"),
     ("proprietary", 2, "written", r"(?:without|except with) the (?:prior )?(?:express )?(?:prior )?written (?:permission|consent) of"),
     ("non-commercial", 2, "commercial", r"(?:for|to) (?:personal )?(?:and )?non ?commercial (?:use|purposes)(?: only)?"),
     ("research-only", 2, "research", r"for (?:academic and )?research (?:use|purposes) only"),
-    ("proprietary", 1, "reverse", r"(?:may|shall) not (?:copy modify |copy |modify )?(?:reverse engineer|decompile or disassemble|disassemble)"),
+    ("proprietary", 1, "reverse", r"(?:may|shall) not (?:copy modify |copy |modify )?reverse engineer"),
+    ("proprietary", 1, "disassemble", r"(?:may|shall) not (?:copy modify |copy |modify )?(?:reverse engineer )?(?:decompile or )?disassemble"),
     # public domain, notices and hints without a license's name
     ("public-domain", 3, "domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("public-domain", 3, "domain", r"public domain dedication"),

@@ -25,9 +25,14 @@ def queries() -> dict[str, Query]:
         "op10_chat_format": chat.op10_chat_format,
         "op11_filter_audit": audit.op11_filter_audit,
         "op12_license_signatures": licenses.op12_license_signatures,
-        "op12_license_signatures": licenses.OP12_SQL, "op13_threshold_search": search.op13_threshold_search,
+        "op13_threshold_search": search.op13_threshold_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.OP10_SQL, "op11_filter_audit": audit.OP11_SQL, "op12_license_signatures": licenses.OP12_SQL, "op13_threshold_search": search.OP13_SQL}
+    return {
+        "op10_chat_format": chat.OP10_SQL,
+        "op11_filter_audit": audit.OP11_SQL,
+        "op12_license_signatures": licenses.OP12_SQL,
+        "op13_threshold_search": search.OP13_SQL,
+    }
