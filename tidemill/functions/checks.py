@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import uncommented
 
-OUTPUTS = ("text", "json", "html")
+#: The formats of reports.
+OUTPUTS = ("diff", "json", "markdown", "patch")
 
 
 def require_version(version: str) -> str:

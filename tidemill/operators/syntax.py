@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Parts of module names that mark an import, in ``import`` and in ``from`` statements.
 VENDOR_IMPORTS, VENDOR_FROM = ("pycuda", "cupy", "tensorrt", "cuda"), ("pycuda", "cupy", "tensorrt", "apex")
 #: Environment variables that are tagged as whole strings.
 VARIABLES = ("CUDA_VISIBLE_DEVICES", "CUDA_LAUNCH_BLOCKING", "CUDA_DEVICE_ORDER")
 
+#: What a file that has no syntax tree raises; the last two come from deep nesting.
+UNPARSABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
+
 
 def _dotted(node: ast.AST) -> str:
     parts = []
@@ -48,7 +52,7 @@ def usages(files: DataFrame) -> DataFrame:
             for path, text in zip(f.path, f.text, strict=True):
                 try:
                     tree = ast.parse(text or "")
-                except (SyntaxError, ValueError):
+                except UNPARSABLE:
                     continue
                 out += [(path, n.lineno, n.col_offset, c, s) for n in ast.walk(tree) for c, s in _usages(n)]
             yield pd.DataFrame(out, columns=["path", "line", "col", "category", "symbol"])
@@ -65,7 +69,7 @@ def imports(files: DataFrame) -> DataFrame:
             for module, package, text in zip(f.module, f.package, f.text, strict=True):
                 try:
                     tree = ast.parse(text or "")
-                except (SyntaxError, ValueError):
+                except UNPARSABLE:
                     continue
                 for n in ast.walk(tree):
                     if isinstance(n, ast.Import):
@@ -91,7 +95,7 @@ def chunks(files: DataFrame, most: int = 4000) -> DataFrame:
                 lines = (text or "").split("\n")
                 try:
                     body = ast.parse(text or "").body
-                except (SyntaxError, ValueError):
+                except UNPARSABLE:
                     body = []
                 spans, at = [], 1
                 for n in body:
