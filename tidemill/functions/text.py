@@ -18,6 +18,9 @@ COPY_SUFFIXES = (
 COPY_SUFFIX = f"(?:{'|'.join(COPY_SUFFIXES)})+$"
 LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]"
 
+#: The place behind a line end.
+AFTER_LINE = r"(?<=[\n\u000B\u000C\u001C-\u001E\u0085\u2028\u2029])|(?<=\r)(?!\n)"
+
 
 def normalize_text(c: Column) -> Column:
     """Trimmed, lower case, words joined by single underscores."""
@@ -127,3 +130,14 @@ def match_starts(text: Column, literal: str) -> Column:
 def stem(path: Column) -> Column:
     """The name of a file without folder and suffix."""
     return F.regexp_extract(path, "([^/.]+)(?:[.][a-z]+)?/?$", 1)
+
+
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def replace_first(text: Column, old: Column, new: Column) -> Column:
+    """``text`` with the first occurrence of ``old`` replaced."""
+    at = F.position(old, text)
+    return F.when(at == 0, text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text))))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import patterns
+from tidemill.operators import ccode, code, patterns
+from tidemill.plans import rules as rl
 from tidemill.plans.queries import query, t
 
 #: The words of the benchmark items, numbered in order, as a table of keys.
@@ -43,3 +44,85 @@ def leftmost_places(spark, d):
 SELECT doc_id, min(ord) AS ord FROM documents JOIN k ON contains(text, key) GROUP BY doc_id""")
 def first_of_many_rules(spark, d):
     return patterns.first_rule(t(spark, d, "documents"), item_words(spark, d, 4), ["doc_id"])
+
+
+#: A file for each document: three lines of C made from its first words, then its text.  SQL makes the rewritten file from the same words.
+W = "w AS (SELECT doc_id, text, regexp_extract_all(text, '[a-z]+') AS w FROM documents WHERE len(regexp_extract_all(text, '[a-z]+')) >= 6)"
+ARGUMENTS = ["w[1] || '<<<' || w[2] || ', ' || w[3] || '>>>(' || w[4] || ', ' || w[5] || ');'", "w[1] || ' <<<' || w[2] || ',' || w[3] || ', 16>>> ();'", "'  ' || w[1] || '<<<' || w[2] || ', ' || w[3] || ', 0, ' || w[4] || '>>>(' || w[5] || '); ' || w[6] || '();'", "w[1] || '<<<' || w[2] || '>>>(' || w[3] || ');'", "w[1] || '<<<dim3(' || w[2] || ', ' || w[3] || '), f<' || w[4] || ', 2>(' || w[5] || ')>>>(g(' || w[1] || ', [' || w[2] || ', 3]), ' || w[6] || ');'"]
+CALLS = ["'hipLaunchKernelGGL(' || w[1] || ', ' || w[2] || ', ' || w[3] || ', 0, 0, ' || w[4] || ', ' || w[5] || ');'", "'hipLaunchKernelGGL(' || w[1] || ', ' || w[2] || ', ' || w[3] || ', 16, 0);'", "'  hipLaunchKernelGGL(' || w[1] || ', ' || w[2] || ', ' || w[3] || ', 0, ' || w[4] || ', ' || w[5] || '); ' || w[6] || '();'", "w[1] || '<<<' || w[2] || '>>>(' || w[3] || ');'", "'hipLaunchKernelGGL(' || w[1] || ', dim3(' || w[2] || ', ' || w[3] || '), f<' || w[4] || ', 2>(' || w[5] || '), 0, 0, g(' || w[1] || ', [' || w[2] || ', 3]), ' || w[6] || ');'"]
+
+
+def _case(values: list[str]) -> str:
+    return f"CASE doc_id % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+HEADER = _case(["'#include <cuda_runtime.h>'", "'#  include \"cub/block/' || w[1] || '.cuh\" // ' || w[2]", "'#include <' || w[2] || '.h>'"])
+NEW_HEADER = _case(["'#include <hip/hip_runtime.h>'", "'#include <hipcub/block/' || w[1] || '.hpp> // ' || w[2]", "'#include <' || w[2] || '.h>'"])
+BODY = "'cudaStream_t ' || w[3] || '; cudaMalloc(&' || w[4] || '); cudaFoo' || w[5] || '(); cudaMalloc(' || w[1] || '); cudaSurfaceObject_t ' || w[2] || '; cub::' || w[6]"
+NEW_BODY = "'hipStream_t ' || w[3] || '; hipMalloc(&' || w[4] || '); cudaFoo' || w[5] || '(); hipMalloc(' || w[1] || '); cudaSurfaceObject_t ' || w[2] || '; hipcub::' || w[6]"
+
+
+def c_files(spark, d):
+    """(doc_id, text), made by the expressions above."""
+    words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    docs = t(spark, d, "documents").select("doc_id", "text", words.alias("w")).filter(F.size("w") >= 6)
+    parts = [F.expr(_zero_based(x)) for x in (HEADER, BODY, _case(ARGUMENTS))]
+    return docs.select("doc_id", F.concat_ws("\n", *parts, "text").alias("text"))
+
+
+def _zero_based(sql: str) -> str:
+    for i in range(1, 7):
+        sql = sql.replace(f"w[{i}]", f"get(w, {i - 1})")
+    return sql
+
+
+def c_steps():
+    return ccode.steps(rl.HEADERS, rl.CUB_HEADERS, rl.TYPES, rl.C_SYMBOLS)
+
+
+@query(f"""WITH {W}
+SELECT doc_id, {NEW_HEADER} || chr(10) || {NEW_BODY} || chr(10) || {_case(CALLS)} || chr(10) || text AS new_text,
+ CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END + 4 + CASE WHEN doc_id % 5 = 3 THEN 0 ELSE 1 END AS applied, 3 + CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END AS remaining,
+ CASE doc_id % 5 WHEN 1 THEN 0.6 WHEN 2 THEN 0.7 WHEN 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS least, CASE WHEN doc_id % 5 = 3 THEN 0.3 ELSE 0.4 END::DOUBLE AS least_left FROM w""")
+def migrated_c_files(spark, d):
+    out = ccode.migrated_files(c_files(spark, d), c_steps())
+    least = lambda c: F.array_min(F.transform(c, lambda x: x["confidence"]))
+    return out.select("doc_id", "new_text", F.size("applied").alias("applied"), F.size("remaining").alias("remaining"), least("applied").alias("least"), least("remaining").alias("least_left"))
+
+
+@query(f"""WITH {W}, c AS (SELECT doc_id, {HEADER} AS header, {NEW_HEADER} AS new_header, {BODY} AS body, {NEW_BODY} AS new_body, {_case(ARGUMENTS)} AS launch, {_case(CALLS)} AS call FROM w),
+r AS (SELECT doc_id, 1 AS line, header AS original, new_header AS replacement, 1 AS sort FROM c WHERE doc_id % 3 < 2
+ UNION ALL SELECT doc_id, 3, launch, call, 9 FROM c WHERE doc_id % 5 <> 3)
+SELECT doc_id, line, rtrim(original) AS original, rtrim(replacement) AS replacement FROM r""")
+def c_file_changes(spark, d):
+    out = ccode.migrated_files(c_files(spark, d), c_steps()).select("doc_id", F.inline("applied"))
+    return out.filter(F.startswith("rule", F.lit("Header")) | F.startswith("rule", F.lit("Kernel"))).select("doc_id", "line", "original", "replacement")
+
+
+QUOTED = "'s = \"\"\"' || chr(10) || '#include <cuda.h>' || chr(10) || {launch} || chr(10) || '\"\"\"' || chr(10) || 'cudaFree(' || w[5] || ')' || chr(10) || 't = ' || repeat(chr(39), 3) || 'cuda' || w[1] || repeat(chr(39), 3) || ' + \"\"\"cudaFree(' || w[2]"
+NEW_QUOTED = QUOTED.replace("<cuda.h>", "<hip/hip_runtime.h>")
+
+
+@query(f"""WITH {W}
+SELECT doc_id, text || chr(10) || {NEW_QUOTED.format(launch=_case(CALLS))} AS new_text, length(text) - length(replace(text, chr(10), '')) + 3 AS first_line,
+ CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 2 END AS applied FROM w""")
+def migrated_blocks(spark, d):
+    words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    docs = t(spark, d, "documents").select("doc_id", "text", words.alias("w")).filter(F.size("w") >= 6)
+    planted = F.expr(_zero_based(QUOTED.format(launch=_case(ARGUMENTS))))
+    out = ccode.migrated_blocks(docs.select("doc_id", F.concat_ws("\n", "text", planted).alias("text")), c_steps())
+    return out.select("doc_id", "new_text", F.get("applied", F.lit(0))["line"].alias("first_line"), F.size("applied").alias("applied"))
+
+
+TAGGED = "f AS (SELECT doc_id, " + " || chr(10) || ".join([HEADER, BODY, _case(ARGUMENTS), "text"]) + " AS text FROM w), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM f)"
+
+
+@query(f"""WITH {W}, {TAGGED},
+u AS (SELECT 'api_call' AS category, '<<<...>>>' AS symbol FROM l WHERE regexp_matches(s, '<<<.*?>>>')
+ UNION ALL SELECT 'api_call', unnest(regexp_extract_all(s, '\\bcub::\\w+')) FROM l
+ UNION ALL SELECT 'cuda_c_type', unnest(regexp_extract_all(s, '\\b(?:cudaStream_t|cudaSurfaceObject_t)\\b')) FROM l
+ UNION ALL SELECT 'cuda_c_header', unnest(regexp_extract_all(s, '#\\s*include\\s*[<\"][^>\"]*(?:cuda|cub/|thrust/)[^>\"]*[>\"]')) FROM l)
+SELECT category, symbol, count(*) AS n FROM u GROUP BY ALL""")
+def tagged_usages(spark, d):
+    lines = code.explode_lines(c_files(spark, d), lines=F.split("text", "\n"))
+    return code.tag_lines(lines).groupBy("category", "symbol").agg(F.count("*").alias("n"))
