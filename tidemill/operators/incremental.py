@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import cache_key
-from tidemill.operators.fold import in_order, types
+from tidemill.operators import greedy
 
 
 def changed(files: DataFrame, manifest: DataFrame, backend: str, rules: str = "") -> DataFrame:
@@ -30,17 +30,5 @@ def audit_rows(results: DataFrame) -> DataFrame:
 
 
 def debounced(events: DataFrame, group: list[str], ts: str, key: str, seconds: float = 2.0) -> DataFrame:
-    """Of the events of a group those that come ``seconds`` after the last accepted one: an ordered fold that holds one time."""
-    gap = int(seconds * 1e6)
-
-    def run(rows):
-        at, last = None, None
-        for g, (t, k) in rows:
-            if g != at:
-                at, last = g, None
-            if last is None or t - last >= gap:
-                last = t
-                yield (*g, k)
-
-    values = {"_t": F.unix_micros(F.col(ts).cast("timestamp")), "_k": F.col(key)}
-    return in_order(events, group, values, run, types(events, [*group, key]))
+    """Of the events of a group those that come ``seconds`` after the last accepted one."""
+    return greedy.debounced(events, [*group, key], ts, key, seconds, group)

@@ -548,7 +548,7 @@ def reassembled_chunks(spark, d):
     return syntax.reassembled(syntax.chunks(snippets(spark), 40))
 
 
-from tidemill.plans import table_queries, text_queries  # noqa: E402, F401  add to QUERIES
+from tidemill.plans import order_queries, table_queries, text_queries  # noqa: E402, F401  add to QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
