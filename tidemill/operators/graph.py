@@ -41,3 +41,56 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             break
         placed = placed.unionByName(new)
     return vertices.join(placed, "module", "left").select("module", F.coalesce("level", F.lit(-1)).alias("level"))
+
+
+def _grown(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(module, colour) with the greatest colour that reaches a module along the edges; a round for each step of the longest way."""
+    while True:
+        sent = edges.join(rows.select(F.col("module").alias("src"), "colour"), "src").select(F.col("dst").alias("module"), "colour")
+        best = rows.select("module", "colour", F.col("colour").alias("had")).unionByName(sent.withColumn("had", F.lit(None).cast(dict(rows.dtypes)["colour"])))
+        best = checkpointed(best.groupBy("module").agg(F.max("colour").alias("colour"), F.max("had").alias("had")))
+        rows = best.select("module", "colour")
+        if best.filter("colour <> had").isEmpty():
+            return rows
+
+
+def cycles(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(module, component): the least module of those that a module reaches and that reach it, itself included.
+
+    What no cycle reaches or what reaches no cycle is alone, which two passes of ``levels`` tell.  In the rest the greatest
+    module is spread along the edges as a colour; those of a colour from which its module can be reached are one component and
+    leave, until none are left.
+    """
+    edges = edges.select("src", "dst").filter("src <> dst").distinct()
+    within = lambda e, v: e.join(v.select(F.col("module").alias("src")), "src", "left_semi").join(v.select(F.col("module").alias("dst")), "dst", "left_semi")
+    left = vertices.select("module").distinct()
+    for flip in (False, True):
+        inner = within(edges, left).select("src", "dst")
+        turned = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if flip else inner
+        left = checkpointed(levels(left, turned).filter("level < 0").select("module"))
+    found = vertices.select("module").distinct().join(left, "module", "left_anti").select("module", F.col("module").alias("component"))
+    while not left.isEmpty():
+        inner = checkpointed(within(edges, left).select("src", "dst"))
+        colour = _grown(left.select("module", F.col("module").alias("colour")), inner)
+        same = inner.join(colour.select(F.col("module").alias("src"), F.col("colour").alias("_a")), "src").join(colour.select(F.col("module").alias("dst"), F.col("colour").alias("_b")), "dst").filter("_a = _b")
+        back = checkpointed(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reach = checkpointed(colour.filter("module = colour"))
+        edge = reach
+        while not edge.isEmpty():  # breadth first from each colour's module
+            new = edge.join(back, edge["module"] == back["src"]).select(F.col("dst").alias("module"), "colour").distinct()
+            edge = checkpointed(new.join(reach.select("module"), "module", "left_anti"))
+            reach = reach.unionByName(edge)
+        reach = checkpointed(reach)
+        least = reach.groupBy("colour").agg(F.min("module").alias("component"))
+        found = found.unionByName(reach.join(least, "colour").select("module", "component"))
+        left = checkpointed(left.join(reach.select("module"), "module", "left_anti"))
+    return checkpointed(found)
+
+
+def order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(module, component, level): sorted by level, component and module, all that a module depends on stands before it, but for its own cycle."""
+    component = cycles(vertices, edges)
+    at = lambda end: component.select(F.col("module").alias(end), F.col("component").alias(f"_{end}"))
+    between = edges.join(at("src"), "src").join(at("dst"), "dst").filter("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    placed = levels(component.select(F.col("component").alias("module")).distinct(), between)
+    return component.join(placed.select(F.col("module").alias("component"), "level"), "component").select("module", "component", "level")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import code, greedy
+from tidemill.operators import code, graph, greedy
 from tidemill.plans.queries import LINES, query, t
 
 
@@ -39,3 +39,28 @@ def merged_lines(spark, d):
     chunks = lines.select("doc_id", "line", F.floor(F.length("line_text") / 4).alias("tokens"))
     out = greedy.merged_small(chunks, ["doc_id", "line", "tokens"], ["doc_id"], ["line"], 400)
     return out.groupBy("doc_id", "segment").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("tokens").alias("tokens")).drop("segment")
+
+
+#: Suppliers as modules: trees, and cycles of two, three and more modules, some of them joined.
+CYCLIC = """e AS (SELECT DISTINCT src, dst FROM (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier UNION ALL SELECT s_suppkey // 2, s_suppkey FROM supplier WHERE s_suppkey % 20 = 19
+ UNION ALL SELECT s_suppkey // 8, s_suppkey FROM supplier WHERE s_suppkey % 30 = 17 UNION ALL SELECT s_suppkey - 1, s_suppkey FROM supplier WHERE s_suppkey % 7 = 3)
+ WHERE src <> dst AND dst IN (SELECT s_suppkey FROM supplier) AND src IN (SELECT s_suppkey FROM supplier))"""
+
+
+def cyclic_edges(spark, d):
+    s = t(spark, d, "supplier").select("s_suppkey")
+    part = lambda n: F.floor(F.col("s_suppkey") / n).cast("long")
+    key = F.col("s_suppkey")
+    e = s.select(key.alias("src"), part(2).alias("dst")).unionByName(s.filter(key % 20 == 19).select(part(2).alias("src"), key.alias("dst")))
+    e = e.unionByName(s.filter(key % 30 == 17).select(part(8).alias("src"), key.alias("dst"))).unionByName(s.filter(key % 7 == 3).select((key - 1).alias("src"), key.alias("dst")))
+    known = s.select(key.alias("k"))
+    return e.join(known, F.col("dst") == F.col("k"), "left_semi").join(known, F.col("src") == F.col("k"), "left_semi")
+
+
+@query(f"""WITH RECURSIVE {CYCLIC}, c AS (SELECT src AS a, dst AS b FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON c.b = e.src),
+p AS (SELECT s_suppkey AS module, least(s_suppkey, coalesce((SELECT min(x.b) FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a = s_suppkey), s_suppkey)) AS component FROM supplier),
+f AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN p a ON a.module = src JOIN p b ON b.module = dst WHERE a.component <> b.component),
+r AS (SELECT DISTINCT component, 0 AS level FROM p UNION SELECT f.src, r.level + 1 FROM r JOIN f ON f.dst = r.component)
+SELECT module, component, (SELECT max(level) FROM r WHERE r.component = p.component)::BIGINT AS level FROM p""")
+def module_order(spark, d):
+    return graph.order(t(spark, d, "supplier").select(F.col("s_suppkey").alias("module")), cyclic_edges(spark, d))
