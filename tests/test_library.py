@@ -200,7 +200,7 @@ def test_splits_do_not_leak(spark):
     rows = spark.createDataFrame([(i, f"g{i % 40}", f"c{i % 3}") for i in range(600)], "id int, g string, label string")
     split = dataset.stratified_split(rows, "id", "label", 1)
     assert {tuple(r) for r in split.groupBy("label", "split").count().collect()} == {(f"c{c}", s, n) for c in range(3) for s, n in (("train", 160), ("val", 20), ("test", 20))}
-    assert dataset.leaks(dataset.grouped_split(rows, "g", 1), "g").isEmpty() and dataset.leaks(dataset.entity_split(rows, "g", "label", 1), "g").isEmpty()
+    assert dataset.leaks(dataset.hashed_split(rows, "g", 1), "g").isEmpty() and dataset.leaks(dataset.entity_split(rows, "g", "label", 1), "g").isEmpty()
     assert sorted(map(str, split.collect())) == sorted(map(str, dataset.stratified_split(rows, "id", "label", 1).collect()))
 
 

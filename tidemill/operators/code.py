@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import split_lines, uncommented
 from tidemill.operators.fold import in_order, types
+from tidemill.operators.running import running
 
 #: Fixed values: (category, pattern, once a line, symbol of such a line).
 TAGS = (
@@ -153,9 +154,9 @@ def checklist(scored: DataFrame, key: str) -> DataFrame:
 
 
 def within_budget(chunks: DataFrame, group: list[str], order: list[str], budget: int, tokens: str = "tokens") -> DataFrame:
-    """Chunks whose running sum of tokens fits the budget."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return chunks.withColumn("used", F.sum(tokens).over(w)).withColumn("selected", F.col("used") <= budget)
+    """Chunks whose running sum of tokens fits the budget; a group may have any size."""
+    out = running(chunks, chunks.columns, group, order, F.col(tokens), "used")
+    return out.withColumn("used", F.col("used") + F.coalesce(tokens, F.lit(0))).withColumn("selected", F.col("used") <= budget)
 
 
 def greedy_budget(chunks: DataFrame, group: list[str], order: str, tokens: str, budget: int) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.operators.graph import checkpointed
+from tidemill.operators.running import running
+
 
 def seeded(c: Column, seed: int | str) -> Column:
     """A digest that orders rows as a shuffle would."""
@@ -52,21 +55,58 @@ def mixed_groups(rows: DataFrame, group: str, label: str) -> DataFrame:
     return rows.groupBy(group).agg(F.countDistinct(label).alias("labels")).filter("labels > 1")
 
 
+def _placed(rows: DataFrame, keep: list[str], label: str, order: list[Column | str]) -> DataFrame:
+    """``keep`` with ``_at``, the place among the rows of the label from 0, and ``_n``, how many these are."""
+    n = rows.groupBy(F.col(label).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    return running(rows, keep, [label], order, name="_at").join(n, F.col(label).eqNullSafe(F.col("_of"))).drop("_of")
+
+
 def stratified_split(rows: DataFrame, key: str, label: str, seed: int, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Add ``split``: of each label the first shares in seeded order."""
-    w = W.partitionBy(label)
-    place = F.row_number().over(w.orderBy(seeded(F.col(key), seed), key))
-    n = F.count(F.lit(1)).over(w)
-    cut1, cut2 = F.floor(n * train), F.floor(n * (train + val))
-    return rows.withColumn("split", F.when(place <= cut1, "train").when(place <= cut2, "val").otherwise("test"))
+    placed = _placed(rows, rows.columns, label, [seeded(F.col(key), seed), key])
+    cut1, cut2 = F.floor(F.col("_n") * train), F.floor(F.col("_n") * (train + val))
+    return placed.withColumn("split", F.when(F.col("_at") < cut1, "train").when(F.col("_at") < cut2, "val").otherwise("test")).drop("_at", "_n")
 
 
-def grouped_split(rows: DataFrame, group: str, seed: int, train: float = 0.8, val: float = 0.1) -> DataFrame:
+def hashed_split(rows: DataFrame, group: str, seed: int, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Add ``split`` such that no group is in two: a group's digest decides, so no order over all groups is needed."""
     u = seeded_number(F.col(group), seed, 10_000) / 10_000.0
     return rows.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
 
 
+def groups_by_label(rows: DataFrame, group: str, label: str, seed: int, train: float = 0.8, val: float = 0.1) -> DataFrame:
+    """(group, label, rows, split): of each label the groups in seeded order, each where the middle of its rows falls among the label's.
+
+    The last group of a label is for the test and the one before it for the validation, so that a label with three groups is in all splits.
+    """
+    least, most = F.min(label), F.max(label)
+    groups = rows.groupBy(group).agg(least.alias("_label"), F.count(F.lit(1)).alias("_rows"), (~least.eqNullSafe(most) | ((F.count(label) < F.count(F.lit(1))) & least.isNotNull())).alias("_mixed"))
+    by = [seeded(F.col(group), seed), group]
+    placed = _placed(groups, groups.columns, "_label", by)
+    before = running(placed, placed.columns, ["_label"], by, F.col("_rows"), "_before")
+    whole = groups.groupBy(F.col("_label").alias("_l")).agg(F.sum("_rows").alias("_all"))
+    before = before.join(whole, F.col("_label").eqNullSafe(F.col("_l")))
+    middle = F.col("_before") + F.col("_rows") / 2
+    share = F.when(middle < F.col("_all") * train, "train").when(middle < F.col("_all") * (train + val), "val").otherwise("test")
+    last = F.col("_n") - F.col("_at")
+    split = F.when(last == 1, "test").when(last == 2, "val").when(F.col("_at") == 0, "train").otherwise(share)
+    return before.select(group, F.col("_label").alias("label"), F.col("_rows").alias("rows"), "_mixed", split.alias("split"))
+
+
+def grouped_split(rows: DataFrame, key: str, group: str, label: str, seed: int, train: float = 0.8, val: float = 0.1) -> DataFrame:
+    """Add ``split`` and ``grouped``: by whole groups, or, where that can't be, stratified by label without regard to groups.
+
+    It can't be where a group has two labels, or a label is not in all three splits, as one with fewer than three groups.
+    """
+    groups = checkpointed(groups_by_label(rows, group, label, seed, train, val))
+    labels = groups.groupBy("label").agg(F.countDistinct("split").alias("splits"), F.max("_mixed").alias("mixed"))
+    bad = labels.agg(F.max(F.col("mixed") | (F.col("splits") < 3)).alias("bad")).first().bad
+    if bad:
+        return stratified_split(rows, key, label, seed, train, val).withColumn("grouped", F.lit(False))
+    placed = groups.select(F.col(group).alias("_group"), "split")
+    return rows.join(placed, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").withColumn("grouped", F.lit(True))
+
+
 def entity_split(rows: DataFrame, entity: str, label: str, seed: int) -> DataFrame:
     """Stratify entities by their majority label; all rows of one follow it."""
     major = majority_label(rows, entity, label).select(entity, F.col("label").alias("_major"))
@@ -99,13 +139,38 @@ def inverse_weights(rows: DataFrame, label: str) -> DataFrame:
 
 def sample_with_replacement(rows: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     """``k`` draws of each class: a digest picks a place in the class's order."""
-    w = W.partitionBy(label)
-    placed = rows.select(label, key, (F.row_number().over(w.orderBy(key)) - 1).alias("_at"), F.count(F.lit(1)).over(w).alias("_n"))
+    placed = _placed(rows.select(label, key), [label, key], label, [key])
     draws = placed.groupBy(label).agg(F.first("_n").alias("_n")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k))))
     draws = draws.withColumn("_at", seeded_number(F.concat_ws("|", F.col(label), F.col("draw").cast("string")), seed, F.col("_n")))
     return draws.select(label, "draw", "_at").join(placed.drop("_n"), [label, "_at"]).select(label, "draw", key)
 
 
+def weighted_draws(rows: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
+    """(draw, key): ``n`` draws with replacement, each row with a chance in proportion to its weight, a whole number.
+
+    A draw is a point below the sum of all weights; the row is the last one whose weights before it do not exceed the point.
+    Points and rows are put in one order, and counting the rows before a point gives its row's place.
+    """
+    rows = rows.filter(F.col(weight) > 0).select(key, weight)
+    placed = checkpointed(running(rows, [key], [], [key], F.col(weight).cast("long"), "_point").withColumn("_draw", F.lit(0).cast("long")))
+    whole = rows.agg(F.sum(F.col(weight).cast("long")).alias("n")).first().n
+    if not whole:
+        return placed.select(F.col("_draw").alias("draw"), key).limit(0)
+    digest = F.conv(F.substring(seeded(F.col("id"), seed), 1, 15), 16, 10).cast("long")
+    draws = rows.sparkSession.range(1, n + 1).select(F.lit(None).cast(placed.schema[key].dataType).alias(key), F.pmod(digest, F.lit(whole)).alias("_point"), F.col("id").alias("_draw"))
+    both = placed.select(key, "_point", "_draw").unionByName(draws)
+    is_row = F.when(F.col("_draw") == 0, 1).otherwise(0).cast("long")
+    counted = checkpointed(running(both, [key, "_draw"], [], ["_point", "_draw", key], is_row, "_at"))
+    at = counted.filter("_draw = 0").select(key, (F.col("_at") + 1).alias("_at"))
+    return counted.filter("_draw > 0").select("_draw", "_at").join(at, "_at").select(F.col("_draw").alias("draw"), key)
+
+
+def weighted_sample(rows: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows without replacement, each next one with a chance in proportion to its weight: those with the least exponential numbers."""
+    u = (F.conv(F.substring(seeded(F.col(key), seed), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+    return rows.filter(F.col(weight) > 0).orderBy(-F.log(u) / F.col(weight), key).limit(n)
+
+
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = W.partitionBy(key).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

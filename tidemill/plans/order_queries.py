@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import code, graph, greedy
+from tidemill.operators import code, dataset, graph, greedy
 from tidemill.plans.queries import LINES, query, t
 
 
@@ -64,3 +64,38 @@ r AS (SELECT DISTINCT component, 0 AS level FROM p UNION SELECT f.src, r.level +
 SELECT module, component, (SELECT max(level) FROM r WHERE r.component = p.component)::BIGINT AS level FROM p""")
 def module_order(spark, d):
     return graph.order(t(spark, d, "supplier").select(F.col("s_suppkey").alias("module")), cyclic_edges(spark, d))
+
+
+#: Parts of an order's lines by supplier: the labels of a supplier are all one, so whole suppliers are dealt out.
+GROUPED = """g AS (SELECT l_suppkey AS g, l_suppkey % 4 AS label, count(*) AS n FROM lineitem GROUP BY ALL),
+w AS (SELECT *, row_number() OVER o - 1 AS place, count(*) OVER (PARTITION BY label) AS k, sum(n) OVER o - n AS before, sum(n) OVER (PARTITION BY label) AS whole
+ FROM g WINDOW o AS (PARTITION BY label ORDER BY md5(g::VARCHAR || '|11'), g)),
+s AS (SELECT g, CASE WHEN k - place = 1 THEN 'test' WHEN k - place = 2 THEN 'val' WHEN place = 0 THEN 'train' WHEN before + n / 2 < whole * 0.8::DOUBLE THEN 'train' WHEN before + n / 2 < whole * 0.9::DOUBLE THEN 'val' ELSE 'test' END AS split FROM w)"""
+
+
+@query(f"WITH {GROUPED} SELECT l_orderkey, l_linenumber, split, true AS grouped FROM lineitem JOIN s ON g = l_suppkey")
+def split_by_groups(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_suppkey") % 4).alias("label"), F.concat_ws("|", F.lpad("l_orderkey", 12, "0"), "l_linenumber").alias("key"))
+    return dataset.grouped_split(rows, "key", "l_suppkey", "label", 11).select("l_orderkey", "l_linenumber", "split", "grouped")
+
+
+@query("""WITH k AS (SELECT l_orderkey, l_linenumber, l_returnflag, lpad(l_orderkey::VARCHAR, 12, '0') || '|' || l_linenumber AS key FROM lineitem),
+p AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(key || '|11'), key) AS p, count(*) OVER (PARTITION BY l_returnflag) AS n FROM k)
+SELECT l_orderkey, l_linenumber, CASE WHEN p <= floor(n * 0.8) THEN 'train' WHEN p <= floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split, false AS grouped FROM p""")
+def split_with_fallback(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", F.concat_ws("|", F.lpad("l_orderkey", 12, "0"), "l_linenumber").alias("key"))
+    return dataset.grouped_split(rows, "key", "l_suppkey", "l_returnflag", 11).select("l_orderkey", "l_linenumber", "split", "grouped")
+
+
+@query("""WITH w AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) - p_size AS low, sum(p_size) OVER (ORDER BY p_partkey) AS high FROM part WHERE p_size > 0),
+n AS (SELECT sum(p_size)::BIGINT AS n FROM part WHERE p_size > 0), r AS (SELECT unnest(range(1, 5001)) AS draw),
+u AS (SELECT draw, CAST('0x' || substr(md5(draw || '|9'), 1, 15) AS BIGINT) % n AS point FROM r, n)
+SELECT draw, p_partkey FROM u JOIN w ON point >= low AND point < high""")
+def weighted_draws(spark, d):
+    return dataset.weighted_draws(t(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", "p_size", 5000, 9)
+
+
+@query("""SELECT p_partkey FROM part WHERE p_size > 0
+ORDER BY -ln((CAST('0x' || substr(md5(p_partkey::VARCHAR || '|9'), 1, 12) AS BIGINT)::DOUBLE + 1) / 281474976710656.0) / p_size, p_partkey LIMIT 200""")
+def weighted_sample(spark, d):
+    return dataset.weighted_sample(t(spark, d, "part"), "p_partkey", "p_size", 200, 9).select("p_partkey")

@@ -341,12 +341,13 @@ GROUPED = "WITH u AS (SELECT doc_id, source, (CAST('0x' || substr(md5(source ||
 
 @query(f"{GROUPED} SELECT doc_id, source, split FROM s")
 def grouped_split(spark, d):
-    return dataset.grouped_split(t(spark, d, "documents").select("doc_id", "source"), "source", 7)
+    return dataset.hashed_split(t(spark, d, "documents").select("doc_id", "source"), "source", 7)
 
 
-@query(f"{GROUPED} SELECT source, count(DISTINCT split) AS splits FROM s GROUP BY source HAVING count(DISTINCT split) > 1")
+@query(f"{SPLIT} SELECT source, count(DISTINCT split) AS splits FROM s JOIN documents USING (doc_id) GROUP BY source HAVING count(DISTINCT split) > 1")
 def leak_guard(spark, d):
-    return dataset.leaks(dataset.grouped_split(t(spark, d, "documents").select("doc_id", "source"), "source", 7), "source")
+    docs = t(spark, d, "documents").select("doc_id", "lang", "source")
+    return dataset.leaks(dataset.stratified_split(docs, "doc_id", "lang", 123), "source")
 
 
 @query("SELECT p_brand, count(*) AS n, round((SELECT count(*) FROM part) / ((SELECT count(DISTINCT p_brand) FROM part) * count(*)), 9) AS weight FROM part GROUP BY p_brand")

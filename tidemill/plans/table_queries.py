@@ -20,18 +20,20 @@ def budget_break(spark, d):
     return code.budget_until_misfit(chunks, ["lang"], "doc_id", "tokens", 20000).select("lang", "taken", "used")
 
 
-@query("SELECT p_partkey, list_has_any(string_split(p_type, ' '), ['BRASS', 'STEEL']) AS fits FROM part WHERE list_has_any(string_split(p_type, ' '), ['BRASS', 'STEEL'])")
+@query("SELECT p_partkey, list_has_any(string_split(p_name, ' '), ['red', 'ring']) AS fits FROM part WHERE list_has_any(string_split(p_name, ' '), ['red', 'ring'])")
 def tag_profile(spark, d):
-    rows = t(spark, d, "part").select("p_partkey", F.split("p_type", " ").alias("tags"))
-    return project.with_profile(rows, "tags", ["BRASS", "STEEL"], require=False).select("p_partkey", F.lit(True).alias("fits"))
+    rows = t(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
+    return project.with_profile(rows, "tags", ["red", "ring"]).select("p_partkey", F.lit(True).alias("fits"))
 
 
 @query("""WITH c AS (SELECT l_suppkey AS entity, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY ALL),
-m AS (SELECT entity, label FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, label) AS r FROM c) WHERE r = 1)
-SELECT l_returnflag AS label, count(*) AS n_rows, count(DISTINCT l_suppkey) AS entities FROM lineitem JOIN m ON l_suppkey = entity GROUP BY ALL""")
+m AS (SELECT entity, label FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, label) AS r FROM c) WHERE r = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(entity::VARCHAR || '|3'), entity) AS p, count(*) OVER (PARTITION BY label) AS n FROM m),
+s AS (SELECT entity, CASE WHEN p <= floor(n * 0.8) THEN 'train' WHEN p <= floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM p)
+SELECT l_returnflag AS label, split, count(*) AS n_rows, count(DISTINCT l_suppkey) AS entities FROM lineitem JOIN s ON l_suppkey = entity GROUP BY ALL""")
 def entity_split(spark, d):
     out = dataset.entity_split(t(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("label")), "entity", "label", 3)
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("entities"))
+    return out.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("entities"))
 
 
 @query(f"SELECT source, count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM {VALUES} WHERE contains(d.text, key)) GROUP BY source")
