@@ -515,40 +515,6 @@ def debounced_events(spark, d):
     return incremental.debounced(t(spark, d, "events"), ["user_id"], "ts", "event_id", 3600).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-SNIPPETS = [
-    ("a/x.py", "import os\nimport torch\ntorch.backends.cudnn.enabled = True\nx = 'CUDA_VISIBLE_DEVICES'\n"),
-    ("a/y.py", "from a import x\nimport pycuda.driver as cuda, cupy\n\ndef f():\n    cudaMalloc(1)\n"),
-    ("a/z.py", "def broken(:\n"),
-    ("k.cu", "#include <cuda_runtime.h>\n__global__ void k() {}\ncudaStream_t s;\nk<<<1, 2>>>();\n"),
-]
-
-
-def snippets(spark):
-    return spark.createDataFrame(SNIPPETS, "path string, text string")
-
-
-@query(None)
-def ast_usages(spark, d):
-    from tidemill.operators import syntax
-
-    return syntax.usages(snippets(spark))
-
-
-@query(None)
-def unified_diffs(spark, d):
-    from tidemill.operators import syntax
-
-    new = code.replace_in_order(F.col("text"), [*rl.VARIABLES, ("cudnn", "miopen")])
-    return snippets(spark).select("path", syntax.unified_diff(F.col("text"), new, F.col("path")).alias("diff"))
-
-
-@query(None)
-def reassembled_chunks(spark, d):
-    from tidemill.operators import syntax
-
-    return syntax.reassembled(syntax.chunks(snippets(spark), 40))
-
-
 from tidemill.plans import order_queries, table_queries, text_queries  # noqa: E402, F401  add to QUERIES
 
 

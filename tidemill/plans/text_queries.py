@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import ccode, code, patterns
+from tidemill.operators import ccode, code, patches, patterns, syntax
 from tidemill.plans import rules as rl
 from tidemill.plans.queries import query, t
 
@@ -126,3 +126,62 @@ SELECT category, symbol, count(*) AS n FROM u GROUP BY ALL""")
 def tagged_usages(spark, d):
     lines = code.explode_lines(c_files(spark, d), lines=F.split("text", "\n"))
     return code.tag_lines(lines).groupBy("category", "symbol").agg(F.count("*").alias("n"))
+
+
+#: A Python file for each document: imports, a call and a string made from its first words, then its lines as comments; one of ten has no syntax.
+PYTHON = " || chr(10) || ".join([
+    "'import os, mod_' || w[1]",
+    _case(["'import pycuda.driver as ' || 'd_' || w[2]", "'from tensorrt import x_' || w[2]", "'import x_' || w[2] || ', cupy'", "'from apex.amp import x_' || w[2]"]),
+    "CASE doc_id % 3 WHEN 0 THEN 'torch.backends.cudnn.enabled = True' WHEN 1 THEN 'x = torch.cuda.nccl.version()' ELSE 'x = ' || chr(39) || 'CUDA_VISIBLE_DEVICES' || chr(39) END",
+    "'def f_' || w[3] || '(a):'",
+    "'    return cudaMalloc(a) + g_' || w[4] || '(a)'",
+    "CASE doc_id % 10 WHEN 9 THEN 'def broken(:' ELSE 'y = 1' END",
+    "'# ' || replace(translate(text, chr(13) || chr(12) || chr(11) || chr(28) || chr(29) || chr(30), '      '), chr(10), chr(10) || '# ')",
+])
+FILES = f"f AS (SELECT doc_id, {PYTHON} AS text FROM w)"
+
+
+def python_files(spark, d):
+    words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    docs = t(spark, d, "documents").select("doc_id", "text", words.alias("w")).filter(F.size("w") >= 6)
+    return docs.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.expr(_zero_based(PYTHON)).alias("text"))
+
+
+@query(f"""WITH {W}, u AS (SELECT doc_id, 2 AS line, 'import' AS category, CASE doc_id % 4 WHEN 0 THEN 'pycuda.driver' WHEN 1 THEN 'tensorrt' WHEN 2 THEN 'cupy' ELSE 'apex.amp' END AS symbol FROM w
+ UNION ALL SELECT doc_id, 3, CASE doc_id % 3 WHEN 0 THEN 'backend' WHEN 1 THEN 'attribute' ELSE 'env_var' END, CASE doc_id % 3 WHEN 0 THEN 'torch.backends.cudnn.enabled' WHEN 1 THEN 'torch.cuda.nccl.version' ELSE 'CUDA_VISIBLE_DEVICES' END FROM w
+ UNION ALL SELECT doc_id, 3, CASE doc_id % 3 WHEN 0 THEN 'backend' ELSE 'attribute' END, CASE doc_id % 3 WHEN 0 THEN 'torch.backends.cudnn' ELSE 'torch.cuda.nccl' END FROM w WHERE doc_id % 3 < 2
+ UNION ALL SELECT doc_id, 5, 'api_call', 'cudaMalloc' FROM w)
+SELECT doc_id::VARCHAR AS path, line, category, symbol FROM u WHERE doc_id % 10 <> 9""")
+def ast_usages(spark, d):
+    return syntax.usages(python_files(spark, d)).select("path", "line", "category", "symbol")
+
+
+@query(f"WITH {W}, {FILES} SELECT doc_id::VARCHAR AS path, md5(text) AS digest FROM f")
+def reassembled_chunks(spark, d):
+    return syntax.reassembled(syntax.chunks(python_files(spark, d), 400)).select("path", F.md5("text").alias("digest"))
+
+
+REPLACED = [*rl.VARIABLES, ("cudnn", "miopen")]
+
+
+@query(f"WITH {W}, {FILES} SELECT doc_id::VARCHAR AS path, 1 AS removed, 1 AS added, '--- a/' || doc_id AS head FROM f WHERE doc_id % 3 <> 1")
+def unified_diffs(spark, d):
+    files = python_files(spark, d).withColumn("new", code.replace_in_order(F.col("text"), REPLACED))
+    out = patches.rendered(patches.hunks(files, ["path"], "text", "new"), ["path"], F.col("path")).withColumn("lines", F.split("diff", "\n"))
+    signs = lambda s: F.size(F.filter("lines", lambda x: F.startswith(x, F.lit(s)))) - 1
+    return out.select("path", signs("-").alias("removed"), signs("+").alias("added"), F.get("lines", F.lit(0)).alias("head"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+n AS (SELECT doc_id, string_agg(CASE WHEN i % 5 = 0 THEN 'line ' || i || chr(10) ELSE '' END || replace(s, 'the', 'THE'), chr(10) ORDER BY i) AS new FROM l WHERE i % 7 <> 3 GROUP BY doc_id)
+SELECT doc_id, md5(new) AS digest, (length(text) - length(replace(text, chr(10), ''))) - (length(new) - length(replace(new, chr(10), ''))) AS fewer FROM documents JOIN n USING (doc_id)""")
+def document_patches(spark, d):
+    lines = code.explode_lines(t(spark, d, "documents").select("doc_id", "text"), lines=F.split("text", "\n")).filter("line % 7 <> 3")
+    line = F.concat(F.when(F.col("line") % 5 == 0, F.concat(F.lit("line "), F.col("line").cast("string"), F.lit("\n"))).otherwise(""), F.replace("line_text", F.lit("the"), F.lit("THE")))
+    parts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", line.alias("s")))).alias("p"))
+    new = parts.select("doc_id", F.array_join(F.transform("p", lambda x: x["s"]), "\n").alias("new"))
+    texts = t(spark, d, "documents").select("doc_id", "text").join(new, "doc_id")
+    found = patches.hunks(texts, ["doc_id"], "text", "new")
+    less = found.groupBy("doc_id").agg(F.sum(F.col("old_count") - F.col("new_count")).alias("fewer"))
+    out = patches.patched(texts.select("doc_id", "text"), found, ["doc_id"], "text").join(less, "doc_id", "left")
+    return out.select("doc_id", F.md5("patched").alias("digest"), F.coalesce("fewer", F.lit(0)).cast("long").alias("fewer"))
