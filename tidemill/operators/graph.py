@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,14 +14,22 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.concat_ws(",", F.array_sort(F.collect_set("src"))).alias("dependents"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; without that setting one of this machine, while Spark runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidemill-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir``; without that setting to one of this machine, while Spark runs in one process."""
+    """``df`` written to the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not path and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tidemill-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

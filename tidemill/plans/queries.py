@@ -515,7 +515,7 @@ def debounced_events(spark, d):
     return incremental.debounced(t(spark, d, "events"), ["user_id"], "ts", "event_id", 3600).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-from tidemill.plans import order_queries, table_queries, text_queries  # noqa: E402, F401  add to QUERIES
+from tidemill.plans import order_queries, state_queries, table_queries, text_queries  # noqa: E402, F401  add to QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

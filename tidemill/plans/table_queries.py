@@ -135,11 +135,6 @@ def throughput(spark, d):
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.count(F.lit(1)) / F.nullif(seconds, F.lit(0.0)), 9).alias("per_second"))
 
 
-@query("SELECT source, count(*) AS entries, sum(length(text))::BIGINT AS chars, count(DISTINCT md5(text)) AS contents FROM documents GROUP BY source")
-def cache_stats(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.length("text")).alias("chars"), F.countDistinct(F.md5("text")).alias("contents"))
-
-
 @query("SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS symbols FROM orders GROUP BY o_custkey")
 def module_symbols(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ",").alias("symbols"))
