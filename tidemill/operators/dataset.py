@@ -6,6 +6,9 @@ the rows and the seed alone.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -218,3 +221,70 @@ def with_label_index(rows: DataFrame, label: str) -> DataFrame:
     names = rows.select(label).filter(F.col(label).isNotNull()).distinct()
     index = names.select(label, (F.row_number().over(W.orderBy(label)) - 1).alias("label_idx"))
     return rows.join(F.broadcast(index), label, "left")
+
+
+def _digits(seed: str, *parts: Column) -> Column:
+    """A number of 48 bits from a seed and values."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(seed))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
+def permuted(place: Column, n: int, seed: int, rounds: int = 4) -> Column:
+    """A place from 0, below ``n``, for each such place, no two alike.
+
+    The places below ``a * b``, with a * b just above n, are pairs of digits; in turns one digit is moved by a digest of the other.
+    A place that leaves the range is moved on until it is back, which is less than ``a`` times.
+    """
+    a = math.isqrt(n - 1) + 1 if n > 1 else 1
+    b = -(-n // a)
+
+    def once_more(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), F.pmod(x, F.lit(b))
+        for r in range(0, rounds, 2):
+            left = F.pmod(left + _digits(f"{r}|{seed}", right), F.lit(a))
+            right = F.pmod(right + _digits(f"{r + 1}|{seed}", left), F.lit(b))
+        return left * b + right
+
+    walk = F.sequence(F.lit(1), F.lit(max(1, min(64, a * b - n + 1))))
+    return F.aggregate(walk, F.lit(-1).cast("long"), lambda x, i: F.when((x >= 0) & (x < n), x).otherwise(once_more(F.when(x < 0, place).otherwise(x))))
+
+
+def beta_draw(u: Column, alpha: float, points: int = 1024) -> Column:
+    """The value of a symmetric Beta distribution below which a share ``u`` lies, between the values at ``points`` even shares."""
+    if alpha == 1.0:
+        return u
+    if alpha == 0.5:
+        return F.pow(F.sin(u * (math.pi / 2)), F.lit(2.0))
+    x = (1 - np.cos(np.linspace(0, math.pi, 200_001))) / 2  # finer at both ends
+    middle, width = (x[1:] + x[:-1]) / 2, np.diff(x)
+    share = np.concatenate(([0.0], np.cumsum((middle * (1 - middle)) ** (alpha - 1) * width)))
+    value = np.interp(np.linspace(0, 1, points + 1), share / share[-1], x)
+    table = F.lit([float(v) for v in value])
+    at = F.least(F.floor(u * points), F.lit(points - 1)).cast("int")
+    low, high = F.get(table, at), F.get(table, at + 1)
+    return low + (high - low) * (u * points - at)
+
+
+def mixed_rows(rows: DataFrame, key: str, vector: str, label: str, alpha: float, seed: int, weights: DataFrame | None = None) -> DataFrame:
+    """(key, partner, share, vector, labels, weight): each row mixed with another one's vector and label, every row once as a partner.
+
+    ``share`` is drawn from a symmetric Beta distribution; ``labels`` has the share of each label, which add up to 1;
+    ``weights`` (label, weight) are mixed alike, a label without one counts 1.
+    """
+    rows = rows.select(key, vector, label)
+    if weights is not None:
+        named = weights.select(F.col(label).alias("_of"), F.col("weight").alias("_w"))
+        rows = rows.join(named, F.col(label).eqNullSafe(F.col("_of")), "left").drop("_of")
+    else:
+        rows = rows.withColumn("_w", F.lit(1.0))
+    rows = rows.withColumn("_w", F.coalesce("_w", F.lit(1.0)))
+    placed = checkpointed(running(rows, rows.columns, [], [key], name="_at"))
+    n = placed.count()
+    share = beta_draw(_digits(f"share|{seed}", F.col(key)) / float(1 << 48), alpha)
+    first = placed.withColumns({"share": share, "_to": permuted(F.col("_at"), max(n, 1), seed)})
+    second = placed.select(F.col(key).alias("partner"), F.col(vector).alias("_v"), F.col(label).alias("_l"), F.col("_w").alias("_w2"), F.col("_at").alias("_to"))
+    mix = lambda x, y: F.col("share") * x + (1 - F.col("share")) * y
+    same = F.when(F.col(label).eqNullSafe(F.col("_l")), F.array(F.struct(F.col(label).alias("label"), F.lit(1.0).alias("share"))))
+    both = F.array(F.struct(F.col(label).alias("label"), F.col("share").alias("share")), F.struct(F.col("_l").alias("label"), (1 - F.col("share")).alias("share")))
+    mixed = F.zip_with(vector, "_v", lambda x, y: mix(x.cast("double"), y.cast("double")))
+    return first.join(second, "_to").select(key, "partner", "share", mixed.alias(vector), F.coalesce(same, both).alias("labels"), mix(F.col("_w"), F.col("_w2")).alias("weight"))

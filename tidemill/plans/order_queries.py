@@ -99,3 +99,24 @@ def weighted_draws(spark, d):
 ORDER BY -ln((CAST('0x' || substr(md5(p_partkey::VARCHAR || '|9'), 1, 12) AS BIGINT)::DOUBLE + 1) / 281474976710656.0) / p_size, p_partkey LIMIT 200""")
 def weighted_sample(spark, d):
     return dataset.weighted_sample(t(spark, d, "part"), "p_partkey", "p_size", 200, 9).select("p_partkey")
+
+
+def _sql_digits(value: str, seed: str) -> str:
+    return f"CAST('0x' || substr(md5({value} || '|{seed}'), 1, 12) AS BIGINT)"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM embeddings), s AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
+d AS (SELECT x, x // b AS l, x % b AS r, a, b, n FROM s, range((SELECT a * b FROM s)) AS t(x)),
+r1 AS (SELECT *, (l + {_sql_digits("r", "0|21")}) % a AS l1 FROM d), r2 AS (SELECT *, (r + {_sql_digits("l1", "1|21")}) % b AS r1 FROM r1),
+r3 AS (SELECT *, (l1 + {_sql_digits("r1", "2|21")}) % a AS l2 FROM r2), p AS (SELECT x, l2 * b + (r1 + {_sql_digits("l2", "3|21")}) % b AS y, n FROM r3),
+w AS (SELECT x, y FROM p WHERE x < n UNION ALL SELECT w.x, p.y FROM w JOIN p ON p.x = w.y WHERE w.y >= p.n),
+e AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS at, pow(sin({_sql_digits("vec_id", "share|21")} / 281474976710656.0 * (pi() / 2)), 2) AS share FROM embeddings),
+k AS (SELECT label, 1.0::DOUBLE / count(*) AS weight FROM embeddings WHERE label % 2 = 0 GROUP BY label)
+SELECT e.vec_id, f.vec_id AS partner, round(e.share, 9) AS share, round(e.share * e.embedding[1]::DOUBLE + (1 - e.share) * f.embedding[1]::DOUBLE, 6) AS first,
+ round(CASE WHEN e.label = f.label THEN 1.0 ELSE e.share END, 9) AS own, round(e.share * coalesce(k.weight, 1) + (1 - e.share) * coalesce(m.weight, 1), 9) AS weight
+FROM w JOIN e ON e.at = w.x JOIN f_ f ON f.at = w.y LEFT JOIN k ON k.label = e.label LEFT JOIN k m ON m.label = f.label WHERE w.y < (SELECT n FROM n)""".replace("JOIN f_ f", "JOIN e f"))
+def mixed_embeddings(spark, d):
+    rows = t(spark, d, "embeddings")
+    weights = rows.filter("label % 2 = 0").groupBy("label").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    out = dataset.mixed_rows(rows, "vec_id", "embedding", "label", 0.5, 21, weights)
+    return out.select("vec_id", "partner", F.round("share", 9).alias("share"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(F.get("labels", F.lit(0))["share"], 9).alias("own"), F.round("weight", 9).alias("weight"))

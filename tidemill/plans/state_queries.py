@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.graph import shared_folder
 from tidemill.operators.result_cache import ResultCache
 from tidemill.plans.queries import query, t
+from tidemill.streaming import watch
 
 
 def filled_cache(spark, d) -> ResultCache:
@@ -42,3 +43,19 @@ def changed_since_cached(spark, d):
     cache = filled_cache(spark, d)
     docs = t(spark, d, "documents").select("doc_id", F.concat("doc_id", F.when(F.col("doc_id") % 7 == 0, "new").otherwise("")).alias("path"), F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("text"))
     return cache.changed(docs, "rocm").select("doc_id")
+
+
+@query("""WITH v AS (SELECT doc_id, 1 AS version, text FROM documents UNION ALL SELECT doc_id, 2, text || ' changed' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0)
+SELECT doc_id, version, md5(text) AS digest FROM v""")
+def stream_skips(spark, d):
+    """Two runs of a stream over versions of all documents; the second run and a third without new files start from the state of the ones before."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    second = docs.filter("path % 2 = 0").select("path", F.lit(2).alias("at"), F.concat("text", F.when(F.col("path") % 3 == 0, " changed").otherwise("")).alias("text"))
+    late = docs.filter("path % 4 = 0").select("path", F.lit(0).alias("at"), F.lit("late").alias("text"))
+    for versions in (docs.select("path", F.lit(1).alias("at"), "text"), second.unionByName(late), None):
+        if versions is not None:
+            versions.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("path long, at int, text string").parquet(f"{root}/in")
+        watch.run_to_end(watch.changed_files(stream, "rocm"), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out").select(F.col("path").alias("doc_id"), F.col("at").alias("version"), F.md5("text").alias("digest"))

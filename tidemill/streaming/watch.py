@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemill.functions.text import cache_key
+
 
 def file_versions(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of (path, text); the file source sees new files, so a changed file comes under a new name."""
@@ -46,3 +48,31 @@ def debounced_stream(events: DataFrame, key: str, ts: str, seconds: float = 2.0)
 
     schema = f"{key} {dict(events.dtypes)[key]}, {ts} timestamp"
     return events.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def changed_files(files: DataFrame, backend: str = "") -> DataFrame:
+    """Of a stream of file versions (path, at, text) those whose content differs from the last one of the path, before or in the same batch.
+
+    The state of a path is the key of its last content and the number ``at`` that it came with, so it outlives a restart.
+    A version with a number that is not above the state's comes late or again and is skipped.
+    """
+    keyed = files.select("path", F.col("at").cast("long").alias("at"), "text", cache_key(F.coalesce("text", F.lit("")), F.lit(backend)).alias("hash"))
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, seen = state.get if state.exists else (None, None)
+        versions = pd.concat(list(frames)).sort_values("at", kind="stable")
+        new = []
+        for at, hash_ in zip(versions["at"], versions["hash"], strict=True):
+            fresh = seen is None or at > seen
+            new.append(fresh and hash_ != last)
+            last, seen = (hash_, int(at)) if fresh else (last, seen)
+        state.update((last, seen))
+        yield versions.loc[new, ["path", "at", "text"]]
+
+    schema = f"path {dict(files.dtypes)['path']}, at long, text string"
+    return keyed.groupBy("path").applyInPandasWithState(step, schema, "hash string, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Append what has come since the last run to the table in ``out``; a run that broke off is taken up where it was."""
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
