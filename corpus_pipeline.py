@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import delete, discard, materialize, scratch, table
 from tidemill.llm.decontaminate import decontaminated
-from tidemill.llm.mixing import mix, n_words
+from tidemill.llm.mixing import columns_of, mix, n_words
 from tidemill.llm.neardup import one_of_each
 from tidemill.llm.pii import key_of, pseudonymise
 from tidemill.llm.quality import quality_filter
@@ -62,9 +62,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: its columns, and size, source_size, target and taken."""
-    out = mix(docs, F.array("source"), n_words(F.col("text")), keep=docs.columns)
-    return out.select(*docs.columns, "size", "source_size", "target", "taken")
+    """What the mix takes of each document: its columns, and size, source_size, target and taken (see ``columns_of`` for clashing names)."""
+    return mix(docs, F.array("source"), n_words(F.col("text")), keep=docs.columns).drop(columns_of(docs.columns)["membership"])
 
 
 STAGES = [

@@ -195,7 +195,7 @@ def test_chat_query(spark, tmp_path):
 
 def test_registry_has_one_query_an_operator():
     names = [q.split("_")[0] for q in queries()]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and set(oracle_sql()) <= set(queries())
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -213,3 +213,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(got) == {*range(30), 36} and "4111111111111111" not in got[36].text
     assert all(r.taken <= 3 * r.size and r.n_chars == len(r.text) for r in got.values())
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_mix_misses_less_than_its_smallest_document(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s * 1000 + i, f"s{s}", int(n)) for s in range(12) for i, n in enumerate([*rng.integers(1, 60, 25), 5000, 0])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, words long").repartition(3)
+    got = mixing.mix(docs, F.array("source"), F.col("words"), keep=("doc_id", "source")).collect()
+    by = {}
+    for r in got:
+        assert r.taken % max(r["size"], 1) == 0 and r.taken <= 3 * r["size"]
+        by.setdefault(r.source, []).append(r)
+    for held in by.values():
+        open_ = [r["size"] for r in held if 0 < r["size"] and r.taken < 3 * r["size"]]
+        miss = held[0].target - sum(r.taken for r in held)
+        assert -1 <= miss < min(open_, default=1) + 1
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"s{i % 3}", "a", "b", "c", 1.5, 7) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size string, membership string, taken string, target double, `order` int")
+    out = mixing.mix(docs, F.array("source"), F.lit(4).cast("long"), keep=docs.columns)
+    assert out.columns == [*docs.columns, "membership_", "size_", "source_size", "target_", "taken_"]
+    assert sorted(map(tuple, out.select(*docs.columns).collect())) == sorted(rows)
+
+
+def test_flow_of_many_sources_is_quick():
+    import time
+
+    begun = time.perf_counter()
+    n = 100_000
+    flow = mixing.routed([10] * n, [[i] for i in range(n)], [15.0] * n, 3)
+    assert flow == {(i, i): 15.0 for i in range(n)} and time.perf_counter() - begun < 20
+    mixed = mixing.routed([100, 100, 7], [[0], [0, 1], [2]], [120, 100, 30], 3)
+    assert mixed[2, 2] == 21 and mixed[1, 1] == 100 and mixed[0, 0] + mixed.get((1, 0), 0) == pytest.approx(120)

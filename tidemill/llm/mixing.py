@@ -5,7 +5,10 @@ may claim them), so what the flow sees grows with the number of patterns and
 sources, never with the number of documents.  Flow is routed from each pattern
 to the quotas of its sources; repeating a pattern once more costs more each
 time, so the cheapest flow repeats text as little and as evenly as it can.
-Then documents are selected by a seeded order within each (pattern, source).
+Then documents are selected by a seeded order within each pattern, as far as they
+fit, and what is missing is made up by the largest documents that fit it; what a
+pattern misses at the end is less than its smallest document that could be taken
+once more.
 
 Defined results: a null text has size 0; a null source (or a null or empty list
 of sources) is the source ``null``; empty tables give empty results; rows that
@@ -19,6 +22,7 @@ import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +104,45 @@ def min_cost_flow(supply: Sequence[float], members: Sequence[Sequence[int]], quo
     return {k: x[3][1] for k, x in used.items() if x[3][1] > 0}
 
 
+def routed(supply: Sequence[float], members: Sequence[Sequence[int]], quota: Sequence[float], most: int) -> dict[tuple[int, int], float]:
+    """``min_cost_flow``, solved for each group of patterns and sources that hang together; a pattern alone with its source needs no search."""
+    up = list(range(len(quota)))
+
+    def top(s: int) -> int:
+        while up[s] != s:
+            up[s] = up[up[s]]
+            s = up[s]
+        return s
+
+    for p in members:
+        for s in p[1:]:
+            up[top(s)] = top(p[0])
+    groups: dict[int, list[int]] = {}
+    for i, p in enumerate(members):
+        groups.setdefault(top(p[0]), []).append(i)
+    out = {}
+    for held in groups.values():
+        sources = sorted({s for i in held for s in members[i]})
+        if len(held) == len(sources) == 1:
+            out[held[0], sources[0]] = min(quota[sources[0]], float(most * supply[held[0]]))
+            continue
+        at = {s: k for k, s in enumerate(sources)}
+        found = min_cost_flow([supply[i] for i in held], [[at[s] for s in members[i]] for i in held], [quota[s] for s in sources], most)
+        out |= {(held[i], sources[s]): n for (i, s), n in found.items()}
+    return out
+
+
+def columns_of(kept: Sequence[str]) -> dict[str, str]:
+    """The names of the columns that ``mix`` adds: their own, with underscores behind where a kept column has that name."""
+    held = {c.lower() for c in kept}
+    out = {}
+    for name in ("membership", "size", "source_size", "target", "taken"):
+        out[name] = name
+        while out[name] in held:
+            out[name] += "_"
+    return out
+
+
 def mix(
     docs: DataFrame,
     sources: Column,
@@ -113,18 +156,19 @@ def mix(
     """Decide how many words of each document a mix takes.
 
     ``sources`` is a column with an array of the source names that may claim a
-    document.  Returns the columns ``keep`` and ``membership``, ``size``,
-    ``source_size``, ``target`` (of the document's first source) and ``taken``
-    (a multiple of the size, at most ``most`` times).
+    document.  Returns the columns ``keep`` and, under the names of
+    ``columns_of``, ``membership``, ``size``, ``source_size``, ``target`` (of the
+    document's first source) and ``taken`` (a multiple of the size, at most
+    ``most`` times).
     """
     spark = docs.sparkSession
     named = F.array_sort(F.array_distinct(sources))
     rows = docs.select(
-        *[F.col(c) for c in keep],
+        F.struct(*[F.col(c) for c in keep]).alias("kept") if keep else F.lit(None).alias("kept"),
         F.when(F.coalesce(F.size(named), F.lit(0)) > 0, named).otherwise(F.array(F.lit(None).cast("string"))).alias("membership"),
         size.alias("size"),
-        F.xxhash64(F.lit(seed), *[F.col(c) for c in keep]).alias("_order"),
-    ).withColumn("_slice", F.pmod(F.col("_order"), F.lit(SLICES)).cast("int"))
+        F.xxhash64(F.lit(seed), *[F.col(c) for c in keep]).alias("order"),
+    ).withColumn("slice", F.pmod(F.col("order"), F.lit(SLICES)).cast("int"))
     rows = materialize(rows)  # texts are read once; what follows needs sizes only
     # A few rows: patterns, not documents.
     patterns = [(r.membership, int(r.size or 0)) for r in rows.groupBy("membership").agg(F.sum("size").alias("size")).collect()]
@@ -135,46 +179,69 @@ def mix(
         for s in p:
             of_source[place[s]] += n
     quota = water_fill(of_source, [weights[i % len(weights)] for i in range(len(names))], share * sum(n for _, n in patterns), most)
-    flow = min_cost_flow([n for _, n in patterns], [[place[s] for s in p] for p, _ in patterns], quota, most)
+    flow = routed([n for _, n in patterns], [[place[s] for s in p] for p, _ in patterns], quota, most)
     plan = []
     for i, (p, n) in enumerate(patterns):
-        got = sum(flow.get((i, place[s]), 0.0) for s in p)
-        plan.append((p, float(of_source[place[p[0]]]), quota[place[p[0]]], min(got / n, float(most)) if n else 0.0))
-    schema = T.StructType([T.StructField("membership", T.ArrayType(T.StringType())), T.StructField("source_size", T.DoubleType()), T.StructField("target", T.DoubleType()), T.StructField("_times", T.DoubleType())])
-    plan_df = F.broadcast(spark.createDataFrame(plan, schema).select(F.to_json("membership", {"ignoreNullFields": "false"}).alias("_key"), "source_size", "target", "_times"))
-    rows = rows.withColumn("_key", F.to_json("membership", {"ignoreNullFields": "false"})).join(plan_df, "_key")
-    # Whole repetitions for all; of what is left over, documents in seeded order until the quota is met.
-    whole = F.floor("_times")
-    part = F.col("_times") - whole
-    sums = rows.groupBy("_key", "_slice").agg(F.sum("size").alias("_sum"))
-    cuts = _cuts(sums, plan)
-    rows = rows.join(F.broadcast(cuts), "_key", "left")
-    # A document of the slice in which the quota is met goes by its finer place in the slice.
-    fine = F.pmod(F.shiftrightunsigned("_order", 12), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    extra = (F.col("_slice") < F.coalesce("_cut", F.lit(-1))) | ((F.col("_slice") == F.coalesce("_cut", F.lit(-1))) & (fine < F.col("_rest")))
-    times = whole + F.when((part > 0) & extra, 1).otherwise(0)
-    return rows.select(*keep, "membership", "size", F.col("source_size").cast("long").alias("source_size"), "target", (times * F.col("size")).cast("long").alias("taken"))
-
-
-def _cuts(sums: DataFrame, plan: list) -> DataFrame:
-    """For each pattern the slice in which the seeded order meets the quota, and the share of that slice.
+        got = min(sum(flow.get((i, place[s]), 0.0) for s in p), float(most * n))
+        whole = min(int(got // n), most) if n else 0
+        plan.append((p, float(of_source[place[p[0]]]), quota[place[p[0]]], whole, round(got - whole * n)))
+    schema = T.StructType([T.StructField("membership", T.ArrayType(T.StringType())), T.StructField("source_size", T.DoubleType()), T.StructField("target", T.DoubleType()), T.StructField("times", T.IntegerType()), T.StructField("need", T.LongType())])
+    key = F.to_json("membership", {"ignoreNullFields": "false"}).alias("key")
+    plan_df = spark.createDataFrame(plan, schema).select(key, "source_size", "target", "times", "need")
+    rows = rows.withColumn("key", key).join(F.broadcast(plan_df.drop("need")), "key")
+    # Whole repetitions for all; of what is left over, documents in seeded order up to the slice that would exceed it ...
+    cuts = _cuts(rows.groupBy("key", "slice").agg(F.sum("size").alias("sum")), plan_df.select("key", "need"))
+    rows = rows.join(F.broadcast(cuts.select("key", "cut")), "key", "left")
+    rows = rows.withColumn("more", F.when(F.col("slice") < F.coalesce("cut", F.lit(-1)), 1).otherwise(0)).drop("cut")
+    # ... and then the largest that still fit, first of those not taken so far, then of all that may be taken once more.
+    left = cuts.select("key", F.col("gap").alias("left"))
+    for again in (False, True):
+        open_ = (F.col("times") + F.col("more") < most) & (F.lit(again) | (F.col("more") == 0)) & (F.col("size") > 0)
+        rows, left = _filled(rows, left, open_)
+    out = columns_of(keep)
+    taken = ((F.col("times") + F.col("more")) * F.col("size")).cast("long")
+    return rows.select(*([F.col(f"kept.{c}") for c in keep]), F.col("membership").alias(out["membership"]), F.col("size").alias(out["size"]), F.col("source_size").cast("long").alias(out["source_size"]), F.col("target").alias(out["target"]), taken.alias(out["taken"]))
+
+
+def _cuts(sums: DataFrame, need: DataFrame) -> DataFrame:
+    """(key, cut, gap): the slice in which the seeded order would exceed what a pattern needs, and what is missing before it.
 
     Prefix sums over at most ``SLICES`` rows a pattern, whatever its number of documents.
     """
-    from pyspark.sql import Window as W
-
-    spark = sums.sparkSession
-    part = spark.createDataFrame(
-        [(p, t - int(t)) for p, _, _, t in plan], "membership array<string>, _part double"
-    ).select(F.to_json("membership", {"ignoreNullFields": "false"}).alias("_key"), "_part")
-    w = W.partitionBy("_key").orderBy("_slice")
-    s = sums.join(F.broadcast(part), "_key")
-    total = F.sum("_sum").over(W.partitionBy("_key"))
-    need = total * F.col("_part")
-    upto = F.sum("_sum").over(w.rowsBetween(W.unboundedPreceding, 0))
-    s = s.select("_key", "_slice", "_sum", need.alias("_need"), upto.alias("_upto"))
-    hit = (F.col("_upto") > F.col("_need")) & (F.col("_upto") - F.col("_sum") <= F.col("_need"))
-    return s.filter(hit).groupBy("_key").agg(F.min_by(F.struct(F.col("_slice").alias("_cut"), ((F.col("_need") - F.col("_upto") + F.col("_sum")) / F.col("_sum")).alias("_rest")), "_slice").alias("_m")).select("_key", "_m._cut", "_m._rest")
+    w = W.partitionBy("key").orderBy("slice")
+    upto = F.sum("sum").over(w.rowsBetween(W.unboundedPreceding, 0))
+    s = sums.join(F.broadcast(need.filter("need > 0")), "key").select("key", "slice", "sum", "need", upto.alias("upto"))
+    first = F.min_by(F.struct(F.col("slice").alias("cut"), (F.col("need") - F.col("upto") + F.col("sum")).alias("gap")), "slice")
+    return s.filter("upto > need").groupBy("key").agg(first.alias("m")).select("key", "m.cut", "m.gap")
+
+
+def _filled(rows: DataFrame, left: DataFrame, open_: Column) -> tuple[DataFrame, DataFrame]:
+    """Take one more time, of the rows of each pattern that are ``open_``, the largest that fit what is ``left``, and on with smaller ones.
+
+    Sizes are counted, so the search goes over the sizes of a pattern, of which there are no more than the longest text has
+    words.  Of one size the first in seeded order are taken; only the slice in which their number is reached is sorted.
+    """
+    sizes = rows.filter(open_).groupBy("key", "size").agg(F.count("*").alias("n")).join(F.broadcast(left), "key").filter("size <= left")
+    each = F.expr("transform(array_sort(collect_list(struct(-size as size, n))), x -> struct(-x.size as size, x.n as n))")
+
+    def take(a: Column, x: Column) -> Column:
+        m = F.least(x["n"], F.floor(a["left"] / x["size"]).cast("long"))
+        taken = F.when(m > 0, F.concat(a["taken"], F.array(F.struct(x["size"].alias("size"), m.alias("m"))))).otherwise(a["taken"])
+        return F.struct((a["left"] - m * x["size"]).alias("left"), taken.alias("taken"))
+
+    start = F.struct(F.col("left"), F.array().cast("array<struct<size:bigint,m:bigint>>").alias("taken"))
+    chosen = materialize(sizes.groupBy("key").agg(F.first("left").alias("left"), each.alias("sizes")).select("key", F.aggregate("sizes", start, take).alias("a")).select("key", "a.left", "a.taken"))
+    wanted = chosen.select("key", F.inline("taken")).select("key", "size", "m")
+    held = rows.filter(open_).join(F.broadcast(wanted), ["key", "size"])
+    w = W.partitionBy("key", "size").orderBy("slice")
+    upto = held.groupBy("key", "size", "slice").agg(F.count("*").alias("n"), F.first("m").alias("m")).withColumn("before", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+    limit = upto.filter("before < m").select("key", "size", "slice", (F.col("m") - F.col("before")).alias("room"))  # slices with a document to take
+    place = F.row_number().over(W.partitionBy("key", "size", "slice").orderBy("order", "more"))
+    fits = rows.withColumn("open", open_).join(limit, ["key", "size", "slice"], "left")
+    one = fits.filter("open and room is not null").withColumn("more", F.when(place <= F.col("room"), F.col("more") + 1).otherwise(F.col("more")))
+    out = fits.filter("not (open and room is not null)").unionByName(one).drop("open", "room")
+    rest = left.join(chosen.select("key", F.col("left").alias("_left")), "key", "left").select("key", F.coalesce("_left", "left").alias("left"))
+    return out, rest
 
 
 def n_words(text: Column) -> Column:
