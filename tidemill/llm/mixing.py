@@ -30,6 +30,8 @@ from tidemill.llm.common import WORD, materialize, table
 
 #: Slices of the seeded order within a pattern; only one of them is ever sorted.
 SLICES = 4096
+#: A document with more than this part of what its pattern needs beyond whole repetitions is large.
+LARGE = 4
 
 
 def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -168,6 +170,7 @@ def mix(
         F.when(F.coalesce(F.size(named), F.lit(0)) > 0, named).otherwise(F.array(F.lit(None).cast("string"))).alias("membership"),
         size.alias("size"),
         F.xxhash64(F.lit(seed), *[F.col(c) for c in keep]).alias("order"),
+        F.monotonically_increasing_id().alias("id"),
     ).withColumn("slice", F.pmod(F.col("order"), F.lit(SLICES)).cast("int"))
     rows = materialize(rows)  # texts are read once; what follows needs sizes only
     # A few rows: patterns, not documents.
@@ -188,14 +191,19 @@ def mix(
     schema = T.StructType([T.StructField("membership", T.ArrayType(T.StringType())), T.StructField("source_size", T.DoubleType()), T.StructField("target", T.DoubleType()), T.StructField("times", T.IntegerType()), T.StructField("need", T.LongType())])
     key = F.to_json("membership", {"ignoreNullFields": "false"}).alias("key")
     plan_df = spark.createDataFrame(plan, schema).select(key, "source_size", "target", "times", "need")
-    rows = rows.withColumn("key", key).join(F.broadcast(plan_df.drop("need")), "key")
-    # Whole repetitions for all; of what is left over, documents in seeded order up to the slice that would exceed it ...
-    cuts = _cuts(rows.groupBy("key", "slice").agg(F.sum("size").alias("sum")), plan_df.select("key", "need"))
+    rows = rows.withColumn("key", key).join(F.broadcast(plan_df), "key").withColumn("more", F.lit(0))
+    left = plan_df.filter("need > 0").select("key", F.col("need").alias("left"))
+    # Whole repetitions for all.  Of what is left over, first documents so large that the order would leave a hole beside them ...
+    large = F.col("size") * LARGE > F.col("need")
+    rows, left = _filled(rows, left, large & (F.col("times") < most))
+    # ... then the others in seeded order up to the slice that would exceed it ...
+    small = ~large & (F.col("times") < most)
+    cuts = materialize(_cuts(rows.filter(small).groupBy("key", "slice").agg(F.sum("size").alias("sum")), left))
     rows = rows.join(F.broadcast(cuts.select("key", "cut")), "key", "left")
-    rows = rows.withColumn("more", F.when(F.col("slice") < F.coalesce("cut", F.lit(-1)), 1).otherwise(0)).drop("cut")
-    # ... and then the largest that still fit, first of those not taken so far, then of all that may be taken once more.
-    left = cuts.select("key", F.col("gap").alias("left"))
-    for again in (False, True):
+    rows = rows.withColumn("more", F.col("more") + F.when(small & (F.col("slice") < F.coalesce("cut", F.lit(-1))), 1).otherwise(0)).drop("cut")
+    left = left.join(cuts.select("key", "gap"), "key", "left").select("key", F.coalesce("gap", "left").alias("left"))
+    # ... and last the largest that still fit, first of those not taken so far, then of all that may be taken once more.
+    for again in [False] + [True] * (most - 1):
         open_ = (F.col("times") + F.col("more") < most) & (F.lit(again) | (F.col("more") == 0)) & (F.col("size") > 0)
         rows, left = _filled(rows, left, open_)
     out = columns_of(keep)
@@ -203,23 +211,26 @@ def mix(
     return rows.select(*([F.col(f"kept.{c}") for c in keep]), F.col("membership").alias(out["membership"]), F.col("size").alias(out["size"]), F.col("source_size").cast("long").alias(out["source_size"]), F.col("target").alias(out["target"]), taken.alias(out["taken"]))
 
 
-def _cuts(sums: DataFrame, need: DataFrame) -> DataFrame:
-    """(key, cut, gap): the slice in which the seeded order would exceed what a pattern needs, and what is missing before it.
+def _cuts(sums: DataFrame, left: DataFrame) -> DataFrame:
+    """(key, cut, gap): the slice in which the seeded order would exceed what is left of a pattern, and what is missing before it.
 
     Prefix sums over at most ``SLICES`` rows a pattern, whatever its number of documents.
     """
     w = W.partitionBy("key").orderBy("slice")
     upto = F.sum("sum").over(w.rowsBetween(W.unboundedPreceding, 0))
-    s = sums.join(F.broadcast(need.filter("need > 0")), "key").select("key", "slice", "sum", "need", upto.alias("upto"))
-    first = F.min_by(F.struct(F.col("slice").alias("cut"), (F.col("need") - F.col("upto") + F.col("sum")).alias("gap")), "slice")
-    return s.filter("upto > need").groupBy("key").agg(first.alias("m")).select("key", "m.cut", "m.gap")
+    s = sums.join(F.broadcast(left), "key").select("key", "slice", "left", upto.alias("upto"))
+    over = F.col("upto") > F.col("left")
+    first, before = F.min(F.when(over, F.col("slice"))), F.max(F.when(~over, F.col("upto")))
+    return s.groupBy("key").agg(F.coalesce(first, F.lit(SLICES)).alias("cut"), (F.first("left") - F.coalesce(before, F.lit(0))).alias("gap"))
 
 
 def _filled(rows: DataFrame, left: DataFrame, open_: Column) -> tuple[DataFrame, DataFrame]:
     """Take one more time, of the rows of each pattern that are ``open_``, the largest that fit what is ``left``, and on with smaller ones.
 
     Sizes are counted, so the search goes over the sizes of a pattern, of which there are no more than the longest text has
-    words.  Of one size the first in seeded order are taken; only the slice in which their number is reached is sorted.
+    words.  Of one size the first in seeded order are taken; only the slices that they stand in are sorted.
+    What is decided is a small table, a row for each size and slice with a document to take, so all rows are judged by
+    their own columns and are not moved.
     """
     sizes = rows.filter(open_).groupBy("key", "size").agg(F.count("*").alias("n")).join(F.broadcast(left), "key").filter("size <= left")
     each = F.expr("transform(array_sort(collect_list(struct(-size as size, n))), x -> struct(-x.size as size, x.n as n))")
@@ -232,16 +243,18 @@ def _filled(rows: DataFrame, left: DataFrame, open_: Column) -> tuple[DataFrame,
     start = F.struct(F.col("left"), F.array().cast("array<struct<size:bigint,m:bigint>>").alias("taken"))
     chosen = materialize(sizes.groupBy("key").agg(F.first("left").alias("left"), each.alias("sizes")).select("key", F.aggregate("sizes", start, take).alias("a")).select("key", "a.left", "a.taken"))
     wanted = chosen.select("key", F.inline("taken")).select("key", "size", "m")
-    held = rows.filter(open_).join(F.broadcast(wanted), ["key", "size"])
+    held = rows.filter(open_).select("key", "size", "slice", "order", "id").join(F.broadcast(wanted), ["key", "size"])
     w = W.partitionBy("key", "size").orderBy("slice")
     upto = held.groupBy("key", "size", "slice").agg(F.count("*").alias("n"), F.first("m").alias("m")).withColumn("before", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
     limit = upto.filter("before < m").select("key", "size", "slice", (F.col("m") - F.col("before")).alias("room"))  # slices with a document to take
-    place = F.row_number().over(W.partitionBy("key", "size", "slice").orderBy("order", "more"))
-    fits = rows.withColumn("open", open_).join(limit, ["key", "size", "slice"], "left")
-    one = fits.filter("open and room is not null").withColumn("more", F.when(place <= F.col("room"), F.col("more") + 1).otherwise(F.col("more")))
-    out = fits.filter("not (open and room is not null)").unionByName(one).drop("open", "room")
+    place = F.row_number().over(W.partitionBy("key", "size", "slice").orderBy("order", "id"))
+    taken = held.join(limit, ["key", "size", "slice"]).withColumn("place", place).filter("place <= room")
+    bounds = materialize(taken.groupBy("key", "size", "slice").agg(F.max(F.struct("order", "id")).alias("bound")))
+    out = rows.join(bounds, ["key", "size", "slice"], "left")
+    first = F.coalesce(F.struct("order", "id") <= F.col("bound"), F.lit(False))
+    out = out.withColumn("more", F.col("more") + F.when(open_ & first, 1).otherwise(0)).drop("bound")
     rest = left.join(chosen.select("key", F.col("left").alias("_left")), "key", "left").select("key", F.coalesce("_left", "left").alias("left"))
-    return out, rest
+    return out, materialize(rest)
 
 
 def n_words(text: Column) -> Column:
