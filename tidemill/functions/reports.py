@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemill.functions.checks import require_output
+
 
 def first_lines(text: Column, n: int) -> Column:
     """The first ``n`` lines, and how many more there are."""
@@ -54,3 +56,15 @@ def change_prompt(head: str, changes: Column) -> Column:
     quoted = lambda x: F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
     lines = F.transform(changes, lambda c: F.concat(F.lit("- "), quoted(c["old"]), F.lit(" -> "), quoted(c["new"])))
     return F.concat_ws("\n", F.lit(head), F.array_join(lines, "\n"))
+
+
+def rendered(kind: str, path: Column, diff: Column, applied: Column, remaining: Column) -> Column:
+    """A report of one file: its ``diff`` or ``patch``, all as ``json``, or lists as ``markdown``."""
+    if require_output(kind) in ("diff", "patch"):
+        return diff
+    if kind == "json":
+        return F.to_json(F.struct(path.alias("file"), diff.alias("diff"), applied.alias("applied"), remaining.alias("remaining")))
+    done = F.transform(applied, lambda x: F.format_string("- Line %d: `%s` → `%s` (%s)", x["line"], x["original"], x["replacement"], x["rule"]))
+    left = F.transform(remaining, lambda x: F.format_string("- Line %d: `%s` — %s", x["line"], x["symbol"], x["reason"]))
+    part = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(f"\n\n## {head}\n\n"), F.array_join(items, "\n"))).otherwise("")
+    return F.concat(F.lit("# "), path, part("Applied", done), part("Remaining", left), F.lit("\n\n```diff\n"), diff, F.lit("\n```\n"))

@@ -208,3 +208,17 @@ def decided(edits: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame
     """``edits`` with ``final``: a rejected edit keeps its line; without a decision an edit is accepted."""
     out = edits.join(decisions, key, "left").withColumn("decision", F.coalesce("decision", F.lit("accept")))
     return out.withColumn("final", F.when(F.col("decision") == "reject", F.col("line_text")).otherwise(F.col("new_text")))
+
+
+def split_by_size(texts: DataFrame, most: int, text: str = "text") -> DataFrame:
+    """Texts of more than ``most`` characters cut into parts of as many lines as fit by their mean length: part, start_line, end_line, source.
+
+    A text that is not longer is one part, whatever its lines.
+    """
+    rest = [c for c in texts.columns if c != text]
+    lines = F.split(text, "\n", -1)
+    each = F.greatest(F.lit(1), F.floor(F.lit(most) / F.greatest(F.lit(1), F.floor(F.length(text) / F.size(lines))))).cast("int")
+    step = F.when(F.length(text) > most, each).otherwise(F.size(lines))
+    rows = texts.select(*rest, lines.alias("_lines"), step.alias("_step"), F.explode(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / step).cast("int"))).alias("_i"))
+    first = F.col("_i") * F.col("_step")
+    return rows.select(*rest, (F.col("_i") + 1).alias("part"), (first + 1).alias("start_line"), F.least(first + F.col("_step"), F.size("_lines")).alias("end_line"), F.array_join(F.slice("_lines", first + 1, F.col("_step")), "\n").alias("source"))

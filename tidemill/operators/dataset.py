@@ -7,6 +7,7 @@ the rows and the seed alone.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -288,3 +289,15 @@ def mixed_rows(rows: DataFrame, key: str, vector: str, label: str, alpha: float,
     both = F.array(F.struct(F.col(label).alias("label"), F.col("share").alias("share")), F.struct(F.col("_l").alias("label"), (1 - F.col("share")).alias("share")))
     mixed = F.zip_with(vector, "_v", lambda x, y: mix(x.cast("double"), y.cast("double")))
     return first.join(second, "_to").select(key, "partner", "share", mixed.alias(vector), F.coalesce(same, both).alias("labels"), mix(F.col("_w"), F.col("_w2")).alias("weight"))
+
+
+def in_all_splits(rows: DataFrame, label: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """Labels that every split has."""
+    held = [rows.filter(F.col("split") == s).select(label).distinct() for s in splits]
+    return reduce(DataFrame.intersect, held)
+
+
+def missing_labels(rows: DataFrame, label: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """(label, split): labels that a split has not."""
+    every = rows.select(label).distinct().select(label, F.explode(F.array(*[F.lit(s) for s in splits])).alias("split"))
+    return every.subtract(rows.select(label, "split"))

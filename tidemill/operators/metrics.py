@@ -53,3 +53,12 @@ def early_stopping(history: DataFrame, run: str, epoch: str, metric: str, patien
     out = out.withColumn("_n", F.row_number().over(w)).withColumn("stale", F.col("_n") - last)
     stopped = F.max((F.col("stale") >= patience).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
     return out.withColumn("ran", F.coalesce(stopped, F.lit(0)) == 0).drop("_n")
+
+
+def close_vectors(a: DataFrame, b: DataFrame, key: str, vector: str, rtol: float = 1e-3, atol: float = 1e-5) -> DataFrame:
+    """(key, same_shape, furthest, passed) of the vectors that both tables have: of one length, and each value within the tolerance."""
+    rows = a.select(key, F.col(vector).alias("_a")).join(b.select(key, F.col(vector).alias("_b")), key)
+    same = F.size("_a") == F.size("_b")
+    gaps = F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    near = F.forall(F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("double") - y.cast("double")) <= F.lit(atol) + F.lit(rtol) * F.abs(y.cast("double"))), lambda ok: F.coalesce(ok, F.lit(False)))
+    return rows.select(key, same.alias("same_shape"), F.when(same, F.array_max(gaps)).alias("furthest"), (same & near).alias("passed"))

@@ -126,3 +126,26 @@ def unified_diff(old: Column, new: Column, path: Column) -> Column:
         return pd.Series(["".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), f"a/{p}", f"b/{p}")) for a, b, p in zip(old, new, path, strict=True)])
 
     return F.pandas_udf(diff, "string")(old, new, path)
+
+
+def imported(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, line, module, whole) of the import statements of ``files`` (path, text), and the paths of files without a syntax tree."""
+
+    def tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, text in zip(f.path, f.text, strict=True):
+                try:
+                    tree = ast.parse(text or "")
+                except UNPARSABLE:
+                    out.append((path, 0, None, None))
+                    continue
+                for n in ast.walk(tree):
+                    if isinstance(n, ast.Import):
+                        out += [(path, n.lineno, a.name, True) for a in n.names]
+                    elif isinstance(n, ast.ImportFrom):
+                        out.append((path, n.lineno, n.module or "", False))
+            yield pd.DataFrame(out, columns=["path", "line", "module", "whole"])
+
+    rows = files.select("path", "text").mapInPandas(tasks, "path string, line int, module string, whole boolean")
+    return rows.filter("module is not null"), rows.filter("module is null").select("path")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import code, dataset, graph, greedy
+from tidemill.operators import code, dataset, graph, greedy, metrics
 from tidemill.plans.queries import LINES, query, t
 
 
@@ -120,3 +120,41 @@ def mixed_embeddings(spark, d):
     weights = rows.filter("label % 2 = 0").groupBy("label").agg((F.lit(1.0) / F.count("*")).alias("weight"))
     out = dataset.mixed_rows(rows, "vec_id", "embedding", "label", 0.5, 21, weights)
     return out.select("vec_id", "partner", F.round("share", 9).alias("share"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(F.get("labels", F.lit(0))["share"], 9).alias("own"), F.round("weight", 9).alias("weight"))
+
+
+@query("""SELECT vec_id, vec_id % 5 <> 0 AS same_shape, CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 0.5 WHEN vec_id % 3 = 1 THEN 0.000005 ELSE 0 END::DOUBLE AS furthest, vec_id % 5 <> 0 AND vec_id % 3 <> 0 AS passed
+FROM embeddings WHERE vec_id % 7 <> 0""")
+def close_embeddings(spark, d):
+    rows = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    off = F.when(F.col("vec_id") % 3 == 0, 0.5).when(F.col("vec_id") % 3 == 1, 0.000005).otherwise(0.0)
+    moved = F.transform("embedding", lambda x, i: F.when(i == 0, x + off).otherwise(x))
+    other = rows.filter("vec_id % 7 <> 0").select("vec_id", F.when(F.col("vec_id") % 5 == 0, F.slice(moved, 1, 10)).otherwise(moved).alias("embedding"))
+    return metrics.close_vectors(rows, other, "vec_id", "embedding").withColumn("furthest", F.round("furthest", 9))
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l, length(text) AS n FROM documents),
+k AS (SELECT *, CASE WHEN n > 600 THEN greatest(1, 600 // greatest(1, n // len(l))) ELSE len(l) END AS step FROM s),
+p AS (SELECT *, unnest(range(0, (len(l) - 1) // step + 1)) AS i FROM k)
+SELECT doc_id, i + 1 AS part, i * step + 1 AS start_line, least(i * step + step, len(l)) AS end_line, md5(array_to_string(l[i * step + 1:i * step + step], chr(10))) AS digest FROM p""")
+def parts_by_size(spark, d):
+    out = code.split_by_size(t(spark, d, "documents").select("doc_id", "text"), 600)
+    return out.select("doc_id", "part", "start_line", "end_line", F.md5("source").alias("digest"))
+
+
+SPLIT_KINDS = """b AS (SELECT doc_id, source || '/' || lang AS kind, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || '|123'), doc_id) AS p, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+s AS (SELECT kind, CASE WHEN p <= floor(n * 0.8) THEN 'train' WHEN p <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM b)"""
+
+
+def split_kinds(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "lang", F.concat_ws("/", "source", "lang").alias("kind"))
+    return dataset.stratified_split(docs, "doc_id", "lang", 123)
+
+
+@query(f"WITH {SPLIT_KINDS} SELECT kind FROM s WHERE split = 'train' INTERSECT SELECT kind FROM s WHERE split = 'val' INTERSECT SELECT kind FROM s WHERE split = 'test'")
+def kinds_in_all_splits(spark, d):
+    return dataset.in_all_splits(split_kinds(spark, d), "kind")
+
+
+@query(f"WITH {SPLIT_KINDS} SELECT DISTINCT kind, x.split FROM s, (VALUES ('train'), ('val'), ('test')) AS x(split) EXCEPT SELECT kind, split FROM s")
+def missing_kinds(spark, d):
+    return dataset.missing_labels(split_kinds(spark, d), "kind")

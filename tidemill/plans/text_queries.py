@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import ccode, code, patches, patterns, syntax
+from tidemill.operators import ccode, code, migrate, patches, patterns, syntax, validators
 from tidemill.plans import rules as rl
-from tidemill.plans.queries import query, t
+from tidemill.plans.queries import LINES, VALUES, doc_lines, query, t, word_rules
 
 #: The words of the benchmark items, numbered in order, as a table of keys.
 SQL_KEYS = "k AS (SELECT key, row_number() OVER (ORDER BY key) AS ord FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\s.,]+')) AS key FROM benchmark) WHERE length(key) >= {least})"
@@ -185,3 +185,56 @@ def document_patches(spark, d):
     less = found.groupBy("doc_id").agg(F.sum(F.col("old_count") - F.col("new_count")).alias("fewer"))
     out = patches.patched(texts.select("doc_id", "text"), found, ["doc_id"], "text").join(less, "doc_id", "left")
     return out.select("doc_id", F.md5("patched").alias("digest"), F.coalesce("fewer", F.lit(0)).cast("long").alias("fewer"))
+
+
+BROKEN = _case(["'x.to(' || chr(39) || 'hip' || chr(39) || ')'", "'torch.device(\"rocm:0\")  # torch.device(\"hip\")'", "'hipCtxCreate(); hipMemcpyHtoD()'", "'# hipCtxCreate()'", "'y = 1  # cudnn'"])
+
+
+@query(f"""WITH {W}, {FILES}, g AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 2 AS last FROM f),
+i AS (SELECT doc_id, 3 AS line, 'No cuDNN references' AS validator, 'cuDNN reference found: torch.backends.cudnn.enabled = True' AS message FROM g WHERE doc_id % 3 = 0
+ UNION ALL SELECT doc_id, 3, 'Environment variable validation', 'CUDA env var ''CUDA_VISIBLE_DEVICES'' still present' FROM g WHERE doc_id % 3 = 2
+ UNION ALL SELECT doc_id, last, 'Device string validation', 'Wrong device string "hip"' FROM g WHERE doc_id % 5 < 2
+ UNION ALL SELECT doc_id, last, 'Device string validation', 'Wrong device string "rocm"' FROM g WHERE doc_id % 5 = 1
+ UNION ALL SELECT doc_id, last, 'Deprecated ROCm API check', 'hipCtxCreate is deprecated in ROCm 6.0+ — use hipSetDevice instead' FROM g WHERE doc_id % 5 = 2
+ UNION ALL SELECT doc_id, last, 'Deprecated ROCm API check', 'hipMemcpyHtoD is driver API — prefer hipMemcpy with hipMemcpyHostToDevice' FROM g WHERE doc_id % 5 = 2)
+SELECT doc_id, line, validator, message FROM i""")
+def python_line_issues(spark, d):
+    words = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    docs = t(spark, d, "documents").select("doc_id", "text", words.alias("w")).filter(F.size("w") >= 6)
+    files = docs.select("doc_id", F.concat(F.expr(_zero_based(PYTHON)), F.lit("\n"), F.expr(_zero_based(BROKEN))).alias("text"))
+    return validators.line_issues(code.explode_lines(files, lines=F.split("text", "\n"))).select("doc_id", "line", "validator", "message")
+
+
+@query(f"""WITH {W} SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 9 THEN 0 ELSE 2 END AS line,
+ CASE WHEN doc_id % 10 = 9 THEN 'Code has syntax errors — cannot validate imports' WHEN doc_id % 4 = 0 THEN 'CUDA-only import ''pycuda.driver'' still present' ELSE 'CUDA-only import ''from tensorrt'' still present' END AS message
+FROM w WHERE doc_id % 10 = 9 OR doc_id % 4 < 2""")
+def python_import_issues(spark, d):
+    imported, unparsed = syntax.imported(python_files(spark, d))
+    return validators.import_issues(imported, unparsed).select("path", "line", "message")
+
+
+@query(f"""WITH {W}, a AS (SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 5 ELSE 4 END AS sure, CASE doc_id % 5 WHEN 1 THEN 0.6 WHEN 2 THEN 0.7 WHEN 3 THEN NULL ELSE 0.5 END AS launch,
+ CASE WHEN doc_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 0.1 ELSE 0 END AS more FROM w),
+b AS (SELECT doc_id, sure, launch, CASE WHEN doc_id % 8 = 0 THEN 1.0 ELSE 0.5 + more END AS type_left, 0.5 + more AS call_left, CASE WHEN doc_id % 5 = 3 THEN CASE WHEN doc_id % 4 = 0 THEN 1.0 ELSE 0.3 + more END END AS launch_left FROM a)
+SELECT doc_id, sure + CASE WHEN type_left = 1 THEN 2 ELSE 0 END + CASE WHEN launch_left = 1 THEN 1 ELSE 0 END AS high, CASE WHEN launch IS NULL THEN 0 ELSE 1 END + CASE WHEN type_left = 1 THEN 1 ELSE 3 END + CASE WHEN launch_left >= 0.5 AND launch_left < 1 THEN 1 ELSE 0 END AS needs_review,
+ CASE WHEN launch_left < 0.5 THEN 1 ELSE 0 END AS low, sure + 4 AS total, round((sure + coalesce(launch, 0) + 2 * type_left + call_left + coalesce(launch_left, 0))::DOUBLE / (sure + 4), 6) AS score FROM b""")
+def quality_reports(spark, d):
+    files = ccode.migrated_files(c_files(spark, d), c_steps())
+    files = files.withColumn("new_text", F.when(F.col("doc_id") % 8 == 0, F.replace("new_text", F.lit("cudaSurfaceObject_t"), F.lit("hipSurfaceObject_t"))).otherwise(F.col("new_text")))
+    out = validators.quality_report(files, agent=F.col("doc_id") % 2 == 0, validated=F.col("doc_id") % 4 == 0)
+    found = validators.levels_of(F.col("changes"))
+    return out.select("doc_id", *[(F.round(c, 6) if n == "score" else c).alias(n) for n, c in found.items()])
+
+
+@query(f"""WITH l AS ({LINES}), h AS (SELECT doc_id, line, arg_min(key, ord) AS key, arg_min(replacement, ord) AS replacement FROM l JOIN {VALUES} ON contains(line_text, key) WHERE confidence >= 1 GROUP BY ALL),
+n AS (SELECT l.doc_id, l.line, coalesce(replace(line_text, key, replacement), line_text) AS s, key || ' → ' || replacement AS rule FROM l LEFT JOIN h ON h.doc_id = l.doc_id AND h.line = l.line)
+SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY line)) AS digest, string_agg(rule, ',' ORDER BY line) AS rules FROM n GROUP BY doc_id""")
+def migrated_texts(spark, d):
+    lines = doc_lines(spark, d).withColumnRenamed("doc_id", "path")
+    rules = word_rules(spark)
+    usages = patterns.in_rule_order(lines, rules, ["path", "line"], "line_text").join(F.broadcast(rules.select("ord", F.col("key").alias("symbol"))), "ord")
+    usages = usages.select("path", "line", "ord", F.lit("api_call").alias("category"), "symbol", F.lit(False).alias("false_positive"))
+    new, applied, _ = migrate.migrated(lines, usages, rules.withColumnRenamed("key", "symbol"))
+    text = new.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "line_text"))).alias("p")).select("path", F.md5(F.array_join(F.transform("p", lambda x: x["line_text"]), "\n")).alias("digest"))
+    named = applied.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "rule"))).alias("p")).select("path", F.array_join(F.transform("p", lambda x: x["rule"]), ",").alias("rules"))
+    return text.join(named, "path", "left").select(F.col("path").alias("doc_id"), "digest", "rules")
