@@ -99,3 +99,22 @@ def test_order_with_cycles(spark, seed):
         return 1 + max(map(level, below)) if below else 0
 
     assert {i: got[i].level for i in range(n)} == {i: level(component[i]) for i in range(n)}
+
+
+@pytest.mark.parametrize("seed, budget", [(1, 200), (2, 37), (3, 0), (4, 100_000), (5, 60)])
+def test_greedy_budgets_over_large_groups(spark, seed, budget):
+    rng = random.Random(seed)
+    sizes = [[1, 5, 9, None, 0], list(range(1, 60)), [3], [1, 100, 99, 98], [60, 41, 40, 20, 2, 1]][seed - 1]
+    rows = [(rng.choice(["a", "a", "b", None]), rng.randint(0, 150), rng.choice(sizes)) for _ in range(300)] + [("none", 1, None)]
+    df = spark.createDataFrame(rows, "g string, i int, tokens int").repartition(3)
+    for run, stops in ((code.greedy_budget, False), (code.budget_until_misfit, True)):
+        want = {}
+        for g in {r[0] for r in rows}:
+            used = taken = 0
+            for _, n in sorted((i, n) for h, i, n in rows if h == g and n is not None):
+                if used + n <= budget:
+                    used, taken = used + n, taken + 1
+                elif stops:
+                    break
+            want[g] = (used, taken)
+        assert {r.g: (r.used, r.taken) for r in run(df, ["g"], "i", "tokens", budget).collect()} == want

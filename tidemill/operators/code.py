@@ -6,12 +6,14 @@ every "first match wins" is a window over that order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import split_lines, uncommented
-from tidemill.operators.fold import in_order, types
+from tidemill.operators.graph import checkpointed
 from tidemill.operators.running import running
 
 #: Fixed values: (category, pattern, once a line, symbol of such a line).
@@ -159,43 +161,53 @@ def within_budget(chunks: DataFrame, group: list[str], order: list[str], budget:
     return out.withColumn("used", F.col("used") + F.coalesce(tokens, F.lit(0))).withColumn("selected", F.col("used") <= budget)
 
 
-def greedy_budget(chunks: DataFrame, group: list[str], order: str, tokens: str, budget: int) -> DataFrame:
-    """Take what still fits in order, skip what does not, and go on: one ordered fold a group, with two numbers held."""
+def _one_filling(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, taken, used, misfit) of rows with ``_left``: what fits it in order, and the first row that does not."""
+    keep = [*group, "_at", "_t", "_left"]
+    sums = running(rows, keep, group, ["_at"], F.col("_t"), "_used")
+    over = F.when(F.col("_used") + F.col("_t") > F.col("_left"), F.col("_at"))
+    first = sums.withColumn("_over", over).groupBy(*group).agg(F.min("_over").alias("_misfit"))
+    return checkpointed(_with_nulls(sums, first, group).filter("_misfit is null or _at <= _misfit").groupBy(*group).agg(F.count_if(F.col("_misfit").isNull() | (F.col("_at") < F.col("_misfit"))).alias("_n"), F.sum(F.when(F.col("_misfit").isNull() | (F.col("_at") < F.col("_misfit")), F.col("_t")).otherwise(0)).alias("_sum"), F.first("_misfit").alias("_misfit")))
+
+
+def _with_nulls(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A join by columns in which null equals null."""
+    named = right.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    same = [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]
+    return left.join(named, reduce(lambda x, y: x & y, same)).drop(*[f"_on{i}" for i in range(len(on))])
+
 
-    def run(rows):
-        at = None
-        for g, (_, t) in rows:
-            if g != at:
-                if at is not None:
-                    yield (*at, used, taken)
-                at, used, taken = g, 0, 0
-            if t is not None and used + t <= budget:
-                used, taken = used + t, taken + 1
-        if at is not None:
-            yield (*at, used, taken)
+def _placed_chunks(chunks: DataFrame, group: list[str], order: str, tokens: str) -> DataFrame:
+    at = F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"), F.monotonically_increasing_id().alias("i"))
+    return checkpointed(chunks.select(*group, at.alias("_at"), F.col(tokens).cast("long").alias("_t")))
 
-    values = {"_o": F.col(order), "_t": F.col(tokens).cast("long")}
-    return in_order(chunks, group, values, run, f"{types(chunks, group)}, used long, taken long")
+
+def greedy_budget(chunks: DataFrame, group: list[str], order: str, tokens: str, budget: int) -> DataFrame:
+    """(group, used, taken): take what still fits in order, skip what does not, and go on; chunks without a number are skipped.
+
+    Of what is no larger than what is left, all is taken up to the first chunk that does not fit; then what is left is less than that
+    chunk, and the rest is searched again.  A group may have any size.
+    """
+    rows = _placed_chunks(chunks, group, order, tokens)
+    total = checkpointed(rows.select(*group).distinct().select(*group, F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("taken")))
+    left = rows.filter(F.col("_t") <= budget).withColumn("_left", F.lit(budget).cast("long"))
+    while True:
+        round_ = _one_filling(left, group)
+        added = round_.select(*group, F.col("_sum").alias("used"), F.col("_n").alias("taken"))
+        total = checkpointed(total.unionByName(added).groupBy(*group).agg(F.sum("used").alias("used"), F.sum("taken").alias("taken")))
+        open_ = round_.filter("_misfit is not null").select(*group, "_sum", "_misfit")
+        if open_.isEmpty():
+            return total
+        left = _with_nulls(left, open_, group).filter("_at > _misfit and _t <= _left - _sum").select(*group, "_at", "_t", (F.col("_left") - F.col("_sum")).alias("_left"))
+        left = checkpointed(left)
 
 
 def budget_until_misfit(chunks: DataFrame, group: list[str], order: str, tokens: str, budget: int) -> DataFrame:
-    """Take chunks in order up to the first that does not fit: one ordered fold a group, with three values held."""
-
-    def run(rows):
-        at = None
-        for g, (_, t) in rows:
-            if g != at:
-                if at is not None:
-                    yield (*at, used, taken)
-                at, used, taken, full = g, 0, 0, False
-            if not full and t is not None:
-                full = used + t > budget
-                used, taken = (used, taken) if full else (used + t, taken + 1)
-        if at is not None:
-            yield (*at, used, taken)
-
-    values = {"_o": F.col(order), "_t": F.col(tokens).cast("long")}
-    return in_order(chunks, group, values, run, f"{types(chunks, group)}, used long, taken long")
+    """(group, used, taken): take chunks in order up to the first that does not fit; chunks without a number are skipped."""
+    rows = _placed_chunks(chunks, group, order, tokens)
+    filled = _one_filling(rows.filter("_t is not null").withColumn("_left", F.lit(budget).cast("long")), group)
+    every = rows.select(*group).distinct().select(*group, F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("taken"))
+    return every.unionByName(filled.select(*group, F.col("_sum").alias("used"), F.col("_n").alias("taken"))).groupBy(*group).agg(F.sum("used").alias("used"), F.sum("taken").alias("taken"))
 
 
 def rule_confidence(rule: Column, known: dict[str, float], sign: str) -> Column:

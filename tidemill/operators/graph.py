@@ -39,15 +39,19 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Level by level, modules all of whose dependencies are placed are placed; the
     loop runs once for each level, and ends when nothing can be placed.
     """
-    edges = edges.select("src", "dst").filter("src <> dst").distinct().join(vertices.select(F.col("module").alias("dst")), "dst", "left_semi")
+    edges = checkpointed(edges.select("src", "dst").filter("src <> dst").distinct().join(vertices.select(F.col("module").alias("dst")), "dst", "left_semi"))
     placed = vertices.join(edges.select(F.col("src").alias("module")).distinct(), "module", "left_anti").select("module", F.lit(0).alias("level"))
+    new = placed = checkpointed(placed)
+    # what each module still waits for, less what the last round placed
+    waits = edges.groupBy("src").agg(F.count("*").alias("n"))
     for level in count(1):
-        done = edges.join(placed.select(F.col("module").alias("dst"), F.lit(1).alias("ok")), "dst", "left")
-        ready = done.groupBy("src").agg(F.min(F.coalesce("ok", F.lit(0))).alias("ok")).filter("ok = 1").select(F.col("src").alias("module"))
-        new = checkpointed(ready.join(placed, "module", "left_anti").select("module", F.lit(level).alias("level")))
+        done = edges.join(new.select(F.col("module").alias("dst")), "dst", "left_semi").groupBy("src").agg(F.count("*").alias("d"))
+        waits = checkpointed(waits.join(done, "src", "left").select("src", (F.col("n") - F.coalesce("d", F.lit(0))).alias("n")))
+        new = waits.filter("n = 0").select(F.col("src").alias("module"), F.lit(level).alias("level"))
         if new.isEmpty():
             break
         placed = placed.unionByName(new)
+        waits = waits.filter("n > 0")
     return vertices.join(placed, "module", "left").select("module", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
