@@ -175,3 +175,10 @@ def in_rule_order(texts: DataFrame, rules: DataFrame, id_: list[str], text: str
     """(id, ord, start, n): each rule that the text holds, once, by ord, with its first place; n counts from 1."""
     once = places(texts, rules, id_, text).groupBy(*id_, "ord").agg(F.min("start").alias("start"))
     return once.withColumn("n", F.row_number().over(W.partitionBy(*id_).orderBy("ord")))
+
+
+def hints(texts: DataFrame, rules: DataFrame, id_: list[str], text: str = "text") -> DataFrame:
+    """(id, n, columns of the rule) of the rules (ord, key, priority and more) whose key a text holds, the least priority first, then by ord."""
+    named = rules.withColumnRenamed("key", "trigger")
+    once = places(texts, rules, id_, text).select(*id_, "ord").distinct().join(named, "ord")
+    return once.withColumn("n", F.row_number().over(W.partitionBy(*id_).orderBy("priority", "ord"))).select(*id_, "n", *[c for c in named.columns if c != "ord"])

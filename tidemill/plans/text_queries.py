@@ -25,10 +25,14 @@ def first_places(spark, d):
     return found.groupBy("doc_id", "ord").agg(F.min("start").alias("start"))
 
 
-@query(f"""WITH {SQL_KEYS.format(least=5)}, p AS (SELECT doc_id, ord, key, text, string_split(text, key) AS parts FROM documents JOIN k ON contains(text, key))
+#: Keys that do not begin as they end, so two places of one never overlap and a split by the key finds all of them.
+@query(f"""WITH {SQL_KEYS.format(least=5)}, b AS (SELECT * FROM k WHERE len(list_filter(range(1, length(key)), lambda j: left(key, j) = right(key, j))) = 0),
+p AS (SELECT doc_id, ord, key, text, string_split(text, key) AS parts FROM documents JOIN b ON contains(text, key))
 SELECT doc_id, ord, len(parts) - 1 AS n, length(text) - length(parts[-1]) - length(key) AS last FROM p""")
 def all_places(spark, d):
-    found = patterns.places(t(spark, d, "documents"), item_words(spark, d, 5), ["doc_id"])
+    length = F.length("key")
+    keys = item_words(spark, d, 5).filter(~F.exists(F.sequence(F.lit(1), length - 1), lambda j: F.left("key", j) == F.right("key", j)))
+    found = patterns.places(t(spark, d, "documents"), keys, ["doc_id"])
     return found.groupBy("doc_id", "ord").agg(F.count("*").alias("n"), F.max("start").alias("last"))
 
 
@@ -238,3 +242,16 @@ def migrated_texts(spark, d):
     text = new.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "line_text"))).alias("p")).select("path", F.md5(F.array_join(F.transform("p", lambda x: x["line_text"]), "\n")).alias("digest"))
     named = applied.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "rule"))).alias("p")).select("path", F.array_join(F.transform("p", lambda x: x["rule"]), ",").alias("rules"))
     return text.join(named, "path", "left").select(F.col("path").alias("doc_id"), "digest", "rules")
+
+
+SQL_HINTS = "(VALUES " + ", ".join(f"({i}, '{k}', '{c}', {p})" for i, (k, c, p) in enumerate(rl.HINTS)) + ") AS h(ord, trigger, category, priority)"
+
+
+@query(f"""WITH f AS (SELECT doc_id, text || a.trigger || ' ' || b.trigger AS text FROM documents JOIN {SQL_HINTS.replace("AS h(", "AS a(")} ON a.ord = doc_id % 16 JOIN {SQL_HINTS.replace("AS h(", "AS b(")} ON b.ord = (doc_id * 7 + 3) % 16)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY priority, ord) AS n, trigger, category, priority FROM f JOIN {SQL_HINTS} ON contains(text, trigger)""")
+def optimization_hints(spark, d):
+    triggers = F.array(*[F.lit(k) for k, _, _ in rl.HINTS])
+    at = lambda i: F.get(triggers, i.cast("int"))
+    files = t(spark, d, "documents").select("doc_id", F.concat("text", at(F.col("doc_id") % 16), F.lit(" "), at((F.col("doc_id") * 7 + 3) % 16)).alias("text"))
+    rules = spark.createDataFrame([(i, *r) for i, r in enumerate(rl.HINTS)], "ord int, key string, category string, priority int")
+    return patterns.hints(files, rules, ["doc_id"])
