@@ -67,7 +67,7 @@ def module_order(spark, d):
 
 
 #: Parts of an order's lines by supplier: the labels of a supplier are all one, so whole suppliers are dealt out.
-GROUPED = """g AS (SELECT l_suppkey AS g, l_suppkey % 4 AS label, count(*) AS n FROM lineitem GROUP BY ALL),
+GROUPED = """g AS (SELECT l_suppkey AS g, l_suppkey % 2 AS label, count(*) AS n FROM lineitem GROUP BY ALL),
 w AS (SELECT *, row_number() OVER o - 1 AS place, count(*) OVER (PARTITION BY label) AS k, sum(n) OVER o - n AS before, sum(n) OVER (PARTITION BY label) AS whole
  FROM g WINDOW o AS (PARTITION BY label ORDER BY md5(g::VARCHAR || '|11'), g)),
 s AS (SELECT g, CASE WHEN k - place = 1 THEN 'test' WHEN k - place = 2 THEN 'val' WHEN place = 0 THEN 'train' WHEN before + n / 2 < whole * 0.8::DOUBLE THEN 'train' WHEN before + n / 2 < whole * 0.9::DOUBLE THEN 'val' ELSE 'test' END AS split FROM w)"""
@@ -75,7 +75,7 @@ s AS (SELECT g, CASE WHEN k - place = 1 THEN 'test' WHEN k - place = 2 THEN 'val
 
 @query(f"WITH {GROUPED} SELECT l_orderkey, l_linenumber, split, true AS grouped FROM lineitem JOIN s ON g = l_suppkey")
 def split_by_groups(spark, d):
-    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_suppkey") % 4).alias("label"), F.concat_ws("|", F.lpad("l_orderkey", 12, "0"), "l_linenumber").alias("key"))
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_suppkey") % 2).alias("label"), F.concat_ws("|", F.lpad("l_orderkey", 12, "0"), "l_linenumber").alias("key"))
     return dataset.grouped_split(rows, "key", "l_suppkey", "label", 11).select("l_orderkey", "l_linenumber", "split", "grouped")
 
 
