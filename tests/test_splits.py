@@ -118,3 +118,11 @@ def test_greedy_budgets_over_large_groups(spark, seed, budget):
                     break
             want[g] = (used, taken)
         assert {r.g: (r.used, r.taken) for r in run(df, ["g"], "i", "tokens", budget).collect()} == want
+
+
+def test_many_rules_are_not_looked_up_in_the_row(spark):
+    rules = spark.range(code.FEW + 1).selectExpr("id as ord", "cast(id as string) as key", "'x' as replacement")
+    lines = spark.createDataFrame([("a 7 b",)], "line_text string")
+    with pytest.raises(ValueError, match="more than"):
+        code.first_contained(lines, rules)
+    assert code.first_contained(lines, rules.limit(code.FEW)).first().key == "7"

@@ -16,6 +16,8 @@ from tidemill.functions.text import split_lines, uncommented
 from tidemill.operators.graph import checkpointed
 from tidemill.operators.running import running
 
+#: Rules that are looked up in the row.
+FEW = 500
 #: Fixed values: (category, pattern, once a line, symbol of such a line).
 TAGS = (
     ("api_call", r"<<<.*?>>>", True, "<<<...>>>"),
@@ -65,7 +67,8 @@ def false_positive(line: Column, category: Column) -> Column:
 
 def lookup(usages: DataFrame, rules: DataFrame) -> DataFrame:
     """Status of each symbol: replaced at confidence 1, else remaining with a reason and a confidence."""
-    out = usages.join(F.broadcast(rules.select(F.col("symbol").alias("_s"), "replacement", F.col("confidence").alias("_c"))), F.col("symbol") == F.col("_s"), "left")
+    known = rules.select(F.col("symbol").alias("_s"), "replacement", F.col("confidence").alias("_c"))
+    out = usages.join(known, F.col("symbol") == F.col("_s"), "left")
     launch = F.col("symbol") == "<<<...>>>"
     reason = F.when(F.col("_c") >= 1.0, F.lit(None).cast("string")).when(F.col("_c").isNotNull(), F.lit("Low confidence mapping")).when(launch, F.lit("Kernel launch")).otherwise(F.lit("Unknown API"))
     confidence = F.coalesce("_c", F.when(launch, 0.3).otherwise(0.4))
@@ -75,9 +78,12 @@ def lookup(usages: DataFrame, rules: DataFrame) -> DataFrame:
 def first_contained(lines: DataFrame, rules: DataFrame, line: str = "line_text", prefix: bool = False) -> DataFrame:
     """Of each line the first rule (by ord) whose key it holds, or begins with; lines that fit none are dropped.
 
-    ``rules`` (ord, key, replacement) is a dimension of a few rows; it is looked up in the row, so lines are neither joined nor shuffled.
+    ``rules`` (ord, key, replacement) is a dimension of at most ``FEW`` rows; it is looked up in the row, so lines are neither joined nor
+    shuffled.  More rules are an error: ``patterns.first_rule`` looks for any number.
     """
-    few = sorted((r.ord, r.key, r.replacement) for r in rules.select("ord", "key", "replacement").collect())
+    few = sorted((r.ord, r.key, r.replacement) for r in rules.select("ord", "key", "replacement").limit(FEW + 1).collect())
+    if len(few) > FEW:
+        raise ValueError(f"more than {FEW} rules")
     listed = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("replacement")) for _, k, v in few])
     fits = F.startswith if prefix else F.contains
     best = F.get(F.filter(listed, lambda r: fits(F.col(line), r["key"])), F.lit(0))

@@ -196,12 +196,12 @@ def conversations(rows: DataFrame, dimension: DataFrame, label: str, key: str, s
     ask = F.element_at(asks, (seeded_number(F.col(key), seed, 3) + 1).cast("int"))
     answer = F.concat(F.lit("This looks like "), F.col("title"), F.lit(". "), F.col("advice"))
     turns = F.array(F.struct(F.lit("user").alias("role"), ask.alias("content")), F.struct(F.lit("assistant").alias("role"), answer.alias("content")))
-    return rows.join(F.broadcast(dimension), label).select(key, label, turns.alias("conversations"))
+    return rows.join(dimension, label).select(key, label, turns.alias("conversations"))
 
 
 def unknown_labels(rows: DataFrame, known: DataFrame, label: str) -> DataFrame:
     """(label, n): labels that the dimension lacks, and how many rows have them."""
-    return rows.join(F.broadcast(known.select(label).distinct()), label, "left_anti").groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(known.select(label).distinct(), label, "left_anti").groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def require_known(rows: DataFrame, known: DataFrame, label: str) -> DataFrame:
@@ -221,7 +221,7 @@ def with_label_index(rows: DataFrame, label: str) -> DataFrame:
     """Add ``label_idx``, the place of the label among all labels in order, from 0; labels are a dimension."""
     names = rows.select(label).filter(F.col(label).isNotNull()).distinct()
     index = names.select(label, (F.row_number().over(W.orderBy(label)) - 1).alias("label_idx"))
-    return rows.join(F.broadcast(index), label, "left")
+    return rows.join(index, label, "left")
 
 
 def _digits(seed: str, *parts: Column) -> Column:

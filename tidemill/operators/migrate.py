@@ -73,7 +73,7 @@ def migrated(
     known = api.select(F.col("symbol").alias("_s"), "replacement", F.col("confidence").alias("_c"))
     phase = F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv])
     rows = usages.filter(~F.coalesce("false_positive", F.lit(False))).withColumn("phase", F.try_element_at(phase, "category"))
-    rows = rows.filter("phase is not null").join(lines, ["path", "line"]).join(F.broadcast(known), F.col("symbol") == F.col("_s"), "left")
+    rows = rows.filter("phase is not null").join(lines, ["path", "line"]).join(known, F.col("symbol") == F.col("_s"), "left")
     text, of = F.col("line_text"), lambda kind: F.col("category") == kind
     sure = F.coalesce(F.col("_c") >= 1.0, F.lit(False))
     new = (

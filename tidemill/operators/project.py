@@ -48,7 +48,7 @@ def places(rows: DataFrame, *order: str) -> DataFrame:
 
 def in_dependency_order(files: DataFrame, order: DataFrame, name: str) -> DataFrame:
     """Files by their position (``pos`` of ``order``, a dimension); those without one last, by name."""
-    out = files.join(F.broadcast(order), name, "left").withColumn("pos", F.coalesce("pos", F.lit(LAST)))
+    out = files.join(order, name, "left").withColumn("pos", F.coalesce("pos", F.lit(LAST)))
     return places(out, "pos", name)
 
 
