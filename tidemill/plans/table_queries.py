@@ -98,11 +98,11 @@ def class_names(spark, d):
     return rows.join(F.broadcast(dim), ["source", "label"]).select("vec_id", "name")
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES ('NATION_9', 0), ('NATION_2', 1), ('NATION_4', 2)) AS r(name, pos))
-SELECT n_name, coalesce(pos, 999)::BIGINT AS pos, row_number() OVER (ORDER BY coalesce(pos, 999), n_name) AS place FROM nation LEFT JOIN p ON n_name = name""")
+@query("""WITH p AS (SELECT * FROM (VALUES ('Customer#000000009', 0), ('Customer#000000002', 1), ('Customer#000000040', 2)) AS r(name, pos))
+SELECT c_name, coalesce(pos, 999)::BIGINT AS pos, row_number() OVER (ORDER BY coalesce(pos, 999), c_name) AS place FROM customer LEFT JOIN p ON c_name = name""")
 def dependency_order(spark, d):
-    order = spark.createDataFrame([("NATION_9", 0), ("NATION_2", 1), ("NATION_4", 2)], "n_name string, pos int")
-    return project.in_dependency_order(t(spark, d, "nation").select("n_name"), order, "n_name")
+    order = spark.createDataFrame([("Customer#000000009", 0), ("Customer#000000002", 1), ("Customer#000000040", 2)], "c_name string, pos int")
+    return project.in_dependency_order(t(spark, d, "customer").select("c_name"), order, "c_name")
 
 
 @query(f"SELECT doc_id, key AS symbol, NOT contains(replace(text, 'the', ''), key) AND lang = 'en' AS resolved FROM documents JOIN {VALUES} ON contains(text, key)")
@@ -151,9 +151,10 @@ def skip_counters(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.count_if(small).alias("too_small"), F.count_if(~small & unreadable).alias("unreadable"), F.count_if(~small & ~unreadable).alias("kept"))
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def empty_classes(spark, d):
-    return dataset.without_samples(t(spark, d, "nation").select("n_nationkey", "n_name"), t(spark, d, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey").select("n_name")
+    sold = t(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return dataset.without_samples(t(spark, d, "part").select("p_partkey", "p_name"), sold, "p_partkey").select("p_partkey", "p_name")
 
 
 @query("SELECT doc_id, length(p) - length(replace(p, chr(10), '')) + 1 AS line FROM (SELECT doc_id, split_part(text, 'the', 1) AS p FROM documents WHERE contains(text, 'the'))")
@@ -190,16 +191,17 @@ def shared_context(spark, d):
     return both.distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("""WITH g AS (SELECT * FROM (VALUES ('NATION_7', 1), ('NATION_3', 2)) AS r(name, pos))
-SELECT n_name, row_number() OVER (ORDER BY coalesce(pos, 1000), n_name) AS place FROM nation LEFT JOIN g ON n_name = name""")
+@query("""WITH g AS (SELECT * FROM (VALUES ('Customer#000000007', 1), ('Customer#000000003', 2)) AS r(name, pos))
+SELECT c_name, row_number() OVER (ORDER BY coalesce(pos, 1000), c_name) AS place FROM customer LEFT JOIN g ON c_name = name""")
 def ordered_append(spark, d):
-    graph = spark.createDataFrame([("NATION_7", 1), ("NATION_3", 2)], "n_name string, pos int")
-    return project.appended(graph, t(spark, d, "nation").select("n_name"), "n_name", "pos").select("n_name", "place")
+    graph = spark.createDataFrame([("Customer#000000007", 1), ("Customer#000000003", 2)], "c_name string, pos int")
+    return project.appended(graph, t(spark, d, "customer").select("c_name"), "c_name", "pos").select("c_name", "place")
 
 
-@query("SELECT n_nationkey, 'Apply these changes:' || chr(10) || '- ''' || n_name || ''' -> ''' || lower(n_name) || '''' AS prompt FROM nation")
+@query("SELECT c_custkey, 'Apply these changes:' || chr(10) || '- ''' || c_name || ''' -> ''' || lower(c_name) || '''' AS prompt FROM customer")
 def prompts(spark, d):
-    return t(spark, d, "nation").select("n_nationkey", reports.change_prompt("Apply these changes:", F.array(F.struct(F.col("n_name").alias("old"), F.lower("n_name").alias("new")))).alias("prompt"))
+    change = F.array(F.struct(F.col("c_name").alias("old"), F.lower("c_name").alias("new")))
+    return t(spark, d, "customer").select("c_custkey", reports.change_prompt("Apply these changes:", change).alias("prompt"))
 
 
 @query("SELECT page_id, regexp_replace(url, '^https?://', '') AS bare FROM pages")
@@ -213,14 +215,15 @@ def clamped_boxes(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber"), reports.clamp(q - 5, 0, 40).alias("lo"), reports.clamp(q + 5, 0, 40).alias("hi"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_name = 'NATION_1' THEN 1.0::DOUBLE WHEN n_name = 'NATION_2' THEN 0.95::DOUBLE WHEN contains(n_name, '_1') THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM nation")
+@query("SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' THEN 1.0::DOUBLE WHEN p_brand = 'Brand#2' THEN 0.95::DOUBLE WHEN contains(p_brand, '#1') THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM part")
 def rule_confidence(spark, d):
-    return t(spark, d, "nation").select("n_nationkey", code.rule_confidence(F.col("n_name"), {"NATION_1": 1.0, "NATION_2": 0.95}, "_1").alias("confidence"))
+    return t(spark, d, "part").select("p_partkey", code.rule_confidence(F.col("p_brand"), {"Brand#1": 1.0, "Brand#2": 0.95}, "#1").alias("confidence"))
 
 
-@query("SELECT n_nationkey, greatest(CASE WHEN n_regionkey > 0 THEN n_regionkey + 1.0::DOUBLE END, 15.0::DOUBLE * pow(2, n_nationkey % 5)) AS delay FROM nation")
+@query("SELECT o_orderkey, greatest(CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 4 + 1.0::DOUBLE END, 15.0::DOUBLE * pow(2, o_orderkey % 5)) AS delay FROM orders")
 def backoff_delays(spark, d):
-    return t(spark, d, "nation").select("n_nationkey", reports.backoff(F.col("n_nationkey") % 5, F.when(F.col("n_regionkey") > 0, F.col("n_regionkey"))).alias("delay"))
+    asked = F.col("o_custkey") % 4
+    return t(spark, d, "orders").select("o_orderkey", reports.backoff(F.col("o_orderkey") % 5, F.when(asked > 0, asked)).alias("delay"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, epoch_us(ts) // 1000000 AS epoch FROM events")
@@ -229,10 +232,10 @@ def utc_stamps(spark, d):
     return t(spark, d, "events").select("event_id", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), F.floor(F.unix_micros(at.cast("timestamp")) / 1_000_000).alias("epoch"))
 
 
-@query("SELECT r_name, CASE r_name WHEN 'ASIA' THEN 'east' WHEN 'EUROPE' THEN 'old' WHEN 'AFRICA' THEN 'south' ELSE 'other' END AS v FROM region")
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'press' WHEN 'view' THEN 'seen' WHEN 'error' THEN 'fault' ELSE 'other' END AS v FROM events")
 def map_lookup(spark, d):
-    base = {"ASIA": "far", "EUROPE": "old"}
-    return t(spark, d, "region").select("r_name", reports.from_map(F.col("r_name"), base | {"ASIA": "east", "AFRICA": "south"}, "other").alias("v"))
+    base = {"click": "tap", "view": "seen"}
+    return t(spark, d, "events").select("event_id", reports.from_map(F.col("event_type"), base | {"click": "press", "error": "fault"}, "other").alias("v"))
 
 
 @query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
