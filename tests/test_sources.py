@@ -88,3 +88,16 @@ def test_labels_in_splits(spark):
     rows = spark.createDataFrame([("a", "train"), ("a", "val"), ("a", "test"), ("b", "train"), ("b", "train"), (None, "val")], "label string, split string")
     assert [r.label for r in dataset.in_all_splits(rows, "label").collect()] == ["a"]
     assert {tuple(r) for r in dataset.missing_labels(rows, "label").collect()} == {("b", "val"), ("b", "test"), (None, "train"), (None, "test")}
+
+
+def test_history(spark):
+    rows = [("2024-01-02T03:04:05.678", "a.py", "rocm", 3, 0, 0.985, True), (None, "x/" * 20 + "end.py", "a long backend", None, 12, None, None), ("t", None, None, 1, 1, 0.005, False)]
+    df = spark.createDataFrame(rows, "ts string, f string, b string, a int, r int, c double, v boolean")
+    got = [r.x for r in df.select(reports.history_row(*[F.col(c) for c in "ts f b a r c v".split()]).alias("x")).collect()]
+    want = []
+    for ts, f, b, a, r, c, v in rows:
+        ts, f, b, a, r, c = (ts or "?")[:19], f or "?", b or "?", a or 0, r or 0, c or 0.0
+        f = "..." + f[-25:] if len(f) > 28 else f
+        want.append(f"{ts:<22} {f:<30} {b:<10} {a:>7} {r:>7} {c:>5.0%} { {True: 'pass', False: 'fail', None: '-'}[v]:>6}")
+    assert got == want
+    assert reports.history_head().split("\n")[0].startswith("Timestamp              File ") and reports.history_head().endswith("-" * 90)

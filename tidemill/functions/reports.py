@@ -68,3 +68,39 @@ def rendered(kind: str, path: Column, diff: Column, applied: Column, remaining:
     left = F.transform(remaining, lambda x: F.format_string("- Line %d: `%s` — %s", x["line"], x["symbol"], x["reason"]))
     part = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(f"\n\n## {head}\n\n"), F.array_join(items, "\n"))).otherwise("")
     return F.concat(F.lit("# "), path, part("Applied", done), part("Remaining", left), F.lit("\n\n```diff\n"), diff, F.lit("\n```\n"))
+
+
+def left_aligned(c: Column, width: int) -> Column:
+    """Filled up with spaces behind; a longer text stays whole."""
+    return F.when(F.length(c) < width, F.rpad(c, width, " ")).otherwise(c)
+
+
+def right_aligned(c: Column, width: int) -> Column:
+    """Filled up with spaces before; a longer text stays whole."""
+    return F.when(F.length(c) < width, F.lpad(c, width, " ")).otherwise(c)
+
+
+def percent(share: Column) -> Column:
+    """Whole per cent, halves to even."""
+    return F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
+
+
+#: The columns of the history and their widths; the first three stand left.
+HISTORY = (("Timestamp", 22), ("File", 30), ("Backend", 10), ("Applied", 7), ("Remain", 7), ("Conf", 6), ("Valid", 6))
+
+
+def history_head() -> str:
+    """The two lines above the rows of a history."""
+    cells = [f"{name:<{width}}" if i < 3 else f"{name:>{width}}" for i, (name, width) in enumerate(HISTORY)]
+    return " ".join(cells) + "\n" + "-" * 90
+
+
+def history_row(stamp: Column, file: Column, backend: Column, applied: Column, remaining: Column, confidence: Column, valid: Column) -> Column:
+    """One entry of the audit log as a line of the history: time to the second, the end of a long path."""
+    unknown = lambda c: F.coalesce(c, F.lit("?"))
+    path = F.when(F.length(file) > 28, F.concat(F.lit("..."), F.right(file, F.lit(25)))).otherwise(file)
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    said = F.when(valid, "pass").when(~valid, "fail").otherwise("-")
+    left = [left_aligned(unknown(c), w) for c, w in ((F.substring(stamp, 1, 19), 22), (path, 30), (backend, 10))]
+    right = [right_aligned(c, w) for c, w in ((number(applied), 7), (number(remaining), 7), (percent(F.coalesce(confidence, F.lit(0.0))), 5), (said, 6))]
+    return F.concat_ws(" ", *left, *right)

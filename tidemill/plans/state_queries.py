@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemill.functions import reports
 from tidemill.operators.graph import shared_folder
 from tidemill.operators.result_cache import ResultCache
 from tidemill.plans.queries import query, t
@@ -59,3 +60,19 @@ def stream_skips(spark, d):
         stream = spark.readStream.schema("path long, at int, text string").parquet(f"{root}/in")
         watch.run_to_end(watch.changed_files(stream, "rocm"), f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out").select(F.col("path").alias("doc_id"), F.col("at").alias("version"), F.md5("text").alias("digest"))
+
+
+PADDED = "rpad({c}, greatest(length({c}), {w})::INTEGER, ' ')"
+
+
+@query(f"""WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, 'src/' || repeat(event_type, (1 + user_id % 5)::INTEGER) || '/f' || event_id || '.py' AS f, event_type, event_id % 50 AS applied, user_id % 7 AS remaining,
+ round_even((event_id % 1001)::DOUBLE / 1000 * 100, 0)::BIGINT || '%' AS c, CASE event_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE '-' END AS v FROM events),
+g AS (SELECT *, CASE WHEN length(f) > 28 THEN '...' || right(f, 25) ELSE f END AS p FROM e)
+SELECT event_id, {PADDED.format(c="stamp", w=22)} || ' ' || {PADDED.format(c="p", w=30)} || ' ' || {PADDED.format(c="event_type", w=10)} || ' ' || lpad(applied::VARCHAR, 7, ' ') || ' ' || lpad(remaining::VARCHAR, 7, ' ') || ' ' || lpad(c, 5, ' ') || ' ' || lpad(v, 6, ' ') AS entry FROM g""")
+def history_lines(spark, d):
+    e = t(spark, d, "events")
+    file = F.concat(F.lit("src/"), F.repeat("event_type", (1 + F.col("user_id") % 5).cast("int")), F.lit("/f"), F.col("event_id").cast("string"), F.lit(".py"))
+    valid = F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False)
+    share = (F.col("event_id") % 1001).cast("double") / 1000
+    row = reports.history_row(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), file, F.col("event_type"), F.col("event_id") % 50, F.col("user_id") % 7, share, valid)
+    return e.select("event_id", row.alias("entry"))
