@@ -5,8 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import code, dataset, graph
+from tidemill.plans import rules
 
 
 def _md5(*x):
@@ -126,3 +128,14 @@ def test_many_rules_are_not_looked_up_in_the_row(spark):
     with pytest.raises(ValueError, match="more than"):
         code.first_contained(lines, rules)
     assert code.first_contained(lines, rules.limit(code.FEW)).first().key == "7"
+
+
+def test_a_literal_table_is_the_side_that_is_broadcast(spark):
+    dim = rules.literal_table(spark, [("A", "Spot", None), ("N", "None", "Nothing.")], "label string, title string, advice string")
+    assert dim.schema.simpleString() == "struct<label:string,title:string,advice:string>"
+    assert [tuple(r) for r in dim.collect()] == [("A", "Spot", None), ("N", "None", "Nothing.")]
+    rows = spark.range(1000).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, "A").otherwise("N").alias("label"))
+    plan = dataset.conversations(rows, dim, "label", "key", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
+    empty = rules.literal_table(spark, [], "ord long, key string")
+    assert empty.schema.simpleString() == "struct<ord:bigint,key:string>" and empty.count() == 0

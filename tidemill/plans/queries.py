@@ -43,7 +43,7 @@ VALUES = "(VALUES " + ", ".join(f"({o}, '{k}', '{r}', CAST({c} AS DOUBLE))" for
 
 
 def word_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WORD_RULES, "ord int, key string, replacement string, confidence double")
+    return rl.literal_table(spark, WORD_RULES, "ord int, key string, replacement string, confidence double")
 
 
 TAG_RULES = (("upper", r"[A-Z]{4,}", False, None), ("digits", r"[0-9]{4,}", False, None), ("mail", r"[a-z0-9.]+@[a-z0-9.]+", False, None), ("pipe", r" \| ", True, "|"))
@@ -97,7 +97,7 @@ PREFIXES = [(0, "https://m.", "mobile"), (1, "https://", "secure"), (2, "http://
 
 @query("""SELECT page_id, arg_min(replacement, ord) AS replacement FROM pages JOIN (VALUES (0,'https://m.','mobile'),(1,'https://','secure'),(2,'http://blog.','blog'),(3,'http://','plain')) AS p(ord, key, replacement) ON starts_with(url, key) GROUP BY page_id""")
 def prefix_rule(spark, d):
-    r = spark.createDataFrame(PREFIXES, "ord int, key string, replacement string")
+    r = rl.literal_table(spark, PREFIXES, "ord int, key string, replacement string")
     return code.first_contained(t(spark, d, "pages").select("page_id", "url"), r, "url", prefix=True).select("page_id", "replacement")
 
 
@@ -111,8 +111,8 @@ SELECT page_id, coalesce(a.v, b.v, 'other') AS kind FROM h LEFT JOIN (VALUES ('t
 LEFT JOIN (VALUES ('net', 'network'), ('org', 'organisation')) AS b(k, v) ON regexp_extract(host, '([a-z]+)$', 1) = b.k""")
 def host_fallback_lookup(spark, d):
     h = t(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
-    a = spark.createDataFrame([("tionsh.example.net", "known")], "host string, v1 string")
-    b = spark.createDataFrame([("net", "network"), ("org", "organisation")], "tld string, v2 string")
+    a = rl.literal_table(spark, [("tionsh.example.net", "known")], "host string, v1 string")
+    b = rl.literal_table(spark, [("net", "network"), ("org", "organisation")], "tld string, v2 string")
     h = h.withColumn("tld", F.regexp_extract("host", "([a-z]+)$", 1)).join(F.broadcast(a), "host", "left").join(F.broadcast(b), "tld", "left")
     return h.select("page_id", F.coalesce("v1", "v2", F.lit("other")).alias("kind"))
 
@@ -151,7 +151,7 @@ ISSUES = f"WITH l AS ({LINES}), i AS (SELECT doc_id, line, validator, severity F
 
 
 def found_issues(spark, d):
-    v = spark.createDataFrame(VALIDATORS, "validator string, pattern string, severity string")
+    v = rl.literal_table(spark, VALIDATORS, "validator string, pattern string, severity string")
     return code.issues(doc_lines(spark, d), v).select("doc_id", "line", "validator", "severity")
 
 
@@ -174,7 +174,7 @@ def orphan_terms(spark, d):
 
 @query("""SELECT doc_id, a, b FROM documents JOIN (VALUES ('the', 'und'), ('les', 'que'), ('and', 'der')) AS p(a, b) ON contains(text, a) AND contains(text, b)""")
 def conflicting_pairs(spark, d):
-    p = spark.createDataFrame([("the", "und"), ("les", "que"), ("and", "der")], "a string, b string")
+    p = rl.literal_table(spark, [("the", "und"), ("les", "que"), ("and", "der")], "a string, b string")
     return t(spark, d, "documents").join(F.broadcast(p), F.contains("text", F.col("a")) & F.contains("text", F.col("b"))).select("doc_id", "a", "b")
 
 
@@ -477,8 +477,10 @@ DISEASES = [("A", "Leaf spot", "Remove leaves."), ("N", "Healthy plant", "Nothin
 
 @query("""SELECT l_orderkey, count(*) AS n, min('This looks like ' || title || '. ' || advice) AS answer FROM lineitem JOIN (VALUES ('A','Leaf spot','Remove leaves.'),('N','Healthy plant','Nothing to do.'),('R','Stem rust','Use a fungicide.')) AS x(k, title, advice) ON l_returnflag = k GROUP BY l_orderkey""")
 def qa_generate(spark, d):
-    dim = spark.createDataFrame(DISEASES, "l_returnflag string, title string, advice string")
-    q = dataset.conversations(t(spark, d, "lineitem").select("l_orderkey", "l_returnflag"), dim, "l_returnflag", "l_orderkey", 3)
+    dim = rl.literal_table(spark, DISEASES, "l_returnflag string, title string, advice string")
+    # dealt while rows are narrow: the least text of an order takes a sort, which would hold a whole file split of texts
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_returnflag").repartition("l_orderkey")
+    q = dataset.conversations(rows, dim, "l_returnflag", "l_orderkey", 3)
     return q.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.get("conversations", F.lit(1))["content"]).alias("answer"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import checks, reports
 from tidemill.functions import text as tx
 from tidemill.operators import code, dataset, migrate, project
+from tidemill.plans import rules as rl
 from tidemill.plans.queries import LINES, VALUES, WORD_RULES, doc_lines, query, t, word_rules
 
 KEYS = [k for _, k, _, _ in WORD_RULES]
@@ -54,7 +55,7 @@ def alternatives(spark, d):
 
 @query("SELECT l_returnflag AS label, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY ALL")
 def unknown_classes(spark, d):
-    known = spark.createDataFrame([("A",), ("N",)], "label string")
+    known = rl.literal_table(spark, [("A",), ("N",)], "label string")
     return dataset.unknown_labels(t(spark, d, "lineitem").select(F.col("l_returnflag").alias("label")), known, "label")
 
 
@@ -93,7 +94,7 @@ CLASS_NAMES = [("n", 0, "none"), ("n", 1, "some"), ("m", 2, "many")]
 
 @query("SELECT vec_id, v AS name FROM embeddings JOIN (VALUES ('n',0,'none'),('n',1,'some'),('m',2,'many')) AS r(s, k, v) ON label = k AND s = CASE WHEN label < 2 THEN 'n' ELSE 'm' END")
 def class_names(spark, d):
-    dim = spark.createDataFrame(CLASS_NAMES, "source string, label int, name string")
+    dim = rl.literal_table(spark, CLASS_NAMES, "source string, label int, name string")
     rows = t(spark, d, "embeddings").select("vec_id", "label", F.when(F.col("label") < 2, "n").otherwise("m").alias("source"))
     return rows.join(F.broadcast(dim), ["source", "label"]).select("vec_id", "name")
 
@@ -101,7 +102,7 @@ def class_names(spark, d):
 @query("""WITH p AS (SELECT * FROM (VALUES ('Customer#000000009', 0), ('Customer#000000002', 1), ('Customer#000000040', 2)) AS r(name, pos))
 SELECT c_name, coalesce(pos, 999)::BIGINT AS pos, row_number() OVER (ORDER BY coalesce(pos, 999), c_name) AS place FROM customer LEFT JOIN p ON c_name = name""")
 def dependency_order(spark, d):
-    order = spark.createDataFrame([("Customer#000000009", 0), ("Customer#000000002", 1), ("Customer#000000040", 2)], "c_name string, pos int")
+    order = rl.literal_table(spark, [("Customer#000000009", 0), ("Customer#000000002", 1), ("Customer#000000040", 2)], "c_name string, pos int")
     return project.in_dependency_order(t(spark, d, "customer").select("c_name"), order, "c_name")
 
 
@@ -194,7 +195,7 @@ def shared_context(spark, d):
 @query("""WITH g AS (SELECT * FROM (VALUES ('Customer#000000007', 1), ('Customer#000000003', 2)) AS r(name, pos))
 SELECT c_name, row_number() OVER (ORDER BY coalesce(pos, 1000), c_name) AS place FROM customer LEFT JOIN g ON c_name = name""")
 def ordered_append(spark, d):
-    graph = spark.createDataFrame([("Customer#000000007", 1), ("Customer#000000003", 2)], "c_name string, pos int")
+    graph = rl.literal_table(spark, [("Customer#000000007", 1), ("Customer#000000003", 2)], "c_name string, pos int")
     return project.appended(graph, t(spark, d, "customer").select("c_name"), "c_name", "pos").select("c_name", "place")
 
 

@@ -15,7 +15,7 @@ SQL_KEYS = "k AS (SELECT key, row_number() OVER (ORDER BY key) AS ord FROM (SELE
 def item_words(spark, d, least: int):
     words = t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s.,]+"), F.lit(0))).alias("key")).distinct()
     words = words.filter(F.length("key") >= least).toPandas().sort_values("key")  # a table of rules
-    return spark.createDataFrame(list(enumerate(words.key.tolist(), 1)), "ord long, key string")
+    return rl.literal_table(spark, list(enumerate(words.key.tolist(), 1)), "ord long, key string")
 
 
 @query(f"""WITH {SQL_KEYS.format(least=4)}
@@ -253,5 +253,5 @@ def optimization_hints(spark, d):
     triggers = F.array(*[F.lit(k) for k, _, _ in rl.HINTS])
     at = lambda i: F.get(triggers, i.cast("int"))
     files = t(spark, d, "documents").select("doc_id", F.concat("text", at(F.col("doc_id") % 16), F.lit(" "), at((F.col("doc_id") * 7 + 3) % 16)).alias("text"))
-    rules = spark.createDataFrame([(i, *r) for i, r in enumerate(rl.HINTS)], "ord int, key string, category string, priority int")
+    rules = rl.literal_table(spark, [(i, *r) for i, r in enumerate(rl.HINTS)], "ord int, key string, category string, priority int")
     return patterns.hints(files, rules, ["doc_id"])
