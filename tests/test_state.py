@@ -57,6 +57,27 @@ def test_a_run_that_breaks_off_is_taken_up(spark, tmp_path):
     assert sorted(seen) == [("a", 1), ("b", 1), ("b", 2)]
 
 
+def test_changed_versions_by_batch(spark, tmp_path):
+    folder, out, state = (f"{tmp_path}/{x}" for x in ("in", "out", "state"))
+
+    def run():
+        watch.append_changed(spark.readStream.schema(SCHEMA).parquet(folder), out, state, "b")
+        return sorted((r.path or "", r.at, r.text) for r in spark.read.parquet(out).collect())
+
+    _write(spark, folder, [("a", 2, "y"), ("a", 1, "x"), ("b", 1, "x"), ("c", 1, None), ("a", 3, "y"), (None, 1, "n"), ("e", None, "x")])
+    first = [("", 1, "n"), ("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("c", 1, None)]
+    assert run() == first
+    _write(spark, folder, [("a", 4, "y"), ("a", 5, "x"), ("b", 2, "z"), ("b", 2, "z"), ("b", 1, "late"), ("c", 2, ""), (None, 2, "n"), ("d", 1, "x")])
+    second = sorted([*first, ("a", 5, "x"), ("b", 2, "z"), ("d", 1, "x")], key=lambda r: r[:2])
+    assert run() == second and run() == second
+    # the second batch once more, as after a run that broke off before its commit
+    (tmp_path / "state" / "commits" / "1").unlink()
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert run() == second
+    _write(spark, folder, [("a", 5, "w"), ("b", 3, "z"), ("d", 2, "y")])
+    assert run() == sorted([*second, ("d", 2, "y")], key=lambda r: r[:2])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 37, 100, 1000, 1025, 3001])
 def test_permuted_places(spark, n):
     places = [r.p for r in spark.range(n).select(dataset.permuted(F.col("id"), n, 5).alias("p")).collect()]

@@ -58,7 +58,7 @@ def stream_skips(spark, d):
         if versions is not None:
             versions.write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema("path long, at int, text string").parquet(f"{root}/in")
-        watch.run_to_end(watch.changed_files(stream, "rocm"), f"{root}/out", f"{root}/state")
+        watch.append_changed(stream, f"{root}/out", f"{root}/state", "rocm")
     return spark.read.parquet(f"{root}/out").select(F.col("path").alias("doc_id"), F.col("at").alias("version"), F.md5("text").alias("digest"))
 
 
