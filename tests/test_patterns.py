@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemill.operators import patterns
+from tidemill.operators import patterns, syntax
 
 TEXTS = [None, "", "a", "aaaa", "abcabcab", "été à l'été", "日本語日本", "x" * 700 + "needle" + "y" * 300, "needl", "e needle", "ab\nab", "aab" * 500]
 KEYS = ["a", "aa", "aaa", "abc", "bca", "cab", "été", "é", "本語", "needle", "need", "b\na", "zz", "", None, "x" * 300, "aa"]
@@ -50,3 +51,15 @@ def test_leftmost(spark, monkeypatch):
     monkeypatch.setattr(patterns, "KEY_BYTES", 8)
     with pytest.raises(ValueError, match="too many"):
         patterns.places(texts, keys, ["id"], leftmost=True)
+
+
+def test_chunks_of_a_large_batch_come_in_slices():
+    texts = [None, "def f(:\n", *(f"x = {i}\n# " + "y" * 2000 + "\n" for i in range(3000))]
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(len(texts))], "text": texts})
+    out = list(syntax._chunk_batches(iter([batch]), 400))
+    assert len(out) > 4 and max(b.nbytes for b in out) < 2 << 20
+    whole = {}
+    for b in out:
+        for r in b.to_pylist():
+            whole.setdefault(r["path"], []).append((r["start_line"], r["source"]))
+    assert {p: "\n".join(t for _, t in sorted(parts)) for p, parts in whole.items()} == {str(i): x or "" for i, x in enumerate(texts)}

@@ -102,7 +102,7 @@ def _places(keys: list[bytes], numbers: pa.Array, id_: list[str], text: str, lef
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(keys)
         for b in batches:
-            for part in _slices(b, text):
+            for part in slices(b, text):
                 column = part.column(text)
                 parts = [x.encode() for x in column.fill_null("").to_pylist()]
                 # a byte that is no UTF-8 keeps texts apart
@@ -121,7 +121,7 @@ def _places(keys: list[bytes], numbers: pa.Array, id_: list[str], text: str, lef
     return run
 
 
-def _slices(b: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(b: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Rows of a batch by some ``SLICE`` bytes of text, a longer text alone."""
     import pyarrow.compute as pc
 

@@ -7,9 +7,12 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.patterns import slices
+
 #: Parts of module names that mark an import, in ``import`` and in ``from`` statements.
 VENDOR_IMPORTS, VENDOR_FROM = ("pycuda", "cupy", "tensorrt", "cuda"), ("pycuda", "cupy", "tensorrt", "apex")
 #: Environment variables that are tagged as whole strings.
@@ -85,32 +88,42 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select("module", package.alias("package"), "text").mapInPandas(tasks, "src string, dst string").distinct()
 
 
+def _chunked(path: str, text: str, most: int) -> Iterator[tuple]:
+    lines = text.split("\n")
+    try:
+        body = ast.parse(text).body
+    except UNPARSABLE:
+        body = []
+    spans, at = [], 1
+    for n in body:
+        kind = {"FunctionDef": "function", "AsyncFunctionDef": "function", "ClassDef": "class"}.get(type(n).__name__, "module")
+        spans.append((getattr(n, "name", "module"), kind, at, n.end_lineno))
+        at = n.end_lineno + 1
+    if at <= len(lines):
+        spans.append(("module", "module", at, len(lines)))
+    for name, kind, a, b in spans:
+        size = len("\n".join(lines[a - 1 : b]))
+        step = max(1, most // max(1, size // max(1, b - a + 1))) if size > most else b - a + 1
+        for i in range(a, b + 1, step):
+            yield path, name, kind, i, min(i + step - 1, b), "\n".join(lines[i - 1 : min(i + step - 1, b)])
+
+
+CHUNK = {"path": pa.string(), "name": pa.string(), "kind": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "source": pa.string()}
+
+
+def _chunk_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Files by bounded bytes, so a task holds the texts and chunks of a slice, however many files a batch has."""
+    for b in batches:
+        for part in slices(b, "text"):
+            rows = [r for path, text in zip(part.column("path").to_pylist(), part.column("text").to_pylist(), strict=True) for r in _chunked(path, text or "", most)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), CHUNK.values(), strict=True)], list(CHUNK))
+
+
 def chunks(files: DataFrame, most: int = 4000) -> DataFrame:
     """(path, name, kind, start_line, end_line, source): top-level nodes, too long ones cut by lines; gap lines belong to the node after them."""
-
-    def tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for path, text in zip(f.path, f.text, strict=True):
-                lines = (text or "").split("\n")
-                try:
-                    body = ast.parse(text or "").body
-                except UNPARSABLE:
-                    body = []
-                spans, at = [], 1
-                for n in body:
-                    kind = {"FunctionDef": "function", "AsyncFunctionDef": "function", "ClassDef": "class"}.get(type(n).__name__, "module")
-                    spans.append((getattr(n, "name", "module"), kind, at, n.end_lineno))
-                    at = n.end_lineno + 1
-                if at <= len(lines):
-                    spans.append(("module", "module", at, len(lines)))
-                for name, kind, a, b in spans:
-                    step = max(1, most // max(1, len("\n".join(lines[a - 1 : b])) // max(1, b - a + 1)))
-                    step = step if len("\n".join(lines[a - 1 : b])) > most else b - a + 1
-                    out += [(path, name, kind, i, min(i + step - 1, b), "\n".join(lines[i - 1 : min(i + step - 1, b)])) for i in range(a, b + 1, step)]
-            yield pd.DataFrame(out, columns=["path", "name", "kind", "start_line", "end_line", "source"])
-
-    return files.select("path", "text").mapInPandas(tasks, "path string, name string, kind string, start_line int, end_line int, source string")
+    schema = "path string, name string, kind string, start_line int, end_line int, source string"
+    return files.select("path", "text").mapInArrow(lambda batches: _chunk_batches(batches, most), schema)
 
 
 def reassembled(parts: DataFrame) -> DataFrame:
