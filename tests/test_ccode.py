@@ -135,3 +135,12 @@ def test_brackets(spark):
     for r in rows:
         assert r.parts == _plain_split(texts[r.id]), texts[r.id]
         assert r.end == _plain_closing(calls[r.id]), calls[r.id]
+
+
+def test_changes_are_listed_without_a_second_rewriting(spark, steps):
+    files = spark.createDataFrame([(1, SOURCE), (2, "plain"), (3, None)], "id int, text string")
+    out = ccode.listed(ccode.migrated_files(files, steps()), "applied", "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Kernel launch <<<grid,block>>>") == 1  # the plain form has it three times
+    inner = ccode.migrated_files(files, steps()).select("id", F.inline("applied"))
+    assert sorted(out.collect()) == sorted(inner.collect()) and out.count() > 8

@@ -229,6 +229,14 @@ def migrated_files(files: DataFrame, each: Sequence[Callable[[Column], Column]],
     return out.withColumns({"new_text": F.col("_m.text"), "applied": F.col("_m.applied"), "remaining": F.col("_m.remaining")}).drop("_m")
 
 
+def listed(migrated: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """A row for each of ``applied`` or ``remaining``, with the columns ``keep``.
+
+    The outer form, as Spark puts a filter on the array before the plain one and would rewrite each file there again.
+    """
+    return migrated.select(*keep, F.inline_outer(kind)).filter(F.col("line").isNotNull())
+
+
 def in_blocks(text: Column, quote: str, fits: Callable[[Column], Column], rewrite: Callable[[Column, Column], Column]) -> Column:
     """Rewrite the blocks of a text between two ``quote`` signs, and nothing else.
 

@@ -99,7 +99,7 @@ r AS (SELECT doc_id, 1 AS line, header AS original, new_header AS replacement, 1
  UNION ALL SELECT doc_id, 3, launch, call, 9 FROM c WHERE doc_id % 5 <> 3)
 SELECT doc_id, line, rtrim(original) AS original, rtrim(replacement) AS replacement FROM r""")
 def c_file_changes(spark, d):
-    out = ccode.migrated_files(c_files(spark, d), c_steps()).select("doc_id", F.inline("applied"))
+    out = ccode.listed(ccode.migrated_files(c_files(spark, d), c_steps()), "applied", "doc_id")
     return out.filter(F.startswith("rule", F.lit("Header")) | F.startswith("rule", F.lit("Kernel"))).select("doc_id", "line", "original", "replacement")
 
 
