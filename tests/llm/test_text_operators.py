@@ -599,6 +599,25 @@ def test_toxicity_scores_are_those_of_plain_counts(spark):
     assert np.abs(got).max() > 0.1
 
 
+def test_toxicity_frequent_rows_are_not_asked(spark, monkeypatch):
+    """How many rows tasks have at hand changes the questions, not the ratios."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(30)), i % 2 if i % 3 else None) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    facts, totals = toxicity.model(toxicity.gather(docs.filter("toxic is not null")))
+    facts.cache()
+    found, asked = [], []
+    for most in (1 << 16, 50, 0):
+        monkeypatch.setattr(toxicity, "HOT_COUNTS", most)
+        monkeypatch.setattr(toxicity, "HOT_CONTEXTS", most // 5)
+        is_hot, rows = toxicity._hot(facts)
+        assert sum(len(r.slot) for r in rows) == facts.filter(is_hot).count() <= most + most // 5
+        asked.append(facts.filter(~is_hot).count())
+        found.append({r.doc_id: (r.ratio, r.n_words) for r in toxicity.ratios(docs, facts, totals).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60
+    assert asked[0] == 0 < asked[1] < asked[2] == facts.count()
+
+
 def test_toxicity_counts_every_training_row(spark):
     from zlib import crc32
 
