@@ -139,3 +139,22 @@ def test_a_literal_table_is_the_side_that_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
     empty = rules.literal_table(spark, [], "ord long, key string")
     assert empty.schema.simpleString() == "struct<ord:bigint,key:string>" and empty.count() == 0
+
+
+def test_a_long_way_takes_few_rounds(spark, monkeypatch):
+    """Levels and components of a chain of 300 modules in blocks, some of it closed to a cycle; a round for each module would take 300."""
+    n, rounds = 300, []
+    vertices = spark.createDataFrame([(f"m{i:03d}",) for i in range(n)], "module string")
+    chain = [(f"m{i:03d}", f"m{i - 1:03d}") for i in range(1, n)]
+    kept = graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda df: rounds.append(1) or kept(df))
+    for size in (graph.BLOCK, 64):
+        monkeypatch.setattr(graph, "BLOCK", size)
+        rounds.clear()
+        got = dict(tuple(r) for r in graph.levels(vertices, spark.createDataFrame(chain, "src string, dst string")).collect())
+        assert got == {f"m{i:03d}": i for i in range(n)} and len(rounds) < 12
+        rounds.clear()
+        closed = spark.createDataFrame([*chain, ("m050", "m250"), ("m260", "m270")], "src string, dst string")
+        got = {r.module: (r.component, r.level) for r in graph.order(vertices, closed).collect()}
+        want = {i: (i, i) if i < 50 else (50, 50) if i <= 250 else (i, i - 200) if i < 260 else (260, 60) if i <= 270 else (i, i - 210) for i in range(n)}
+        assert got == {f"m{i:03d}": (f"m{c:03d}", v) for i, (c, v) in want.items()} and len(rounds) < 80

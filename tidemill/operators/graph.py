@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from itertools import count
+import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,70 +37,151 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(module, level): 0 without dependencies, else one above the highest dependency; -1 in or above a cycle.
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back; unlike a checkpoint it is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/tidemill/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Level by level, modules all of whose dependencies are placed are placed; the
-    loop runs once for each level, and ends when nothing can be placed.
-    """
-    edges = checkpointed(edges.select("src", "dst").filter("src <> dst").distinct().join(vertices.select(F.col("module").alias("dst")), "dst", "left_semi"))
-    placed = vertices.join(edges.select(F.col("src").alias("module")).distinct(), "module", "left_anti").select("module", F.lit(0).alias("level"))
-    new = placed = checkpointed(placed)
-    # what each module still waits for, less what the last round placed
-    waits = edges.groupBy("src").agg(F.count("*").alias("n"))
-    for level in count(1):
-        done = edges.join(new.select(F.col("module").alias("dst")), "dst", "left_semi").groupBy("src").agg(F.count("*").alias("d"))
-        waits = checkpointed(waits.join(done, "src", "left").select("src", (F.col("n") - F.coalesce("d", F.lit(0))).alias("n")))
-        new = waits.filter("n = 0").select(F.col("src").alias("module"), F.lit(level).alias("level"))
-        if new.isEmpty():
-            break
-        placed = placed.unionByName(new)
-        waits = waits.filter("n > 0")
-    return vertices.join(placed, "module", "left").select("module", F.coalesce("level", F.lit(-1)).alias("level"))
+
+#: Modules of a block.  What happens within a block takes one round, however long its ways are: cost only.
+BLOCK = 1 << 15
+#: Bits of a number below its block.
+LOW = 33
+
+
+def _block(c: str) -> Column:
+    return F.shiftright(c, LOW)
+
+
+def _numbered(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(module, id): numbers in the order of the modules, whose high bits are their block; and the edges (s, d) between two of them, once each."""
+    rows = vertices.select("module").filter(F.col("module").isNotNull()).distinct()
+    blocks = -(-rows.count() // BLOCK)
+    # a range for each partition, and monotonic numbers have the partition above LOW bits
+    rows = _kept(rows.repartitionByRange(max(blocks, 1), "module").sortWithinPartitions("module").withColumn("id", F.monotonically_increasing_id()))
+    at = lambda end, c: rows.select(F.col("module").alias(end), F.col("id").alias(c))
+    return rows, _kept(edges.select("src", "dst").join(at("src", "s"), "src").join(at("dst", "d"), "dst").filter("s <> d").select("s", "d").distinct())
+
+
+def _indexed(rows: pa.Table, edges: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the rows of a block in order, and places among them of both ends of its edges."""
+    ids = rows["id"].to_numpy()
+    return ids, *(np.searchsorted(ids, edges[c].to_numpy()) for c in "sd")
 
 
-def _grown(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(module, colour) with the greatest colour that reaches a module along the edges; a round for each step of the longest way."""
+def _rounds(rows: DataFrame, edges: DataFrame, within: Callable[[pa.Table, pa.Table], pa.Table], sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (id, new and more) once nothing is new.
+
+    A round brings each block by itself to its end (``within``, of its rows and its edges, marks what is new); what is new goes
+    along the edges between blocks, and ``sent`` gives the rows of the next round.  A way takes a round for each change of its block.
+    """
+    blocked = lambda df, c: df.withColumn("block", _block(c)).groupBy("block")
+    inner, crossing = edges.filter(_block("s") == _block("d")), edges.filter(_block("s") != _block("d"))
+    schema, one_block = rows.schema, crossing.isEmpty()
     while True:
-        sent = edges.join(rows.select(F.col("module").alias("src"), "colour"), "src").select(F.col("dst").alias("module"), "colour")
-        best = rows.select("module", "colour", F.col("colour").alias("had")).unionByName(sent.withColumn("had", F.lit(None).cast(dict(rows.dtypes)["colour"])))
-        best = checkpointed(best.groupBy("module").agg(F.max("colour").alias("colour"), F.max("had").alias("had")))
-        rows = best.select("module", "colour")
-        if best.filter("colour <> had").isEmpty():
+        rows = _kept(blocked(rows, "id").cogroup(blocked(inner, "s")).applyInArrow(lambda x, e: within(x.drop(["block"]).sort_by("id"), e), schema))
+        if one_block or rows.filter("new").isEmpty():
             return rows
+        rows = sent(rows)
+
+
+def _placed(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level, waits): 0 without edges from it, else one above the highest that it points to; ``waits`` is 0 for those that have a level."""
+
+    def within(rows: pa.Table, inner: pa.Table) -> pa.Table:
+        ids, s, d = _indexed(rows, inner)
+        level, waits, done = rows["level"].to_numpy().copy(), rows["waits"].to_numpy().copy(), rows["done"].to_numpy(zero_copy_only=False).copy()
+        order = np.argsort(d, kind="stable")
+        s, begins = s[order], np.searchsorted(d[order], np.arange(len(ids) + 1))
+        new, front = np.zeros(len(ids), bool), np.flatnonzero((waits == 0) & ~done)
+        while len(front):
+            new[front] = True
+            n = begins[front + 1] - begins[front]
+            at = np.repeat(begins[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            np.subtract.at(waits, s[at], 1)
+            np.maximum.at(level, s[at], np.repeat(level[front] + 1, n))
+            front = np.unique(s[at])
+            front = front[waits[front] == 0]
+        return pa.table({"id": ids, "level": level, "waits": waits, "done": done | new, "new": new})
+
+    def sent(rows: DataFrame) -> DataFrame:
+        news = rows.filter("new").select(F.col("id").alias("d"), (F.col("level") + 1).alias("_level"))
+        news = edges.filter(_block("s") != _block("d")).join(news, "d").groupBy(F.col("s").alias("id")).agg(F.max("_level").alias("_level"), F.count("*").alias("_n"))
+        return rows.join(news, "id", "left").select("id", F.greatest("level", "_level").alias("level"), (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits"), "done", F.lit(False).alias("new"))
+
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    waits = edges.groupBy(F.col("s").alias("id")).agg(F.count("*").alias("waits"))
+    rows = ids.join(waits, "id", "left").select("id", zero.alias("level"), F.coalesce("waits", zero).alias("waits"), no.alias("done"), no.alias("new"))
+    return _rounds(rows, edges, within, sent).select("id", "level", "waits")
+
+
+def _spread(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, value) with the greatest value of ``rows`` (id, value; -1 for none) that reaches a number along the edges."""
+
+    def within(rows: pa.Table, inner: pa.Table) -> pa.Table:
+        ids, s, d = _indexed(rows, inner)
+        value, new = rows["value"].to_numpy().copy(), rows["new"].to_numpy(zero_copy_only=False).copy()
+        order = np.argsort(s, kind="stable")
+        d, begins = d[order], np.searchsorted(s[order], np.arange(len(ids) + 1))
+        front = np.flatnonzero(new)
+        while len(front):
+            n = begins[front + 1] - begins[front]
+            at = d[np.repeat(begins[front] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            to = np.unique(at)
+            had = value[to]
+            np.maximum.at(value, at, np.repeat(value[front], n))
+            front = to[value[to] > had]
+            new[front] = True
+        return pa.table({"id": ids, "value": value, "new": new})
+
+    def sent(rows: DataFrame) -> DataFrame:
+        news = rows.filter("new").select(F.col("id").alias("s"), F.col("value").alias("_value"))
+        news = edges.filter(_block("s") != _block("d")).join(news, "s").groupBy(F.col("d").alias("id")).agg(F.max("_value").alias("_value"))
+        return rows.join(news, "id", "left").select("id", F.greatest("value", "_value").alias("value"), F.coalesce(F.col("_value") > F.col("value"), F.lit(False)).alias("new"))
+
+    return _rounds(rows.select("id", "value", (F.col("value") >= 0).alias("new")), edges, within, sent).select("id", "value")
+
+
+def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(module, level): 0 without dependencies, else one above the highest dependency; -1 in or above a cycle.
+
+    Modules all of whose dependencies are placed are placed, block by block (``_rounds``), until nothing can be placed.
+    """
+    numbers, between = _numbered(vertices, edges)
+    placed = numbers.join(_placed(numbers.select("id"), between).filter("waits = 0"), "id").select("module", F.col("level").cast("int").alias("level"))
+    return vertices.join(placed, "module", "left").select("module", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 def cycles(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, component): the least module of those that a module reaches and that reach it, itself included.
 
-    What no cycle reaches or what reaches no cycle is alone, which two passes of ``levels`` tell.  In the rest the greatest
+    What no cycle reaches or what reaches no cycle is alone, which two passes of ``_placed`` tell.  In the rest the greatest
     module is spread along the edges as a colour; those of a colour from which its module can be reached are one component and
-    leave, until none are left.
+    leave, and so on until none are left.
     """
-    edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    within = lambda e, v: e.join(v.select(F.col("module").alias("src")), "src", "left_semi").join(v.select(F.col("module").alias("dst")), "dst", "left_semi")
-    left = vertices.select("module").distinct()
-    for flip in (False, True):
-        inner = within(edges, left).select("src", "dst")
-        turned = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if flip else inner
-        left = checkpointed(levels(left, turned).filter("level < 0").select("module"))
-    found = vertices.select("module").distinct().join(left, "module", "left_anti").select("module", F.col("module").alias("component"))
-    while not left.isEmpty():
-        inner = checkpointed(within(edges, left).select("src", "dst"))
-        colour = _grown(left.select("module", F.col("module").alias("colour")), inner)
-        same = inner.join(colour.select(F.col("module").alias("src"), F.col("colour").alias("_a")), "src").join(colour.select(F.col("module").alias("dst"), F.col("colour").alias("_b")), "dst").filter("_a = _b")
-        back = checkpointed(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        reach = checkpointed(colour.filter("module = colour"))
-        edge = reach
-        while not edge.isEmpty():  # breadth first from each colour's module
-            new = edge.join(back, edge["module"] == back["src"]).select(F.col("dst").alias("module"), "colour").distinct()
-            edge = checkpointed(new.join(reach.select("module"), "module", "left_anti"))
-            reach = reach.unionByName(edge)
-        reach = checkpointed(reach)
-        least = reach.groupBy("colour").agg(F.min("module").alias("component"))
-        found = found.unionByName(reach.join(least, "colour").select("module", "component"))
-        left = checkpointed(left.join(reach.select("module"), "module", "left_anti"))
-    return checkpointed(found)
+    numbers, inner = _numbered(vertices, edges)
+    within = lambda e, v: e.join(v.select(F.col("id").alias("s")), "s", "left_semi").join(v.select(F.col("id").alias("d")), "d", "left_semi").select("s", "d")
+    turned = lambda e: e.select(F.col("d").alias("s"), F.col("s").alias("d"))
+    left, found = numbers.select("id"), []
+    while True:
+        for turn in (lambda e: e, turned):
+            left = _placed(left, turn(inner)).filter("waits > 0").select("id")
+            inner = _kept(within(inner, left))
+        if left.isEmpty():
+            break
+        colour = _spread(left.select("id", F.col("id").alias("value")), inner)
+        at = lambda end: colour.select(F.col("id").alias(end), F.col("value").alias(f"_{end}"))  # noqa: E731, B023
+        same = _kept(turned(inner.join(at("s"), "s").join(at("d"), "d").filter("_s = _d")))
+        reach = _spread(colour.select("id", F.when(F.col("id") == F.col("value"), F.col("id")).otherwise(-1).alias("value")), same).filter("value >= 0")
+        least = reach.groupBy("value").agg(F.min("id").alias("component"))
+        found.append(_kept(reach.join(least, "value").select("id", "component")))
+        left = _kept(left.join(reach, "id", "left_anti"))
+        inner = _kept(within(inner, left))
+    if not found:
+        return numbers.select("module", F.col("module").alias("component"))
+    of = numbers.join(reduce(DataFrame.unionByName, found), "id", "left").select("module", F.coalesce("component", "id").alias("id"))
+    return _kept(of.join(numbers.select("id", F.col("module").alias("component")), "id").select("module", "component"))
 
 
 def order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
