@@ -94,6 +94,16 @@ def test_repeated_bytes_of_a_hot_gram(spark, docs, monkeypatch):
     assert sizes[0] <= 20  # segments have 100 bytes at least, so no gram of more than 2000 bytes is sorted in one task
 
 
+def test_the_only_segment_of_a_gram_is_not_sorted(spark):
+    rng = np.random.default_rng(9)
+    alone, shared = (bytes(rng.integers(97, 123, 120).astype(np.uint8)) for _ in range(2))
+    rows = [(1, alone, d, 5, d) for d in (8, 3, 4)] + [(2, shared, 3, 50, 3), (2, shared[2:] + b"zz", 9, 0, 9)]
+    told = suffixes._answers(spark.createDataFrame(rows, "key long, seg binary, doc long, off int, row long"), 100).collect()
+    got = {(r.doc, r.row, r.off): bytes(r.gone) for r in told}
+    assert len(told) == 3 and got[3, 3, 5] == got[3, 3, 50] == b""
+    assert np.unpackbits(np.frombuffer(got[9, 9, 0], np.uint8)).tolist() == [1] * 19 + [0] * 5
+
+
 def test_repeated_words(docs, rows, empty):
     words = {d: WORD.findall(t or "") for d, t in rows}
     count = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))

@@ -11,7 +11,9 @@ equal strings always meet.  Each string of ``length`` bytes samples one gram of
 same gram form a segment, and segments are dealt by their gram.  A gram that
 stands in one place only cannot be part of a repeat, and its segments are never
 sent.  Equal segments are one segment, owned by the first document that holds
-it; they are combined before they are shuffled.  A gram with more than ``HOT``
+it; they are combined before they are shuffled.  Strings of one segment sample its
+gram at different offsets, so no two of them are equal: a gram with one distinct
+segment needs no sorting, its owner's strings are all the first of their kind.  A gram with more than ``HOT``
 bytes of segments fits in no task either: its strings meet by digest instead.  Each owner is told which of its
 strings start earlier elsewhere; who owns no segment of that content knows
 without being told that all of it starts earlier.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import materialize, materialize_bucketed, table
-from tidemill.llm.kernels import U, anchors, byte_grams, mix, signed, slices, spans_of, text_column
+from tidemill.llm.kernels import U, anchors, byte_grams, mix, signed, slices, text_column
 from tidemill.llm.repeats import ENTRIES, Batch, entries, frequent_in, frequent_table, once, repeated
 
 GRAM = 24
@@ -41,6 +43,8 @@ GRAM = 24
 BLOCK = 1 << 20
 #: A gram with more bytes of segments than this is not sorted in one task: its strings are dealt by content.
 HOT = 1 << 22
+#: Owners that are told at once: cost only.
+ALONE = 1 << 16
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _LAST = (1 << 63) - 1
 
@@ -61,8 +65,8 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     key = words_at(t, depth)
     # smaller than the successor: the next byte that differs is greater; the last suffix is greater than the empty one
     step = np.diff(t.astype(np.int16), append=-1)
-    differs = np.flatnonzero(step)
-    small = step[differs[np.searchsorted(differs, np.arange(n))]] > 0
+    differs = step != 0
+    small = (step[differs] > 0)[np.cumsum(differs) - differs]
     direct = np.flatnonzero(small)
     # sort by eight bytes, then what ties by the next eight
     direct = direct[np.argsort(key[direct], kind="stable")]
@@ -142,10 +146,9 @@ class Bytes:
         ok = first <= last
         self.key, self.doc, self.first, self.last = g[place[ok]], doc[ok], first[ok], last[ok]
 
-    def hits(self, keys: list[np.ndarray]) -> np.ndarray:
-        """Numbers of the segments whose gram is among the repeated ``keys`` of their text."""
-        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        wanted = np.concatenate(keys) if len(keys) else np.zeros(0, np.int64)
+    def hits(self, wanted: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the segments whose gram is among the repeated keys of their text, ``wanted`` from one of ``ends`` to the next."""
+        owner, wanted = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), wanted[ends[0] : ends[-1]]
         pair = lambda k, d: mix(k ^ mix(d.astype(U) + U(1)))
         return np.flatnonzero(np.isin(pair(self.key, self.doc), pair(wanted.view(U), owner)))
 
@@ -189,8 +192,16 @@ def _sampled(docs: DataFrame, length: int, known) -> DataFrame:
     return docs.select("text").mapInArrow(tasks, ENTRIES)
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else np.zeros(0, np.int64) for x in column]
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists in a row, and where each list ends, after a 0; a null is an empty list."""
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    return column.flatten(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _values(column: pa.Array) -> list[bytes]:
+    data, offsets = text_column(column)
+    raw, at = data[offsets[0] : offsets[-1]].tobytes(), (offsets - offsets[0]).tolist()
+    return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -201,40 +212,44 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 def _segments(texts: DataFrame, length: int) -> DataFrame:
     """(key, seg, doc, off, row): each distinct segment of a batch once, with its first owner there."""
-    names = ["key", "seg", "doc", "off", "row"]
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, rows = _lists(b["keys"]), b["row"].to_numpy()
-            order = b["doc"].to_numpy()
-            mine: dict[bytes, tuple[int, int, int]] = {}
-            keys: dict[bytes, int] = {}
+            wanted, ends = _lists(b["keys"])
+            wanted = wanted.to_numpy()
+            order, rows = b["doc"].to_numpy(), b["row"].to_numpy()
+            mine: dict[bytes, int] = {}
+            who: list[tuple[int, int, int]] = []
+            keys: list[int] = []
             data, offsets = text_column(b["text"])
             size = 0
             for lo, hi in slices(offsets):
                 t = Bytes(data, offsets, lo, hi, length)
                 raw = t.b.tobytes()
-                for i in t.hits(lists[lo:hi]).tolist():
-                    d = int(t.doc[i])
-                    seg = raw[int(t.first[i]) : int(t.last[i]) + length]
-                    who = (int(order[lo + d]), int(t.first[i] - t.at[d]), int(rows[lo + d]))
-                    if seg not in mine:
-                        mine[seg], keys[seg] = who, int(t.key[i])
-                        size += len(seg)
-                    elif who < mine[seg]:
-                        mine[seg] = who
+                i = t.hits(wanted, ends[lo : hi + 1])
+                d, first = t.doc[i], t.first[i]
+                owners = zip(order[lo + d].tolist(), (first - t.at[d]).tolist(), rows[lo + d].tolist(), strict=True)
+                for key, x, y, owner in zip(signed(t.key[i]).tolist(), first.tolist(), (t.last[i] + length).tolist(), owners, strict=True):
+                    seg = raw[x:y]
+                    at = mine.setdefault(seg, len(who))
+                    if at == len(who):
+                        who.append(owner)
+                        keys.append(key)
+                        size += y - x
+                    elif owner < who[at]:
+                        who[at] = owner
                 if size > 16 * BLOCK:
-                    yield _segment_rows(mine, keys, names)
-                    mine, keys, size = {}, {}, 0
-            yield _segment_rows(mine, keys, names)
+                    yield _segment_rows(mine, who, keys)
+                    mine, who, keys, size = {}, [], [], 0
+            yield _segment_rows(mine, who, keys)
 
     return texts.select("row", "doc", "text", "keys").mapInArrow(tasks, "key long, seg binary, doc long, off int, row long")
 
 
-def _segment_rows(mine: dict, keys: dict, names: list[str]) -> pa.RecordBatch:
-    who = np.array(list(mine.values()), np.int64).reshape(-1, 3)
-    key = signed(np.array(list(keys.values()), U))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(list(mine), pa.binary()), pa.array(who[:, 0]), pa.array(who[:, 1].astype(np.int32)), pa.array(who[:, 2])], names)
+def _segment_rows(mine: dict[bytes, int], who: list[tuple[int, int, int]], keys: list[int]) -> pa.RecordBatch:
+    doc, off, row = zip(*who, strict=True) if who else ((), (), ())
+    columns = [pa.array(keys, pa.int64()), pa.array(list(mine), pa.binary()), pa.array(doc, pa.int64()), pa.array(off, pa.int32()), pa.array(row, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["key", "seg", "doc", "off", "row"])
 
 
 def earlier_elsewhere(segs: list[bytes], who: np.ndarray, length: int) -> np.ndarray:
@@ -252,7 +267,9 @@ def earlier_elsewhere(segs: list[bytes], who: np.ndarray, length: int) -> np.nda
     order = order[number[order] >= 0]
     equal = adjacent_common(t, order, length) >= length
     group = np.cumsum(~equal)
-    mine = number[order]
+    some = equal.copy()
+    some[:-1] |= equal[1:]
+    group, mine = group[some], number[order[some]]
     s = seg[mine]
     ranked = np.lexsort((who[s, 1] + place[mine], who[s, 0], group))
     g = group[ranked]
@@ -264,33 +281,54 @@ def earlier_elsewhere(segs: list[bytes], who: np.ndarray, length: int) -> np.nda
 
 
 def _answers(segments: DataFrame, length: int) -> DataFrame:
-    """(doc, row, off, gone): to the owner of each segment, packed bits of the strings that start earlier elsewhere."""
+    """(doc, row, off, gone): to the owner of each segment, packed bits of the strings that start earlier elsewhere; empty where none does."""
     rows = segments.repartition("key").sortWithinPartitions("key", "seg", "doc", "off")
 
-    def answer(block: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
-        who = np.array([x[1:] for x in block], np.int64)
-        gone = earlier_elsewhere([x[0] for x in block], who, length)
-        n = np.array([len(x[0]) - length + 1 for x in block])
+    def told(who: list[tuple[int, int, int]], bits: list[bytes]) -> pa.RecordBatch:
+        doc, off, row = zip(*who, strict=True) if who else ((), (), ())
+        columns = [pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(off, pa.int32()), pa.array(bits, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "row", "off", "gone"])
+
+    def answer(segs: list[bytes], who: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        gone = earlier_elsewhere(segs, np.array(who, np.int64), length)
+        n = np.array([len(s) - length + 1 for s in segs])
         ends = np.cumsum(n)
-        bits = [np.packbits(gone[e - k : e]).tobytes() for k, e in zip(n.tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(who[:, 0]), pa.array(who[:, 2]), pa.array(who[:, 1].astype(np.int32)), pa.array(bits, pa.binary())], ["doc", "row", "off", "gone"])
+        some = np.add.reduceat(gone, ends - n, dtype=np.int64) > 0
+        return told(who, [np.packbits(gone[e - k : e]).tobytes() if any_ else b"" for any_, k, e in zip(some.tolist(), n.tolist(), ends.tolist(), strict=True)])
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, at, last = [], 0, None, None
+        # the segments of the present gram, those to sort with their bytes, and owners of the only segment of a gram
+        group, owners, segs, who, size, alone = [], [], [], [], 0, []
+        at, last = None, None
         for b in batches:
-            for key, seg, doc, off, row in zip(b["key"].to_numpy().tolist(), b["seg"], b["doc"].to_numpy().tolist(), b["off"].to_numpy().tolist(), b["row"].to_numpy().tolist(), strict=True):
-                seg = seg.as_py()
+            columns = (b[c].to_numpy().tolist() for c in ("key", "doc", "off", "row"))
+            for key, doc, off, row, seg in zip(*columns, _values(b["seg"]), strict=True):
                 if key != at:
+                    if len(group) > 1:
+                        segs += group
+                        who += owners
+                        size += sum(map(len, group))
+                    else:
+                        alone += owners
                     if size >= BLOCK:
-                        yield answer(block)
-                        block, size = [], 0
-                    at, last = key, None
+                        yield answer(segs, who)
+                        segs, who, size = [], [], 0
+                    if len(alone) >= ALONE:
+                        yield told(alone, [b""] * len(alone))
+                        alone = []
+                    group, owners, at, last = [], [], key, None
                 if seg != last:
-                    block.append((seg, doc, off, row))
-                    size += len(seg)
+                    group.append(seg)
+                    owners.append((doc, off, row))
                     last = seg
-        if block:
-            yield answer(block)
+        if len(group) > 1:
+            segs += group
+            who += owners
+        else:
+            alone += owners
+        if segs:
+            yield answer(segs, who)
+        yield told(alone, [b""] * len(alone))
 
     return rows.mapInArrow(tasks, "doc long, row long, off int, gone binary")
 
@@ -326,7 +364,8 @@ def _answers_by_content(segments: DataFrame, length: int) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = []
-            for n, at in zip(b["n"].to_pylist(), _lists(b["gone"]), strict=True):
+            places, ends = _lists(b["gone"])
+            for n, at in zip(b["n"].to_pylist(), np.split(places.to_numpy(), ends[1:-1]), strict=True):
                 gone = np.zeros(n, bool)
                 gone[at.astype(np.int64)] = True
                 bits.append(np.packbits(gone).tobytes())
@@ -350,29 +389,38 @@ def _removed(texts: DataFrame, length: int) -> DataFrame:
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, told, rows = _lists(b["keys"]), b["answers"].to_pylist(), b["row"].to_pylist()
+            wanted, ends = _lists(b["keys"])
+            wanted = wanted.to_numpy()
+            answers, told = _lists(b["answers"])
+            owner = np.repeat(np.arange(len(b)), np.diff(told))
+            row, off, bits = (answers.field(c) for c in ("row", "off", "gone"))
+            # of answers to another row with that doc_id nothing is looked up
+            off = np.where(row.to_numpy() == b["row"].to_numpy()[owner], off.to_numpy().astype(np.int64), -1)
+            bits, bits_at = text_column(bits)
             data, offsets = text_column(b["text"])
             for lo, hi in slices(offsets):
                 t = Bytes(data, offsets, lo, hi, length)
-                known = [{x["off"]: x["gone"] for x in (told[lo + d] or ()) if x["row"] == rows[lo + d]} for d in range(hi - lo)]
-                edge = np.zeros(len(t.b) + 1, np.int64)
-                for i in t.hits(lists[lo:hi]).tolist():
-                    d, f, n = int(t.doc[i]), int(t.first[i]), int(t.last[i] - t.first[i]) + 1
-                    bits = known[d].get(f - int(t.at[d]))
-                    if bits is None:
-                        edge[f] += 1
-                        edge[f + n - 1 + length] -= 1
-                    else:
-                        begin, end = spans_of(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool))
-                        edge[f + begin] += 1
-                        np.add.at(edge, f + end - 1 + length, -1)
+                i = t.hits(wanted, ends[lo : hi + 1])
+                first, last = t.first[i], t.last[i]
+                x, y = int(told[lo]), int(told[hi])
+                place = np.where(off[x:y] < 0, -1, t.at[owner[x:y] - lo] + off[x:y])
+                # what no answer came for is gone as a whole, else the strings that the answer names
+                whole = ~np.isin(first, place)
+                one = np.flatnonzero(np.unpackbits(bits[bits_at[x] : bits_at[y]]))
+                begins = (bits_at[x:y] - bits_at[x]) * 8
+                of = np.searchsorted(begins, one, side="right") - 1
+                one = (place[of] + one - begins[of])[np.isin(place, first)[of]]
+                edge = np.bincount(np.concatenate((first[whole], one)), minlength=len(t.b) + 1)
+                edge -= np.bincount(np.concatenate((last[whole], one)) + length, minlength=len(t.b) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
-                out = []
-                for d in range(hi - lo):
-                    x, y = int(t.at[d]), int(t.at[d + 1])
-                    g = gone[x:y]
-                    out.append((int(g.sum()), len(spans_of(g)[0]), hashlib.sha256(t.b[x:y][~g].tobytes()).hexdigest()))
-                yield pa.RecordBatch.from_arrays([b["id"].slice(lo, hi - lo), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out])], ["id", "n_removed", "n_spans", "sha"])
+                begin = gone.copy()
+                begin[1:] &= ~gone[:-1]
+                starts = t.at[:-1][np.diff(t.at) > 0]
+                begin[starts] = gone[starts]
+                removed, spans = (np.concatenate(([0], np.cumsum(z)))[t.at] for z in (gone, begin))
+                left, cuts = t.b[~gone].tobytes(), (t.at - removed).tolist()
+                sha = [hashlib.sha256(left[v:w]).hexdigest() for v, w in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b["id"].slice(lo, hi - lo), pa.array(np.diff(removed)), pa.array(np.diff(spans)), pa.array(sha)], ["id", "n_removed", "n_spans", "sha"])
 
     return texts.select("id", "row", "text", "keys", "answers").mapInArrow(tasks, "id long, n_removed long, n_spans long, sha string")
 
