@@ -628,6 +628,23 @@ def test_toxicity_frequent_rows_are_not_asked(spark, monkeypatch):
     assert asked[0] == 0 < asked[1] < asked[2] == facts.count()
 
 
+def test_toxicity_rows_are_found_and_most_are_at_hand(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 2, 3, 1000):
+        slot = np.unique(np.concatenate((rng.integers(0, 1 << 64, n, np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)[: n // 2])))
+        rows = toxicity.Rows(pa.table({"slot": rng.permutation(slot).view(np.int64), "n0": np.arange(len(slot))}))
+        ask = np.concatenate((slot[::2], rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, 1, 2, (1 << 64) - 1, (1 << 64) - 2], np.uint64)))
+        here, at = rows.find(ask)
+        assert here.tolist() == np.flatnonzero(np.isin(ask, slot)).tolist() and (rows.slot[at] == ask[here]).all()
+    # 100000 words with pairs are fewer than tasks have at hand, so no batch asks for any of them
+    text = " ".join(f"x{i:06d}" for i in range(100_000))
+    facts, _ = toxicity.model(toxicity.gather(spark.createDataFrame([(text, k) for k in (0, 0, 1)], "text string, toxic int")))
+    is_hot, rows = toxicity._hot(facts)
+    assert facts.filter(~is_hot).isEmpty() and len(rows[1].slot) == 100_000
+
+
 def test_toxicity_counts_every_training_row(spark):
     from zlib import crc32
 
