@@ -238,6 +238,17 @@ def test_mix_keeps_columns_of_any_name(spark):
     assert sorted(map(tuple, out.select(*docs.columns).collect())) == sorted(rows)
 
 
+def test_mix_plans_do_not_grow_with_its_steps(spark, monkeypatch):
+    """What earlier steps decided is a table, so neither a step nor the result joins all of it again."""
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    seen, write = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df: seen.append(joins(df)) or write(df))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), (F.col("id") % 40 + 1).alias("size"))
+    out = mixing.mix(docs, F.array("source"), F.col("size"), keep=["doc_id"])
+    assert out.count() == 300
+    assert joins(out) <= 2 and max(seen) <= 4
+
+
 def test_flow_of_many_sources_is_quick():
     import time
 

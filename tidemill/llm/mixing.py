@@ -20,18 +20,21 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import WORD, materialize, table
+from tidemill.llm.common import WORD, discard, materialize, table
 
 #: Slices of the seeded order within a pattern; only one of them is ever sorted.
 SLICES = 4096
 #: A document with more than this part of what its pattern needs beyond whole repetitions is large.
 LARGE = 4
+#: Where a document stands within the seeded order of its pattern; decisions are made for these.
+PLACE = ["key", "size", "slice"]
 
 
 def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -190,27 +193,55 @@ def mix(
         plan.append((p, float(of_source[place[p[0]]]), quota[place[p[0]]], whole, round(got - whole * n)))
     schema = T.StructType([T.StructField("membership", T.ArrayType(T.StringType())), T.StructField("source_size", T.DoubleType()), T.StructField("target", T.DoubleType()), T.StructField("times", T.IntegerType()), T.StructField("need", T.LongType())])
     key = F.to_json("membership", {"ignoreNullFields": "false"}).alias("key")
-    plan_df = spark.createDataFrame(plan, schema).select(key, "source_size", "target", "times", "need")
-    rows = rows.withColumn("key", key).join(F.broadcast(plan_df), "key").withColumn("more", F.lit(0))
-    left = plan_df.filter("need > 0").select("key", F.col("need").alias("left"))
+    decided = materialize(spark.createDataFrame(plan, schema).select(key, "source_size", "target", "times", "need"))
+    left = decided.filter("need > 0").select("key", F.col("need").alias("left"))
+    # What is decided is kept in small tables, and what a row takes so far in narrow ones: no step joins what an earlier one did.
+    narrow = rows.select(key, "size", "slice", "order", "id").join(F.broadcast(decided), "key")
+    narrow = materialize(narrow.select("key", "size", "slice", "order", "id", "times", "need", F.lit(0).alias("more")))
     # Whole repetitions for all.  Of what is left over, first documents so large that the order would leave a hole beside them ...
     large = F.col("size") * LARGE > F.col("need")
-    rows, left = _filled(rows, left, large & (F.col("times") < most))
+    steps = [large & (F.col("times") < most)]
+    bounds, left = _filled(narrow, left, steps[0])
+    found = [bounds]
     # ... then the others in seeded order up to the slice that would exceed it ...
     small = ~large & (F.col("times") < most)
-    cuts = materialize(_cuts(rows.filter(small).groupBy("key", "slice").agg(F.sum("size").alias("sum")), left))
-    rows = rows.join(F.broadcast(cuts.select("key", "cut")), "key", "left")
-    rows = rows.withColumn("more", F.col("more") + F.when(small & (F.col("slice") < F.coalesce("cut", F.lit(-1))), 1).otherwise(0)).drop("cut")
-    left = left.join(cuts.select("key", "gap"), "key", "left").select("key", F.coalesce("gap", "left").alias("left"))
+    cuts = materialize(_cuts(narrow.filter(small).groupBy("key", "slice").agg(F.sum("size").alias("sum")), left))
+    decided = materialize(decided.join(cuts.select("key", "cut"), "key", "left"))
+    left = materialize(left.join(cuts.select("key", "gap"), "key", "left").select("key", F.coalesce("gap", "left").alias("left")))
+    cut = small & (F.col("slice") < F.coalesce("cut", F.lit(-1)))
+    narrow, old = materialize(_taken(narrow.join(bounds, PLACE, "left"), steps[0]).join(F.broadcast(decided.select("key", "cut")), "key").withColumn("more", F.col("more") + cut.cast("int")).drop("cut")), narrow
+    discard(old)
     # ... and last the largest that still fit, first of those not taken so far, then of all that may be taken once more.
     for again in [False] + [True] * (most - 1):
         open_ = (F.col("times") + F.col("more") < most) & (F.lit(again) | (F.col("more") == 0)) & (F.col("size") > 0)
-        rows, left = _filled(rows, left, open_)
+        bounds, left = _filled(narrow, left, open_)
+        steps.append(open_)
+        found.append(bounds)
+        if len(steps) <= most:
+            narrow, old = materialize(_taken(narrow.join(bounds, PLACE, "left"), open_)), narrow
+        else:
+            old = narrow
+        discard(old)
+    # The documents with their columns are read once more, beside all that was decided.
+    names_of = [f"bound{i}" for i in range(len(steps))]
+    every = reduce(DataFrame.unionByName, [b.select(*PLACE, F.lit(i).alias("step"), "bound") for i, b in enumerate(found)])
+    every = materialize(every.groupBy(*PLACE).agg(*[F.max(F.when(F.col("step") == i, F.col("bound"))).alias(c) for i, c in enumerate(names_of)]))
+    rows = rows.withColumn("key", key).join(F.broadcast(decided), "key").withColumn("more", F.lit(0)).join(every, PLACE, "left")
+    for i, open_ in enumerate(steps):
+        rows = _taken(rows, open_, names_of[i])
+        if i == 0:
+            rows = rows.withColumn("more", F.col("more") + cut.cast("int"))
     out = columns_of(keep)
     taken = ((F.col("times") + F.col("more")) * F.col("size")).cast("long")
     return rows.select(*([F.col(f"kept.{c}") for c in keep]), F.col("membership").alias(out["membership"]), F.col("size").alias(out["size"]), F.col("source_size").cast("long").alias(out["source_size"]), F.col("target").alias(out["target"]), taken.alias(out["taken"]))
 
 
+def _taken(rows: DataFrame, open_: Column, bound: str = "bound") -> DataFrame:
+    """``rows`` with ``more`` one higher for those that are ``open_`` and stand in the seeded order up to the ``bound`` of their place."""
+    first = F.coalesce(F.struct("order", "id") <= F.col(bound), F.lit(False))
+    return rows.withColumn("more", F.col("more") + F.when(open_ & first, 1).otherwise(0)).drop(bound)
+
+
 def _cuts(sums: DataFrame, left: DataFrame) -> DataFrame:
     """(key, cut, gap): the slice in which the seeded order would exceed what is left of a pattern, and what is missing before it.
 
@@ -225,7 +256,7 @@ def _cuts(sums: DataFrame, left: DataFrame) -> DataFrame:
 
 
 def _filled(rows: DataFrame, left: DataFrame, open_: Column) -> tuple[DataFrame, DataFrame]:
-    """Take one more time, of the rows of each pattern that are ``open_``, the largest that fit what is ``left``, and on with smaller ones.
+    """(bounds, what is left): take one more time, of the rows of each pattern that are ``open_``, the largest that fit what is ``left``, and on with smaller ones.
 
     Sizes are counted, so the search goes over the sizes of a pattern, of which there are no more than the longest text has
     words.  Of one size the first in seeded order are taken; only the slices that they stand in are sorted.
@@ -250,11 +281,8 @@ def _filled(rows: DataFrame, left: DataFrame, open_: Column) -> tuple[DataFrame,
     place = F.row_number().over(W.partitionBy("key", "size", "slice").orderBy("order", "id"))
     taken = held.join(limit, ["key", "size", "slice"]).withColumn("place", place).filter("place <= room")
     bounds = materialize(taken.groupBy("key", "size", "slice").agg(F.max(F.struct("order", "id")).alias("bound")))
-    out = rows.join(bounds, ["key", "size", "slice"], "left")
-    first = F.coalesce(F.struct("order", "id") <= F.col("bound"), F.lit(False))
-    out = out.withColumn("more", F.col("more") + F.when(open_ & first, 1).otherwise(0)).drop("bound")
     rest = left.join(chosen.select("key", F.col("left").alias("_left")), "key", "left").select("key", F.coalesce("_left", "left").alias("left"))
-    return out, materialize(rest)
+    return bounds, materialize(rest)
 
 
 def n_words(text: Column) -> Column:

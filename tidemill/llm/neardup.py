@@ -335,6 +335,8 @@ def classes(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     shared = index(docs, n, t, frequent).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
     wanted = spark.sparkContext.broadcast(bit_table(shared, "key"))
     groups = materialize(index(docs, n, t, frequent, wanted).distinct())
+    frequent.destroy()
+    wanted.destroy()
     for _ in range(PEELS):
         groups, old = materialize(peeled(groups, t)), groups
         discard(old)
